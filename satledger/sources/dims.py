@@ -1,0 +1,19 @@
+"""Small dimensions (S8 shows, S9 excluded senders).
+
+Both are configuration supplied by the caller; their size is the length of a
+Python list, which is the proven bound that makes broadcasting them safe."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from satledger import constants as K
+
+
+def shows_frame(spark: SparkSession, shows: dict[str, str] | None = None) -> DataFrame:
+    shows = shows or K.DEFAULT_SHOWS
+    return F.broadcast(spark.createDataFrame(list(shows.items()), "show string, pattern string"))
+
+
+def excluded_frame(spark: SparkSession, names: list[str]) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(n,) for n in names], "name string"))
