@@ -281,3 +281,52 @@ def earliest_boost(spark, sf_dir):
 @register
 def store_stats(spark, sf_dir):
     return history.store_stats(_inv(spark, sf_dir))
+
+
+# --- ingest: adapter rows re-encoded as upstream pages, then normalised -------------
+
+def _landed_raw(inv: DataFrame, corrupt_every: int | None = None) -> DataFrame:
+    from satledger.operators.ingest import parse_node_pages, parse_wallet_pages
+    from satledger.sources import landing
+
+    node = parse_node_pages(landing.node_pages(inv, corrupt_every=corrupt_every))
+    wallet = parse_wallet_pages(landing.wallet_pages(inv))
+    return node.unionByName(wallet)
+
+
+@register
+def decode_payload(spark, sf_dir):
+    from satledger.operators.ingest import normalize
+
+    norm = normalize(_landed_raw(_inv(spark, sf_dir)))
+    return norm.select(
+        "source", "identifier", "creation_date", epoch_of("created_at").alias("created_epoch"),
+        "add_index", "memo", "action", "podcast", "episode", "app_name", "sender_name",
+        "sender_name_normalized", "message", "value_msat_total", "value_sat_total", "content_id",
+        F.array_join(F.sort_array(F.map_keys("extra")), ",").alias("extra_keys"))
+
+
+@register
+def decode_quarantine(spark, sf_dir):
+    from satledger.operators.ingest import quarantine
+
+    q = quarantine(_landed_raw(_inv(spark, sf_dir), corrupt_every=P.CORRUPT_EVERY))
+    return q.select("source", "identifier", "reason")
+
+
+# --- rendering ------------------------------------------------------------------------
+
+@register
+def report_markdown_lines(spark, sf_dir):
+    from satledger.plans import render
+
+    return render.report_lines(_inv(spark, sf_dir), SHOWS["Unplugged"], P.SINCE_B, P.EXCLUDED)
+
+
+@register
+def boost_blocks(spark, sf_dir):
+    from satledger.plans import render
+
+    rows = report.valid_invoices(_inv(spark, sf_dir), SHOWS["All"], P.SINCE_B, P.EXCLUDED) \
+        .filter(F.col("action") == K.ACTION_BOOST)
+    return render.boost_blocks(rows)

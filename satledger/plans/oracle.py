@@ -246,4 +246,102 @@ SQL: dict[str, str] = {
         SELECT source, identifier, creation_date, creation_date AS created_epoch FROM invoices
         WHERE creation_date = (SELECT min(creation_date) FROM invoices WHERE action = 'boost')"""),
     "store_stats": q(select="SELECT count(*) AS invoices, max(creation_date) AS max_creation_date FROM invoices"),
+    "decode_payload": q(select="""
+        SELECT source, identifier, creation_date, creation_date AS created_epoch,
+               CASE WHEN source = 'wallet' THEN NULL ELSE event_id END AS add_index,
+               CASE WHEN source = 'wallet' THEN 'memo ' || identifier END AS memo,
+               action, podcast, episode, app_name, sender_name, sender_name_normalized, message,
+               value_msat_total, value_sat_total, content_id,
+               CASE WHEN source = 'wallet' THEN NULL ELSE 'invoice/state' END AS extra_keys
+        FROM invoices"""),
+    "decode_quarantine": q(select=f"""
+        SELECT source, identifier, 'boost_base64' AS reason FROM invoices
+        WHERE source <> 'wallet' AND event_id % {P.CORRUPT_EVERY} = 0"""),
 }
+
+NL = "chr(10)"
+
+
+def d_utc(cd: str) -> str:
+    return f"make_timestamp(CAST({cd} AS BIGINT) * 1000000)"
+
+
+def d_date(cd: str) -> str:
+    local = f"timezone('America/Los_Angeles', timezone('UTC', {d_utc(cd)}))"
+    return (f"(strftime({local}, '%Y/%m/%d %-I:%M:%S %p') || ' ' || "
+            f"CASE date_diff('hour', {local}, {d_utc(cd)}) WHEN 7 THEN 'PDT' WHEN 8 THEN 'PST' END)")
+
+
+def d_comma(x: str) -> str:
+    return f"format('{{:,}}', CAST(coalesce({x}, 0) AS BIGINT))"
+
+
+def d_quote(m: str, prefix: str = "> ") -> str:
+    stripped = f"regexp_replace({m}, '(\\r?\\n)+$', '')"
+    lines = (f"CASE WHEN {stripped} = '' AND {m} <> '' THEN CAST([] AS VARCHAR[]) "
+             f"ELSE string_split_regex({stripped}, '\\r?\\n') END")
+    return f"array_to_string(list_transform({lines}, lambda x: '{prefix}' || x), {NL})"
+
+
+def d_s(c: str) -> str:
+    return f"coalesce(CAST({c} AS VARCHAR), '')"
+
+
+_MSG_Q = d_quote("coalesce(message, 'No Message Found :(')")
+_FLAT_Q = d_quote("coalesce(message, '')", "   > ")
+_WHEN = (f"'+ ' || {d_date('creation_date')} || ' (' || CAST(creation_date AS VARCHAR) || ')' || {NL} "
+         f"|| '+ ' || {d_comma('value_sat_total')} || ' sats' || {NL} "
+         f"|| {_MSG_Q}")
+_HEAD = (f"'+ ' || {d_s('podcast')} || {NL} || '+ ' || {d_s('episode')} || {NL} || '+ ' || "
+         f"{d_s('app_name')} || {NL} || '+ ' || {d_s('source')} || {NL} || {NL}")
+_NULLS = "CAST(NULL AS BIGINT) AS k1, CAST(NULL AS VARCHAR) AS k2"
+_TNULLS = "CAST(NULL AS BIGINT) AS t1, CAST(NULL AS VARCHAR) AS t2, CAST(NULL AS VARCHAR) AS t3"
+
+MARKDOWN_SELECT = f"""
+SELECT 1 AS section, 0 AS part, {_NULLS}, 0 AS kind, {_TNULLS}, '## Baller Boosts' AS line
+UNION ALL SELECT 2, 0, NULL, NULL, 0, NULL, NULL, NULL, '## Boosts'
+UNION ALL SELECT 3, 0, NULL, NULL, 0, NULL, NULL, NULL, '## Thanks'
+UNION ALL SELECT section, 1, k1, sender, 0, NULL, NULL, NULL,
+  '### From: ' || sender || {NL} || '+ ' || {d_comma('total_sats')} || ' sats' || {NL}
+  || '+ ' || {d_comma('boost_count')} || ' boosts' FROM snd
+UNION ALL SELECT snd.section, 1, snd.k1, snd.sender, 1, det.creation_date, det.source, det.identifier,
+  CASE WHEN det.is_first THEN {_HEAD} || {_WHEN} ELSE {NL} || {_WHEN} END
+  FROM det JOIN snd ON det.sender = snd.sender
+UNION ALL SELECT section, 1, k1, sender, 2, NULL, NULL, NULL, '' FROM snd
+UNION ALL SELECT section, 2, NULL, NULL, 0, NULL, NULL, NULL, ''
+  FROM (VALUES (1), (2), (3)) sec(section) WHERE section NOT IN (SELECT section FROM snd)
+UNION ALL SELECT 4, 0, NULL, NULL, 0, NULL, NULL, NULL,
+  '## Boost Summary' || {NL} || '+ Total Boosted Sats: ' || {d_comma('boost_total_sats')}
+  || {NL} || '+ Total Boosts: ' || {d_comma('boost_total_boosts')}
+  || {NL} || '+ Total Boosters: ' || {d_comma('boost_total_boosters')}
+  || {NL} || {NL} || '## Stream Summary' || {NL} || '+ Total Streamed Sats: ' || {d_comma('stream_total_sats')}
+  || {NL} || '+ Total Streams: ' || {d_comma('stream_total_streams')}
+  || {NL} || '+ Total Streamers: ' || {d_comma('stream_total_streamers')}
+  || {NL} || {NL} || '## Summary' || {NL} || '+ Total Sats: ' || {d_comma('total_sats')}
+  || {NL} || '+ Total Invoices: ' || {d_comma('total_invoices')}
+  || {NL} || '+ Total Unique Senders: ' || {d_comma('total_unique_senders')}
+  || {NL} || {NL} || '## Last Seen' || {NL} || '+ Last seen ID: ' || {d_s('last_seen_id')}
+  FROM summ"""
+
+MARKDOWN_CTES = window_ctes(SHOWS["Unplugged"], P.SINCE_B) + [
+    f"sndr AS ({SENDERS_SELECT.strip()})",
+    """snd AS (SELECT *, CASE tier WHEN 'baller' THEN 1 WHEN 'boost' THEN 2 ELSE 3 END AS section,
+                  CASE WHEN tier = 'baller' THEN -total_sats ELSE first_boost END AS k1 FROM sndr)""",
+    """det AS (SELECT sender_name_normalized AS sender, creation_date, source, identifier, value_sat_total,
+                  podcast, episode, app_name, message,
+                  row_number() OVER (PARTITION BY sender_name_normalized
+                                     ORDER BY creation_date, source, identifier) = 1 AS is_first
+           FROM counted WHERE action = 'boost')""",
+    f"summ AS ({SUMMARY_SELECT.strip()})",
+]
+
+SQL["report_markdown_lines"] = q(*MARKDOWN_CTES, select=MARKDOWN_SELECT)
+
+_BLOCK = (f"'### From: ' || {d_s('sender_name_normalized')} || {NL} || ' + ' || {d_comma('value_sat_total')} "
+          f"|| ' sats' || {NL} || ' + ' || {d_s('podcast')} || ' / ' || {d_s('episode')} || {NL} || ' + ' "
+          f"|| {d_s('app_name')} || ' ' || strftime({d_utc('creation_date')}, '%a %b %d %H:%M:%S UTC %Y') "
+          f"|| ' (' || CAST(creation_date AS VARCHAR) || ')' || {NL} || ' + ' || {d_s('source')} || {NL} "
+          f"|| {_FLAT_Q} || {NL}")
+
+SQL["boost_blocks"] = q(valid_cte(SHOWS["All"], P.SINCE_B), select=f"""
+    SELECT creation_date, source, identifier, {_BLOCK} AS block FROM valid WHERE action = 'boost'""")
