@@ -330,3 +330,62 @@ def boost_blocks(spark, sf_dir):
     rows = report.valid_invoices(_inv(spark, sf_dir), SHOWS["All"], P.SINCE_B, P.EXCLUDED) \
         .filter(F.col("action") == K.ACTION_BOOST)
     return render.boost_blocks(rows)
+
+
+# --- every show in one job ---------------------------------------------------------------
+
+@register
+def report_all_shows(spark, sf_dir):
+    from satledger.plans import multishow
+
+    return multishow.all_show_senders(_inv(spark, sf_dir), P.SINCE_B, P.EXCLUDED, SHOWS)
+
+
+@register
+def report_all_shows_summary(spark, sf_dir):
+    from satledger.plans import multishow
+
+    return multishow.all_show_summaries(_inv(spark, sf_dir), P.SINCE_B, P.EXCLUDED, SHOWS)
+
+
+# --- Markdown links ------------------------------------------------------------------------
+
+@register
+def markdown_links(spark, sf_dir):
+    """Links in text built from every page: a Markdown link to the page, a
+    link home, then the page's whole HTML."""
+    from satledger.operators.links import extract_links
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    text = F.concat(F.lit("[page "), F.col("page_id").cast("string"), F.lit("]("), F.col("url"),
+                    F.lit(' "t") and [home](/) '), F.coalesce(F.col("html"), F.lit("")))
+    docs = pages.select("page_id", F.col("url").alias("file_name"), text.alias("text"))
+    from satledger.operators.links import episode_number
+
+    docs = docs.withColumn("episode", episode_number(F.col("file_name"))).drop("file_name")
+    return extract_links(docs, "text")
+
+
+# --- streaming ingest --------------------------------------------------------------------
+
+@register
+def stream_ingest(spark, sf_dir):
+    """Adapter rows landed as node / wallet pages (JSON Lines, some node pages
+    landed twice), ingested by the streaming job in several micro-batches."""
+    from satledger.session import scratch_path
+    from satledger.sources import landing
+    from satledger.streaming.ingest import NODE, WALLET, Upstream, run_once
+
+    inv = _inv(spark, sf_dir)
+    base = scratch_path(spark, "landing")
+    node = landing.node_pages(inv)
+    node.select("source", "value").write.partitionBy("source").text(f"{base}/node")
+    node.filter(F.col("page") % 4 == 0).select("source", "value") \
+        .write.mode("append").partitionBy("source").text(f"{base}/node")
+    landing.wallet_pages(inv).select("value").write.text(f"{base}/wallet")
+    ups = [Upstream(s, f"{base}/node/source={s}", NODE, max_files_per_trigger=4)
+           for s in landing.NODE_SOURCES]
+    ups.append(Upstream("wallet", f"{base}/wallet", WALLET, max_files_per_trigger=4))
+    store = run_once(spark, ups, f"{base}/store", f"{base}/checkpoint")
+    return store.select("source", "identifier", "creation_date", "action", "sender_name_normalized",
+                        "value_sat_total", "content_id", "message")

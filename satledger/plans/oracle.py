@@ -345,3 +345,62 @@ _BLOCK = (f"'### From: ' || {d_s('sender_name_normalized')} || {NL} || ' + ' ||
 
 SQL["boost_blocks"] = q(valid_cte(SHOWS["All"], P.SINCE_B), select=f"""
     SELECT creation_date, source, identifier, {_BLOCK} AS block FROM valid WHERE action = 'boost'""")
+
+
+def _show_union(since: int) -> str:
+    parts = [f"SELECT '{name}' AS show_name, * FROM invoices WHERE creation_date > {since} "
+             f"AND NOT coalesce(sender_name_normalized IN ({EXCL}), false) AND {show_pred(p)}"
+             for name, p in SHOWS.items()]
+    return "tagged AS (" + " UNION ALL ".join(parts) + ")"
+
+
+MULTI_CTES = [
+    _show_union(P.SINCE_B),
+    "cuts AS (SELECT show_name, max(creation_date) FILTER (WHERE action = 'boost') AS cutoff FROM tagged GROUP BY show_name)",
+    """mcounted AS (SELECT tagged.* FROM tagged JOIN cuts ON tagged.show_name = cuts.show_name
+         WHERE tagged.creation_date <= cuts.cutoff AND sender_name_normalized IS NOT NULL
+           AND value_sat_total IS NOT NULL)""",
+]
+
+SQL["report_all_shows"] = q(*MULTI_CTES, select=f"""
+    SELECT show_name, sender_name_normalized AS sender, CAST(sum(value_sat_total) AS BIGINT) AS total_sats,
+           count(*) AS boost_count, min(creation_date) AS first_boost,
+           {tier('sum(value_sat_total)')} AS tier
+    FROM mcounted WHERE action = 'boost' GROUP BY show_name, sender_name_normalized""")
+
+_SHOW_NAMES = ", ".join(f"('{n}')" for n in SHOWS)
+SQL["report_all_shows_summary"] = q(*MULTI_CTES, f"names AS (SELECT * FROM (VALUES {_SHOW_NAMES}) t(show_name))",
+    """agg AS (SELECT show_name,
+        CAST(sum(value_sat_total) FILTER (WHERE action = 'boost') AS BIGINT) AS boost_total_sats,
+        count(*) FILTER (WHERE action = 'boost') AS boost_total_boosts,
+        count(DISTINCT sender_name_normalized) FILTER (WHERE action = 'boost') AS boost_total_boosters,
+        CAST(sum(value_sat_total) FILTER (WHERE action = 'stream') AS BIGINT) AS stream_total_sats,
+        count(*) FILTER (WHERE action = 'stream') AS stream_total_streams,
+        count(DISTINCT sender_name_normalized) FILTER (WHERE action = 'stream') AS stream_total_streamers,
+        CAST(sum(value_sat_total) AS BIGINT) AS total_sats, count(*) AS total_invoices,
+        count(DISTINCT sender_name_normalized) AS total_unique_senders
+      FROM mcounted GROUP BY show_name)""", select="""
+    SELECT names.show_name,
+      coalesce(boost_total_sats, 0) AS boost_total_sats, coalesce(boost_total_boosts, 0) AS boost_total_boosts,
+      coalesce(boost_total_boosters, 0) AS boost_total_boosters,
+      coalesce(stream_total_sats, 0) AS stream_total_sats, coalesce(stream_total_streams, 0) AS stream_total_streams,
+      coalesce(stream_total_streamers, 0) AS stream_total_streamers,
+      coalesce(total_sats, 0) AS total_sats, coalesce(total_invoices, 0) AS total_invoices,
+      coalesce(total_unique_senders, 0) AS total_unique_senders, cuts.cutoff AS last_seen_id
+    FROM names LEFT JOIN agg ON names.show_name = agg.show_name LEFT JOIN cuts ON names.show_name = cuts.show_name""")
+
+_LINK = """'\\[(.+?)\\]\\((.+?)(?: "(.+?)")?\\)'"""
+SQL["markdown_links"] = f"""
+WITH t AS (SELECT page_id, url,
+             '[page ' || CAST(page_id AS VARCHAR) || '](' || url || ' "t") and [home](/) ' || coalesce(html, '')
+             AS text FROM pages),
+x AS (SELECT page_id, url, regexp_extract_all(text, {_LINK}, 1) AS texts,
+             regexp_extract_all(text, {_LINK}, 2) AS links FROM t),
+y AS (SELECT page_id, url, texts, links, unnest(range(len(texts))) AS pos FROM x)
+SELECT page_id, TRY_CAST(regexp_replace(url, '[^0-9]', '', 'g') AS BIGINT) AS episode, pos,
+       texts[pos + 1] AS text, links[pos + 1] AS link
+FROM y"""
+
+SQL["stream_ingest"] = q(select="""
+    SELECT source, identifier, creation_date, action, sender_name_normalized, value_sat_total, content_id,
+           message FROM invoices""")
