@@ -61,10 +61,12 @@ def per_sender(window: DataFrame) -> DataFrame:
     Shuffles once on the sender; partial aggregation runs map-side."""
     sats = F.col("value_sat_total")
     boost, stream = _is(K.ACTION_BOOST), _is(K.ACTION_STREAM)
+    first_key = F.struct("creation_date", "source", "identifier")
     return _counted(window).groupBy(F.col(SENDER).alias("sender")).agg(
         F.sum(F.when(boost, sats)).alias("boost_sats"),
         F.count_if(boost).alias("boost_count"),
         F.min(F.when(boost, F.col("creation_date"))).alias("first_boost"),
+        F.min(F.when(boost, first_key)).alias("first_key"),
         F.sum(F.when(stream, sats)).alias("stream_sats"),
         F.count_if(stream).alias("stream_count"),
         F.sum(sats).alias("all_sats"),
@@ -86,8 +88,13 @@ def report_senders(window: DataFrame) -> DataFrame:
 def report_summary(window: DataFrame, cutoff: Column | None = None) -> DataFrame:
     """A5-A8 as one row; zeros when the window is empty, ``last_seen_id`` is
     the cutoff (the next report's ``since``)."""
+    return summary_from_per_sender(per_sender(window), cutoff)
+
+
+def summary_from_per_sender(s: DataFrame, cutoff: Column | None = None) -> DataFrame:
+    """The summary row from a ``per_sender`` result (a global aggregate over
+    one row per sender)."""
     z = F.lit(0).cast("bigint")
-    s = per_sender(window)
     out = s.agg(
         F.coalesce(F.sum("boost_sats"), z).cast("bigint").alias("boost_total_sats"),
         F.coalesce(F.sum("boost_count"), z).cast("bigint").alias("boost_total_boosts"),

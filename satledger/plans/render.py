@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from satledger import constants as K
 from satledger.functions.columns import epoch_to_ntz, format_report_date, int_comma, quote_lines
+from satledger.functions.predicates import tier_of
 from satledger.operators import report as R
+from satledger.session import cut_lineage
 
 SECTIONS = [(1, K.TIER_BALLER, "## Baller Boosts"), (2, K.TIER_BOOST, "## Boosts"),
             (3, K.TIER_THANKS, "## Thanks")]
@@ -64,37 +66,65 @@ def _section_no(tier: Column) -> Column:
     return out
 
 
+WINDOW_COLUMNS = ["sender_name_normalized", "action", "creation_date", "source", "identifier",
+                  "value_sat_total", "podcast", "episode", "app_name", "message"]
+
+
 def report_lines(inv: DataFrame, pattern: str, since: int,
-                 excluded: Iterable[str] | None = None) -> DataFrame:
-    """The rendered report as ordered line blocks (see module doc)."""
-    rep = R.boost_report(inv, pattern, since, excluded)
+                 excluded: Iterable[str] | None = None, materialize: bool = True) -> DataFrame:
+    """The rendered report as ordered line blocks (see module doc).
+
+    With ``materialize`` the projected report window and the per-sender
+    aggregate are written once to the shared checkpoint folder; every block
+    type is then derived from those two, instead of re-reading and
+    re-filtering the source for each branch of the union."""
+    valid = R.valid_invoices(inv, pattern, since, excluded)
+    cutoff = R.report_cutoff(valid).scalar()
+    window = valid.filter(F.col("creation_date") <= cutoff).select(*WINDOW_COLUMNS)
+    if materialize:
+        window = cut_lineage(window)
+    per = R.per_sender(window)
+    if materialize:
+        per = cut_lineage(per)
     spark = inv.sparkSession
-    senders = rep["senders"].withColumn("section", _section_no(F.col("tier"))) \
-        .withColumn("k1", F.when(F.col("tier") == K.TIER_BALLER, -F.col("total_sats"))
-                    .otherwise(F.col("first_boost")))
+
+    senders = (per.filter(F.col("boost_count") > 0)
+               .select("sender", F.col("boost_sats").alias("total_sats"), "boost_count",
+                       "first_boost", "first_key", tier_of("boost_sats").alias("tier"))
+               .withColumn("section", _section_no(F.col("tier")))
+               .withColumn("k1", F.when(F.col("tier") == K.TIER_BALLER, -F.col("total_sats"))
+                           .otherwise(F.col("first_boost"))))
 
     headers = spark.range(1).select(F.explode(F.array(*[
         F.struct(*_row(no, 0, None, None, 0, None, None, None, title))
         for no, _, title in SECTIONS])).alias("r")).select("r.*")
 
-    sender_head = senders.select(*_row(
+    head = F.struct(*_row(
         F.col("section"), 1, F.col("k1"), F.col("sender"), 0, None, None, None,
         F.concat(F.lit("### From: "), F.col("sender"), F.lit("\n+ "), int_comma("total_sats"),
                  F.lit(" sats\n+ "), int_comma("boost_count"), F.lit(" boosts"))))
-    sender_tail = senders.select(*_row(F.col("section"), 1, F.col("k1"), F.col("sender"), 2,
-                                       None, None, None, ""))
-
-    d = rep["details"].join(senders.select("sender", "section", "k1"), "sender", "inner")
+    tail = F.struct(*_row(F.col("section"), 1, F.col("k1"), F.col("sender"), 2,
+                          None, None, None, ""))
+    sender_rows = senders.select(F.explode(F.array(head, tail)).alias("r")).select("r.*")
+
+    boosts = window.filter((F.col("action") == K.ACTION_BOOST)
+                           & F.col("sender_name_normalized").isNotNull()
+                           & F.col("value_sat_total").isNotNull())
+    d = boosts.join(senders.select("sender", "section", "k1", "first_key"),
+                    boosts["sender_name_normalized"] == senders["sender"], "inner")
+    is_first = F.struct("creation_date", "source", "identifier") == F.col("first_key")
     boost_rows = d.select(*_row(F.col("section"), 1, F.col("k1"), F.col("sender"), 1,
                                 F.col("creation_date"), F.col("source"), F.col("identifier"),
-                                _boost_lines(F.col("is_first"))))
+                                _boost_lines(is_first)))
 
     present = senders.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
     all_sections = spark.createDataFrame([(no,) for no, _, _ in SECTIONS], "section int")
     empty = (F.broadcast(all_sections).join(present, "section", "left_anti")
              .select(*_row(F.col("section"), 2, None, None, 0, None, None, None, "")))
 
-    s = rep["summary"]
+    last_seen = window.filter(F.col("action") == K.ACTION_BOOST) \
+        .agg(F.max("creation_date")).scalar()
+    s = R.summary_from_per_sender(per, last_seen)
     summary = s.select(*_row(SUMMARY_SECTION, 0, None, None, 0, None, None, None, F.concat(
         F.lit("## Boost Summary\n+ Total Boosted Sats: "), int_comma("boost_total_sats"),
         F.lit("\n+ Total Boosts: "), int_comma("boost_total_boosts"),
@@ -107,8 +137,8 @@ def report_lines(inv: DataFrame, pattern: str, since: int,
         F.lit("\n+ Total Unique Senders: "), int_comma("total_unique_senders"),
         F.lit("\n\n## Last Seen\n+ Last seen ID: "), _s("last_seen_id"))))
 
-    return (headers.unionByName(sender_head).unionByName(boost_rows)
-            .unionByName(sender_tail).unionByName(empty).unionByName(summary))
+    return (headers.unionByName(sender_rows).unionByName(boost_rows)
+            .unionByName(empty).unionByName(summary))
 
 
 def ordered(lines: DataFrame) -> DataFrame:
