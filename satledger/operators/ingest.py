@@ -147,13 +147,13 @@ def quarantine(raw: DataFrame, source: str | Column | None = None) -> DataFrame:
 
 def read_node_pages(spark, path: str, source: str) -> DataFrame:
     """Landed node pages under ``path`` (one JSON document per file)."""
-    pages = spark.read.option("wholetext", True).text(path)
+    pages = spark.read.text(path, wholetext=True)
     return parse_node_pages(pages).withColumn("source", F.lit(source))
 
 
 def read_wallet_pages(spark, path: str, source: str) -> DataFrame:
     """Landed wallet pages under ``path`` (a JSON array per file)."""
-    pages = spark.read.option("wholetext", True).text(path)
+    pages = spark.read.text(path, wholetext=True)
     return parse_wallet_pages(pages).withColumn("source", F.lit(source))
 
 

@@ -7,5 +7,5 @@ from pyspark.sql import functions as F
 
 def read_markdown_dir(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """``file_name`` (base name) and ``text`` (whole file) per ``.md`` file."""
-    return (spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    return (spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
             .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")))

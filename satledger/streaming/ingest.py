@@ -59,11 +59,10 @@ def day_of(cd_col: str = "creation_date"):
 
 def read_upstream(spark: SparkSession, up: Upstream, streaming: bool = True) -> DataFrame:
     reader = spark.readStream if streaming else spark.read
-    if not up.one_page_per_line:
-        reader = reader.option("wholetext", True)
     if streaming and up.max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", up.max_files_per_trigger)
-    pages = reader.text(up.path)
+    # ``text()`` has its own ``wholetext`` argument, which overrides options.
+    pages = reader.text(up.path, wholetext=not up.one_page_per_line)
     parse = parse_node_pages if up.layout == NODE else parse_wallet_pages
     return normalize(parse(pages), up.source)
 
