@@ -25,6 +25,7 @@ __all__ = [
     "quote_lines",
     "digits_number",
     "epoch_of",
+    "utc_epoch",
     "utc_epoch_literal",
 ]
 
@@ -126,6 +127,14 @@ def epoch_of(c) -> Column:
     return F.unix_seconds(col_or_lit(c))
 
 
+def utc_epoch(text: str) -> int:
+    """A UTC wall-clock text ``yyyy-MM-dd HH:mm:ss`` as epoch seconds."""
+    import calendar
+    import time
+
+    return calendar.timegm(time.strptime(text, "%Y-%m-%d %H:%M:%S"))
+
+
 def utc_epoch_literal(text: str) -> Column:
     """A UTC wall-clock literal ``yyyy-MM-dd HH:mm:ss`` as epoch seconds."""
     return F.unix_timestamp(F.lit(text).cast("timestamp_ntz"))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satledger import constants as K
-from satledger.functions.columns import utc_epoch_literal
+from satledger.functions.columns import utc_epoch, utc_epoch_literal
+from satledger.sources.store import prune_days
 from satledger.functions.predicates import fixed_show_match
 
 DEFAULT_PATTERN = ".*Unplugged.*"
@@ -35,7 +36,7 @@ def leaderboard_base(inv: DataFrame, action: str | None = K.ACTION_BOOST,
         & fixed_show_match(pattern, show_literal, on="episode")
     cond = cond & (F.col("action") == F.lit(action) if action is not None
                    else F.col("action").isNotNull())
-    return (inv.filter(cond)
+    return (prune_days(inv, since=utc_epoch(since) - 1).filter(cond)
             .groupBy(F.coalesce("sender_name_normalized", F.lit(K.MISSING_SENDER)).alias("sender"),
                      F.col("action"))
             .agg(F.count(F.lit(1)).alias("n"),

@@ -22,17 +22,25 @@ def upsert(old: DataFrame, new: DataFrame, key: Iterable[str] = KEY,
 
     ``old`` and ``new`` share a schema.  ``seq`` names an ordering column of
     ``new`` (several versions per key in one batch); without it every ``new``
-    row outranks ``old``.  One shuffle on the key; each group holds only the
-    versions of one invoice."""
+    row outranks ``old``.
+
+    Only keys present in ``new`` are merged: the other ``old`` rows pass
+    through an anti join (a broadcast when the batch's key set is small, so
+    the store is not shuffled at all); the touched rows and the new versions
+    shuffle once on the key, and each group holds the versions of one invoice.
+    """
     key = list(key)
-    cols = [c for c in old.columns if c not in key and c != seq]
-    o = old.select(*key, *cols, F.lit(0).cast("bigint").alias(SEQ))
+    out_cols = [c for c in old.columns if c != seq]
+    cols = [c for c in out_cols if c not in key]
+    keys = new.select(*key).distinct()
+    untouched = old.join(keys, key, "left_anti").select(*out_cols)
+    touched = old.join(keys, key, "left_semi")
+    o = touched.select(*key, *cols, F.lit(0).cast("bigint").alias(SEQ))
     n_seq = (F.col(seq).cast("bigint") + F.lit(1)) if seq else F.lit(1).cast("bigint")
     n = new.select(*key, *cols, n_seq.alias(SEQ))
-    both = o.unionByName(n)
     aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(SEQ))).alias(c) for c in cols]
-    return both.groupBy(*key).agg(*aggs).select(*old.columns if seq is None else
-                                               [c for c in old.columns if c != seq])
+    merged = o.unionByName(n).groupBy(*key).agg(*aggs).select(*out_cols)
+    return untouched.unionByName(merged)
 
 
 def delete_keys(inv: DataFrame, keys: DataFrame, key: Iterable[str] = KEY) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satledger import constants as K
-from satledger.functions.columns import epoch_of
+from satledger.sources.store import prune_days
 
 
 def content_ids_between(inv: DataFrame, since: int, stop: int,
@@ -21,7 +21,7 @@ def content_ids_between(inv: DataFrame, since: int, stop: int,
         & F.col("content_id").isNotNull()
     if not include_plain:
         cond = cond & F.col("action").isNotNull()
-    return inv.filter(cond).select("content_id").distinct()
+    return prune_days(inv, since, stop).filter(cond).select("content_id").distinct()
 
 
 def missing_content_ids(dest: DataFrame, src: DataFrame, since: int, as_of: int,
@@ -102,6 +102,3 @@ def similar_pairs(inv: DataFrame, delta: int, action: str | None = None) -> Data
              F.col("b.source").alias("source_b"), F.col("b.identifier").alias("identifier_b"),
              F.col("b.creation_date").alias("creation_date_b"))
 
-
-__all__ = ["content_ids_between", "missing_content_ids", "sync_counts", "rows_to_copy",
-           "reconcile", "find_similar", "similar_pairs", "epoch_of"]

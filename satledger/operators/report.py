@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from satledger import constants as K
 from satledger.functions.columns import epoch_of
 from satledger.functions.predicates import after, not_excluded, show_match, tier_of
+from satledger.sources.store import prune_days
 
 SENDER = "sender_name_normalized"
 
@@ -31,8 +32,11 @@ def _is(action: str) -> Column:
 
 def valid_invoices(inv: DataFrame, pattern: str, since: int,
                    excluded: Iterable[str] | None = None) -> DataFrame:
-    """F1 + F5 + F6: every action, event time after ``since``, show match."""
-    return inv.filter(after(since) & not_excluded(excluded) & show_match(pattern))
+    """F1 + F5 + F6: every action, event time after ``since``, show match.
+
+    On the partitioned store the bound also prunes ``day`` partitions."""
+    return prune_days(inv, since=since).filter(after(since) & not_excluded(excluded)
+                                               & show_match(pattern))
 
 
 def report_cutoff(valid: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from satledger import constants as K
 from satledger.functions.predicates import after, not_excluded, show_match, tier_of
+from satledger.sources.store import prune_days
 
 SENDER = "sender_name_normalized"
 
@@ -23,7 +24,7 @@ SENDER = "sender_name_normalized"
 def tag_shows(inv: DataFrame, shows: dict[str, str], since: int,
               excluded: Iterable[str] | None = None) -> DataFrame:
     tags = F.array(*[F.when(show_match(p), F.lit(name)) for name, p in shows.items()])
-    return (inv.filter(after(since) & not_excluded(excluded) & F.col("podcast").isNotNull())
+    return (prune_days(inv, since=since).filter(after(since) & not_excluded(excluded) & F.col("podcast").isNotNull())
             .withColumn("show_name", F.explode(F.array_compact(tags))))
 
 

@@ -22,14 +22,13 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from satledger import constants as K
-from satledger.functions.columns import epoch_to_ntz
 from satledger.operators.ingest import normalize, parse_node_pages, parse_wallet_pages
 from satledger.operators.merge import upsert
-from satledger.schemas import INVOICES, KEY
+from satledger.schemas import KEY
 from satledger.session import checkpoint_dir, scratch_path
+from satledger.sources.store import STORE, day_of, read_store, write_store
 
 log = logging.getLogger(__name__)
 
@@ -50,11 +49,6 @@ class Upstream:
     max_files_per_trigger: int | None = None
 
 
-STORE = T.StructType(INVOICES.fields + [T.StructField("day", T.StringType(), True)])
-
-
-def day_of(cd_col: str = "creation_date"):
-    return F.date_format(epoch_to_ntz(cd_col), "yyyy-MM-dd")
 
 
 def read_upstream(spark: SparkSession, up: Upstream, streaming: bool = True) -> DataFrame:
@@ -71,11 +65,6 @@ def empty_store(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], STORE)
 
 
-def read_store(spark: SparkSession, store_path: str) -> DataFrame:
-    """The store with its partition columns typed as strings."""
-    return spark.read.schema(STORE).parquet(store_path)
-
-
 def merge_into_store(batch: DataFrame, store_path: str) -> dict:
     """Upsert one batch into the store, rewriting only touched partitions.
 
@@ -101,9 +90,8 @@ def merge_into_store(batch: DataFrame, store_path: str) -> dict:
     cols = STORE.fieldNames()
     merged = upsert(old.select(*cols), batch.select(*cols), KEY)
     checkpoint_dir(spark)
-    merged = merged.repartition("source", "day").checkpoint(eager=True)
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("source", "day").parquet(store_path))
+    merged = merged.checkpoint(eager=True)
+    write_store(merged, store_path)
     batch.unpersist()
     log.info("ingest batch %s", stats)
     return stats
