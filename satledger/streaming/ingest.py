@@ -99,8 +99,11 @@ def merge_into_store(batch: DataFrame, store_path: str) -> dict:
 
 def start_ingest(spark: SparkSession, upstreams: list[Upstream], store_path: str,
                  checkpoint: str | None = None, available_now: bool = True,
-                 interval: str = K.POLL_INTERVAL):
-    """Start the ingest query over all upstreams; returns the StreamingQuery."""
+                 interval: str = K.POLL_INTERVAL, on_batch=None):
+    """Start the ingest query over all upstreams; returns the StreamingQuery.
+
+    ``on_batch(batch, batch_id)`` replaces the default merge (used by the
+    polling cycle to reconcile after merging)."""
     checkpoint = checkpoint or scratch_path(spark, "ingest-checkpoint")
     streams = [read_upstream(spark, up) for up in upstreams]
     src = streams[0]
@@ -111,7 +114,7 @@ def start_ingest(spark: SparkSession, upstreams: list[Upstream], store_path: str
     def each(batch: DataFrame, batch_id: int) -> None:
         progress.append({"batch_id": batch_id, **merge_into_store(batch, store_path)})
 
-    w = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    w = src.writeStream.foreachBatch(on_batch or each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     query = w.start()
     query.batch_progress = progress
