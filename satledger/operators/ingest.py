@@ -135,12 +135,17 @@ def quarantine(raw: DataFrame, source: str | Column | None = None) -> DataFrame:
         F.when(msat_text.isNotNull() & msat_text.try_cast("double").isNull(), F.lit("amount")),
         F.when(cd_text.isNotNull() & cd_text.try_cast("bigint").isNull(), F.lit("creation_date")),
     )))
-    return st.select(
+    # A filter on ``reason`` would be pushed below the projection with the
+    # JSON parsing inlined into it (filters get no common-subexpression
+    # elimination); a generator keeps the parse in one projection.
+    staged = st.select(
         F.col("_src").alias("source"),
         F.coalesce(blank_to_null(top["add_index"]), blank_to_null(top["identifier"])).alias("identifier"),
-        reason.alias("reason"),
+        reason.alias("_reason"),
         F.col("raw"),
-    ).filter(F.col("reason") != "")
+    )
+    return staged.select("source", "identifier", F.explode(
+        F.when(F.col("_reason") != "", F.array(F.col("_reason")))).alias("reason"), "raw")
 
 
 # --- readers of landed pages (batch) ------------------------------------------

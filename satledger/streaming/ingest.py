@@ -71,14 +71,20 @@ def merge_into_store(batch: DataFrame, store_path: str) -> dict:
     Returns the batch's progress metrics (N15)."""
     spark = batch.sparkSession
     batch = batch.withColumn("day", day_of()).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = batch.agg(F.min("creation_date").alias("min_creation_date"),
-                      F.max("creation_date").alias("max_creation_date"),
-                      F.count(F.lit(1)).alias("rows")).first().asDict()
+    # One small aggregate gives the progress metrics and the touched partition
+    # list (metadata: sources x days of one batch).
+    parts = batch.groupBy("source", "day").agg(F.min("creation_date").alias("lo"),
+                                               F.max("creation_date").alias("hi"),
+                                               F.count(F.lit(1)).alias("n")).collect()
+    los = [r["lo"] for r in parts if r["lo"] is not None]
+    his = [r["hi"] for r in parts if r["hi"] is not None]
+    stats = {"min_creation_date": min(los) if los else None,
+             "max_creation_date": max(his) if his else None,
+             "rows": sum(r["n"] for r in parts)}
     if not stats["rows"]:
         batch.unpersist()
         return stats
-    # The touched partition list is metadata (sources x days of one batch).
-    touched = [(r["source"], r["day"]) for r in batch.select("source", "day").distinct().collect()]
+    touched = [(r["source"], r["day"]) for r in parts]
     try:
         old = read_store(spark, store_path)
         cond = F.lit(False)
