@@ -25,6 +25,9 @@ __all__ = [
     "quote_lines",
     "digits_number",
     "epoch_of",
+    "relative_bound",
+    "seconds_between",
+    "per_30",
     "utc_epoch",
     "utc_epoch_literal",
 ]
@@ -127,6 +130,22 @@ def epoch_of(c) -> Column:
     return F.unix_seconds(col_or_lit(c))
 
 
+def relative_bound(as_of: int, seconds: int) -> int:
+    """A lower bound ``seconds`` before ``as_of`` (two days, two weeks)."""
+    return int(round(as_of - seconds))
+
+
+def seconds_between(a, b) -> Column:
+    """Whole seconds from instant ``a`` to instant ``b``."""
+    return F.timestamp_diff("SECOND", col_or_lit(a), col_or_lit(b))
+
+
+def per_30(cd="creation_date", action="action") -> Column:
+    """I16 (dormant in the reference): 30-second bucket of a boost's time."""
+    return F.when(col_or_lit(action) == F.lit(K.ACTION_BOOST),
+                  F.floor(col_or_lit(cd) / F.lit(30)).cast("bigint"))
+
+
 def utc_epoch(text: str) -> int:
     """A UTC wall-clock text ``yyyy-MM-dd HH:mm:ss`` as epoch seconds."""
     import calendar

@@ -389,3 +389,36 @@ def stream_ingest(spark, sf_dir):
     store = run_once(spark, ups, f"{base}/store", f"{base}/checkpoint")
     return store.select("source", "identifier", "creation_date", "action", "sender_name_normalized",
                         "value_sat_total", "content_id", "message")
+
+
+# --- smaller reference operators --------------------------------------------------------
+
+@register
+def load_since_mark(spark, sf_dir):
+    """N1 + N2: marks of a store holding the first half of the data, applied
+    to a landed batch holding everything."""
+    inv = _inv(spark, sf_dir)
+    store = inv.filter(F.col("creation_date") < P.SINCE_B)
+    marks = merge.high_water_marks(store, spark, K.SOURCES)
+    return merge.load_since_mark(inv, marks).select("source", "identifier", "creation_date")
+
+
+@register
+def similar_to_payment(spark, sf_dir):
+    return reconcile.find_similar(_inv(spark, sf_dir), P.SIMILAR_ACTION, P.SIMILAR_SENDER,
+                                  P.SIMILAR_AT, P.SIMILAR_WINDOW) \
+        .select("source", "identifier", "creation_date", "value_sat_total")
+
+
+@register
+def point_lookup(spark, sf_dir):
+    inv = _inv(spark, sf_dir)
+    return history.lookup(inv, identifier=P.LOOKUP_ID).select("source", "identifier", "creation_date",
+                                                               "action", "content_id")
+
+
+@register
+def legacy_v1_rows(spark, sf_dir):
+    """F12 + F13: the last-seen boosts in the old flat layout, columns sorted."""
+    rows = history.all_boosts(_legacy_base(spark, sf_dir))
+    return history.alphabetical(history.strip_namespaces(rows))

@@ -404,3 +404,24 @@ FROM y"""
 SQL["stream_ingest"] = q(select="""
     SELECT source, identifier, creation_date, action, sender_name_normalized, value_sat_total, content_id,
            message FROM invoices""")
+
+SQL["load_since_mark"] = q(f"""marks AS (
+      SELECT n.source, coalesce(max(i.creation_date), {K.AUTOSCRAPE_START}) AS hwm
+      FROM (VALUES ('wallet'), ('node_a'), ('node_b')) n(source)
+      LEFT JOIN invoices i ON i.source = n.source AND i.creation_date < {P.SINCE_B}
+      GROUP BY n.source)""", select="""
+    SELECT i.source, i.identifier, i.creation_date FROM invoices i JOIN marks m ON i.source = m.source
+    WHERE i.creation_date >= m.hwm""")
+
+SQL["similar_to_payment"] = q(select=f"""
+    SELECT source, identifier, creation_date, value_sat_total FROM invoices
+    WHERE action = '{P.SIMILAR_ACTION}' AND sender_name_normalized = '{P.SIMILAR_SENDER}'
+      AND creation_date BETWEEN {P.SIMILAR_AT - P.SIMILAR_WINDOW} AND {P.SIMILAR_AT + P.SIMILAR_WINDOW}""")
+
+SQL["point_lookup"] = q(select=f"""
+    SELECT source, identifier, creation_date, action, content_id FROM invoices
+    WHERE identifier = '{P.LOOKUP_ID}'""")
+
+SQL["legacy_v1_rows"] = q(LEGACY_BASE, select="""
+    SELECT app_name, creation_date, creation_date AS created_epoch, episode, identifier, message, podcast,
+           sender_name_normalized AS sender_name, source, value_msat_total, value_sat_total FROM legacy""")

@@ -15,3 +15,8 @@ TOP_K = 15
 PATCH_EVERY = 10              # upsert fixture: event_id % 10 = 0 gets a second version
 DELETE_EVERY = 7              # delete fixture: event_id % 7 = 0 is retracted
 CORRUPT_EVERY = 13            # decode fixture: event_id % 13 = 0 carries a broken payload
+SIMILAR_ACTION = "boost"
+SIMILAR_SENDER = "user_7"
+SIMILAR_AT = 1705363200
+SIMILAR_WINDOW = 86400
+LOOKUP_ID = "4242"
