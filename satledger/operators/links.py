@@ -36,7 +36,29 @@ def episode_links(docs: DataFrame, name: str = "file_name", text: str = "text")
 
 
 def render_listing(links: DataFrame) -> DataFrame:
-    """The listing text per link row (``+ [text](link)``), orderable by
-    ``(file_name, pos)``; the per-file heading is ``##  <episode>``."""
-    return links.withColumn("line", F.concat(F.lit("+ ["), F.col("text"), F.lit("]("),
-                                             F.col("link"), F.lit(")")))
+    """The listing text of each link row.  The reference prints with a
+    multi-argument ``println``, which puts one space between arguments:
+    ``+ [ text ]( link )``."""
+    return links.withColumn("line", F.concat_ws(" ", F.lit("+ ["), F.col("text"), F.lit("]("),
+                                                F.col("link"), F.lit(")")))
+
+
+HEADING_POS = -1
+BLANK_POS = 2_000_000_000
+
+
+def listing_lines(docs: DataFrame, name: str = "file_name", text: str = "text") -> DataFrame:
+    """M2 output as ordered lines: per file (in name order) the heading
+    ``##  <episode>``, one line per link, then an empty line.  Order by
+    ``(file_name, pos)``; every file gets a heading, even without links."""
+    with_ep = docs.withColumn("episode", episode_number(F.col(name)))
+    heads = with_ep.select(F.col(name).alias("file_name"), "episode",
+                           F.lit(HEADING_POS).cast("int").alias("pos"),
+                           F.concat_ws(" ", F.lit("## "),
+                                       F.coalesce(F.col("episode").cast("string"), F.lit("")))
+                           .alias("line"))
+    blanks = with_ep.select(F.col(name).alias("file_name"), "episode",
+                            F.lit(BLANK_POS).cast("int").alias("pos"), F.lit("").alias("line"))
+    links = render_listing(extract_links(with_ep.withColumnRenamed(name, "file_name"), text)) \
+        .select("file_name", "episode", F.col("pos").cast("int"), "line")
+    return heads.unionByName(links).unionByName(blanks)

@@ -422,3 +422,31 @@ def legacy_v1_rows(spark, sf_dir):
     """F12 + F13: the last-seen boosts in the old flat layout, columns sorted."""
     rows = history.all_boosts(_legacy_base(spark, sf_dir))
     return history.alphabetical(history.strip_namespaces(rows))
+
+
+@register
+def markdown_listing(spark, sf_dir):
+    """M2: the per-file listing (heading, links, blank line) over the same
+    page-derived Markdown texts as ``markdown_links``, keyed by page URL."""
+    from satledger.operators.links import listing_lines
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    text = F.concat(F.lit("[page "), F.col("page_id").cast("string"), F.lit("]("), F.col("url"),
+                    F.lit(' "t") and [home](/) '), F.coalesce(F.col("html"), F.lit("")))
+    docs = pages.select(F.col("url").alias("file_name"), text.alias("text"))
+    return listing_lines(docs)
+
+
+@register
+def reconcile_cycle(spark, sf_dir):
+    """N11 + N14 on the partitioned store: node_b is the reporting
+    destination; node_a and wallet rows missing there are copied in."""
+    from satledger.session import scratch_path
+    from satledger.sources.store import write_store
+    from satledger.streaming.cycle import sync_reporting
+
+    base = scratch_path(spark, "cycle")
+    write_store(_inv(spark, sf_dir), f"{base}/store")
+    rep = sync_reporting(spark, f"{base}/store", f"{base}/reporting", "node_b", ["node_a", "wallet"],
+                         as_of=P.AS_OF, since=P.SINCE_A)
+    return rep.select("source", "identifier", "creation_date", "content_id")

@@ -425,3 +425,32 @@ SQL["point_lookup"] = q(select=f"""
 SQL["legacy_v1_rows"] = q(LEGACY_BASE, select="""
     SELECT app_name, creation_date, creation_date AS created_epoch, episode, identifier, message, podcast,
            sender_name_normalized AS sender_name, source, value_msat_total, value_sat_total FROM legacy""")
+
+SQL["markdown_listing"] = f"""
+WITH t AS (SELECT url AS file_name,
+             '[page ' || CAST(page_id AS VARCHAR) || '](' || url || ' "t") and [home](/) ' || coalesce(html, '')
+             AS text, TRY_CAST(regexp_replace(url, '[^0-9]', '', 'g') AS BIGINT) AS episode FROM pages),
+x AS (SELECT file_name, episode, regexp_extract_all(text, {_LINK}, 1) AS texts,
+             regexp_extract_all(text, {_LINK}, 2) AS links FROM t),
+y AS (SELECT file_name, episode, texts, links, unnest(range(len(texts))) AS pos FROM x)
+SELECT file_name, episode, -1 AS pos, '## ' || ' ' || coalesce(CAST(episode AS VARCHAR), '') AS line FROM t
+UNION ALL
+SELECT file_name, episode, CAST(pos AS INTEGER), '+ [' || ' ' || texts[pos + 1] || ' ' || '](' || ' ' || links[pos + 1] || ' ' || ')'
+FROM y
+UNION ALL
+SELECT file_name, episode, 2000000000, '' FROM t"""
+
+SQL["reconcile_cycle"] = q(select=f"""
+    SELECT source, identifier, creation_date, content_id FROM invoices WHERE source = 'node_b'
+    UNION ALL
+    SELECT source, identifier, creation_date, content_id FROM invoices
+    WHERE source IN ('node_a', 'wallet') AND content_id IN (
+      SELECT content_id FROM invoices WHERE source = 'node_a'
+        AND creation_date > {P.SINCE_A} AND creation_date < {P.AS_OF - K.HOLD_BACK_SECONDS}
+      EXCEPT SELECT content_id FROM invoices WHERE source = 'node_b'
+        AND creation_date > {P.SINCE_A} AND creation_date < {P.AS_OF}
+      UNION
+      SELECT content_id FROM invoices WHERE source = 'wallet'
+        AND creation_date > {P.SINCE_A} AND creation_date < {P.AS_OF - K.HOLD_BACK_SECONDS}
+      EXCEPT SELECT content_id FROM invoices WHERE source = 'node_b'
+        AND creation_date > {P.SINCE_A} AND creation_date < {P.AS_OF})""")

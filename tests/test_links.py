@@ -19,7 +19,20 @@ def test_links_from_markdown_dir(spark):
     got = [(r.file_name, r.episode, r.pos, r.text, r.link, r.line)
            for r in links.orderBy("file_name", "pos").collect()]
     assert got == [
-        ("ep-007.md", 7, 0, "one", "http://a.example/1", "+ [one](http://a.example/1)"),
-        ("ep-007.md", 7, 1, "two", "/b", "+ [two](/b)"),
-        ("ep-007.md", 7, 2, "3", "c", "+ [3](c)"),
+        ("ep-007.md", 7, 0, "one", "http://a.example/1", "+ [ one ]( http://a.example/1 )"),
+        ("ep-007.md", 7, 1, "two", "/b", "+ [ two ]( /b )"),
+        ("ep-007.md", 7, 2, "3", "c", "+ [ 3 ]( c )"),
     ]
+
+
+def test_listing_lines(spark):
+    from satledger.operators.links import listing_lines
+
+    d = scratch_path(spark, "md")
+    os.makedirs(d)
+    with open(os.path.join(d, "b-12.md"), "w") as f:
+        f.write("[x](y)")
+    with open(os.path.join(d, "a-007.md"), "w") as f:
+        f.write("none")
+    lines = [r.line for r in listing_lines(read_markdown_dir(spark, d)).orderBy("file_name", "pos").collect()]
+    assert "\n".join(lines) + "\n" == "##  7\n\n##  12\n+ [ x ]( y )\n\n"
