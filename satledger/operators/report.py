@@ -133,8 +133,9 @@ def sender_details(window: DataFrame) -> DataFrame:
     """A3 as rows: every counted boost with its position marker.
 
     ``is_first`` marks a sender's earliest boost (ties broken by source and
-    identifier).  It comes from a ``min_by`` aggregate joined back on the
-    sender - no window function, so a hot sender is never sorted in one task.
+    identifier).  It comes from a ``min`` over a struct key, aggregated
+    map-side and joined back on the sender - no window function, so a hot
+    sender is never sorted in one task.
     """
     boosts = _counted(window).filter(_is(K.ACTION_BOOST))
     order_key = F.struct("creation_date", "source", "identifier")

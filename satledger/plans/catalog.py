@@ -350,18 +350,21 @@ def report_all_shows_summary(spark, sf_dir):
 
 # --- Markdown links ------------------------------------------------------------------------
 
-@register
-def markdown_links(spark, sf_dir):
-    """Links in text built from every page: a Markdown link to the page, a
-    link home, then the page's whole HTML."""
-    from satledger.operators.links import extract_links
-
+def _page_docs(spark, sf_dir):
+    """Markdown text per page: a link to the page, a link home, then the
+    page's whole HTML (which carries no Markdown links of its own)."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     text = F.concat(F.lit("[page "), F.col("page_id").cast("string"), F.lit("]("), F.col("url"),
                     F.lit(' "t") and [home](/) '), F.coalesce(F.col("html"), F.lit("")))
-    docs = pages.select("page_id", F.col("url").alias("file_name"), text.alias("text"))
-    from satledger.operators.links import episode_number
+    return pages.select("page_id", F.col("url").alias("file_name"), text.alias("text"))
+
+
+@register
+def markdown_links(spark, sf_dir):
+    """M1 over every page text, with the episode number from the page URL."""
+    from satledger.operators.links import episode_number, extract_links
 
+    docs = _page_docs(spark, sf_dir)
     docs = docs.withColumn("episode", episode_number(F.col("file_name"))).drop("file_name")
     return extract_links(docs, "text")
 
@@ -427,14 +430,10 @@ def legacy_v1_rows(spark, sf_dir):
 @register
 def markdown_listing(spark, sf_dir):
     """M2: the per-file listing (heading, links, blank line) over the same
-    page-derived Markdown texts as ``markdown_links``, keyed by page URL."""
+    page texts as ``markdown_links``, keyed by page URL."""
     from satledger.operators.links import listing_lines
 
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    text = F.concat(F.lit("[page "), F.col("page_id").cast("string"), F.lit("]("), F.col("url"),
-                    F.lit(' "t") and [home](/) '), F.coalesce(F.col("html"), F.lit("")))
-    docs = pages.select(F.col("url").alias("file_name"), text.alias("text"))
-    return listing_lines(docs)
+    return listing_lines(_page_docs(spark, sf_dir).drop("page_id"))
 
 
 @register

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from satledger import constants as K
 from satledger.operators.merge import upsert
 from satledger.operators.reconcile import reconcile
+from satledger.session import path_exists
 from satledger.sources.store import read_store, write_store
 from satledger.streaming.ingest import Upstream, merge_into_store, start_ingest
 
@@ -27,11 +28,11 @@ def sync_reporting(spark: SparkSession, store_path: str, reporting_path: str, de
     """One reconcile pass; returns the new reporting table (also written)."""
     store = read_store(spark, store_path)
     cols = store.columns
-    try:
-        dest = read_store(spark, reporting_path)
-        dest = upsert(dest, store.filter(F.col("source") == dest_source))
-    except Exception:  # noqa: BLE001 - first cycle
-        dest = store.filter(F.col("source") == dest_source)
+    own = store.filter(F.col("source") == dest_source)
+    if path_exists(spark, reporting_path):
+        dest = upsert(read_store(spark, reporting_path), own)
+    else:                                  # first cycle
+        dest = own
     for name in src_sources:
         src = store.filter(F.col("source") == name)
         dest = reconcile(dest.select(*cols), src.select(*cols), since, as_of, hold_back)

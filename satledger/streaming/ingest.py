@@ -27,7 +27,7 @@ from satledger import constants as K
 from satledger.operators.ingest import normalize, parse_node_pages, parse_wallet_pages
 from satledger.operators.merge import upsert
 from satledger.schemas import KEY
-from satledger.session import checkpoint_dir, scratch_path
+from satledger.session import checkpoint_dir, path_exists, scratch_path
 from satledger.sources.store import STORE, day_of, read_store, write_store
 
 log = logging.getLogger(__name__)
@@ -85,13 +85,12 @@ def merge_into_store(batch: DataFrame, store_path: str) -> dict:
         batch.unpersist()
         return stats
     touched = [(r["source"], r["day"]) for r in parts]
-    try:
-        old = read_store(spark, store_path)
+    if path_exists(spark, store_path):
         cond = F.lit(False)
         for src, day in touched:
             cond = cond | ((F.col("source") == src) & (F.col("day") == day))
-        old = old.filter(cond)
-    except Exception:  # noqa: BLE001 - first batch: the store does not exist yet
+        old = read_store(spark, store_path).filter(cond)
+    else:                                  # first batch: the store does not exist yet
         old = empty_store(spark)
     cols = STORE.fieldNames()
     merged = upsert(old.select(*cols), batch.select(*cols), KEY)
