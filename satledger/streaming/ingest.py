@@ -84,11 +84,15 @@ def merge_into_store(batch: DataFrame, store_path: str) -> dict:
     if not stats["rows"]:
         batch.unpersist()
         return stats
-    touched = [(r["source"], r["day"]) for r in parts]
+    days: dict[str, list[str]] = {}
+    for r in parts:
+        days.setdefault(r["source"], []).append(r["day"])
     if path_exists(spark, store_path):
+        # One ``source = s AND day IN (...)`` term per source: a static
+        # partition predicate, so only the touched partitions are listed.
         cond = F.lit(False)
-        for src, day in touched:
-            cond = cond | ((F.col("source") == src) & (F.col("day") == day))
+        for src, ds in days.items():
+            cond = cond | ((F.col("source") == src) & F.col("day").isin(ds))
         old = read_store(spark, store_path).filter(cond)
     else:                                  # first batch: the store does not exist yet
         old = empty_store(spark)
