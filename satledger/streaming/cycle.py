@@ -29,15 +29,18 @@ def sync_reporting(spark: SparkSession, store_path: str, reporting_path: str, de
     store = read_store(spark, store_path)
     cols = store.columns
     own = store.filter(F.col("source") == dest_source)
-    if path_exists(spark, reporting_path):
+    exists = path_exists(spark, reporting_path)
+    if exists:
         dest = upsert(read_store(spark, reporting_path), own)
     else:                                  # first cycle
         dest = own
     for name in src_sources:
         src = store.filter(F.col("source") == name)
         dest = reconcile(dest.select(*cols), src.select(*cols), since, as_of, hold_back)
-    # Cut lineage before overwriting files the plan reads from.
-    dest = dest.select(*cols).checkpoint(eager=True)
+    dest = dest.select(*cols)
+    if exists:
+        # The plan reads the reporting table it is about to overwrite.
+        dest = dest.checkpoint(eager=True)
     write_store(dest, reporting_path)
     return read_store(spark, reporting_path)
 

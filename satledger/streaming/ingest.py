@@ -87,7 +87,8 @@ def merge_into_store(batch: DataFrame, store_path: str) -> dict:
     days: dict[str, list[str]] = {}
     for r in parts:
         days.setdefault(r["source"], []).append(r["day"])
-    if path_exists(spark, store_path):
+    exists = path_exists(spark, store_path)
+    if exists:
         # One ``source = s AND day IN (...)`` term per source: a static
         # partition predicate, so only the touched partitions are listed.
         cond = F.lit(False)
@@ -98,8 +99,10 @@ def merge_into_store(batch: DataFrame, store_path: str) -> dict:
         old = empty_store(spark)
     cols = STORE.fieldNames()
     merged = upsert(old.select(*cols), batch.select(*cols), KEY)
-    checkpoint_dir(spark)
-    merged = merged.checkpoint(eager=True)
+    if exists:
+        # The plan reads the partitions it is about to overwrite: cut lineage.
+        checkpoint_dir(spark)
+        merged = merged.checkpoint(eager=True)
     write_store(merged, store_path)
     batch.unpersist()
     log.info("ingest batch %s", stats)
