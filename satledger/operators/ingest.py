@@ -64,6 +64,13 @@ def _stage(raw: DataFrame) -> DataFrame:
     )
 
 
+def _instant(text: Column) -> Column:
+    """ISO-8601 text -> TIMESTAMP; a date-time without an offset is UTC (as
+    the reference reads it), never the session zone."""
+    no_zone = text.rlike(r"T[0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?$")
+    return F.try_to_timestamp(F.when(no_zone, F.concat(text, F.lit("Z"))).otherwise(text))
+
+
 def _field(name: str) -> Column:
     """Decoded payload wins over the wallet's inline boostagram."""
     return F.coalesce(blank_to_null(F.col("_tlv")[name]), blank_to_null(F.col("_wallet")[name]))
@@ -100,7 +107,7 @@ def normalize(raw: DataFrame, source: str | Column | None = None) -> DataFrame:
         "identifier": F.coalesce(add_index_text, blank_to_null(top["identifier"])),
         "invoice_source": blank_to_null(top["source"]),
         "creation_date": cd,
-        "created_at": F.coalesce(F.try_to_timestamp(blank_to_null(top["created_at"])),
+        "created_at": F.coalesce(_instant(blank_to_null(top["created_at"])),
                                  F.timestamp_seconds(cd)),
         "add_index": add_index_text.try_cast("bigint"),
         "comment": blank_to_null(top["comment"]),

@@ -57,6 +57,23 @@ def test_created_at_derived_and_parsed(spark):
     assert [r.e for r in got] == [1725148800, 1725148800]
 
 
+def test_created_at_without_offset_is_utc(spark):
+    texts = [json.dumps({"identifier": "a", "creation_date": 1, "created_at": "2024-09-01T00:00:00"}),
+             json.dumps({"identifier": "b", "creation_date": 1, "created_at": "2024-09-01T02:00:00+02:00"}),
+             json.dumps({"identifier": "c", "creation_date": 1, "created_at": "2024-09-01T00:00:00.5Z"})]
+    got = normalize(raw(spark, texts, "wallet")).select("identifier", F.unix_seconds("created_at").alias("e"))
+    assert sorted(map(tuple, got.collect())) == [("a", 1725148800), ("b", 1725148800), ("c", 1725148800)]
+
+
+def test_page_progress_observation(spark):
+    from satledger.operators.ingest import page_progress
+
+    df = normalize(raw(spark, [node_invoice("1", "100"), node_invoice("2", "300")]))
+    observed, obs = page_progress(df)
+    observed.write.format("noop").mode("overwrite").save()
+    assert obs.get == {"min_creation_date": 100, "max_creation_date": 300, "rows": 2}
+
+
 def test_plain_invoice_content_id(spark):
     assert one(spark, node_invoice("9", "1725148800")).content_id == PLAIN_ID
 
