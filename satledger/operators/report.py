@@ -62,19 +62,26 @@ def _counted(window: DataFrame) -> DataFrame:
 def per_sender(window: DataFrame) -> DataFrame:
     """One row per sender with boost, stream and overall totals.
 
-    Shuffles once on the sender; partial aggregation runs map-side."""
+    Every window row takes part: rows without a sender form one more group
+    (pre-aggregated map-side like any hot key), and the amounts only count
+    rows with a sender and an amount.  ``last_boost`` covers every boost, so
+    its maximum over all groups is the report cutoff.  Shuffles once on the
+    sender."""
     sats = F.col("value_sat_total")
+    counted = F.col(SENDER).isNotNull() & sats.isNotNull()
     boost, stream = _is(K.ACTION_BOOST), _is(K.ACTION_STREAM)
+    cb, cs = counted & boost, counted & stream
     first_key = F.struct("creation_date", "source", "identifier")
-    return _counted(window).groupBy(F.col(SENDER).alias("sender")).agg(
-        F.sum(F.when(boost, sats)).alias("boost_sats"),
-        F.count_if(boost).alias("boost_count"),
-        F.min(F.when(boost, F.col("creation_date"))).alias("first_boost"),
-        F.min(F.when(boost, first_key)).alias("first_key"),
-        F.sum(F.when(stream, sats)).alias("stream_sats"),
-        F.count_if(stream).alias("stream_count"),
-        F.sum(sats).alias("all_sats"),
-        F.count(F.lit(1)).alias("all_count"),
+    return window.groupBy(F.col(SENDER).alias("sender")).agg(
+        F.sum(F.when(cb, sats)).alias("boost_sats"),
+        F.count_if(cb).alias("boost_count"),
+        F.min(F.when(cb, F.col("creation_date"))).alias("first_boost"),
+        F.min(F.when(cb, first_key)).alias("first_key"),
+        F.max(F.when(boost, F.col("creation_date"))).alias("last_boost"),
+        F.sum(F.when(cs, sats)).alias("stream_sats"),
+        F.count_if(cs).alias("stream_count"),
+        F.sum(F.when(counted, sats)).alias("all_sats"),
+        F.count_if(counted).alias("all_count"),
     )
 
 
@@ -89,15 +96,17 @@ def report_senders(window: DataFrame) -> DataFrame:
                     tier_of("boost_sats").alias("tier")))
 
 
-def report_summary(window: DataFrame, cutoff: Column | None = None) -> DataFrame:
+def report_summary(window: DataFrame) -> DataFrame:
     """A5-A8 as one row; zeros when the window is empty, ``last_seen_id`` is
     the cutoff (the next report's ``since``)."""
-    return summary_from_per_sender(per_sender(window), cutoff)
+    return summary_from_per_sender(per_sender(window))
 
 
-def summary_from_per_sender(s: DataFrame, cutoff: Column | None = None) -> DataFrame:
+def summary_from_per_sender(s: DataFrame) -> DataFrame:
     """The summary row from a ``per_sender`` result (a global aggregate over
-    one row per sender)."""
+    one row per sender).  ``last_seen_id`` is the newest boost of the window,
+    which is the cutoff itself - or NULL for an empty window (H4) - so the
+    cutoff subquery is not evaluated a second time."""
     z = F.lit(0).cast("bigint")
     out = s.agg(
         F.coalesce(F.sum("boost_sats"), z).cast("bigint").alias("boost_total_sats"),
@@ -108,10 +117,9 @@ def summary_from_per_sender(s: DataFrame, cutoff: Column | None = None) -> DataF
         F.count_if(F.col("stream_count") > 0).alias("stream_total_streamers"),
         F.coalesce(F.sum("all_sats"), z).cast("bigint").alias("total_sats"),
         F.coalesce(F.sum("all_count"), z).cast("bigint").alias("total_invoices"),
-        F.count(F.lit(1)).alias("total_unique_senders"),
+        F.count_if(F.col("all_count") > 0).alias("total_unique_senders"),
+        F.max("last_boost").alias("last_seen_id"),
     )
-    if cutoff is not None:
-        out = out.withColumn("last_seen_id", cutoff)
     return out
 
 
@@ -125,7 +133,7 @@ def boost_report(inv: DataFrame, pattern: str, since: int,
         "window": window,
         "senders": report_senders(window),
         "details": sender_details(window),
-        "summary": report_summary(window, cutoff),
+        "summary": report_summary(window),
     }
 
 

@@ -122,9 +122,7 @@ def report_lines(inv: DataFrame, pattern: str, since: int,
     empty = (F.broadcast(all_sections).join(present, "section", "left_anti")
              .select(*_row(F.col("section"), 2, None, None, 0, None, None, None, "")))
 
-    last_seen = window.filter(F.col("action") == K.ACTION_BOOST) \
-        .agg(F.max("creation_date")).scalar()
-    s = R.summary_from_per_sender(per, last_seen)
+    s = R.summary_from_per_sender(per)
     summary = s.select(*_row(SUMMARY_SECTION, 0, None, None, 0, None, None, None, F.concat(
         F.lit("## Boost Summary\n+ Total Boosted Sats: "), int_comma("boost_total_sats"),
         F.lit("\n+ Total Boosts: "), int_comma("boost_total_boosts"),
