@@ -123,12 +123,25 @@ def summary_from_per_sender(s: DataFrame) -> DataFrame:
     return out
 
 
+WINDOW_COLUMNS = ["source", "identifier", "creation_date", "created_at", "action",
+                  SENDER, "value_sat_total", "podcast", "episode", "app_name", "message"]
+
+
 def boost_report(inv: DataFrame, pattern: str, since: int,
-                 excluded: Iterable[str] | None = None) -> dict[str, DataFrame]:
-    """The report data - window, senders, per-boost detail rows, summary."""
+                 excluded: Iterable[str] | None = None,
+                 materialize: bool = False) -> dict[str, DataFrame]:
+    """The report data - window, senders, per-boost detail rows, summary.
+
+    With ``materialize`` the window (projected to the report's columns) is
+    checkpointed once to the shared folder, so the three outputs read it
+    instead of each re-filtering the source - worth it when all are used."""
     valid = valid_invoices(inv, pattern, since, excluded)
     cutoff = report_cutoff(valid).scalar()
     window = valid.filter(F.col("creation_date") <= cutoff)
+    if materialize:
+        from satledger.session import cut_lineage
+
+        window = cut_lineage(window.select(*WINDOW_COLUMNS))
     return {
         "window": window,
         "senders": report_senders(window),
