@@ -80,8 +80,12 @@ def _extra() -> Column:
     """I2/I3 open schema: unknown keys, namespaced; NULL when there are none."""
     known_top = S.KNOWN_INVOICE_KEYS + S.DROPPED_INVOICE_KEYS
     top = F.map_filter(F.col("_top"), lambda k, v: ~k.isin(known_top) & v.isNotNull() & (v != ""))
-    boost = F.map_concat(F.coalesce(F.col("_wallet"), F.create_map().cast(MAP)),
-                         F.coalesce(F.col("_tlv"), F.create_map().cast(MAP)))
+    tlv = F.coalesce(F.col("_tlv"), F.create_map().cast(MAP))
+    wallet = F.coalesce(F.col("_wallet"), F.create_map().cast(MAP))
+    # Decoded payload wins; keys are made disjoint first, because map_concat
+    # raises on duplicate keys under the default dedup policy.
+    wallet = F.map_filter(wallet, lambda k, v: ~F.array_contains(F.map_keys(tlv), k))
+    boost = F.map_concat(tlv, wallet)
     boost = F.map_filter(boost, lambda k, v: ~k.isin(S.BOOSTAGRAM_FIELDS) & v.isNotNull() & (v != ""))
     merged = F.map_concat(F.transform_keys(top, lambda k, v: F.concat(F.lit("invoice/"), k)),
                           F.transform_keys(boost, lambda k, v: F.concat(F.lit("boostagram/"), k)))

@@ -12,6 +12,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # A JSON object repeating a key keeps the last value (as the reference's
+    # parser does) instead of failing the whole batch.
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 

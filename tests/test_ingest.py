@@ -115,3 +115,12 @@ def test_pages_round_trip(spark):
     assert sorted(r.identifier for r in normalize(n, "node_a").collect()) == ["5", "6"]
     r = normalize(w, "wallet").first()
     assert (r.identifier, r.action, r.value_sat_total) == ("a", "stream", 3)
+
+
+def test_payload_and_inline_boostagram_together(spark):
+    t = json.dumps({"identifier": "w", "creation_date": 1,
+                    "boostagram": {"action": "stream", "app_name": "inline", "foo": "x"},
+                    "htlcs": [{"custom_records": {"7629169": boostagram(action="boost", foo="y")}}]})
+    r = one(spark, t, "wallet")
+    assert (r.action, r.app_name) == ("boost", "inline")
+    assert r.extra == {"boostagram/foo": "y"}
