@@ -1,7 +1,9 @@
 """Benchmark: every catalogue query on ``$BENCH_SF_DIR`` at ``local[$BENCH_CPUS]``.
 
 Each query is executed in full with the ``noop`` sink (no driver collect);
-one warm-up pass, then ``$BENCH_RUNS`` timed passes, per-query median.
+``$BENCH_RUNS`` timed passes (default 3), per-query median - the median
+discards the cold first pass (JIT, file listing).  ``BENCH_WARMUP=1`` adds an
+untimed pass first.
 Prints ONE JSON line on stdout.
 """
 from __future__ import annotations
@@ -35,8 +37,9 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
-    for n in names:          # warm-up: JIT, file listing caches
-        run(n)
+    if os.environ.get("BENCH_WARMUP") == "1":
+        for n in names:
+            run(n)
     times = {n: [] for n in names}
     for _ in range(runs):
         for n in names:
