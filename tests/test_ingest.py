@@ -124,3 +124,21 @@ def test_payload_and_inline_boostagram_together(spark):
     r = one(spark, t, "wallet")
     assert (r.action, r.app_name) == ("boost", "inline")
     assert r.extra == {"boostagram/foo": "y"}
+
+
+def test_bad_amount_kept_and_quarantined(spark):
+    """A non-numeric amount does not abort the batch."""
+    texts = [node_invoice("1", "5", boostagram(action="boost", value_msat_total="lots")),
+             node_invoice("2", "6", boostagram(action="boost", value_msat_total=3000))]
+    rows = {r.identifier: r.value_sat_total for r in normalize(raw(spark, texts)).collect()}
+    assert rows == {"1": None, "2": 3}
+    q = [(r.identifier, r.reason) for r in quarantine(raw(spark, texts)).collect()]
+    assert q == [("1", "amount")]
+
+
+def test_empty_page(spark):
+    """An empty page (or one without event times) yields no rows."""
+    pages = spark.createDataFrame([('{"first_index_offset": "0", "invoices": []}',)], "value string")
+    assert normalize(parse_node_pages(pages), "node_a").count() == 0
+    wallet = spark.createDataFrame([("[]",)], "value string")
+    assert normalize(parse_wallet_pages(wallet), "wallet").count() == 0
