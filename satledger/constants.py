@@ -30,6 +30,22 @@ UNKNOWN_APP = "unknown_app"
 MISSING_SENDER = "N/A"
 NO_MESSAGE = "No Message Found :("
 
+# --- fixed values: report text (Markdown), in document order -----------------
+REPORT_SECTION_TITLES = ["## Baller Boosts", "## Boosts", "## Thanks"]
+REPORT_SENDER_HEADING = "### From: "
+REPORT_SATS_SUFFIX = " sats"
+REPORT_BOOSTS_SUFFIX = " boosts"
+REPORT_QUOTE_PREFIX = "> "
+REPORT_SUMMARY_BLOCKS = [
+    ("## Boost Summary", ["+ Total Boosted Sats: ", "+ Total Boosts: ", "+ Total Boosters: "]),
+    ("## Stream Summary", ["+ Total Streamed Sats: ", "+ Total Streams: ", "+ Total Streamers: "]),
+    ("## Summary", ["+ Total Sats: ", "+ Total Invoices: ", "+ Total Unique Senders: "]),
+    ("## Last Seen", ["+ Last seen ID: "]),
+]
+FLAT_SENDER_HEADING = "### From: "
+FLAT_QUOTE_PREFIX = "   > "
+LISTING_HEADING = "## "
+
 # --- fixed values: report date format ----------------------------------------
 REPORT_ZONE = "America/Los_Angeles"
 REPORT_DATE_FORMAT = "yyyy/MM/dd h:mm:ss a"

@@ -54,7 +54,7 @@ def listing_lines(docs: DataFrame, name: str = "file_name", text: str = "text")
     with_ep = docs.withColumn("episode", episode_number(F.col(name)))
     heads = with_ep.select(F.col(name).alias("file_name"), "episode",
                            F.lit(HEADING_POS).cast("int").alias("pos"),
-                           F.concat_ws(" ", F.lit("## "),
+                           F.concat_ws(" ", F.lit(K.LISTING_HEADING),
                                        F.coalesce(F.col("episode").cast("string"), F.lit("")))
                            .alias("line"))
     blanks = with_ep.select(F.col(name).alias("file_name"), "episode",

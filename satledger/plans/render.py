@@ -28,8 +28,8 @@ from satledger.functions.predicates import tier_of
 from satledger.operators import report as R
 from satledger.session import cut_lineage
 
-SECTIONS = [(1, K.TIER_BALLER, "## Baller Boosts"), (2, K.TIER_BOOST, "## Boosts"),
-            (3, K.TIER_THANKS, "## Thanks")]
+SECTIONS = list(zip([1, 2, 3], [K.TIER_BALLER, K.TIER_BOOST, K.TIER_THANKS],
+                    K.REPORT_SECTION_TITLES))
 SUMMARY_SECTION = 4
 ORDER = ["section", "part", "k1", "k2", "kind", "t1", "t2", "t3"]
 
@@ -42,8 +42,9 @@ def _s(c) -> Column:
 def _boost_lines(is_first: Column) -> Column:
     when = F.concat(F.lit("+ "), format_report_date(F.col("creation_date")), F.lit(" ("),
                     F.col("creation_date").cast("string"), F.lit(")\n+ "),
-                    int_comma(F.col("value_sat_total")), F.lit(" sats\n"),
-                    quote_lines(F.coalesce(F.col("message"), F.lit(K.NO_MESSAGE))))
+                    int_comma(F.col("value_sat_total")), F.lit(K.REPORT_SATS_SUFFIX + "\n"),
+                    quote_lines(F.coalesce(F.col("message"), F.lit(K.NO_MESSAGE)),
+                                K.REPORT_QUOTE_PREFIX))
     head = F.concat(F.lit("+ "), _s("podcast"), F.lit("\n+ "), _s("episode"), F.lit("\n+ "),
                     _s("app_name"), F.lit("\n+ "), _s("source"), F.lit("\n\n"))
     return F.when(is_first, F.concat(head, when)).otherwise(F.concat(F.lit("\n"), when))
@@ -101,8 +102,9 @@ def report_lines(inv: DataFrame, pattern: str, since: int,
 
     head = F.struct(*_row(
         F.col("section"), 1, F.col("k1"), F.col("sender"), 0, None, None, None,
-        F.concat(F.lit("### From: "), F.col("sender"), F.lit("\n+ "), int_comma("total_sats"),
-                 F.lit(" sats\n+ "), int_comma("boost_count"), F.lit(" boosts"))))
+        F.concat(F.lit(K.REPORT_SENDER_HEADING), F.col("sender"), F.lit("\n+ "),
+                 int_comma("total_sats"), F.lit(K.REPORT_SATS_SUFFIX + "\n+ "),
+                 int_comma("boost_count"), F.lit(K.REPORT_BOOSTS_SUFFIX))))
     tail = F.struct(*_row(F.col("section"), 1, F.col("k1"), F.col("sender"), 2,
                           None, None, None, ""))
     sender_rows = senders.select(F.explode(F.array(head, tail)).alias("r")).select("r.*")
@@ -123,17 +125,19 @@ def report_lines(inv: DataFrame, pattern: str, since: int,
              .select(*_row(F.col("section"), 2, None, None, 0, None, None, None, "")))
 
     s = R.summary_from_per_sender(per)
-    summary = s.select(*_row(SUMMARY_SECTION, 0, None, None, 0, None, None, None, F.concat(
-        F.lit("## Boost Summary\n+ Total Boosted Sats: "), int_comma("boost_total_sats"),
-        F.lit("\n+ Total Boosts: "), int_comma("boost_total_boosts"),
-        F.lit("\n+ Total Boosters: "), int_comma("boost_total_boosters"),
-        F.lit("\n\n## Stream Summary\n+ Total Streamed Sats: "), int_comma("stream_total_sats"),
-        F.lit("\n+ Total Streams: "), int_comma("stream_total_streams"),
-        F.lit("\n+ Total Streamers: "), int_comma("stream_total_streamers"),
-        F.lit("\n\n## Summary\n+ Total Sats: "), int_comma("total_sats"),
-        F.lit("\n+ Total Invoices: "), int_comma("total_invoices"),
-        F.lit("\n+ Total Unique Senders: "), int_comma("total_unique_senders"),
-        F.lit("\n\n## Last Seen\n+ Last seen ID: "), _s("last_seen_id"))))
+    values = [["boost_total_sats", "boost_total_boosts", "boost_total_boosters"],
+              ["stream_total_sats", "stream_total_streams", "stream_total_streamers"],
+              ["total_sats", "total_invoices", "total_unique_senders"],
+              ["last_seen_id"]]
+    parts = []
+    for (title, labels), cols in zip(K.REPORT_SUMMARY_BLOCKS, values):
+        if parts:
+            parts.append(F.lit("\n\n"))
+        parts.append(F.lit(title))
+        for label, c in zip(labels, cols):
+            shown = _s(c) if c == "last_seen_id" else int_comma(c)
+            parts += [F.lit("\n" + label), shown]
+    summary = s.select(*_row(SUMMARY_SECTION, 0, None, None, 0, None, None, None, F.concat(*parts)))
 
     return (headers.unionByName(sender_rows).unionByName(boost_rows)
             .unionByName(empty).unionByName(summary))
@@ -155,11 +159,11 @@ def boost_blocks(rows: DataFrame) -> DataFrame:
     gives one empty quote line), with its event time for ordering (O13)."""
     created = F.date_format(epoch_to_ntz("creation_date"), "EEE MMM dd HH:mm:ss 'UTC' yyyy")
     text = F.concat(
-        F.lit("### From: "), _s("sender_name_normalized"),
-        F.lit("\n + "), int_comma("value_sat_total"), F.lit(" sats"),
+        F.lit(K.FLAT_SENDER_HEADING), _s("sender_name_normalized"),
+        F.lit("\n + "), int_comma("value_sat_total"), F.lit(K.REPORT_SATS_SUFFIX),
         F.lit("\n + "), _s("podcast"), F.lit(" / "), _s("episode"),
         F.lit("\n + "), _s("app_name"), F.lit(" "), created, F.lit(" ("),
         F.col("creation_date").cast("string"), F.lit(")"),
         F.lit("\n + "), _s("source"), F.lit("\n"),
-        quote_lines(F.coalesce(F.col("message"), F.lit("")), "   > "), F.lit("\n"))
+        quote_lines(F.coalesce(F.col("message"), F.lit("")), K.FLAT_QUOTE_PREFIX), F.lit("\n"))
     return rows.select("creation_date", "source", "identifier", text.alias("block"))
