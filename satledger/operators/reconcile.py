@@ -47,22 +47,29 @@ def sync_counts(dest: DataFrame, src: DataFrame, since: int, as_of: int,
         F.count_if(F.col("in_src").isNotNull() & F.col("in_dest").isNull()).alias("unique_to_source"))
 
 
+HOT_ID_SALTS = 1024
+
+
 def rows_to_copy(dest: DataFrame, src: DataFrame, since: int, as_of: int,
-                 hold_back: int = K.HOLD_BACK_SECONDS, include_plain: bool = True) -> DataFrame:
+                 hold_back: int = K.HOLD_BACK_SECONDS, include_plain: bool = True,
+                 salts: int = HOT_ID_SALTS) -> DataFrame:
     """N9 + N11: every ``src`` row carrying a missing id - including rows
     outside the window, as in the reference.
 
-    The plain-invoice id (H2) can carry a third of all rows, so it is split
-    off: those rows are checked against the at-most-one-row "is the plain id
-    missing" set (a broadcast with a proven bound), and only the remaining
-    ids go through the shuffled semi join."""
+    The plain-invoice id (H2) can carry a third of all rows, so the semi join
+    is salted for it: source rows with that id get a salt from their key
+    (``salts`` buckets), and only that one id is replicated over the salts on
+    the missing-id side.  Every other id keeps salt 0.  One pass over the
+    source, and the hot id is spread over ``salts`` join keys."""
     missing = missing_content_ids(dest, src, since, as_of, hold_back, include_plain)
     plain = F.col("content_id") == F.lit(K.PLAIN_CONTENT_ID)
-    cold = src.filter(~plain).join(missing.filter(~plain), "content_id", "left_semi")
-    if not include_plain:
-        return cold
-    hot = src.filter(plain).join(F.broadcast(missing.filter(plain)), "content_id", "left_semi")
-    return cold.unionByName(hot)
+    salted_src = src.withColumn(
+        "_salt", F.when(plain, F.pmod(F.xxhash64("source", "identifier"), F.lit(salts)))
+        .otherwise(F.lit(0)).cast("bigint"))
+    salted_ids = missing.withColumn("_salt", F.explode(
+        F.when(plain, F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+        .otherwise(F.array(F.lit(0).cast("bigint")))))
+    return salted_src.join(salted_ids, ["content_id", "_salt"], "left_semi").drop("_salt")
 
 
 def reconcile(dest: DataFrame, src: DataFrame, since: int, as_of: int,
