@@ -76,8 +76,40 @@ def _field(name: str) -> Column:
     return F.coalesce(blank_to_null(F.col("_tlv")[name]), blank_to_null(F.col("_wallet")[name]))
 
 
+FLATTEN_DEPTH = 4
+
+
+def _is_object(v: Column) -> Column:
+    """A JSON object text with at least one key (empty maps stay leaves)."""
+    return v.startswith("{") & (F.size(F.from_json(v, MAP)) > 0)
+
+
+def _namespaced(m: Column, namespace: str) -> Column:
+    """I2 + I3: scalar keys go under ``namespace/``; a key holding an object
+    becomes its own namespace and is flattened to ``key/sub/...`` down to
+    ``FLATTEN_DEPTH`` levels (deeper objects, lists and empty objects stay
+    JSON text leaves)."""
+    entries = F.map_entries(m)
+    entries = F.flatten(F.transform(entries, lambda e: F.when(
+        _is_object(e["value"]),
+        F.transform(F.map_entries(F.from_json(e["value"], MAP)),
+                    lambda s: F.struct(F.concat(e["key"], F.lit("/"), s["key"]).alias("key"),
+                                       s["value"].alias("value"))))
+        .otherwise(F.array(F.struct(F.concat(F.lit(namespace + "/"), e["key"]).alias("key"),
+                                    e["value"].alias("value"))))))
+    for _ in range(FLATTEN_DEPTH - 1):
+        entries = F.flatten(F.transform(entries, lambda e: F.when(
+            _is_object(e["value"]),
+            F.transform(F.map_entries(F.from_json(e["value"], MAP)),
+                        lambda s: F.struct(F.concat(e["key"], F.lit("/"), s["key"]).alias("key"),
+                                           s["value"].alias("value"))))
+            .otherwise(F.array(e))))
+    return F.map_from_entries(entries)
+
+
 def _extra() -> Column:
-    """I2/I3 open schema: unknown keys, namespaced; NULL when there are none."""
+    """I2/I3 open schema: unknown keys, namespaced and flattened; NULL when
+    there are none."""
     known_top = S.KNOWN_INVOICE_KEYS + S.DROPPED_INVOICE_KEYS
     top = F.map_filter(F.col("_top"), lambda k, v: ~k.isin(known_top) & v.isNotNull() & (v != ""))
     tlv = F.coalesce(F.col("_tlv"), F.create_map().cast(MAP))
@@ -87,8 +119,11 @@ def _extra() -> Column:
     wallet = F.map_filter(wallet, lambda k, v: ~F.array_contains(F.map_keys(tlv), k))
     boost = F.map_concat(tlv, wallet)
     boost = F.map_filter(boost, lambda k, v: ~k.isin(S.BOOSTAGRAM_FIELDS) & v.isNotNull() & (v != ""))
-    merged = F.map_concat(F.transform_keys(top, lambda k, v: F.concat(F.lit("invoice/"), k)),
-                          F.transform_keys(boost, lambda k, v: F.concat(F.lit("boostagram/"), k)))
+    top_flat = _namespaced(top, "invoice")
+    boost_flat = _namespaced(boost, "boostagram")
+    # A nested namespace may repeat in both parts; the decoded payload wins.
+    top_flat = F.map_filter(top_flat, lambda k, v: ~F.array_contains(F.map_keys(boost_flat), k))
+    merged = F.map_concat(boost_flat, top_flat)
     return F.when(F.size(merged) > 0, merged)
 
 

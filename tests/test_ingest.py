@@ -93,7 +93,16 @@ def test_keysend_and_extra(spark):
                      keysend=b64("hello"), memo="", r_hash="abc", features={"x": 1})
     r = one(spark, t)
     assert r.keysend == "hello" and r.memo is None and r.ts == "12"
-    assert r.extra == {"invoice/r_hash": "abc", "boostagram/foo": '{"bar":1}'}
+    assert r.extra == {"invoice/r_hash": "abc", "foo/bar": "1"}
+
+
+def test_open_schema_flattening(spark):
+    t = node_invoice("1", "1", boostagram(action="boost", a={"b": {"c": {"d": {"e": {"f": 1}}}}, "x": [1, 2]},
+                                          empty={}, n=None, s="{not json"),
+                     dest={"pub": "k", "routes": []})
+    r = one(spark, t)
+    assert r.extra == {"a/b/c/d/e": '{"f":1}', "a/x": "[1,2]", "boostagram/empty": "{}",
+                       "boostagram/s": "{not json", "dest/pub": "k", "dest/routes": "[]"}
 
 
 def test_content_id_uses_json_text(spark):
