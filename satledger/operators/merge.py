@@ -24,23 +24,24 @@ def upsert(old: DataFrame, new: DataFrame, key: Iterable[str] = KEY,
     ``new`` (several versions per key in one batch); without it every ``new``
     row outranks ``old``.
 
-    Only keys present in ``new`` are merged: the other ``old`` rows pass
-    through an anti join (a broadcast when the batch's key set is small, so
-    the store is not shuffled at all); the touched rows and the new versions
-    shuffle once on the key, and each group holds the versions of one invoice.
-    """
+    Plan: the versions inside the batch are collapsed first (an aggregate
+    over the batch only); the newest versions are then left-joined onto the
+    store rows with the same key, taking ``coalesce(new, old)`` per
+    attribute.  Store rows whose key is not in the batch pass through an anti
+    join, which becomes a broadcast when the batch is small, so the store is
+    never regrouped."""
     key = list(key)
     out_cols = [c for c in old.columns if c != seq]
     cols = [c for c in out_cols if c not in key]
-    keys = new.select(*key).distinct()
-    untouched = old.join(keys, key, "left_anti").select(*out_cols)
-    touched = old.join(keys, key, "left_semi")
-    o = touched.select(*key, *cols, F.lit(0).cast("bigint").alias(SEQ))
-    n_seq = (F.col(seq).cast("bigint") + F.lit(1)) if seq else F.lit(1).cast("bigint")
-    n = new.select(*key, *cols, n_seq.alias(SEQ))
-    aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(SEQ))).alias(c) for c in cols]
-    merged = o.unionByName(n).groupBy(*key).agg(*aggs).select(*out_cols)
-    return untouched.unionByName(merged)
+    n_seq = F.col(seq).cast("bigint") if seq else F.lit(0).cast("bigint")
+    versions = new.select(*key, *cols, n_seq.alias(SEQ))
+    newest = versions.groupBy(*key).agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(SEQ))).alias(c) for c in cols])
+    untouched = old.join(newest.select(*key), key, "left_anti").select(*out_cols)
+    o = old.select(*key, *[F.col(c).alias(f"_old_{c}") for c in cols])
+    merged = newest.join(o, key, "left").select(
+        *key, *[F.coalesce(F.col(c), F.col(f"_old_{c}")).alias(c) for c in cols])
+    return untouched.unionByName(merged.select(*out_cols))
 
 
 def delete_keys(inv: DataFrame, keys: DataFrame, key: Iterable[str] = KEY) -> DataFrame:
