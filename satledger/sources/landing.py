@@ -4,8 +4,8 @@ The driver data carries no payment pages, so the ingest path is exercised by
 encoding adapter invoices back into the two upstream layouts: node pages
 (base64 JSON boostagram in the first HTLC's custom records, string epochs,
 ``add_index``) and wallet pages (JSON array, integer epoch, ISO ``created_at``,
-inline ``boostagram`` object).  Pages group at most ``page_size`` invoices of
-one source, so no group is unbounded.
+inline ``boostagram`` object).  Pages group a bounded id range of one source
+(at most ``3 * page_size`` invoices), so no group is unbounded.
 """
 from __future__ import annotations
 
@@ -58,8 +58,10 @@ def wallet_invoice_json(inv: DataFrame) -> DataFrame:
 
 
 def _pages(rows: DataFrame, page_size: int, wrap) -> DataFrame:
-    """Group invoice texts into pages of at most ``page_size`` (by the numeric
-    identifier, so a page is a contiguous id range of one source)."""
+    """Group invoice texts into pages by a contiguous numeric id range of one
+    source: ``3 * page_size`` ids per range, so with the adapter's layout
+    (source = id mod 3) a page holds ``page_size`` invoices, and never more
+    than ``3 * page_size`` for any layout - a bounded group."""
     page = F.floor(F.col("identifier").cast("bigint") / F.lit(page_size * 3)).cast("bigint")
     grouped = rows.groupBy("source", page.alias("page")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("identifier").cast("bigint").alias("i"),
