@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satledger import constants as K
+from satledger.functions.columns import relative_bound
 from satledger.operators.merge import upsert
 from satledger.operators.reconcile import reconcile
 from satledger.session import path_exists
@@ -47,16 +48,26 @@ def sync_reporting(spark: SparkSession, store_path: str, reporting_path: str, de
 
 def run_cycles(spark: SparkSession, upstreams: list[Upstream], store_path: str, reporting_path: str,
                dest_source: str, src_sources: list[str], checkpoint: str,
-               interval: str = K.POLL_INTERVAL, clock=time.time):
+               interval: str = K.POLL_INTERVAL, clock=time.time,
+               lookback: int | None = None):
     """Start the ingest stream; after every committed batch, reconcile.
 
+    The reconcile lower bound is the fixed start less one hour, as in the
+    reference.  With ``lookback`` (seconds, e.g. ``TWO_DAYS_SECONDS`` - the
+    reference's own alternative) it is ``as_of - lookback``: the id sets then
+    cover a bounded, partition-pruned window instead of the whole history,
+    which is the setting for a large store.
+
     A failed cycle raises and the query restarts from its checkpoint; the
     merge and the reconcile are both idempotent, so a replayed batch changes
     nothing."""
     def each(batch: DataFrame, batch_id: int) -> None:
         merge_into_store(batch, store_path)
+        as_of = int(clock())
+        since = (relative_bound(as_of, lookback) if lookback
+                 else K.AUTOSCRAPE_START - K.RECONCILE_LOOKBACK)
         sync_reporting(spark, store_path, reporting_path, dest_source, src_sources,
-                       as_of=int(clock()))
+                       as_of=as_of, since=since)
 
     return start_ingest(spark, upstreams, store_path, checkpoint, available_now=False,
                         interval=interval, on_batch=each)
