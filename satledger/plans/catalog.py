@@ -446,6 +446,6 @@ def reconcile_cycle(spark, sf_dir):
 
     base = scratch_path(spark, "cycle")
     write_store(_inv(spark, sf_dir), f"{base}/store")
-    rep = sync_reporting(spark, f"{base}/store", f"{base}/reporting", "node_b", ["node_a", "wallet"],
+    rep = sync_reporting(spark, f"{base}/store", f"{base}/copies", "node_b", ["node_a", "wallet"],
                          as_of=P.AS_OF, since=P.SINCE_A)
     return rep.select("source", "identifier", "creation_date", "content_id")

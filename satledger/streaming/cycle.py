@@ -1,10 +1,14 @@
 """The polling cycle (N11, N14): ingest, then reconcile into the reporting
-table, every ``interval``.
+set, every ``interval``.
 
-The reporting table is the destination source's rows plus every row copied
-from the other sources because its content id was missing (each copy keeps its
-own ``source``, so the key stays unique).  ``as_of`` is passed in by the
-caller (wall clock of the cycle), never read inside a query.
+The reporting set is a view: the destination source's own store rows plus a
+*copies* table holding every row copied from the other sources because its
+content id was missing there (each copy keeps its own ``source``, so the key
+stays unique).  A cycle computes the missing ids against that view and merges
+only the newly copied rows into the copies table - touching only their
+partitions - so the destination's rows are never rewritten and a cycle with
+nothing missing writes nothing.  ``as_of`` is passed in by the caller (wall
+clock of the cycle), never read inside a query.
 """
 from __future__ import annotations
 
@@ -15,38 +19,39 @@ from pyspark.sql import functions as F
 
 from satledger import constants as K
 from satledger.functions.columns import relative_bound
-from satledger.operators.merge import upsert
-from satledger.operators.reconcile import reconcile
+from satledger.operators.reconcile import rows_to_copy
 from satledger.session import path_exists
-from satledger.sources.store import read_store, write_store
+from satledger.sources.store import read_store
 from satledger.streaming.ingest import Upstream, merge_into_store, start_ingest
 
 
-def sync_reporting(spark: SparkSession, store_path: str, reporting_path: str, dest_source: str,
+def reporting_view(spark: SparkSession, store_path: str, copies_path: str,
+                   dest_source: str) -> DataFrame:
+    """The destination's own rows plus the rows copied into it."""
+    own = read_store(spark, store_path).filter(F.col("source") == dest_source)
+    if path_exists(spark, copies_path):
+        return own.unionByName(read_store(spark, copies_path))
+    return own
+
+
+def sync_reporting(spark: SparkSession, store_path: str, copies_path: str, dest_source: str,
                    src_sources: list[str], as_of: int,
                    since: int = K.AUTOSCRAPE_START - K.RECONCILE_LOOKBACK,
                    hold_back: int = K.HOLD_BACK_SECONDS) -> DataFrame:
-    """One reconcile pass; returns the new reporting table (also written)."""
+    """One reconcile pass over the sources in order; returns the reporting
+    view.  Only the delta (rows newly copied) is written."""
     store = read_store(spark, store_path)
-    cols = store.columns
-    own = store.filter(F.col("source") == dest_source)
-    exists = path_exists(spark, reporting_path)
-    if exists:
-        dest = upsert(read_store(spark, reporting_path), own)
-    else:                                  # first cycle
-        dest = own
     for name in src_sources:
+        dest = reporting_view(spark, store_path, copies_path, dest_source)
         src = store.filter(F.col("source") == name)
-        dest = reconcile(dest.select(*cols), src.select(*cols), since, as_of, hold_back)
-    dest = dest.select(*cols)
-    if exists:
-        # The plan reads the reporting table it is about to overwrite.
-        dest = dest.checkpoint(eager=True)
-    write_store(dest, reporting_path)
-    return read_store(spark, reporting_path)
+        # merge_into_store persists the delta and cuts lineage itself before
+        # overwriting copies partitions that the delta's plan reads.
+        delta = rows_to_copy(dest, src, since, as_of, hold_back).select(*store.columns)
+        merge_into_store(delta.drop("day"), copies_path)
+    return reporting_view(spark, store_path, copies_path, dest_source)
 
 
-def run_cycles(spark: SparkSession, upstreams: list[Upstream], store_path: str, reporting_path: str,
+def run_cycles(spark: SparkSession, upstreams: list[Upstream], store_path: str, copies_path: str,
                dest_source: str, src_sources: list[str], checkpoint: str,
                interval: str = K.POLL_INTERVAL, clock=time.time,
                lookback: int | None = None):
@@ -66,7 +71,7 @@ def run_cycles(spark: SparkSession, upstreams: list[Upstream], store_path: str,
         as_of = int(clock())
         since = (relative_bound(as_of, lookback) if lookback
                  else K.AUTOSCRAPE_START - K.RECONCILE_LOOKBACK)
-        sync_reporting(spark, store_path, reporting_path, dest_source, src_sources,
+        sync_reporting(spark, store_path, copies_path, dest_source, src_sources,
                        as_of=as_of, since=since)
 
     return start_ingest(spark, upstreams, store_path, checkpoint, available_now=False,
