@@ -87,3 +87,24 @@ def test_restart_resumes_from_checkpoint(spark):
     third = run_once(spark, ups, f"{base}/store", f"{base}/ckpt")
     got = {r.identifier: r.message for r in third.collect()}
     assert len(got) == 6 and got["4"] == "v1" and got["9"] is None
+
+
+def test_cycle_without_missing_ids_writes_nothing(spark):
+    import glob
+    import os
+
+    from helpers import boost, invoices
+    from satledger.sources.store import write_store
+    from satledger.streaming.cycle import sync_reporting
+
+    base = scratch_path(spark, "cycle-noop")
+    inv = invoices(spark, [boost(1, 1000, "a", 5, source="node_b"),
+                           boost(2, 2000, "b", 6, source="node_a")])
+    write_store(inv, f"{base}/store")
+    args = (spark, f"{base}/store", f"{base}/copies", "node_b", ["node_a"])
+    assert sync_reporting(*args, as_of=5000, since=0).count() == 2
+    before = {p: os.stat(p).st_mtime_ns for p in glob.glob(f"{base}/copies/**/*.parquet", recursive=True)}
+    assert before
+    assert sync_reporting(*args, as_of=5000, since=0).count() == 2
+    after = {p: os.stat(p).st_mtime_ns for p in glob.glob(f"{base}/copies/**/*.parquet", recursive=True)}
+    assert after == before
