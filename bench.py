@@ -32,9 +32,18 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     names = only or list(QUERIES)
 
-    def run(name: str) -> float:
+    failed: dict[str, str] = {}
+
+    def run(name: str) -> float | None:
+        if name in failed:
+            return None
         t0 = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # noqa: BLE001 - one failing query must not hide the others
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            print(f"bench: {name} failed: {failed[name]}", file=sys.stderr)
+            return None
         return time.perf_counter() - t0
 
     if os.environ.get("BENCH_WARMUP") == "1":
@@ -43,11 +52,14 @@ def main() -> None:
     times = {n: [] for n in names}
     for _ in range(runs):
         for n in names:
-            times[n].append(run(n))
-    med = {n: round(statistics.median(v), 4) for n, v in times.items()}
+            t = run(n)
+            if t is not None:
+                times[n].append(t)
+    med = {n: round(statistics.median(v), 4) for n, v in times.items() if v and n not in failed}
     sf = os.path.basename(os.path.normpath(sf_dir)).replace("sf", "")
     print(json.dumps({"metric": "sum_of_query_median_seconds", "value": round(sum(med.values()), 4),
-                      "unit": "sec", "queries": med, "sf": sf, "cpus": cpus, "runs": runs}))
+                      "unit": "sec", "queries": med, "sf": sf, "cpus": cpus, "runs": runs,
+                      "failed": sorted(failed)}))
     spark.stop()
 
 
