@@ -6,7 +6,11 @@ from helpers import boost, invoices
 from satledger.operators import reconcile
 
 
-def test_band_join_matches_brute_force(spark):
+import pytest
+
+
+@pytest.mark.parametrize("delta", [1, 300, 5000])
+def test_band_join_matches_brute_force(spark, delta):
     rnd = random.Random(7)
     rows = []
     for i in range(400):
@@ -15,7 +19,6 @@ def test_band_join_matches_brute_force(spark):
         rows.append(boost(i, rnd.randrange(0, 20000), sender, 1, action=action,
                           source=["node_a", "node_b"][i % 2]))
     inv = invoices(spark, rows)
-    delta = 300
     got = {(r.source_a, r.identifier_a, r.source_b, r.identifier_b)
            for r in reconcile.similar_pairs(inv, delta).collect()}
     want = set()
