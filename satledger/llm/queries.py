@@ -4,16 +4,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satledger.llm import decontam, exact, mixing, secrets, sharding
+from satledger.llm import decontam, exact, mixing, ngram_join, quality, secrets, sharding, toxicity
 from satledger.llm.common import read_table
 
 
+def op1_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.scored(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    return scores.select("doc.doc_id", (toxicity.remainder(F.col("doc.doc_id"), 3) == 1).alias("held_out"),
+                         F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(read_table(spark, sf_dir, "documents"))
     return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target",
                       (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.scored(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    return scores.select("doc.doc_id", (toxicity.remainder(F.col("doc.doc_id"), 4) == 2).alias("held_out"),
+                         F.col("quality").alias("score"), (F.col("quality") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, read_table(spark, sf_dir, "benchmark"))
@@ -44,12 +56,20 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size(F.filter("found", lambda s: s["live"])).cast("bigint").alias("n_live"))
 
 
+def op10_partenum_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = ngram_join.similar_groups(read_table(spark, sf_dir, "documents"), words=3, percent=90)
+    return groups.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
+    op1_weak_supervision_toxicity,
     op2_cube_mixing,
+    op3_compression_quality,
     op4_suffix_automaton_decontamination,
     op6_byte_shards,
     op8_grace_hash_dedup,
     op9_secret_ownership,
+    op10_partenum_ngram_join,
 )}
 
 SQL = {

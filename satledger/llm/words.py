@@ -53,9 +53,11 @@ SPACED = Alphabet(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 ALNUM = Alphabet(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80)
 
 
-def _hash_block(data: np.ndarray, first: np.ndarray, last: np.ndarray, alphabet: Alphabet):
-    """Hashes, starts and ends of the words of one block of bytes; ``first`` and
-    ``last``: where its (non-empty) documents begin and end."""
+def _hash_block(data: np.ndarray, first: np.ndarray, last: np.ndarray, alphabet: Alphabet, prefixes: tuple[int, ...] = ()):
+    """Hashes and starts of the words of one block of bytes; ``first`` and ``last``:
+    where its (non-empty) documents begin and end.  With ``prefixes`` the hashes
+    are a matrix: whole words, then a row for each length of prefix in bytes (0 for
+    a word that is not longer)."""
     n = len(data)
     up, down = _power_table(n + 1)
     word = alphabet.is_word[data]
@@ -67,14 +69,22 @@ def _hash_block(data: np.ndarray, first: np.ndarray, last: np.ndarray, alphabet:
     s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(alphabet.values[data] * up[:n], out=sums[1:])
-    return mix((sums[e] - sums[s]) * down[s]), s, e
-
-
-def hashed_words(raw: np.ndarray, at: np.ndarray, alphabet: Alphabet) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    whole = mix((sums[e] - sums[s]) * down[s])
+    if not prefixes:
+        return whole, s
+    rows = [whole]
+    for length in prefixes:
+        longer = e - s > length
+        cut = mix((sums[np.where(longer, s + length, s)] - sums[s]) * down[s] + np.uint64(length))
+        rows.append(np.where(longer, cut, np.uint64(0)))
+    return np.stack(rows), s
+
+
+def hashed_words(raw: np.ndarray, at: np.ndarray, alphabet: Alphabet, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of documents ``(first, end, hashes, bounds)``: document ``first + i``
     has the words ``hashes[bounds[i]:bounds[i + 1]]``.  Work space is a few
     blocks, whatever the size of the batch; a longer document is cut between
-    words and put together again."""
+    words and put together again.  ``prefixes``: see ``_hash_block``."""
     n, d = len(at) - 1, 0
     while d < n:
         end = max(d + 1, int(np.searchsorted(at, at[d] + BLOCK, side="right")) - 1)
@@ -82,7 +92,7 @@ def hashed_words(raw: np.ndarray, at: np.ndarray, alphabet: Alphabet) -> Iterato
         if hi - lo <= BLOCK:
             starts, stops = at[d:end] - lo, at[d + 1:end + 1] - lo
             full = stops > starts
-            h, s, _ = _hash_block(raw[lo:hi], starts[full], stops[full], alphabet)
+            h, s = _hash_block(raw[lo:hi], starts[full], stops[full], alphabet, prefixes)
             yield d, end, h, np.append(np.searchsorted(s, starts), len(s))
         else:
             pieces, a = [], lo
@@ -91,10 +101,10 @@ def hashed_words(raw: np.ndarray, at: np.ndarray, alphabet: Alphabet) -> Iterato
                 while b < hi and alphabet.is_word[raw[b - 1]] and alphabet.is_word[raw[b]]:
                     gaps = np.flatnonzero(~alphabet.is_word[raw[b:b + BLOCK]])
                     b = b + int(gaps[0]) if len(gaps) else min(hi, b + BLOCK)
-                pieces.append(_hash_block(raw[a:b], np.array([0]), np.array([b - a]), alphabet)[0])
+                pieces.append(_hash_block(raw[a:b], np.array([0]), np.array([b - a]), alphabet, prefixes)[0])
                 a = b
-            h = np.concatenate(pieces)
-            yield d, end, h, np.array([0, len(h)])
+            h = np.concatenate(pieces, axis=-1)
+            yield d, end, h, np.array([0, h.shape[-1]])
         d = end
 
 
