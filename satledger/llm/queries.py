@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satledger.llm import decontam, exact, mixing, ngram_join, quality, secrets, sharding, toxicity
+from satledger.llm import decontam, exact, mixing, ngram_join, quality, secrets, sharding, substring, toxicity
 from satledger.llm.common import read_table
 
 
@@ -34,6 +34,13 @@ def op4_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> Da
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op5_columnwise_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.without_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"])
+    return kept.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.byte_shards(read_table(spark, sf_dir, "documents"))
     return shards.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -66,6 +73,7 @@ QUERIES = {f.__name__: f for f in (
     op2_cube_mixing,
     op3_compression_quality,
     op4_suffix_automaton_decontamination,
+    op5_columnwise_suffix_dedup,
     op6_byte_shards,
     op8_grace_hash_dedup,
     op9_secret_ownership,
