@@ -1,12 +1,28 @@
-"""The stages of ``corpus_pipeline.py``: ``(spark, docs, sf_dir) -> DataFrame``."""
+"""The stages of ``corpus_pipeline.py``: ``(spark, docs, sf_dir) -> DataFrame``.
+
+All but the last return the columns of ``documents``."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satledger.llm import decontam, mixing as mix, sharding as shard
+from satledger.llm import decontam, mixing as mix, ngram_join, sharding as shard, toxicity as tox
 from satledger.llm.common import read_table
 
+#: Score from which on a document is toxic and goes.
+TOXIC = 0.7
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator rejects go."""
+    scores = tox.scored(docs, read_table(spark, sf_dir, "labels")).where(F.col("toxicity") < TOXIC)
+    return scores.select(*("text" if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: 5-word shingles, similarity 0.8 or more."""
+    return ngram_join.representatives(docs, words=5, percent=80)
+
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any benchmark window go."""
@@ -15,11 +31,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: none to three rows."""
-    copies = mix.mixed(docs, carry=True)
-    return copies.select("doc.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    copies = mix.mixed(docs, carry=True).where("copies > 0")
+    return copies.select("doc.*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("__copy")).drop("__copy")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every row in 40 shards of near-equal bytes."""
-    placed = shard.byte_shards(docs)
-    return placed.withColumnRenamed("id", "doc_id")
+    return shard.byte_shards(docs).withColumnRenamed("id", "doc_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satledger.llm import decontam, exact, mixing, ngram_join, quality, secrets, sharding, substring, toxicity
+from satledger.llm import decontam, exact, mixing, ngram_join, quality, secrets, sharding, substring, tokens, toxicity
 from satledger.llm.common import read_table
 
 
@@ -47,6 +47,11 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", tokens.sample_edits().alias("edits"))
+    return tokens.recounted(docs).withColumnRenamed("id", "doc_id")
+
+
 def op8_grace_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact.duplicate_groups(read_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
@@ -75,6 +80,7 @@ QUERIES = {f.__name__: f for f in (
     op4_suffix_automaton_decontamination,
     op5_columnwise_suffix_dedup,
     op6_byte_shards,
+    op7_edit_aware_token_counts,
     op8_grace_hash_dedup,
     op9_secret_ownership,
     op10_partenum_ngram_join,
