@@ -7,6 +7,8 @@ from satledger.llm import pipeline_stages as stages
 from satledger.llm.common import read_table, store
 
 STAGES = [
+    ("toxicity", stages.toxicity),
+    ("ngram_jaccard_join", stages.ngram_jaccard_join),
     ("decontamination", stages.decontamination),
     ("mixing", stages.mixing),
     ("sharding", stages.sharding),
