@@ -8,16 +8,20 @@
    A node's signatures are the contents of two of three for every part, in its
    own band and the next: similar sets share one.
 3. A group of nodes with a common signature is not paired up.  All its members
-   are compared with one hub, the most connected member.  Let D be a member's
-   symmetric difference with the hub: two members differ by the symmetric
-   difference of their Ds.  Either both are linked with the hub, or their Ds
-   overlap, and by prefix filtering they share one of the first elements of
-   both Ds.  Members that share such an element make the groups of the next
-   round; groups of one component need none.  Each group loses its hub in each
-   round, so the rounds end, and no link between two components is lost.
+   are compared with one hub, the most connected member (in later rounds with
+   several hubs of other components).  Let D be a member's symmetric difference
+   with the first hub: two members differ by the symmetric difference of their
+   Ds.  Either both are linked with the hub, or their Ds overlap, and by prefix
+   filtering they share one of the first elements of both Ds.  Members that share
+   such an element make the next groups, unless they were hubs, which have met
+   all; groups of one component need no more.  Groups of bounded size compare the
+   pairs that sizes and positions in both Ds leave possible; larger ones start the
+   next round.  Each group loses its hubs in each round, so the rounds end, and no
+   link between two components is lost.
 """
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satledger.llm.common import arrow_text, discard, keyed, spread, store, text_bytes
+from satledger.llm.common import arrow_text, keyed, spread, store, text_bytes
 from satledger.llm.components import components
 from satledger.llm.words import SPACED, hashed_words, mix, shingles
 
@@ -39,6 +43,10 @@ PART_BYTES = 16 << 20
 HUB_MEMBERS = 256
 #: Node lists are broadcast up to this length (16 bytes each); beyond it they are joined.
 BROADCAST_NODES = 500_000
+#: Most hubs of a group in the first, second, and all later rounds, when few members are left.
+SLOTS = (1, 16, 128)
+#: Groups up to this size are paired up where positions and sizes allow; larger ones go on by hubs.
+SMALL_GROUP = 128
 #: Rows of a batch that are compared at once.
 SLICE = 128
 _SUBPARTS = 3
@@ -257,17 +265,19 @@ def _texts(words: int):
     return run
 
 
-_COMPARED = "node binary, hub binary, linked boolean, elements array<bigint>, leading int"
-_COMPARED_ARROW = pa.schema([("node", pa.binary()), ("hub", pa.binary()), ("linked", pa.bool_()), ("elements", pa.list_(pa.int64())), ("leading", pa.int32())])
+_COMPARED = "node binary, hub binary, linked boolean, size int, most int, elements array<bigint>"
+_COMPARED_ARROW = pa.schema([("node", pa.binary()), ("hub", pa.binary()), ("linked", pa.bool_()), ("size", pa.int32()), ("most", pa.int32()),
+                             ("elements", pa.list_(pa.int64()))])
 
 
-def difference_prefix(x: np.ndarray, hub: np.ndarray, scheme: Scheme) -> tuple[bool, np.ndarray, int]:
-    """Whether ``x`` is linked with ``hub``; the first elements of their difference
-    (those of ``x`` first, as they are the rarer ones) and how many of these lead."""
+def difference_prefix(x: np.ndarray, hub: np.ndarray, scheme: Scheme) -> tuple[bool, int, int, np.ndarray]:
+    """Whether ``x`` is linked with ``hub``, the size of their difference, the most in
+    which ``x`` differs from a similar set, and the first elements of the difference
+    (those of ``x`` first, as they are the rarer ones) that such a set may share first."""
     added, gone = np.setdiff1d(x, hub, assume_unique=True), np.setdiff1d(hub, x, assume_unique=True)
     most = scheme.most(len(x))
-    difference = np.concatenate((added, gone))[:most + 1]
-    return bool(scheme.linked(len(x) - len(added), len(x), len(hub))), difference, min(len(difference), most // 2 + 1)
+    first = np.concatenate((added, gone))[:most + 1]
+    return bool(scheme.linked(len(x) - len(added), len(x), len(hub))), len(added) + len(gone), most, first
 
 
 def _compare(scheme: Scheme):
@@ -276,7 +286,7 @@ def _compare(scheme: Scheme):
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
-                nodes, hubs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                nodes, hubs, derive = (batch.column(c).to_pylist() for c in (0, 1, 4))
                 sets = [s for _, part in shingle_sets(*arrow_text(batch.column(2)), scheme.words) for s in part]
                 raw, at = arrow_text(batch.column(3))
                 found = []
@@ -284,21 +294,51 @@ def _compare(scheme: Scheme):
                     if last[0] != hub:
                         one = raw[at[i]:at[i + 1]]
                         last = hub, next(s[0] for _, s in shingle_sets(one, np.array([0, len(one)]), scheme.words))
-                    found.append(difference_prefix(x, last[1], scheme))
+                    linked, size, most, first = difference_prefix(x, last[1], scheme)
+                    found.append((linked, size, most, (first if derive[i] else first[:0]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(nodes, pa.binary()), pa.array(hubs, pa.binary()), pa.array([f[0] for f in found]),
-                    pa.array([f[1].view(np.int64) for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.int32())], schema=_COMPARED_ARROW)
+                    pa.array(nodes, pa.binary()), pa.array(hubs, pa.binary()),
+                    *(pa.array([f[c] for f in found], _COMPARED_ARROW.types[c + 2]) for c in range(4))], schema=_COMPARED_ARROW)
 
     return run
 
 
-def _pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members of groups (``key, node``) by ``hub``, and each hub with its number of members."""
-    counted = store(members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key"), "join-members")
-    weight = counted.groupBy("node").agg(F.sum("n").alias("weight"))
-    hubs = counted.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
-    pairs = store(counted.join(hubs, "key").where("node != hub").select("node", "hub").distinct(), "join-pairs")
-    return pairs, counted
+def _pairs(members: DataFrame, of: DataFrame | None, slots: int) -> DataFrame:
+    """Comparisons for groups ``key, node``: ``node, hub, derive``.
+
+    The members of a group are dealt to ``slots`` by hash, and the best connected
+    of each slot is a hub; the best of all is the group's first hub.  Members meet
+    the hubs of other components.  A hub has then met its whole group; the other
+    members must also meet the first hub, to ``derive`` their next groups."""
+    counted = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
+    weight = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("weight"))
+    placed = counted.select("key", "node").join(weight, "node")
+    placed = placed.withColumn("component", F.col("node")) if of is None else placed.join(of, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    placed = store(placed.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(slots))), "join-placed")
+    best = F.max(F.struct("weight", "node", "component")).alias("best")
+    hubs = store(placed.groupBy("key", "slot").agg(best), "join-hubs")
+    first = hubs.groupBy("key").agg(F.max("best")["node"].alias("hub"))
+    rest = placed.join(hubs.select("key", F.col("best")["node"].alias("node")), ["key", "node"], "left_anti")
+    follow = rest.join(first, "key").select("node", "hub", F.lit(True).alias("derive"))
+    meet = placed.join(hubs.select("key", "best"), "key").where("node != best.node and component != best.component")
+    meet = meet.select("node", F.col("best")["node"].alias("hub"), F.lit(False).alias("derive"))
+    return store(follow.unionByName(meet).groupBy("node", "hub").agg(F.max("derive").alias("derive")), "join-pairs")
+
+
+def _compared(pairs: DataFrame, bodies: DataFrame, scheme: Scheme) -> DataFrame:
+    """The comparisons of ``pairs`` (``node, hub, derive``); a hub of many members is
+    dealt out in several copies."""
+    load = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("copies"))
+    dealt = pairs.join(load, "hub").withColumn("copy", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int"))
+    hubs = load.join(bodies.withColumnsRenamed({"node": "hub", "text": "hub_text"}), "hub").select(
+        "hub", "hub_text", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    both = dealt.join(bodies, "node").join(hubs, ["hub", "copy"]).select("node", "hub", "text", "hub_text", "derive")
+    return store(both.mapInArrow(_compare(scheme), _COMPARED), "join-compared")
+
+
+def _linked(compared: DataFrame) -> DataFrame:
+    return compared.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
 def links(docs: DataFrame, scheme: Scheme, text_col: str = "text") -> DataFrame:
@@ -316,32 +356,35 @@ def links(docs: DataFrame, scheme: Scheme, text_col: str = "text") -> DataFrame:
     few = wanted.count() <= BROADCAST_NODES
     bodies = store(known.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"]), "join-texts")
 
-    found = None
-    while True:
-        pairs, counted = _pairs(members)
+    found = of = None
+    for turn in itertools.count():
+        pairs = _pairs(members, of, SLOTS[min(turn, len(SLOTS) - 1)])
         if pairs.isEmpty():
             break
-        # a hub of many members is dealt out in several copies
-        load = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("copies"))
-        dealt = pairs.join(load, "hub").withColumn("copy", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int"))
-        hubs = load.join(bodies.withColumnsRenamed({"node": "hub", "text": "hub_text"}), "hub").select(
-            "hub", "hub_text", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-        both = dealt.join(bodies, "node").join(hubs, ["hub", "copy"]).select("node", "hub", "text", "hub_text")
-        compared = store(both.mapInArrow(_compare(scheme), _COMPARED), "join-compared")
-        new = compared.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        found = new if found is None else found.union(new)
-
-        keyed_by = F.xxhash64("hub", "element")
-        shared = compared.select("node", "hub", "leading", F.posexplode("elements").alias("pos", "element"))
-        shared = shared.select(keyed_by.alias("key"), "node", (F.col("pos") < F.col("leading")).alias("leads"))
-        worth = shared.groupBy("key").agg(F.count("*").alias("n"), F.max("leads").alias("leads")).where("n > 1 and leads").select("key")
-        shared = store(shared.select("key", "node").join(worth, "key").distinct(), "join-next")
+        compared = _compared(pairs, bodies, scheme)
+        found = _linked(compared) if found is None else found.union(_linked(compared))
+        shared = compared.select("node", "hub", "linked", "size", "most", F.posexplode("elements").alias("pos", "element"))
+        shared = shared.select(F.xxhash64("hub", "element").alias("key"), "node", "linked", "size", "most", "pos")
+        worth = shared.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("pos") * 2 - F.col("most")).alias("lead"),
+                                          F.min("linked").alias("linked")).where("n > 1 and lead <= 0 and not linked").select("key")
+        shared = store(shared.join(worth, "key"), "join-next")
+        if shared.isEmpty():
+            break
         # groups within one component need no more comparisons
         of = components(found)
-        placed = shared.join(of, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
-        members = store(shared.join(mixed, "key"), "join-members")
-        discard(counted)
+        placed = shared.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
+        mixed = store(mixed.select("key", "n"), "join-mixed")
+        few = placed.join(mixed.where(F.col("n") <= SMALL_GROUP).select("key"), "key")
+        left, right = (few.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "linked", "size", "most", "pos", "component"))) for s in "xy")
+        most = F.least("most_x", "most_y")
+        near = ((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & ~(F.col("linked_x") & F.col("linked_y"))
+                & (2 * F.col("pos_x") <= F.col("size_x") - F.col("size_y") + most) & (2 * F.col("pos_y") <= F.col("size_y") - F.col("size_x") + most))
+        close = left.join(right, (left["key"] == right["key"]) & near).select(F.col("node_x").alias("node"), F.col("node_y").alias("hub")).distinct()
+        found = found.union(_linked(_compared(close.withColumn("derive", F.lit(False)), bodies, scheme)))
+        members = store(shared.join(mixed.where(F.col("n") > SMALL_GROUP).select("key"), "key").select("key", "node"), "join-members")
+        if members.isEmpty():
+            break
     empty = docs.sparkSession.createDataFrame([], "a binary, b binary")
     return empty if found is None else found
 
