@@ -2,6 +2,7 @@
 
 These are stated plainly, in natural order, in one place.
 """
+import hashlib
 
 # --- fixed values: custom-record TLV types carrying payment metadata ---------
 BOOSTAGRAM_TLV = "7629169"
@@ -60,7 +61,7 @@ CONTENT_ID_FIELDS = [
 
 # Content id of an invoice without any content field (every plain invoice):
 # the hash of the field separators alone - derived from the rule above.
-PLAIN_CONTENT_ID = __import__("hashlib").sha256(
+PLAIN_CONTENT_ID = hashlib.sha256(
     (" " * (len(CONTENT_ID_FIELDS) - 1)).encode("utf-8")).hexdigest()
 
 # --- fixed values: Markdown link pattern (text, target, optional title) -----
@@ -70,14 +71,5 @@ MARKDOWN_LINK_PATTERN = r'\[(.+?)\]\((.+?)(?: "(.+?)")?\)'
 ACTION_BOOST = "boost"
 ACTION_STREAM = "stream"
 
-# --- default show dimension (name -> Java regex, full match) ----------------
-DEFAULT_SHOWS = {
-    "All": ".*",
-    "Unplugged": "(?i).*unplugged.*",
-    "Coder": "(?i).*coder.*",
-    "Hosted": "(?i).*hosted.*",
-    "Bitcoin": "(?i).*bitcoin.*",
-}
-
 # Upstream names used by the test adapter and the sample job.
 SOURCES = ["wallet", "node_a", "node_b"]

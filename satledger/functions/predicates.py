@@ -12,12 +12,10 @@ from satledger.functions.columns import col_or_lit, full_match
 
 __all__ = [
     "after",
-    "not_after",
     "not_excluded",
     "show_match",
     "fixed_show_match",
     "tier_of",
-    "per_row_tier",
 ]
 
 
@@ -26,11 +24,6 @@ def after(since, c="creation_date") -> Column:
     return col_or_lit(c) > since
 
 
-def not_after(bound, c="creation_date") -> Column:
-    """inclusive upper bound ``cd <= bound``."""
-    return col_or_lit(c) <= bound
-
-
 def not_excluded(names: Iterable[str] | None, c="sender_name_normalized") -> Column:
     """sender not in the exclusion list; a missing sender passes.
 
@@ -64,8 +57,3 @@ def tier_of(total) -> Column:
     return (F.when(t >= K.BALLER_MIN_SATS, F.lit(K.TIER_BALLER))
             .when(t >= K.BOOST_MIN_SATS, F.lit(K.TIER_BOOST))
             .otherwise(F.lit(K.TIER_THANKS)))
-
-
-def per_row_tier(sats="value_sat_total") -> Column:
-    """F8 on a single payment (legacy per-row split)."""
-    return tier_of(sats)

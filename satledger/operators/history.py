@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from satledger import constants as K
 from satledger.functions.columns import epoch_of
-from satledger.functions.predicates import fixed_show_match, per_row_tier, show_match
-
-DEFAULT_PATTERN = ".*Unplugged.*"
+from satledger.functions.predicates import fixed_show_match, show_match
 
 # Fields pulled by the legacy extracts.
 LEGACY_FIELDS = ["app_name", "podcast", "episode", "sender_name_normalized",
@@ -31,8 +29,8 @@ def last_seen_time(inv: DataFrame, identifier: str, source: str | None = None) -
     return inv.filter(cond).agg(F.min("creation_date")).scalar()
 
 
-def since_identifier(inv: DataFrame, identifier: str, source: str | None = None,
-                     pattern: str = DEFAULT_PATTERN, show_literal: str | None = None) -> DataFrame:
+def since_identifier(inv: DataFrame, identifier: str, pattern: str, source: str | None = None,
+                     show_literal: str | None = None) -> DataFrame:
     """Boosts after the last-seen invoice whose podcast matches the
     fixed, case-sensitive show pattern or equals ``show_literal``."""
     bound = last_seen_time(inv, identifier, source)
@@ -74,11 +72,6 @@ def all_boosts(base: DataFrame) -> DataFrame:
             .orderBy("created_epoch", "source", "identifier"))
 
 
-def tiered(base: DataFrame) -> DataFrame:
-    """O6-O8 in one pass: each row tagged with its per-row tier."""
-    return _extract(base).withColumn("tier", per_row_tier("value_sat_total"))
-
-
 def boosts_by_show(inv: DataFrame, identifier: str, pattern: str,
                    source: str | None = None) -> DataFrame:
     """Boosts after the last-seen invoice for a show regex (podcast or
@@ -148,7 +141,7 @@ def lookup(inv: DataFrame, identifier: str | None = None, created_epoch: int | N
     if identifier is not None:
         cond = cond & (F.col("identifier") == F.lit(identifier))
     if created_epoch is not None:
-        cond = cond & (F.col("creation_date") == F.lit(created_epoch))
+        cond = cond & (F.col("created_at") == F.timestamp_seconds(F.lit(created_epoch)))
     return inv.filter(cond)
 
 

@@ -15,16 +15,13 @@ from satledger.functions.columns import epoch_of, utc_epoch, utc_epoch_literal
 from satledger.sources.store import prune_days
 from satledger.functions.predicates import fixed_show_match
 
-DEFAULT_PATTERN = ".*Unplugged.*"
-
 
 def msat_to_amount(c) -> F.Column:
     return (F.col(c).cast("decimal(38,0)") / F.lit(1000)).cast("decimal(38,3)")
 
 
-def leaderboard_base(inv: DataFrame, action: str | None = K.ACTION_BOOST,
-                     since: str = K.LEADERBOARD_SINCE, pattern: str = DEFAULT_PATTERN,
-                     show_literal: str | None = None) -> DataFrame:
+def leaderboard_base(inv: DataFrame, pattern: str, action: str | None = K.ACTION_BOOST,
+                     since: str = K.LEADERBOARD_SINCE, show_literal: str | None = None) -> DataFrame:
     """A10 (``action`` given) / A11 (``action=None``: every action present).
 
     Rows need ``created_at >= since`` (UTC), an amount, episode and podcast,

@@ -14,7 +14,7 @@ from satledger.plans import params as P
 from satledger.sources.adapter import load_invoices
 from satledger.schemas import INVOICE_COLUMNS
 
-SHOWS = K.DEFAULT_SHOWS
+SHOWS = P.SHOWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -58,18 +58,18 @@ def sender_normalized(spark, sf_dir):
 
 @register
 def valid_invoices(spark, sf_dir):
-    v = report.valid_invoices(_inv(spark, sf_dir), SHOWS["Unplugged"], P.SINCE_B, P.EXCLUDED)
+    v = report.valid_invoices(_inv(spark, sf_dir), SHOWS["Alpha"], P.SINCE_B, P.EXCLUDED)
     return v.select("source", "identifier", "creation_date", "action", "sender_name_normalized")
 
 
 @register
 def report_rows(spark, sf_dir):
-    return report.report_rows(_inv(spark, sf_dir), SHOWS["Unplugged"], P.SINCE_A, P.EXCLUDED)
+    return report.report_rows(_inv(spark, sf_dir), SHOWS["Alpha"], P.SINCE_A, P.EXCLUDED)
 
 
 @register
 def report_cutoff(spark, sf_dir):
-    v = report.valid_invoices(_inv(spark, sf_dir), SHOWS["Unplugged"], P.SINCE_A, P.EXCLUDED)
+    v = report.valid_invoices(_inv(spark, sf_dir), SHOWS["Alpha"], P.SINCE_A, P.EXCLUDED)
     return report.report_cutoff(v)
 
 
@@ -81,13 +81,13 @@ def report_senders(spark, sf_dir):
 
 @register
 def report_senders_unplugged(spark, sf_dir):
-    w = report.report_window(_inv(spark, sf_dir), SHOWS["Unplugged"], P.SINCE_B, P.EXCLUDED)
+    w = report.report_window(_inv(spark, sf_dir), SHOWS["Alpha"], P.SINCE_B, P.EXCLUDED)
     return report.report_senders(w)
 
 
 @register
 def report_sender_details(spark, sf_dir):
-    w = report.report_window(_inv(spark, sf_dir), SHOWS["Unplugged"], P.SINCE_B, P.EXCLUDED)
+    w = report.report_window(_inv(spark, sf_dir), SHOWS["Alpha"], P.SINCE_B, P.EXCLUDED)
     return report.sender_details(w)
 
 
@@ -98,14 +98,15 @@ def report_summary(spark, sf_dir):
 
 @register
 def report_summary_unplugged(spark, sf_dir):
-    return report.boost_report(_inv(spark, sf_dir), SHOWS["Unplugged"], P.SINCE_B,
+    return report.boost_report(_inv(spark, sf_dir), SHOWS["Alpha"], P.SINCE_B,
                                P.EXCLUDED)["summary"]
 
 
 # --- leaderboards ----------------------------------------------------------------
 
 def _board(spark, sf_dir, action):
-    return leaderboard.leaderboard_base(_inv(spark, sf_dir), action, show_literal=P.BOARD_LITERAL)
+    return leaderboard.leaderboard_base(_inv(spark, sf_dir), P.SHOW_PATTERN, action,
+                                        show_literal=P.BOARD_LITERAL)
 
 
 @register
@@ -129,8 +130,8 @@ def leaderboard_stream_by_count(spark, sf_dir):
 
 
 def _all_actions(spark, sf_dir):
-    return leaderboard.leaderboard_base(_inv(spark, sf_dir), None, since=K.ALL_ACTIONS_SINCE,
-                                        pattern=P.ALL_ACTIONS_PATTERN,
+    return leaderboard.leaderboard_base(_inv(spark, sf_dir), P.ALL_ACTIONS_PATTERN, None,
+                                        since=K.ALL_ACTIONS_SINCE,
                                         show_literal=P.LEGACY_LITERAL)
 
 
@@ -226,7 +227,7 @@ def delete_by_id(spark, sf_dir):
 # --- legacy queries relative to a last-seen invoice ----------------------------------
 
 def _legacy_base(spark, sf_dir):
-    return history.since_identifier(_inv(spark, sf_dir), P.LAST_SEEN_ID, P.LAST_SEEN_SOURCE,
+    return history.since_identifier(_inv(spark, sf_dir), P.LAST_SEEN_ID, P.SHOW_PATTERN, P.LAST_SEEN_SOURCE,
                                     show_literal=P.LEGACY_LITERAL)
 
 
@@ -252,7 +253,7 @@ def since_identifier_thanks(spark, sf_dir):
 
 @register
 def since_identifier_by_show(spark, sf_dir):
-    return history.boosts_by_show(_inv(spark, sf_dir), P.LAST_SEEN_ID, SHOWS["Unplugged"],
+    return history.boosts_by_show(_inv(spark, sf_dir), P.LAST_SEEN_ID, SHOWS["Alpha"],
                                   P.LAST_SEEN_SOURCE)
 
 
@@ -263,13 +264,13 @@ def since_identifier_summary(spark, sf_dir):
 
 @register
 def since_identifier_stream_summary(spark, sf_dir):
-    return history.stream_summary(_inv(spark, sf_dir), P.LAST_SEEN_ID, SHOWS["Coder"],
+    return history.stream_summary(_inv(spark, sf_dir), P.LAST_SEEN_ID, SHOWS["Beta"],
                                   P.LAST_SEEN_SOURCE)
 
 
 @register
 def since_identifier_stream_senders(spark, sf_dir):
-    return history.stream_senders(_inv(spark, sf_dir), P.LAST_SEEN_ID, SHOWS["Coder"],
+    return history.stream_senders(_inv(spark, sf_dir), P.LAST_SEEN_ID, SHOWS["Beta"],
                                   P.LAST_SEEN_SOURCE)
 
 
@@ -320,7 +321,7 @@ def decode_quarantine(spark, sf_dir):
 def report_markdown_lines(spark, sf_dir):
     from satledger.plans import render
 
-    return render.report_lines(_inv(spark, sf_dir), SHOWS["Unplugged"], P.SINCE_B, P.EXCLUDED)
+    return render.report_lines(_inv(spark, sf_dir), SHOWS["Alpha"], P.SINCE_B, P.EXCLUDED)
 
 
 @register
@@ -338,14 +339,14 @@ def boost_blocks(spark, sf_dir):
 def report_all_shows(spark, sf_dir):
     from satledger.plans import multishow
 
-    return multishow.all_show_senders(_inv(spark, sf_dir), P.SINCE_B, P.EXCLUDED, SHOWS)
+    return multishow.all_show_senders(_inv(spark, sf_dir), SHOWS, P.SINCE_B, P.EXCLUDED)
 
 
 @register
 def report_all_shows_summary(spark, sf_dir):
     from satledger.plans import multishow
 
-    return multishow.all_show_summaries(_inv(spark, sf_dir), P.SINCE_B, P.EXCLUDED, SHOWS)
+    return multishow.all_show_summaries(_inv(spark, sf_dir), SHOWS, P.SINCE_B, P.EXCLUDED)
 
 
 # --- Markdown links ------------------------------------------------------------------------

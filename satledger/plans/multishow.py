@@ -28,9 +28,8 @@ def tag_shows(inv: DataFrame, shows: dict[str, str], since: int,
             .withColumn("show_name", F.explode(F.array_compact(tags))))
 
 
-def windows(inv: DataFrame, shows: dict[str, str] | None, since: int,
+def windows(inv: DataFrame, shows: dict[str, str], since: int,
             excluded: Iterable[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    shows = shows or K.DEFAULT_SHOWS
     tagged = tag_shows(inv, shows, since, excluded)
     cutoffs = tagged.groupBy("show_name").agg(
         F.max(F.when(F.col("action") == K.ACTION_BOOST, F.col("creation_date"))).alias("cutoff"))
@@ -54,19 +53,18 @@ def per_show_sender(win: DataFrame) -> DataFrame:
                 F.count(F.lit(1)).alias("all_count")))
 
 
-def all_show_senders(inv: DataFrame, since: int, excluded: Iterable[str] | None = None,
-                     shows: dict[str, str] | None = None) -> DataFrame:
+def all_show_senders(inv: DataFrame, shows: dict[str, str], since: int,
+                     excluded: Iterable[str] | None = None) -> DataFrame:
     win, _ = windows(inv, shows, since, excluded)
     return (per_show_sender(win).filter(F.col("boost_count") > 0)
             .select("show_name", "sender", F.col("boost_sats").alias("total_sats"), "boost_count",
                     "first_boost", tier_of("boost_sats").alias("tier")))
 
 
-def all_show_summaries(inv: DataFrame, since: int, excluded: Iterable[str] | None = None,
-                       shows: dict[str, str] | None = None) -> DataFrame:
+def all_show_summaries(inv: DataFrame, shows: dict[str, str], since: int,
+                       excluded: Iterable[str] | None = None) -> DataFrame:
     """One summary row per configured show (zeros and NULL cutoff when the
     show has no boost in the window)."""
-    shows = shows or K.DEFAULT_SHOWS
     win, cutoffs = windows(inv, shows, since, excluded)
     z = F.lit(0).cast("bigint")
     agg = per_show_sender(win).groupBy("show_name").agg(
@@ -80,7 +78,7 @@ def all_show_summaries(inv: DataFrame, since: int, excluded: Iterable[str] | Non
         F.sum("all_count").cast("bigint").alias("total_invoices"),
         F.count(F.lit(1)).alias("total_unique_senders"))
     names = F.broadcast(inv.sparkSession.createDataFrame([(s,) for s in shows], "show_name string"))
-    out = names.join(agg, "show_name", "left").join(F.broadcast(cutoffs), "show_name", "left")
+    out = names.join(agg, "show_name", "left").join(cutoffs, "show_name", "left")
     metrics = [c for c in agg.columns if c != "show_name"]
     return out.select("show_name", *[F.coalesce(F.col(c), z).alias(c) for c in metrics],
                       F.col("cutoff").alias("last_seen_id"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 from satledger import constants as K
 from satledger.plans import params as P
 
-SHOWS = K.DEFAULT_SHOWS
+SHOWS = P.SHOWS
 EXCL = ", ".join(f"'{n}'" for n in P.EXCLUDED)
 
 ADAPTER = """
@@ -110,7 +110,7 @@ def board_sql(action: str | None, since: str, pattern: str, literal: str) -> str
 
 
 def top_sql(action: str, by: str) -> str:
-    return q(board_sql(action, K.LEADERBOARD_SINCE, ".*Unplugged.*", P.BOARD_LITERAL),
+    return q(board_sql(action, K.LEADERBOARD_SINCE, P.SHOW_PATTERN, P.BOARD_LITERAL),
              select=f"SELECT * FROM board ORDER BY {by} DESC, sender, action LIMIT {P.TOP_K}")
 
 
@@ -130,11 +130,11 @@ LAST_SEEN = (f"(SELECT min(creation_date) FROM invoices WHERE identifier = '{P.L
              f"AND source = '{P.LAST_SEEN_SOURCE}')")
 LEGACY_BASE = f"""legacy AS (SELECT * FROM invoices WHERE creation_date > {LAST_SEEN}
   AND action = 'boost' AND podcast IS NOT NULL
-  AND (regexp_full_match(podcast, '.*Unplugged.*') OR podcast = '{P.LEGACY_LITERAL}'))"""
+  AND (regexp_full_match(podcast, '{P.SHOW_PATTERN}') OR podcast = '{P.LEGACY_LITERAL}'))"""
 LEGACY_COLS = ("app_name, podcast, episode, sender_name_normalized, value_sat_total, message, "
                "source, identifier, creation_date AS created_epoch")
 STREAM_WIN = f"""sw AS (SELECT * FROM invoices WHERE creation_date > {LAST_SEEN}
-  AND action = 'stream' AND {show_pred(SHOWS['Coder'])}
+  AND action = 'stream' AND {show_pred(SHOWS['Beta'])}
   AND value_sat_total IS NOT NULL AND sender_name_normalized IS NOT NULL)"""
 
 PATCHED = f"""
@@ -149,24 +149,24 @@ SQL: dict[str, str] = {
     "invoices_adapter": q(select=f"SELECT {FLAT_COLS} FROM invoices"),
     "content_ids": q(select="SELECT source, identifier, content_id FROM invoices"),
     "sender_normalized": q(select="SELECT source, identifier, sender_name, sender_name_normalized FROM invoices"),
-    "valid_invoices": q(valid_cte(SHOWS["Unplugged"], P.SINCE_B),
+    "valid_invoices": q(valid_cte(SHOWS["Alpha"], P.SINCE_B),
                         select="SELECT source, identifier, creation_date, action, sender_name_normalized FROM valid"),
-    "report_rows": q(valid_cte(SHOWS["Unplugged"], P.SINCE_A), select="""
+    "report_rows": q(valid_cte(SHOWS["Alpha"], P.SINCE_A), select="""
         SELECT source, identifier, creation_date AS created_epoch, creation_date, content_id,
                value_sat_total, sender_name_normalized, podcast, episode, app_name, message
         FROM valid WHERE action = 'boost'"""),
-    "report_cutoff": q(valid_cte(SHOWS["Unplugged"], P.SINCE_A),
+    "report_cutoff": q(valid_cte(SHOWS["Alpha"], P.SINCE_A),
                        select="SELECT max(creation_date) AS cutoff FROM valid WHERE action = 'boost'"),
     "report_senders": q(*window_ctes(SHOWS["All"], P.SINCE_A), select=SENDERS_SELECT),
-    "report_senders_unplugged": q(*window_ctes(SHOWS["Unplugged"], P.SINCE_B), select=SENDERS_SELECT),
-    "report_sender_details": q(*window_ctes(SHOWS["Unplugged"], P.SINCE_B), select="""
+    "report_senders_unplugged": q(*window_ctes(SHOWS["Alpha"], P.SINCE_B), select=SENDERS_SELECT),
+    "report_sender_details": q(*window_ctes(SHOWS["Alpha"], P.SINCE_B), select="""
         SELECT sender_name_normalized AS sender, creation_date, creation_date AS created_epoch, source,
                identifier, value_sat_total, podcast, episode, app_name, message,
                row_number() OVER (PARTITION BY sender_name_normalized
                                   ORDER BY creation_date, source, identifier) = 1 AS is_first
         FROM counted WHERE action = 'boost'"""),
     "report_summary": q(*window_ctes(SHOWS["All"], P.SINCE_A), select=SUMMARY_SELECT),
-    "report_summary_unplugged": q(*window_ctes(SHOWS["Unplugged"], P.SINCE_B), select=SUMMARY_SELECT),
+    "report_summary_unplugged": q(*window_ctes(SHOWS["Alpha"], P.SINCE_B), select=SUMMARY_SELECT),
     "leaderboard_boost_by_amount": top_sql("boost", "amount"),
     "leaderboard_boost_by_count": top_sql("boost", "n"),
     "leaderboard_stream_by_amount": top_sql("stream", "amount"),
@@ -233,7 +233,7 @@ SQL: dict[str, str] = {
     "since_identifier_thanks": q(LEGACY_BASE, select=f"SELECT {LEGACY_COLS} FROM legacy WHERE value_sat_total < 2000"),
     "since_identifier_by_show": q(select=f"""
         SELECT {LEGACY_COLS}, value_msat_total, creation_date FROM invoices
-        WHERE action = 'boost' AND creation_date > {LAST_SEEN} AND {show_pred(SHOWS['Unplugged'])}"""),
+        WHERE action = 'boost' AND creation_date > {LAST_SEEN} AND {show_pred(SHOWS['Alpha'])}"""),
     "since_identifier_summary": q(LEGACY_BASE, select="""
         SELECT CAST(sum(value_sat_total) AS BIGINT) AS total_sats, count(*) AS boosts,
                count(DISTINCT sender_name_normalized) AS senders
@@ -323,7 +323,7 @@ UNION ALL SELECT 4, 0, NULL, NULL, 0, NULL, NULL, NULL,
   || {NL} || {NL} || '## Last Seen' || {NL} || '+ Last seen ID: ' || {d_s('last_seen_id')}
   FROM summ"""
 
-MARKDOWN_CTES = window_ctes(SHOWS["Unplugged"], P.SINCE_B) + [
+MARKDOWN_CTES = window_ctes(SHOWS["Alpha"], P.SINCE_B) + [
     f"sndr AS ({SENDERS_SELECT.strip()})",
     """snd AS (SELECT *, CASE tier WHEN 'baller' THEN 1 WHEN 'boost' THEN 2 ELSE 3 END AS section,
                   CASE WHEN tier = 'baller' THEN -total_sats ELSE first_boost END AS k1 FROM sndr)""",

@@ -1,6 +1,14 @@
 """Parameters of the registered queries (fixed up front, shared by the Spark
 callables and the oracle SQL so both sides ask the same question)."""
 
+# Shows over the fixture's own podcasts (name -> Java regex, full match).
+SHOWS = {
+    "All": ".*",
+    "Alpha": "(?i)alpha .*",
+    "Beta": "(?i)beta .*",
+    "Gamma or Delta": "(Gamma|Delta) .*",
+}
+SHOW_PATTERN = "Alpha .*"     # fixed show pattern of the legacy and leaderboard queries
 SINCE_A = 1704067200          # 2024-01-01T00:00:00Z
 SINCE_B = 1705363200          # 2024-01-16T00:00:00Z
 AS_OF = 1706659200            # 2024-01-31T00:00:00Z

@@ -14,15 +14,16 @@ from satledger.functions.columns import relative_bound
 from satledger.plans.render import report_lines
 
 
-def resolve_show(show: str | None, shows: dict[str, str] | None = None) -> str:
-    shows = shows or K.DEFAULT_SHOWS
+EVERY_SHOW = ".*"
+
+
+def resolve_show(show: str | None, shows: dict[str, str]) -> str:
     if not show:
-        return shows["All"]
+        return EVERY_SHOW
     return shows.get(show, show)
 
 
 def report_for_request(inv: DataFrame, show: str | None, since: int | str | None, as_of: int,
-                       excluded: Iterable[str] | None = None,
-                       shows: dict[str, str] | None = None) -> DataFrame:
+                       shows: dict[str, str], excluded: Iterable[str] | None = None) -> DataFrame:
     bound = int(since) if since not in (None, "") else relative_bound(as_of, K.TWO_WEEKS_SECONDS)
     return report_lines(inv, resolve_show(show, shows), bound, excluded)

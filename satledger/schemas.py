@@ -42,6 +42,3 @@ NODE_PAGE = T.StructType([
     T.StructField("last_index_offset", S, True),
     T.StructField("invoices", T.ArrayType(S), True),
 ])
-
-# A wallet page is a JSON array of invoices; one row per element, kept as text.
-WALLET_LINE = T.StructType([T.StructField("value", S, True)])

@@ -31,12 +31,13 @@ def test_scalars(spark):
 
 def test_report_request_defaults(spark):
     from helpers import boost, invoices
+    from satledger.plans import params as P
     from satledger.plans.request import report_for_request, resolve_show
 
-    assert resolve_show("Coder") == "(?i).*coder.*"
-    assert resolve_show("(?i).*x.*") == "(?i).*x.*" and resolve_show(None) == ".*"
+    assert resolve_show("Beta", P.SHOWS) == "(?i)beta .*"
+    assert resolve_show("(?i).*x.*", P.SHOWS) == "(?i).*x.*" and resolve_show(None, {}) == ".*"
     inv = invoices(spark, [boost(1, 1_000_000, "a", 5), boost(2, 1_000_000 - 1_300_000, "b", 5)])
-    lines = report_for_request(inv, "Unplugged", None, as_of=1_000_100)
+    lines = report_for_request(inv, "Alpha", None, as_of=1_000_100, shows=P.SHOWS)
     text = [r.line for r in lines.collect()]
     assert any(t.startswith("### From: a") for t in text)
     assert not any(t.startswith("### From: b") for t in text)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF0001, SF001
-from satledger import constants as K
+from satledger.plans import params as P
 from satledger.operators import apps, reconcile, report
 from satledger.sources.adapter import load_invoices
 
@@ -13,18 +13,18 @@ EXCL = ["user_5", "user_8"]
 GOLDEN = [
     (SF0001, "All", A, {"baller": (11, 434497), "boost": (1, 11518)},
      (446015, 137, 12), (776900, 262, 12), (1951437, 656, 12), 1706657176),
-    (SF0001, "Unplugged", B, {"boost": (10, 67749), "thanks": (1, 1015)},
+    (SF0001, "Alpha", B, {"boost": (10, 67749), "thanks": (1, 1015)},
      (68764, 16, 11), (75978, 28, 11), (237900, 72, 12), 1706637110),
     (SF001, "All", A, {"baller": (112, 3892232), "boost": (31, 466066)},
      (4358298, 1509, 143), (9160039, 3049, 143), (22755383, 7615, 143), 1706657097),
-    (SF001, "Unplugged", B, {"baller": (1, 27588), "boost": (72, 470797), "thanks": (34, 32249)},
+    (SF001, "Alpha", B, {"baller": (1, 27588), "boost": (72, 470797), "thanks": (34, 32249)},
      (530634, 195, 107), (1125910, 380, 134), (2706141, 936, 143), 1706655688),
 ]
 
 
 @pytest.mark.parametrize("sf,show,since,tiers,boost,stream,total,cutoff", GOLDEN)
 def test_report_golden(spark, sf, show, since, tiers, boost, stream, total, cutoff):
-    rep = report.boost_report(load_invoices(spark, sf), K.DEFAULT_SHOWS[show], since, EXCL)
+    rep = report.boost_report(load_invoices(spark, sf), P.SHOWS[show], since, EXCL)
     got = {r["tier"]: (r["n"], r["s"]) for r in
            rep["senders"].groupBy("tier").agg(F.count("*").alias("n"),
                                               F.sum("total_sats").alias("s")).collect()}

@@ -1,6 +1,6 @@
 """The partitioned store: day pruning reaches the scan, results unchanged."""
 from conftest import SF0001
-from satledger import constants as K
+from satledger.plans import params as P
 from satledger.operators import merge, report
 from satledger.session import scratch_path
 from satledger.sources.adapter import load_invoices
@@ -13,8 +13,8 @@ def test_report_on_store_prunes_days(spark):
     write_store(inv, path)
     store = read_store(spark, path)
     since = 1705363200
-    a = report.boost_report(inv, K.DEFAULT_SHOWS["Unplugged"], since, ["user_5"])
-    b = report.boost_report(store, K.DEFAULT_SHOWS["Unplugged"], since, ["user_5"])
+    a = report.boost_report(inv, P.SHOWS["Alpha"], since, ["user_5"])
+    b = report.boost_report(store, P.SHOWS["Alpha"], since, ["user_5"])
     assert sorted(map(tuple, a["senders"].collect())) == sorted(map(tuple, b["senders"].collect()))
     assert a["summary"].first() == b["summary"].first()
     plan = b["senders"]._jdf.queryExecution().executedPlan().toString()
