@@ -15,6 +15,7 @@ HOLD_BACK_SECONDS = 600                # source-side grace window of reconcile
 TWO_DAYS_SECONDS = 2 * 24 * 60 * 60    # relative lower bound, ingest helper
 TWO_WEEKS_SECONDS = 2 * 7 * 24 * 60 * 60  # default report window
 POLL_INTERVAL = "60 seconds"           # ingest cycle
+POLL_SECONDS = 60
 LEADERBOARD_SINCE = "2024-01-01 00:00:00"     # UTC, action leaderboards
 ALL_ACTIONS_SINCE = "2023-01-01 00:00:00"     # UTC, leaderboard over all actions
 

@@ -17,22 +17,55 @@ from pyspark.sql import functions as F
 from satledger import constants as K
 from satledger import schemas as S
 from satledger.functions.columns import blank_to_null, content_id, normalize_sender, sats_from_msat
+from satledger.sources.store import EPOCHS
 
 MAP = "map<string,string>"
 
 
+PAGE = "page"
+
+
+def _parsed(pages: DataFrame, text: str, invoices: Column) -> DataFrame:
+    """One row per invoice with its JSON text (``raw``) and place (``pos``); a page that
+    does not parse is one row with its text in ``page`` and no ``raw``."""
+    keep = [c for c in pages.columns if c != text]
+    item = "struct<raw:string,page:string>"
+    broken = F.array(F.struct(F.lit(None).cast("string").alias("raw"), F.col(text).alias(PAGE)))
+    rows = F.when(F.trim(F.col(text)) == "", F.array().cast(f"array<{item}>")) \
+        .when(F.col("_invoices").isNull(), broken) \
+        .otherwise(F.transform("_invoices", lambda r: F.struct(r.alias("raw"), F.lit(None).cast("string").alias(PAGE))))
+    return (pages.withColumn("_invoices", invoices).select(*keep, F.posexplode(rows).alias("pos", "_row"))
+            .select(*keep, "pos", F.col("_row.raw").alias("raw"), F.col(f"_row.{PAGE}").alias(PAGE)))
+
+
 def parse_node_pages(pages: DataFrame, text: str = "value") -> DataFrame:
     """Node pages ``{"first_index_offset":..,"invoices":[..]}`` -> one
-    row per invoice with its raw JSON text (``raw``)."""
-    p = F.from_json(F.col(text), S.NODE_PAGE)
-    return pages.select(*[c for c in pages.columns if c != text],
-                        F.explode(p["invoices"]).alias("raw"))
+    row per invoice, and one per broken page."""
+    return _parsed(pages, text, F.from_json(F.col(text), S.NODE_PAGE)["invoices"])
 
 
 def parse_wallet_pages(pages: DataFrame, text: str = "value") -> DataFrame:
-    """Wallet pages (a JSON array of invoices) -> one row per invoice."""
-    return pages.select(*[c for c in pages.columns if c != text],
-                        F.explode(F.from_json(F.col(text), "array<string>")).alias("raw"))
+    """Wallet pages (a JSON array of invoices) -> one row per invoice, and one
+    per broken page."""
+    return _parsed(pages, text, F.from_json(F.col(text), "array<string>"))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _last_wins(m: Column) -> Column:
+    """Entries of a parsed object; a repeated key keeps its last value, whatever
+    the session's map policy."""
+    entries = F.map_entries(m)
+    distinct = F.filter(entries, lambda e, i: i == F.size(m) - F.array_position(F.reverse(F.map_keys(m)), e["key"]).cast("int"))
+    return F.when(F.size(F.array_distinct(F.map_keys(m))) == F.size(m), entries).otherwise(distinct)
+
+
+def _object(text: Column) -> Column:
+    """A JSON object as a map of texts, NULL when it is none."""
+    return _let(F.from_json(text, MAP), lambda m: F.when(m.isNotNull(), F.map_from_entries(_last_wins(m))))
 
 
 def _decoded_text(b64: Column) -> Column:
@@ -43,14 +76,14 @@ def _decoded_text(b64: Column) -> Column:
 
 def _stage(raw: DataFrame) -> DataFrame:
     """Intermediate columns shared by ``normalize`` and ``quarantine``."""
-    top = F.from_json(F.col("raw"), MAP)
+    raw = raw.withColumn("_top", _object(F.col("raw")))
+    top = F.col("_top")
     htlcs = F.from_json(top["htlcs"], S.HTLCS)
     records = F.get(htlcs, F.lit(0))["custom_records"]
     boost_b64 = blank_to_null(F.try_element_at(records, F.lit(K.BOOSTAGRAM_TLV)))
     keysend_b64 = blank_to_null(F.try_element_at(records, F.lit(K.KEYSEND_TLV)))
     return raw.select(
         "*",
-        top.alias("_top"),
         boost_b64.alias("_boost_b64"),
         keysend_b64.alias("_keysend_b64"),
     ).select(
@@ -59,8 +92,8 @@ def _stage(raw: DataFrame) -> DataFrame:
         _decoded_text(F.col("_keysend_b64")).alias("_keysend"),
     ).select(
         "*",
-        F.from_json(F.col("_boost_text"), MAP).alias("_tlv"),
-        F.from_json(F.col("_top")["boostagram"], MAP).alias("_wallet"),
+        _object(F.col("_boost_text")).alias("_tlv"),
+        _object(F.col("_top")["boostagram"]).alias("_wallet"),
     )
 
 
@@ -76,35 +109,38 @@ def _field(name: str) -> Column:
     return F.coalesce(blank_to_null(F.col("_tlv")[name]), blank_to_null(F.col("_wallet")[name]))
 
 
-FLATTEN_DEPTH = 4
+def _entry(key: Column, value: Column) -> Column:
+    return F.struct(key.alias("key"), value.alias("value"))
 
 
-def _is_object(v: Column) -> Column:
-    """A JSON object text with at least one key (empty maps stay leaves)."""
-    return v.startswith("{") & (F.size(F.from_json(v, MAP)) > 0)
+def _opened(e: Column, otherwise: Column) -> Column:
+    """The entries ``key/sub`` of an entry that holds a JSON object with keys;
+    lists, empty objects and scalars stay as ``otherwise``."""
+    inner = _let(F.from_json(F.when(e["value"].startswith("{"), e["value"]), MAP), lambda m: F.when(F.size(m) > 0, _last_wins(m)))
+    subs = F.transform(inner, lambda s: _entry(F.concat(e["key"], F.lit("/"), s["key"]), s["value"]))
+    return F.coalesce(subs, F.array(otherwise))
 
 
 def _namespaced(m: Column, namespace: str) -> Column:
-    """I2 + I3: scalar keys go under ``namespace/``; a key holding an object
-    becomes its own namespace and is flattened to ``key/sub/...`` down to
-    ``FLATTEN_DEPTH`` levels (deeper objects, lists and empty objects stay
-    JSON text leaves)."""
-    entries = F.map_entries(m)
-    entries = F.flatten(F.transform(entries, lambda e: F.when(
-        _is_object(e["value"]),
-        F.transform(F.map_entries(F.from_json(e["value"], MAP)),
-                    lambda s: F.struct(F.concat(e["key"], F.lit("/"), s["key"]).alias("key"),
-                                       s["value"].alias("value"))))
-        .otherwise(F.array(F.struct(F.concat(F.lit(namespace + "/"), e["key"]).alias("key"),
-                                    e["value"].alias("value"))))))
-    for _ in range(FLATTEN_DEPTH - 1):
-        entries = F.flatten(F.transform(entries, lambda e: F.when(
-            _is_object(e["value"]),
-            F.transform(F.map_entries(F.from_json(e["value"], MAP)),
-                        lambda s: F.struct(F.concat(e["key"], F.lit("/"), s["key"]).alias("key"),
-                                           s["value"].alias("value"))))
-            .otherwise(F.array(e))))
-    return F.map_from_entries(entries)
+    """I2 + I3: scalar keys go under ``namespace/``; a key holding an object becomes
+    its own namespace and is flattened to ``key/sub/...`` to its full depth: as
+    many rounds as the row's texts have braces.  Keys that meet in one path keep
+    the last value."""
+    entries = F.flatten(F.transform(F.map_entries(m), lambda e: _opened(
+        e, _entry(F.concat(F.lit(namespace + "/"), e["key"]), e["value"]))))
+
+    def deeper(found: Column) -> Column:
+        braces = F.aggregate(found, F.lit(0), lambda n, e: n + F.coalesce(F.when(
+            e["value"].startswith("{"), F.length(F.regexp_replace(e["value"], r"[^{]", ""))), F.lit(0)))
+        return _let(braces, lambda n: F.when(n == 0, found).otherwise(F.aggregate(
+            F.sequence(F.lit(1), F.greatest(n, F.lit(1))), found, lambda acc, _: F.flatten(F.transform(acc, lambda e: _opened(e, e))))))
+
+    def unique(found: Column) -> Column:
+        keys = F.transform(found, lambda e: e["key"])
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), found).otherwise(F.filter(
+            found, lambda e, i: i == F.size(found) - F.array_position(F.reverse(keys), e["key"]).cast("int")))
+
+    return F.map_from_entries(_let(_let(entries, deeper), unique))
 
 
 def _extra() -> Column:
@@ -127,27 +163,44 @@ def _extra() -> Column:
     return F.when(F.size(merged) > 0, merged)
 
 
-def normalize(raw: DataFrame, source: str | Column | None = None) -> DataFrame:
-    """I1-I15 over rows with a ``raw`` invoice JSON column.
+def _whole_number(text: Column) -> Column:
+    """An amount text as BIGINT; NULL when it is no number or too large for one."""
+    return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
+
+
+def _identifier(top: Column) -> Column:
+    """I5; an invoice without any gets a content-derived one, so that it is kept
+    apart from others and lands once however often it is loaded."""
+    return F.coalesce(blank_to_null(top["add_index"]), blank_to_null(top["identifier"]),
+                      F.concat(F.lit("raw:"), F.sha2(F.col("raw"), 256)))
+
+
+def _with_page(raw: DataFrame) -> DataFrame:
+    return raw if PAGE in raw.columns else raw.withColumn(PAGE, F.lit(None).cast("string"))
+
+
+def normalize(raw: DataFrame, source: str | Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """I1-I15 over rows with a ``raw`` invoice JSON column (broken pages are left to
+    ``quarantine``).  ``keep``: columns of ``raw`` to carry along.
 
     ``source`` (I15) tags the upstream; by default the ``source`` column of
     ``raw`` is used."""
     src = F.lit(source) if isinstance(source, str) else (source if source is not None
                                                             else F.col("source"))
-    st = _stage(raw.withColumn("_src", src))
+    st = _stage(_with_page(raw.withColumn("_src", src)).filter(F.col(PAGE).isNull()))
     top = F.col("_top")
     add_index_text = blank_to_null(top["add_index"])
     cd = blank_to_null(top["creation_date"]).try_cast("bigint")
     msat_text = _field("value_msat_total")
-    msat = F.coalesce(msat_text.try_cast("bigint"), msat_text.try_cast("double").cast("bigint"))
+    msat = _whole_number(msat_text)
     fields = {n: _field(n) for n in S.BOOSTAGRAM_STRING_FIELDS}
     cols = {
         "source": F.col("_src"),
-        "identifier": F.coalesce(add_index_text, blank_to_null(top["identifier"])),
+        "identifier": _identifier(top),
         "invoice_source": blank_to_null(top["source"]),
         "creation_date": cd,
         "created_at": F.coalesce(_instant(blank_to_null(top["created_at"])),
-                                 F.timestamp_seconds(cd)),
+                                 F.timestamp_seconds(F.when(cd.between(*EPOCHS), cd))),
         "add_index": add_index_text.try_cast("bigint"),
         "comment": blank_to_null(top["comment"]),
         "memo": blank_to_null(top["memo"]),
@@ -159,55 +212,42 @@ def normalize(raw: DataFrame, source: str | Column | None = None) -> DataFrame:
         "content_id": content_id({**fields, "value_msat_total": msat_text}),
         "extra": _extra(),
     }
-    return st.select(*[cols[n].alias(n) for n in S.INVOICE_COLUMNS])
+    return st.select(*[cols[n].alias(n) for n in S.INVOICE_COLUMNS], *keep)
 
 
 def quarantine(raw: DataFrame, source: str | Column | None = None) -> DataFrame:
-    """Rows whose payload or numbers could not be decoded, with the reason.
+    """Pages and rows whose payload or numbers could not be decoded, with the reason.
 
     The invoice itself is still kept by ``normalize`` (with NULL boost
     columns), as in the reference."""
     src = F.lit(source) if isinstance(source, str) else (source if source is not None
                                                             else F.col("source"))
-    st = _stage(raw.withColumn("_src", src))
+    st = _stage(_with_page(raw.withColumn("_src", src)))
     top = F.col("_top")
     msat_text = _field("value_msat_total")
     cd_text = blank_to_null(top["creation_date"])
     reason = F.concat_ws(",", F.array_compact(F.array(
-        F.when(top.isNull(), F.lit("invoice_json")),
+        F.when(F.col(PAGE).isNotNull(), F.lit("page")),
+        F.when(F.col(PAGE).isNull() & top.isNull(), F.lit("invoice_json")),
         F.when(F.col("_boost_b64").isNotNull() & F.col("_boost_text").isNull(), F.lit("boost_base64")),
         F.when(F.col("_boost_text").isNotNull() & F.col("_tlv").isNull(), F.lit("boost_json")),
         F.when(F.col("_keysend_b64").isNotNull() & F.col("_keysend").isNull(), F.lit("keysend_base64")),
-        F.when(msat_text.isNotNull() & msat_text.try_cast("double").isNull(), F.lit("amount")),
-        F.when(cd_text.isNotNull() & cd_text.try_cast("bigint").isNull(), F.lit("creation_date")),
+        F.when(msat_text.isNotNull() & _whole_number(msat_text).isNull(), F.lit("amount")),
+        F.when(cd_text.isNotNull() & ~F.coalesce(cd_text.try_cast("bigint").between(*EPOCHS), F.lit(False)), F.lit("creation_date")),
     )))
     # A filter on ``reason`` would be pushed below the projection with the
     # JSON parsing inlined into it (filters get no common-subexpression
     # elimination); a generator keeps the parse in one projection.
     staged = st.select(
         F.col("_src").alias("source"),
-        F.coalesce(blank_to_null(top["add_index"]), blank_to_null(top["identifier"])).alias("identifier"),
+        F.when(F.col(PAGE).isNull(), _identifier(top)).alias("identifier"),
         reason.alias("_reason"),
-        F.col("raw"),
+        F.coalesce("raw", PAGE).alias("raw"),
     )
     return staged.select("source", "identifier", F.explode(
         F.when(F.col("_reason") != "", F.array(F.col("_reason")))).alias("reason"), "raw")
 
 
-# --- readers of landed pages (batch) ------------------------------------------
-
-def read_node_pages(spark, path: str, source: str) -> DataFrame:
-    """Landed node pages under ``path`` (one JSON document per file)."""
-    pages = spark.read.text(path, wholetext=True)
-    return parse_node_pages(pages).withColumn("source", F.lit(source))
-
-
-def read_wallet_pages(spark, path: str, source: str) -> DataFrame:
-    """Landed wallet pages under ``path`` (a JSON array per file)."""
-    pages = spark.read.text(path, wholetext=True)
-    return parse_wallet_pages(pages).withColumn("source", F.lit(source))
-
-
 def page_progress(raw_norm: DataFrame, name: str = "page_progress"):
     """Min / max event time and row count of an ingest batch, as an
     ``Observation`` filled when the batch is written."""

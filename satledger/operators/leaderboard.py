@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satledger import constants as K
-from satledger.functions.columns import epoch_of, utc_epoch, utc_epoch_literal
-from satledger.sources.store import prune_days
+from satledger.functions.columns import utc_epoch
 from satledger.functions.predicates import fixed_show_match
 
 
@@ -27,15 +26,14 @@ def leaderboard_base(inv: DataFrame, pattern: str, action: str | None = K.ACTION
     Rows need ``created_at >= since`` (UTC), an amount, episode and podcast,
     and the episode full-matching ``pattern`` (case-sensitive) or the podcast
     equal to ``show_literal``.  A missing sender is grouped as ``N/A``."""
-    cond = (epoch_of("created_at") >= utc_epoch_literal(since)) \
+    # a timestamp literal: the comparison reaches the Parquet scan
+    cond = (F.col("created_at") >= F.timestamp_seconds(F.lit(utc_epoch(since)))) \
         & F.col("value_msat_total").isNotNull() \
         & F.col("episode").isNotNull() & F.col("podcast").isNotNull() \
         & fixed_show_match(pattern, show_literal, on="episode")
     cond = cond & (F.col("action") == F.lit(action) if action is not None
                    else F.col("action").isNotNull())
-    # created_at and creation_date name the same instant; one day of margin
-    # keeps the partition predicate safe for upstream clock differences.
-    return (prune_days(inv, since=utc_epoch(since) - 86400).filter(cond)
+    return (inv.filter(cond)
             .groupBy(F.coalesce("sender_name_normalized", F.lit(K.MISSING_SENDER)).alias("sender"),
                      F.col("action"))
             .agg(F.count(F.lit(1)).alias("n"),

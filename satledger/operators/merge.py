@@ -15,33 +15,37 @@ from satledger.schemas import KEY
 SEQ = "_seq"
 
 
-def upsert(old: DataFrame, new: DataFrame, key: Iterable[str] = KEY,
-           seq: str | None = None) -> DataFrame:
-    """Newer non-NULL attribute values replace older ones; an attribute
-    that is absent (NULL) in the newer version keeps the older value.
+def newest_versions(new: DataFrame, seq: str, key: Iterable[str] = KEY) -> DataFrame:
+    """One row per key: per attribute the non-NULL value of the highest ``seq``."""
+    key = list(key)
+    cols = [c for c in new.columns if c not in (*key, seq)]
+    return new.groupBy(*key).agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in cols])
 
-    ``old`` and ``new`` share a schema.  ``seq`` names an ordering column of
-    ``new`` (several versions per key in one batch); without it every ``new``
-    row outranks ``old``.
 
-    Plan: the versions inside the batch are collapsed first (an aggregate
-    over the batch only); the newest versions are then left-joined onto the
-    store rows with the same key, taking ``coalesce(new, old)`` per
-    attribute.  Store rows whose key is not in the batch pass through an anti
-    join, which becomes a broadcast when the batch is small, so the store is
-    never regrouped."""
+def coalesced(old: DataFrame, newest: DataFrame, key: Iterable[str] = KEY) -> DataFrame:
+    """``newest`` over ``old``, both one row per key: a full outer join that takes
+    ``coalesce(new, old)`` per attribute and reads each side once.  NULL key parts
+    are equal to each other."""
     key = list(key)
-    out_cols = [c for c in old.columns if c != seq]
-    cols = [c for c in out_cols if c not in key]
-    n_seq = F.col(seq).cast("bigint") if seq else F.lit(0).cast("bigint")
-    versions = new.select(*key, *cols, n_seq.alias(SEQ))
-    newest = versions.groupBy(*key).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(SEQ))).alias(c) for c in cols])
-    untouched = old.join(newest.select(*key), key, "left_anti").select(*out_cols)
-    o = old.select(*key, *[F.col(c).alias(f"_old_{c}") for c in cols])
-    merged = newest.join(o, key, "left").select(
-        *key, *[F.coalesce(F.col(c), F.col(f"_old_{c}")).alias(c) for c in cols])
-    return untouched.unionByName(merged.select(*out_cols))
+    o = old.select(*[F.col(c).alias(f"_old_{c}") for c in old.columns], F.lit(1).alias("_has_old"))
+    cond = F.lit(True)
+    for c in key:
+        cond = cond & newest[c].eqNullSafe(o[f"_old_{c}"])
+    joined = newest.join(o, cond, "full")
+    return joined.select(*[F.coalesce(F.col(c), F.col(f"_old_{c}")).alias(c) for c in old.columns])
+
+
+def upsert(old: DataFrame, new: DataFrame, seq: str, key: Iterable[str] = KEY) -> DataFrame:
+    """Newer non-NULL attribute values replace older ones; an attribute
+    that is absent (NULL) in the newer version keeps the older value.
+
+    ``seq`` names the ordering column of ``new``: several versions of a key in
+    one batch are collapsed in its order first.  Every ``new`` row outranks
+    ``old``.  The store side is scanned once and never regrouped."""
+    cols = [c for c in old.columns if c != seq]
+    newest = newest_versions(new.select(*cols, seq), seq, key)
+    return coalesced(old.select(*cols), newest.select(*cols), key)
 
 
 def delete_keys(inv: DataFrame, keys: DataFrame, key: Iterable[str] = KEY) -> DataFrame:
@@ -68,6 +72,9 @@ def high_water_marks(inv: DataFrame, spark: SparkSession | None = None,
 
 def load_since_mark(raw: DataFrame, marks: DataFrame) -> DataFrame:
     """Rows of a landed batch at or after their source's mark (the page
-    boundary overlap is harmless because the merge is an upsert)."""
-    return raw.join(F.broadcast(marks), "source", "inner") \
-        .filter(F.col("creation_date") >= F.col("hwm")).drop("hwm")
+    boundary overlap is harmless because the merge is an upsert).  Rows without an
+    event time and rows of a source without a mark are loaded: only a time
+    before the mark tells that a row is known."""
+    known = raw["creation_date"] < marks["hwm"]
+    return (raw.join(F.broadcast(marks), raw["source"].eqNullSafe(marks["source"]), "left")
+            .filter(~F.coalesce(known, F.lit(False))).select(*[raw[c] for c in raw.columns]))

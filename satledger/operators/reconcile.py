@@ -73,20 +73,13 @@ def rows_to_copy(dest: DataFrame, src: DataFrame, since: int, as_of: int,
 
 
 def reconcile(dest: DataFrame, src: DataFrame, since: int, as_of: int,
-              hold_back: int = K.HOLD_BACK_SECONDS, include_plain: bool = True,
-              materialize: bool = True) -> DataFrame:
-    """The destination after copying the missing rows in (upsert on key).
-
-    The copy set feeds the upsert twice (its keys and its versions); with
-    ``materialize`` it is computed once and checkpointed to the shared folder
-    instead of re-running the id sets, anti join and semi join twice."""
-    from satledger.operators.merge import upsert
-    from satledger.session import cut_lineage
+              hold_back: int = K.HOLD_BACK_SECONDS, include_plain: bool = True) -> DataFrame:
+    """The destination after copying the missing rows in (upsert on key;
+    ``src`` has one row per key)."""
+    from satledger.operators.merge import coalesced
 
     copy = rows_to_copy(dest, src, since, as_of, hold_back, include_plain).select(*dest.columns)
-    if materialize:
-        copy = cut_lineage(copy)
-    return upsert(dest, copy)
+    return coalesced(dest, copy)
 
 
 def find_similar(inv: DataFrame, action: str, sender: str, timestamp: int, delta: int) -> DataFrame:

@@ -212,7 +212,7 @@ def _patched(inv: DataFrame) -> DataFrame:
 @register
 def upsert_merge(spark, sf_dir):
     inv = _inv(spark, sf_dir)
-    merged = merge.upsert(inv, _patched(inv))
+    merged = merge.upsert(inv, _patched(inv).withColumn("seq", F.lit(1)), "seq")
     return merged.select("source", "identifier", "app_name", "message", "value_msat_total",
                          "content_id")
 

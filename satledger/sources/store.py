@@ -1,40 +1,59 @@
-"""The invoice store - Parquet partitioned by ``source`` and UTC ``day``.
+"""The invoice store - versioned Parquet partitions behind a manifest.
 
-Readers get the store with string-typed partition columns; ``prune_days``
-turns an event-time bound into a partition predicate, so a report over two
-weeks lists and opens two weeks of files, not the whole store.  Within a
-partition files are sorted by ``creation_date``, so Parquet min/max
-statistics skip row groups for the finer bound."""
+``data/v=N/source=../day=..`` holds the rows, ``keys/v=N/source=../bucket=..``
+the index ``(source, identifier) -> day``.  A commit writes new versions beside
+the old ones and then adds ``manifest/N.json``, which names the versions that
+make up each partition: a reader sees all of a commit or nothing, and a crash
+leaves only files that no manifest names.  The manifest has one entry per
+partition (sources x days, sources x buckets): metadata.
+
+Rows without an event time live in day ``none``.  ``prune_days`` turns an
+event-time bound into a partition predicate, so a report over two weeks opens
+two weeks of files; within a partition files are sorted by ``creation_date``."""
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from satledger.functions.columns import epoch_to_ntz
-from satledger.schemas import INVOICES
+from satledger.schemas import INVOICES, KEY
 
 STORE = T.StructType(INVOICES.fields + [T.StructField("day", T.StringType(), True)])
-PARTITIONS = ["source", "day"]
+KEYS = T.StructType([T.StructField(n, T.IntegerType() if n == "bucket" else T.StringType())
+                     for n in ("identifier", "day", "source", "bucket")])
+PARTITIONS = {"data": ["source", "day"], "keys": ["source", "bucket"]}
+SCHEMAS = {"data": STORE, "keys": KEYS}
+NO_DAY = "none"
+BUCKETS = 64
+#: Epoch seconds that have a calendar day (years 1 to 9999).
+EPOCHS = (-62135596800, 253402300799)
+#: Manifests whose files are kept for readers that still use them.
+KEPT = 3
 
 
 def day_of(c="creation_date") -> Column:
-    """UTC day of an epoch column, ``yyyy-MM-dd``."""
+    """UTC day of an epoch column, ``yyyy-MM-dd``; ``none`` without a valid time."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.date_format(epoch_to_ntz(col), "yyyy-MM-dd")
+    valid = F.when(col.between(*EPOCHS), col)
+    return F.coalesce(F.date_format(epoch_to_ntz(valid), "yyyy-MM-dd"), F.lit(NO_DAY))
 
 
 def day_literal(epoch: int) -> Column:
     return day_of(F.lit(epoch).cast("bigint"))
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORE).parquet(path)
+def bucket_of(c="identifier") -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
 
 
 def prune_days(df: DataFrame, since: int | None = None, until: int | None = None) -> DataFrame:
     """Add partition predicates implied by ``since < creation_date`` and
-    ``creation_date <= until`` when ``df`` carries the store's ``day``."""
+    ``creation_date <= until`` when ``df`` carries the store's ``day``: rows that
+    these drop, the bounds themselves drop too."""
     if "day" not in df.columns:
         return df
     cond = F.lit(True)
@@ -45,13 +64,172 @@ def prune_days(df: DataFrame, since: int | None = None, until: int | None = None
     return df.filter(cond)
 
 
-def write_store(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write (or rewrite touched partitions of) the store.
+# --- manifest ------------------------------------------------------------------
 
-    ``rebalance`` lets AQE split a hot partition over several tasks and
-    coalesce small ones, so one busy day does not end up in a single task."""
-    if "day" not in df.columns:
-        df = df.withColumn("day", day_of())
-    (df.hint("rebalance", *PARTITIONS).sortWithinPartitions("creation_date")
-     .write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*PARTITIONS).parquet(path))
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, Path = _fs(spark, path)
+    folder = Path(f"{path}/manifest")
+    if not fs.exists(folder):
+        return []
+    return sorted(int(s.getPath().getName()[:-5]) for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+
+
+def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict:
+    """``{"version": N, "data": {partition: [versions]}, "keys": {..}}``; a
+    partition is its path below the version."""
+    if version is None:
+        known = _versions(spark, path)
+        if not known:
+            return {"version": 0, "data": {}, "keys": {}}
+        version = known[-1]
+    fs, Path = _fs(spark, path)
+    stream = fs.open(Path(f"{path}/manifest/{version}.json"))
+    try:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return json.loads(text)
+
+
+def _partition(table: str, first: str, second) -> str:
+    """The path of a partition as Spark's writer names it."""
+    import re
+
+    a, b = PARTITIONS[table]
+    escape = lambda v: re.sub(r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", str(v))
+    return f"{a}={escape(first)}/{b}={escape(second)}"
+
+
+def _read(spark: SparkSession, path: str, table: str, state: dict, only: Iterable[str] | None = None) -> DataFrame:
+    names = state[table] if only is None else [p for p in only if p in state[table]]
+    files = [f"{path}/{table}/v={v}/{p}" for p in names for v in state[table][p]]
+    schema = SCHEMAS[table]
+    if not files:
+        return spark.createDataFrame([], schema)
+    return (spark.read.schema(T.StructType(schema.fields + [T.StructField("v", T.IntegerType())]))
+            .option("basePath", f"{path}/{table}").parquet(*files).select(*schema.fieldNames()))
+
+
+def _write(df: DataFrame, path: str, table: str, version: int) -> list[str]:
+    """Write one version of a table; the partitions it has."""
+    spark = df.sparkSession
+    first, second = PARTITIONS[table]
+    target = f"{path}/{table}/v={version}"
+    # ``rebalance`` lets AQE split a hot partition over several tasks
+    order = "creation_date" if table == "data" else "identifier"
+    (df.hint("rebalance", first, second).sortWithinPartitions(order)
+     .write.mode("overwrite").option("partitionOverwriteMode", "static")  # also what a crash left there
+     .partitionBy(first, second).parquet(target))
+    fs, Path = _fs(spark, path)
+    out = []
+    for a in fs.listStatus(Path(target)):
+        if a.isDirectory():
+            out += [f"{a.getPath().getName()}/{b.getPath().getName()}" for b in fs.listStatus(a.getPath()) if b.isDirectory()]
+    return out
+
+
+def _commit(spark: SparkSession, path: str, state: dict, version: int, changes: dict[str, tuple[Iterable[str], Iterable[str]]]) -> None:
+    """Switch to a manifest with ``changes``: per table the partitions that were
+    rewritten as a whole and those that the new version holds."""
+    new = {"version": version}
+    for table in PARTITIONS:
+        replaced, written = changes.get(table, ((), ()))
+        entries = {p: list(v) for p, v in state[table].items() if p not in set(replaced)}
+        for p in written:
+            entries[p] = entries.get(p, []) + [version]
+        new[table] = entries
+    fs, Path = _fs(spark, path)
+    temporary, final = Path(f"{path}/manifest/.{version}.tmp"), Path(f"{path}/manifest/{version}.json")
+    stream = fs.create(temporary, True)
+    stream.write(bytearray(json.dumps(new).encode()))
+    stream.close()
+    if not fs.rename(temporary, final):
+        raise RuntimeError(f"another writer has committed version {version} of {path}")
+    vacuum(spark, path)
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = KEPT) -> None:
+    """Delete what none of the last ``keep`` manifests names."""
+    known = _versions(spark, path)
+    if len(known) <= keep:
+        return
+    fs, Path = _fs(spark, path)
+    live = {(t, v, p) for n in known[-keep:] for t in PARTITIONS for p, vs in manifest(spark, path, n)[t].items() for v in vs}
+    for n in known[:-keep]:
+        for t, entries in ((t, manifest(spark, path, n)[t]) for t in PARTITIONS):
+            for p, vs in entries.items():
+                for v in vs:
+                    if (t, v, p) not in live:
+                        fs.delete(Path(f"{path}/{t}/v={v}/{p}"), True)
+        fs.delete(Path(f"{path}/manifest/{n}.json"), False)
+
+
+# --- readers and writers -----------------------------------------------------------
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The store's current rows; empty where nothing has been committed."""
+    return _read(spark, path, "data", manifest(spark, path))
+
+
+def write_store(df: DataFrame, path: str) -> None:
+    """Replace the whole store with ``df`` (one row per key)."""
+    spark = df.sparkSession
+    state = manifest(spark, path)
+    version = state["version"] + 1
+    df = df.withColumn("day", day_of()).select(*STORE.fieldNames())
+    data = _write(df, path, "data", version)
+    keys = df.select("identifier", "day", "source", bucket_of().alias("bucket"))
+    _commit(spark, path, state, version, {"data": (state["data"], data), "keys": (state["keys"], _write(keys, path, "keys", version))})
+
+
+def _touched(spark: SparkSession, path: str, state: dict, keys: DataFrame) -> tuple[list[str], list[str], DataFrame]:
+    """Of ``keys`` (source, identifier): the index partitions, the data partitions
+    that hold their rows (metadata: at most sources x buckets and sources x days),
+    and the index rows of those index partitions."""
+    spots = keys.select("source", bucket_of().alias("bucket")).distinct().collect()
+    buckets = [_partition("keys", r["source"], r["bucket"]) for r in spots]
+    index = _read(spark, path, "keys", state, buckets)
+    held = index.join(keys.select(*KEY), KEY, "left_semi").select("source", "day").distinct().collect()
+    return buckets, [_partition("data", r["source"], r["day"]) for r in held], index
+
+
+def merge_rows(newest: DataFrame, path: str) -> None:
+    """Attribute-level merge of ``newest`` (one row per key) into the store.
+
+    The index names the days that hold rows of these keys: only those partitions are
+    read and rewritten.  A row whose event day changes moves; new keys are
+    added to their day as a further version, without reading it."""
+    from satledger.operators.merge import coalesced
+
+    spark = newest.sparkSession
+    state = manifest(spark, path)
+    version = state["version"] + 1
+    buckets, days, index = _touched(spark, path, state, newest)
+    cols = INVOICES.fieldNames()
+    merged = coalesced(_read(spark, path, "data", state, days).select(*cols), newest.select(*cols), KEY)
+    data = _write(merged.withColumn("day", day_of()).select(*STORE.fieldNames()), path, "data", version)
+    written = _read(spark, path, "data", {"data": {p: [version] for p in data}})
+    moved = written.join(newest.select(*KEY), KEY, "left_semi").select("identifier", "day", "source", bucket_of().alias("bucket"))
+    entries = index.join(newest.select(*KEY), KEY, "left_anti").select(*KEYS.fieldNames()).unionByName(moved)
+    keys = _write(entries, path, "keys", version)
+    _commit(spark, path, state, version, {"data": (days, data), "keys": (buckets, keys)})
+
+
+def delete_rows(keys: DataFrame, path: str) -> None:
+    """Retract the rows of ``keys`` (source, identifier); only the partitions
+    that hold them are rewritten."""
+    spark = keys.sparkSession
+    state = manifest(spark, path)
+    version = state["version"] + 1
+    keys = keys.select(*KEY).distinct()
+    buckets, days, index = _touched(spark, path, state, keys)
+    rest = _read(spark, path, "data", state, days).join(keys, KEY, "left_anti").select(*STORE.fieldNames())
+    entries = index.join(keys, KEY, "left_anti").select(*KEYS.fieldNames())
+    _commit(spark, path, state, version, {"data": (days, _write(rest, path, "data", version)),
+                                          "keys": (buckets, _write(entries, path, "keys", version))})

@@ -1,37 +1,37 @@
-"""The polling cycle (N11, N14): ingest, then reconcile into the reporting
-set, every ``interval``.
+"""The polling cycle (N11, N14): every ``interval`` load what has landed, then
+reconcile into the reporting set.
 
 The reporting set is a view: the destination source's own store rows plus a
 *copies* table holding every row copied from the other sources because its
 content id was missing there (each copy keeps its own ``source``, so the key
 stays unique).  A cycle computes the missing ids against that view and merges
-only the newly copied rows into the copies table - touching only their
-partitions - so the destination's rows are never rewritten and a cycle with
-nothing missing writes nothing.  ``as_of`` is passed in by the caller (wall
-clock of the cycle), never read inside a query.
+only the newly copied rows into the copies table.
+
+Reconciling is a step of the cycle, not of an ingest batch: it also runs when
+no page has landed, so a row that was held back arrives in time.  A cycle that
+fails is logged and the next one tries again: both steps are idempotent.
 """
 from __future__ import annotations
 
+import logging
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satledger import constants as K
-from satledger.functions.columns import relative_bound
 from satledger.operators.reconcile import rows_to_copy
-from satledger.session import path_exists
 from satledger.sources.store import read_store
-from satledger.streaming.ingest import Upstream, merge_into_store, start_ingest
+from satledger.streaming.ingest import Upstream, merge_into_store, run_once
+
+log = logging.getLogger(__name__)
 
 
 def reporting_view(spark: SparkSession, store_path: str, copies_path: str,
                    dest_source: str) -> DataFrame:
     """The destination's own rows plus the rows copied into it."""
     own = read_store(spark, store_path).filter(F.col("source") == dest_source)
-    if path_exists(spark, copies_path):
-        return own.unionByName(read_store(spark, copies_path))
-    return own
+    return own.unionByName(read_store(spark, copies_path))
 
 
 def sync_reporting(spark: SparkSession, store_path: str, copies_path: str, dest_source: str,
@@ -44,35 +44,26 @@ def sync_reporting(spark: SparkSession, store_path: str, copies_path: str, dest_
     for name in src_sources:
         dest = reporting_view(spark, store_path, copies_path, dest_source)
         src = store.filter(F.col("source") == name)
-        # merge_into_store persists the delta and cuts lineage itself before
-        # overwriting copies partitions that the delta's plan reads.
-        delta = rows_to_copy(dest, src, since, as_of, hold_back).select(*store.columns)
-        merge_into_store(delta.drop("day"), copies_path)
+        merge_into_store(rows_to_copy(dest, src, since, as_of, hold_back), copies_path)
     return reporting_view(spark, store_path, copies_path, dest_source)
 
 
 def run_cycles(spark: SparkSession, upstreams: list[Upstream], store_path: str, copies_path: str,
-               dest_source: str, src_sources: list[str], checkpoint: str,
-               interval: str = K.POLL_INTERVAL, clock=time.time,
-               lookback: int | None = None):
-    """Start the ingest stream; after every committed batch, reconcile.
-
-    The reconcile lower bound is the fixed start less one hour, as in the
-    reference.  With ``lookback`` (seconds, e.g. ``TWO_DAYS_SECONDS`` - the
-    reference's own alternative) it is ``as_of - lookback``: the id sets then
-    cover a bounded, partition-pruned window instead of the whole history,
-    which is the setting for a large store.
-
-    A failed cycle raises and the query restarts from its checkpoint; the
-    merge and the reconcile are both idempotent, so a replayed batch changes
-    nothing."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        merge_into_store(batch, store_path)
-        as_of = int(clock())
-        since = (relative_bound(as_of, lookback) if lookback
-                 else K.AUTOSCRAPE_START - K.RECONCILE_LOOKBACK)
-        sync_reporting(spark, store_path, copies_path, dest_source, src_sources,
-                       as_of=as_of, since=since)
+               dest_source: str, src_sources: list[str], interval: float = K.POLL_SECONDS,
+               cycles: int | None = None, clock=time.time, wait=time.sleep, checkpoint: str | None = None) -> int:
+    """Cycle after cycle (``cycles`` of them, or for ever); the number that failed.
 
-    return start_ingest(spark, upstreams, store_path, checkpoint, available_now=False,
-                        interval=interval, on_batch=each)
+    The reconcile window starts at the fixed start less one hour, whatever the
+    size of the store."""
+    failed = turn = 0
+    while cycles is None or turn < cycles:
+        if turn:
+            wait(interval)
+        turn += 1
+        try:
+            run_once(spark, upstreams, store_path, checkpoint)
+            sync_reporting(spark, store_path, copies_path, dest_source, src_sources, as_of=int(clock()))
+        except Exception:  # noqa: BLE001 - the next cycle tries again
+            failed += 1
+            log.exception("cycle %d failed", turn)
+    return failed

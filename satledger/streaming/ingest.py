@@ -1,34 +1,34 @@
 """Incremental ingest as Structured Streaming.
 
 ``readStream`` over each upstream's landing folder -> page parsing ->
-``normalize`` (narrow) -> ``foreachBatch`` upsert into the store.
+``foreachBatch``: ``normalize`` -> merge into the store, ``quarantine`` ->
+``<store>-quarantine``.
 
-* The store is Parquet partitioned by ``source`` and UTC ``day``; a batch
-  rewrites only the partitions it touches (dynamic partition overwrite).
-* The merged partitions are cut from their lineage with a reliable
-  ``checkpoint()`` into the shared ``spark.checkpoint.dir`` before being
-  written over the files they were read from.
+* A batch first collapses the versions of each key in landing order (file time,
+  file, place in the file), then merges them by key (``sources/store.py``).
 * The stream's own checkpoint is the cursor (H3): a file is marked done only
-  after its batch committed, so an interrupted run neither loses nor
-  double-counts rows, and a re-run batch is an idempotent upsert.
-* ``trigger(availableNow=True)`` gives the batch backfill (N3, N4);
-  ``processingTime`` the polling cycle (N14).
+  after its batch committed, and a re-run batch is an idempotent merge, so an
+  interrupted run neither loses nor double-counts rows.  It lies beside the
+  store, so that a later run goes on where the last one ended.
+* ``trigger(availableNow=True)`` loads what has landed; ``backfill`` reads the
+  landed pages of one source again from an event time on (N4).
 """
 from __future__ import annotations
 
 import logging
+from collections import deque
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satledger import constants as K
 from satledger.operators.ingest import normalize, parse_node_pages, parse_wallet_pages
-from satledger.operators.merge import upsert
-from satledger.schemas import KEY
-from satledger.session import checkpoint_dir, path_exists, scratch_path
-from satledger.sources.store import STORE, day_of, read_store, write_store
+from satledger.operators.ingest import quarantine
+from satledger.operators.merge import newest_versions
+from satledger.schemas import INVOICE_COLUMNS
+from satledger.session import cut_lineage, path_exists
+from satledger.sources.store import merge_rows, read_store
 
 log = logging.getLogger(__name__)
 
@@ -49,84 +49,78 @@ class Upstream:
     max_files_per_trigger: int | None = None
 
 
+SEQ = "_seq"
 
 
 def read_upstream(spark: SparkSession, up: Upstream, streaming: bool = True) -> DataFrame:
+    """Landed invoices and broken pages of an upstream as text, with their landing order."""
     reader = spark.readStream if streaming else spark.read
     if streaming and up.max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", up.max_files_per_trigger)
     # ``text()`` has its own ``wholetext`` argument, which overrides options.
-    pages = reader.text(up.path, wholetext=not up.one_page_per_line)
-    parse = parse_node_pages if up.layout == NODE else parse_wallet_pages
-    return normalize(parse(pages), up.source)
-
-
-def empty_store(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], STORE)
-
-
-def merge_into_store(batch: DataFrame, store_path: str) -> dict:
-    """Upsert one batch into the store, rewriting only touched partitions.
-
-    Returns the batch's progress metrics (N15)."""
-    spark = batch.sparkSession
-    batch = batch.withColumn("day", day_of()).persist(StorageLevel.MEMORY_AND_DISK)
-    # One small aggregate gives the progress metrics and the touched partition
-    # list (metadata: sources x days of one batch).
-    parts = batch.groupBy("source", "day").agg(F.min("creation_date").alias("lo"),
-                                               F.max("creation_date").alias("hi"),
-                                               F.count(F.lit(1)).alias("n")).collect()
-    los = [r["lo"] for r in parts if r["lo"] is not None]
-    his = [r["hi"] for r in parts if r["hi"] is not None]
-    stats = {"min_creation_date": min(los) if los else None,
-             "max_creation_date": max(his) if his else None,
-             "rows": sum(r["n"] for r in parts)}
-    if not stats["rows"]:
-        batch.unpersist()
-        return stats
-    days: dict[str, list[str]] = {}
-    for r in parts:
-        days.setdefault(r["source"], []).append(r["day"])
-    exists = path_exists(spark, store_path)
-    if exists:
-        # One ``source = s AND day IN (...)`` term per source: a static
-        # partition predicate, so only the touched partitions are listed.
-        cond = F.lit(False)
-        for src, ds in days.items():
-            cond = cond | ((F.col("source") == src) & F.col("day").isin(ds))
-        old = read_store(spark, store_path).filter(cond)
-    else:                                  # first batch: the store does not exist yet
-        old = empty_store(spark)
-    cols = STORE.fieldNames()
-    merged = upsert(old.select(*cols), batch.select(*cols), KEY)
-    if exists:
-        # The plan reads the partitions it is about to overwrite: cut lineage.
-        checkpoint_dir(spark)
-        merged = merged.checkpoint(eager=True)
-    write_store(merged, store_path)
-    batch.unpersist()
-    log.info("ingest batch %s", stats)
+    pages = reader.text(up.path, wholetext=not up.one_page_per_line).select(
+        "value", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias("_file"))
+    rows = (parse_node_pages if up.layout == NODE else parse_wallet_pages)(pages)
+    return rows.select(F.lit(up.source).alias("source"), "raw", "page", "_file", F.col("pos").cast("bigint").alias("pos"))
+
+
+def in_landing_order(rows: DataFrame) -> DataFrame:
+    """``seq``: file time, file, line of the file (lines of a split are read in order),
+    place in the page.  A stream can't number lines, its batches can."""
+    order = F.struct("_file", F.monotonically_increasing_id(), "pos")
+    return rows.select("source", "raw", "page", order.alias(SEQ))
+
+
+def quarantine_path(store_path: str) -> str:
+    return f"{store_path}-quarantine"
+
+
+def merge_into_store(rows: DataFrame, store_path: str, seq: str | None = None) -> dict:
+    """Merge normalised rows into the store; the batch's progress metrics.
+
+    ``seq``: the column that orders the versions of a key; without it ``rows``
+    has one row per key."""
+    newest = newest_versions(rows.select(*INVOICE_COLUMNS, seq), seq) if seq else rows
+    newest = cut_lineage(newest.select(*INVOICE_COLUMNS))
+    stats = newest.agg(F.min("creation_date").alias("min_creation_date"),
+                       F.max("creation_date").alias("max_creation_date"), F.count(F.lit(1)).alias("rows")).first().asDict()
+    if stats["rows"]:
+        merge_rows(newest, store_path)
+        log.info("ingest batch %s", stats)
     return stats
 
 
+def load_batch(batch: DataFrame, batch_id: int | str, store_path: str) -> dict:
+    """One landed batch into the store and its failures into the quarantine; loading
+    it again replaces the same quarantine folder."""
+    target = f"{quarantine_path(store_path)}/batch={batch_id}"
+    quarantine(batch.select("source", "raw", "page")).write.mode("overwrite").parquet(target)
+    return merge_into_store(normalize(in_landing_order(batch), keep=(SEQ,)), store_path, SEQ)
+
+
+def read_quarantine(spark: SparkSession, store_path: str) -> DataFrame:
+    """``source, identifier, reason, raw`` of everything that could not be decoded."""
+    schema = "source string, identifier string, reason string, raw string"
+    if not path_exists(spark, quarantine_path(store_path)):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{quarantine_path(store_path)}/batch=*")
+
+
 def start_ingest(spark: SparkSession, upstreams: list[Upstream], store_path: str,
                  checkpoint: str | None = None, available_now: bool = True,
-                 interval: str = K.POLL_INTERVAL, on_batch=None):
+                 interval: str = K.POLL_INTERVAL):
     """Start the ingest query over all upstreams; returns the StreamingQuery.
-
-    ``on_batch(batch, batch_id)`` replaces the default merge (used by the
-    polling cycle to reconcile after merging)."""
-    checkpoint = checkpoint or scratch_path(spark, "ingest-checkpoint")
+    ``query.batch_progress`` holds the last batches' metrics."""
     streams = [read_upstream(spark, up) for up in upstreams]
     src = streams[0]
     for s in streams[1:]:
         src = src.unionByName(s)
-    progress: list[dict] = []
+    progress: deque[dict] = deque(maxlen=100)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        progress.append({"batch_id": batch_id, **merge_into_store(batch, store_path)})
+        progress.append({"batch_id": batch_id, **load_batch(batch, batch_id, store_path)})
 
-    w = src.writeStream.foreachBatch(on_batch or each).option("checkpointLocation", checkpoint)
+    w = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint or f"{store_path}-checkpoint")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     query = w.start()
     query.batch_progress = progress
@@ -135,7 +129,16 @@ def start_ingest(spark: SparkSession, upstreams: list[Upstream], store_path: str
 
 def run_once(spark: SparkSession, upstreams: list[Upstream], store_path: str,
              checkpoint: str | None = None) -> DataFrame:
-    """Process everything landed so far (availableNow) and return the store."""
+    """Process everything landed since the last run and return the store."""
     q = start_ingest(spark, upstreams, store_path, checkpoint, available_now=True)
     q.awaitTermination()
     return read_store(spark, store_path)
+
+
+def backfill(spark: SparkSession, up: Upstream, store_path: str, since: int | None = None) -> dict:
+    """Load the landed pages of one source again, from event time ``since`` on
+    (rows without an event time are loaded too).  The merge is idempotent."""
+    rows = normalize(in_landing_order(read_upstream(spark, up, streaming=False)), keep=(SEQ,))
+    if since is not None:
+        rows = rows.filter(F.col("creation_date").isNull() | (F.col("creation_date") >= since))
+    return merge_into_store(rows, store_path, SEQ)

@@ -101,7 +101,7 @@ def test_open_schema_flattening(spark):
                                           empty={}, n=None, s="{not json"),
                      dest={"pub": "k", "routes": []})
     r = one(spark, t)
-    assert r.extra == {"a/b/c/d/e": '{"f":1}', "a/x": "[1,2]", "boostagram/empty": "{}",
+    assert r.extra == {"a/b/c/d/e/f": "1", "a/x": "[1,2]", "boostagram/empty": "{}",
                        "boostagram/s": "{not json", "dest/pub": "k", "dest/routes": "[]"}
 
 
@@ -151,3 +151,45 @@ def test_empty_page(spark):
     assert normalize(parse_node_pages(pages), "node_a").count() == 0
     wallet = spark.createDataFrame([("[]",)], "value string")
     assert normalize(parse_wallet_pages(wallet), "wallet").count() == 0
+
+
+def test_flatten_to_full_depth(spark):
+    value = 1
+    for level in range(20, 0, -1):
+        value = {f"k{level}": value, f"n{level}": "{}"}
+    r = one(spark, node_invoice("1", "1", boostagram(action="boost", foo=value)))
+    path = "foo/" + "/".join(f"k{i}" for i in range(1, 21))
+    assert r.extra[path] == "1" and r.extra["foo/k1/k2/n3"] == "{}" and len(r.extra) == 21
+
+
+def test_no_record_ends_the_job_or_escapes(spark):
+    """On a bare session: amounts, epochs, repeated keys, cut and pretty pages, keysend."""
+    policy = spark.conf.get("spark.sql.mapKeyDedupPolicy")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "EXCEPTION")
+    try:
+        invoices = [node_invoice("1", "5", boostagram(value_msat_total="1e30")), node_invoice("2", "5", boostagram(value_msat_total="NaN")),
+                    node_invoice("3", "1725148800000000000"), '{"add_index":"4","creation_date":"7","x":"1","x":"2","memo":"a","memo":"b"}',
+                    node_invoice("5", "5", keysend="***"), '{"creation_date":"9"}', "{cut"]
+        whole = '{"invoices":[' + ",".join(json.dumps(i) for i in invoices) + "]}"
+        pages = spark.createDataFrame([(whole,), ('{"invoices":[{"add_index":"8"},{"add_',), ("{",), ('  "invoices": []',), ("}",), ("",)], "value string")
+        parsed = parse_node_pages(pages).withColumn("source", F.lit("node_a"))
+        rows = {r.identifier: r for r in normalize(parsed).collect()}
+        failed = sorted((r.reason, r.identifier or r.raw) for r in quarantine(parsed).collect())
+    finally:
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", policy)
+    assert rows["1"].value_msat_total is None and rows["2"].value_msat_total is None
+    assert rows["3"].creation_date == 1725148800000000000 and rows["3"].created_at is None
+    assert rows["4"].memo == "b" and rows["4"].extra == {"invoice/x": "2"}
+    assert len(rows) == 7 and sum(i.startswith("raw:") for i in rows) == 2
+    assert [f for f in failed if f[0] != "page"] == [("amount", "1"), ("amount", "2"), ("creation_date", "3"),
+                                                    ("invoice_json", next(i for i in rows if i.startswith("raw:") and rows[i].creation_date is None)),
+                                                    ("keysend_base64", "5")]
+    assert [f[1] for f in failed if f[0] == "page"] == ['  "invoices": []', "{", '{"invoices":[{"add_index":"8"},{"add_', "}"]
+
+
+def test_load_since_mark_keeps_rows_without_time_or_mark(spark):
+    from satledger.operators.merge import load_since_mark
+
+    raw_rows = spark.createDataFrame([("a", "1", 5), ("a", "2", 15), ("a", "3", None), ("new", "4", 1)], "source string, identifier string, creation_date bigint")
+    marks = spark.createDataFrame([("a", 10)], "source string, hwm bigint")
+    assert sorted(r.identifier for r in load_since_mark(raw_rows, marks).collect()) == ["2", "3", "4"]

@@ -9,15 +9,15 @@ def test_upsert_attribute_level(spark):
     old = invoices(spark, [boost(1, 10, "a", 5, message="hello", app="x"), boost(2, 11, "b", 6)])
     new = invoices(spark, [boost(1, 10, "a", 5, message=None, app="patched"),
                            boost(3, 12, "c", 7)])
-    got = {r.identifier: (r.message, r.app_name) for r in merge.upsert(old, new).collect()}
+    got = {r.identifier: (r.message, r.app_name) for r in merge.upsert(old, new.withColumn("seq", F.lit(1)), "seq").collect()}
     assert got == {"1": ("hello", "patched"), "2": (None, "app_1"), "3": (None, "app_1")}
 
 
 def test_upsert_idempotent_and_key_is_source_plus_identifier(spark):
     a = invoices(spark, [boost(7, 10, "a", 5, source="node_a"), boost(7, 11, "b", 6, source="node_b")])
-    once = merge.upsert(a, a)
+    once = merge.upsert(a, a.withColumn("seq", F.lit(1)), "seq")
     assert once.count() == 2
-    assert sorted(map(tuple, merge.upsert(once, a).collect())) == sorted(map(tuple, once.collect()))
+    assert sorted(map(tuple, merge.upsert(once, a.withColumn("seq", F.lit(1)), "seq").collect())) == sorted(map(tuple, once.collect()))
 
 
 def test_upsert_sequence_within_batch(spark):

@@ -1,10 +1,16 @@
 """The partitioned store: day pruning reaches the scan, results unchanged."""
+import pytest
+from pyspark.sql import functions as F
+
+import satledger.sources.store as store_module
 from conftest import SF0001
 from satledger.plans import params as P
-from satledger.operators import merge, report
+from satledger.operators import report
 from satledger.session import scratch_path
 from satledger.sources.adapter import load_invoices
-from satledger.sources.store import read_store, write_store
+from satledger.schemas import INVOICES
+from satledger.sources.store import manifest, read_store, write_store
+from satledger.streaming.ingest import merge_into_store
 
 
 def test_report_on_store_prunes_days(spark):
@@ -21,16 +27,74 @@ def test_report_on_store_prunes_days(spark):
     assert "PartitionFilters: [isnotnull(day" in plan and "2024-01-16" in plan
 
 
-def test_upsert_into_store_rewrites_touched_partitions(spark):
-    from pyspark.sql import functions as F
+def frame(spark, rows):
+    """Rows of (source, identifier, creation_date, message, app_name, seq)."""
+    schema = "source string, identifier string, creation_date bigint, message string, app_name string, seq bigint"
+    df = spark.createDataFrame(rows, schema)
+    typed = {f.name: f.dataType for f in INVOICES.fields}
+    return df.select(*[F.col(n) if n in df.columns else F.lit(None).cast(t).alias(n) for n, t in typed.items()], "seq")
 
-    inv = load_invoices(spark, SF0001)
+
+DAY = 86400
+BATCHES = [
+    [("a", "1", 10 * DAY, "m1", "x", 1), ("a", "2", None, "no time", None, 2), ("a", "3", 10 * DAY, "v1", "y", 4),
+     ("a", "3", 10 * DAY, "v2", None, 5), ("b", "1", 11 * DAY, "other source", None, 3)],
+    [("a", "9", None, "also none", None, 6), ("a", "1", 12 * DAY, None, "moved", 7), ("a", "4", 10 * DAY, "new key", None, 8)],
+    [("a", "2", 13 * DAY, None, "got a time", 9), ("a", "3", None, "v3", None, 10), ("a", "5", 9_999_999_999_999_999, "far", None, 11)],
+]
+WANT = [("a", "1", 12 * DAY, "m1", "moved", "1970-01-13"), ("a", "2", 13 * DAY, "no time", "got a time", "1970-01-14"),
+        ("a", "3", 10 * DAY, "v3", "y", "1970-01-11"), ("a", "4", 10 * DAY, "new key", None, "1970-01-11"),
+        ("a", "5", 9_999_999_999_999_999, "far", None, "none"), ("a", "9", None, "also none", None, "none"),
+        ("b", "1", 11 * DAY, "other source", None, "1970-01-12")]
+COLS = ["source", "identifier", "creation_date", "message", "app_name", "day"]
+
+
+def rows_of(spark, path):
+    return sorted((tuple(r) for r in read_store(spark, path).select(*COLS).collect()), key=lambda r: r[:2])
+
+
+def test_merge_is_lossless(spark):
+    """Null days, moved days, versions in a batch in any order, replays."""
+    for flip in (False, True):
+        path = scratch_path(spark, "store")
+        for batch in BATCHES:
+            for _ in range(2):  # a replayed batch changes nothing
+                merge_into_store(frame(spark, batch[::-1] if flip else batch).repartition(3), path, "seq")
+        assert rows_of(spark, path) == WANT
+
+
+def test_merge_reads_only_the_days_of_its_keys(spark):
     path = scratch_path(spark, "store")
-    write_store(inv, path)
-    store = read_store(spark, path)
-    patch = inv.filter(F.col("identifier") == "10").withColumn("message", F.lit("patched"))
-    merged = merge.upsert(store.drop("day"), patch).checkpoint()
-    write_store(merged, path)
-    again = read_store(spark, path)
-    assert again.count() == inv.count()
-    assert again.filter(F.col("identifier") == "10").first().message == "patched"
+    for batch in BATCHES:
+        merge_into_store(frame(spark, batch), path, "seq")
+    before = manifest(spark, path)
+    merge_into_store(frame(spark, [("b", "1", 11 * DAY, "changed", None, 20), ("a", "77", 10 * DAY, "added", None, 21)]), path, "seq")
+    after = manifest(spark, path)
+    assert after["data"]["source=b/day=1970-01-12"] == [after["version"]]
+    assert after["data"]["source=a/day=1970-01-11"] == before["data"]["source=a/day=1970-01-11"] + [after["version"]]
+    assert {p for p in after["data"] if after["data"][p] != before["data"].get(p)} == {"source=b/day=1970-01-12", "source=a/day=1970-01-11"}
+
+
+def test_delete_and_crash_before_the_switch(spark, monkeypatch):
+    path = scratch_path(spark, "store")
+    for batch in BATCHES:
+        merge_into_store(frame(spark, batch), path, "seq")
+    monkeypatch.setattr(store_module, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError):
+        merge_into_store(frame(spark, [("a", "1", 1, "lost", None, 30)]), path, "seq")
+    monkeypatch.undo()
+    assert rows_of(spark, path) == WANT
+    store_module.delete_rows(spark.createDataFrame([("a", "9"), ("b", "1"), ("a", "unknown")], "source string, identifier string"), path)
+    assert rows_of(spark, path) == [r for r in WANT if r[:2] not in (("a", "9"), ("b", "1"))]
+    assert "source=b/day=1970-01-12" not in manifest(spark, path)["data"]
+
+
+def test_vacuum_keeps_what_recent_manifests_name(spark):
+    path = scratch_path(spark, "store")
+    for i in range(store_module.KEPT + 3):
+        merge_into_store(frame(spark, [("a", "1", 10 * DAY, f"m{i}", None, i)]), path, "seq")
+    assert [r[3] for r in rows_of(spark, path)] == [f"m{store_module.KEPT + 2}"]
+    versions = store_module._versions(spark, path)
+    assert len(versions) == store_module.KEPT
+    found = spark.read.parquet(f"{path}/data").select("v").distinct().collect()
+    assert {r["v"] for r in found} <= set(versions)

@@ -34,7 +34,7 @@ def test_stream_equals_batch(spark):
     node = normalize(parse_node_pages(spark.read.text(f"{base}/node/*")), "node_a")
     wallet = normalize(parse_wallet_pages(spark.read.text(f"{base}/wallet/*")), "wallet")
     batch = node.unionByName(wallet)
-    batch = upsert(batch.limit(0), batch).select(*store.columns)
+    batch = upsert(batch.limit(0), batch.withColumn("seq", F.monotonically_increasing_id()), "seq").select(*store.columns)
     key = ["source", "identifier"]
     assert store.count() == batch.count() == 31 + 9
     cols = [c for c in store.columns if c != "extra"]
@@ -108,3 +108,52 @@ def test_cycle_without_missing_ids_writes_nothing(spark):
     assert sync_reporting(*args, as_of=5000, since=0).count() == 2
     after = {p: os.stat(p).st_mtime_ns for p in glob.glob(f"{base}/copies/**/*.parquet", recursive=True)}
     assert after == before
+
+
+def _land(spark, base, name, invoices):
+    page = json.dumps({"invoices": [json.loads(i) if isinstance(i, str) else i for i in invoices]})
+    spark.createDataFrame([(page,)], "value string").coalesce(1).write.mode("append").text(f"{base}/{name}")
+
+
+def test_cycles_reconcile_without_new_pages_and_survive_a_failure(spark, monkeypatch):
+    import satledger.streaming.cycle as cycle
+
+    base = scratch_path(spark, "cycles")
+    at = 1725148800
+    _land(spark, base, "node_b", [node_invoice("1", str(at), boostagram(action="boost", sender_name="a", value_msat_total=1000))])
+    _land(spark, base, "node_a", [node_invoice("2", str(at + 5000), boostagram(action="boost", sender_name="b", value_msat_total=2000))])
+    ups = [Upstream(n, f"{base}/{n}", NODE) for n in ("node_a", "node_b")]
+    times = iter([at + 5100, at + 5100, at + 9000])  # held back until 600 s after the row
+    seen, real = [], cycle.sync_reporting
+
+    def sync(*args, **kw):
+        if len(seen) == 1 and "failed" not in seen:
+            seen.append("failed")
+            raise RuntimeError("a cycle fails")
+        out = real(*args, **kw)
+        seen.append(sorted((r.source, r.identifier) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(cycle, "sync_reporting", sync)
+    failed = cycle.run_cycles(spark, ups, f"{base}/store", f"{base}/copies", "node_b", ["node_a"], cycles=3,
+                              clock=lambda: next(times), wait=lambda s: None)
+    assert failed == 1 and seen == [[("node_b", "1")], "failed", [("node_a", "2"), ("node_b", "1")]]
+
+
+def test_everything_landed_is_in_store_or_quarantine_and_a_rerun_loads_nothing(spark):
+    from satledger.sources.store import manifest
+    from satledger.streaming.ingest import backfill, read_quarantine
+
+    base = scratch_path(spark, "landed")
+    _land(spark, base, "node_a", [node_invoice("1", "100", "!!"), node_invoice("2", "200")])
+    spark.createDataFrame([('{"invoices":[{"add_index":',)], "value string").coalesce(1).write.mode("append").text(f"{base}/node_a")
+    up = Upstream("node_a", f"{base}/node_a", NODE)
+    store = run_once(spark, [up], f"{base}/store")
+    assert sorted(r.identifier for r in store.collect()) == ["1", "2"]
+    bad = {(r.reason, r.identifier) for r in read_quarantine(spark, f"{base}/store").collect()}
+    assert bad == {("page", None), ("boost_base64", "1")}
+    version = manifest(spark, f"{base}/store")["version"]
+    run_once(spark, [up], f"{base}/store")
+    assert manifest(spark, f"{base}/store")["version"] == version
+    assert backfill(spark, up, f"{base}/store", since=150)["rows"] == 1
+    assert store.count() == 2
