@@ -17,8 +17,9 @@ A byte goes when a ``LENGTH``-byte string that covers it also starts elsewhere.
    Collections are runs of shuffled partitions, read in sequence; the full
    transform of the corpus, with one round per symbol of its longest document, is
    not built.
-4. Anchors with more than ``HOT`` contexts would be one growing group; their
-   windows are counted by hash instead, with partial sums.
+4. An anchor with more than ``HOT`` contexts is split: by blocks of its windows and
+   the bytes that all windows of a block share, then by smaller blocks; single
+   windows at last are counted by hash, with partial sums.
 
 Documents of equal text are known by digest; such text repeats as a whole.
 """
@@ -39,6 +40,8 @@ LENGTH = 200
 GRAM = 64
 #: Contexts of one anchor that one task resolves at most.
 HOT = 500
+#: Window starts per block when an anchor of very many contexts is split.
+BLOCKS = (32, 8)
 #: Contexts that are sorted together.
 COLLECTION = 20_000
 #: Anchors that a task holds before it sends them on.
@@ -354,24 +357,30 @@ def _resolve(length: int, gram: int):
     return run
 
 
-def _windows(length: int):
-    """Every window of a context by its hash."""
-    schema = pa.schema([("anchor", pa.int64()), ("window", pa.int64()), ("key", pa.binary()), ("start", pa.int64())])
-
+def _split(length: int, width: int):
+    """Contexts cut to blocks of ``width`` window starts, counted from the anchor; in
+    place of the anchor a hash of it, the block and the bytes that all windows of the
+    block cover: equal windows agree in these."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for anchor, key, at, low, high, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                rows += [(anchor, xxhash.xxh3_64_intdigest(text[o:o + length]) >> 1, key, at - low + o) for o in range(high + 1)]
+                for block in range((low - high) // width, low // width + 1):
+                    far, near = min(low, block * width + width - 1), max(low - high, block * width)
+                    core = text[low - block * width:low - (block * width + width - 1) + length]
+                    name = xxhash.xxh3_64_intdigest(core, seed=(anchor * 512 + block) % (1 << 64)) >> 1
+                    rows.append((name, key, at, far, far - near, text[low - far:low - near + length]))
             for a in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[a:a + 20_000]), schema.types)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[a:a + 20_000]), _CONTEXT_ARROW.types)], schema=_CONTEXT_ARROW)
 
     return run
 
 
 def _start_marks(batches) -> Iterator[pa.RecordBatch]:
+    """Every context as one found mark."""
     for batch in batches:
-        marks = mark(np.array(batch.column(1).to_pylist(), np.int64), 0) << np.uint64(8)
+        at, low, high = (np.array(batch.column(i).to_pylist(), np.int64) for i in (1, 2, 3))
+        marks = mark(at - low, high) << np.uint64(8)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes() for m in marks], pa.binary())], schema=_FOUND_ARROW)
 
 
@@ -424,14 +433,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
 
     sends = marked.where("send").groupBy("key").agg(F.collect_list("marks").alias("marks"))
     contexts = store(_with(texts, sends).mapInArrow(_cut(length, gram), _CONTEXT), "repeat-contexts")
-    crowded = store(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"), "repeat-hot")
-    few = contexts.join(crowded, "anchor", "left_anti").repartition(parts, "anchor").sortWithinPartitions("anchor")
-    found = few.mapInArrow(_resolve(length, gram), _FOUND)
-    windows = store(contexts.join(crowded, "anchor", "left_semi").mapInArrow(_windows(length), "anchor bigint, window bigint, key binary, start bigint"), "repeat-windows")
-    twice = store(windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window"), "repeat-twice")
-    counted = windows.join(twice, ["anchor", "window"], "left_semi").select("key", "start").mapInArrow(_start_marks, _FOUND)
-
-    partial = marked.where("not send").select("key", "marks").unionByName(found).unionByName(counted)
+    found = []
+    for width in (*BLOCKS, 1):
+        crowded = store(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"), "repeat-hot")
+        split = not crowded.isEmpty()
+        few = contexts.join(crowded, "anchor", "left_anti") if split else contexts
+        found.append(few.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_resolve(length, gram), _FOUND))
+        if not split:
+            break
+        contexts = store(contexts.join(crowded, "anchor", "left_semi").mapInArrow(_split(length, width), _CONTEXT), "repeat-split")
+    else:  # single windows: those of one name are equal
+        twice = store(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeat-twice")
+        found.append(contexts.join(twice, "anchor", "left_semi").select("key", "at", "low", "high").mapInArrow(_start_marks, _FOUND))
+
+    partial = marked.where("not send").select("key", "marks")
+    for more in found:
+        partial = partial.unionByName(more)
     partial = partial.join(copies, "key", "left_anti").groupBy("key").agg(F.collect_list("marks").alias("marks"))
     gone = partial.select("key", F.lit(False).alias("copied"), "marks").unionByName(
         copies.select("key", F.lit(True).alias("copied"), F.array().cast("array<binary>").alias("marks")))
