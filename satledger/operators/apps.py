@@ -1,7 +1,7 @@
 """App share (A14) and first streamer per episode."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from satledger import constants as K
@@ -9,7 +9,8 @@ from satledger.functions.columns import epoch_of
 
 
 def app_share(inv: DataFrame) -> DataFrame:
-    """Share of boosts per app, percent rounded half up.
+    """Share of boosts per app, percent rounded half up, largest first;
+    ``rank`` is the place in this order (app breaks ties; one row per app).
 
     The total is the true sum of the per-app counts (H6: the reference adds
     equal counts once).  It is a scalar subquery over the grouped result, so
@@ -19,7 +20,8 @@ def app_share(inv: DataFrame) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n")).scalar()
     pct = F.floor(F.lit(100.0) * (F.col("n").cast("double") / total.cast("double")) + F.lit(0.5))
-    return counts.select("app", "n", pct.cast("bigint").alias("percent"))
+    place = F.row_number().over(Window.orderBy(F.col("n").desc(), "app"))
+    return counts.select("app", "n", pct.cast("bigint").alias("percent"), place.cast("bigint").alias("rank")).orderBy("rank")
 
 
 def first_streamer_per_episode(inv: DataFrame) -> DataFrame:

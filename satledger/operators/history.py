@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from satledger import constants as K
 from satledger.functions.columns import epoch_of
 from satledger.functions.predicates import fixed_show_match, show_match
+from satledger.sources.store import NO_DAY, day_of
 
 # Fields pulled by the legacy extracts.
 LEGACY_FIELDS = ["app_name", "podcast", "episode", "sender_name_normalized",
@@ -29,13 +30,19 @@ def last_seen_time(inv: DataFrame, identifier: str, source: str | None = None) -
     return inv.filter(cond).agg(F.min("creation_date")).scalar()
 
 
+def _later(inv: DataFrame, bound: Column) -> DataFrame:
+    """Rows after an event time; on the store its day prunes the partitions too."""
+    if "day" in inv.columns:
+        inv = inv.filter((F.col("day") >= day_of(bound)) & (F.col("day") != NO_DAY))
+    return inv.filter(F.col("creation_date") > bound)
+
+
 def since_identifier(inv: DataFrame, identifier: str, pattern: str, source: str | None = None,
                      show_literal: str | None = None) -> DataFrame:
     """Boosts after the last-seen invoice whose podcast matches the
     fixed, case-sensitive show pattern or equals ``show_literal``."""
     bound = last_seen_time(inv, identifier, source)
-    return inv.filter((F.col("creation_date") > bound)
-                      & (F.col("action") == F.lit(K.ACTION_BOOST))
+    return _later(inv, bound).filter((F.col("action") == F.lit(K.ACTION_BOOST))
                       & F.col("podcast").isNotNull()
                       & fixed_show_match(pattern, show_literal, on="podcast"))
 
@@ -77,8 +84,7 @@ def boosts_by_show(inv: DataFrame, identifier: str, pattern: str,
     """Boosts after the last-seen invoice for a show regex (podcast or
     episode-with-default), event time descending."""
     bound = last_seen_time(inv, identifier, source)
-    return (_extract(inv.filter((F.col("action") == F.lit(K.ACTION_BOOST))
-                                & (F.col("creation_date") > bound)
+    return (_extract(_later(inv, bound).filter((F.col("action") == F.lit(K.ACTION_BOOST))
                                 & show_match(pattern)),
                      ["value_msat_total", "creation_date"])
             .orderBy(F.col("creation_date").desc(), "source", "identifier"))
@@ -98,8 +104,7 @@ def summary(base: DataFrame) -> DataFrame:
 def stream_window(inv: DataFrame, identifier: str, pattern: str,
                   source: str | None = None) -> DataFrame:
     bound = last_seen_time(inv, identifier, source)
-    return inv.filter((F.col("creation_date") > bound)
-                      & (F.col("action") == F.lit(K.ACTION_STREAM))
+    return _later(inv, bound).filter((F.col("action") == F.lit(K.ACTION_STREAM))
                       & show_match(pattern)
                       & F.col("value_sat_total").isNotNull()
                       & F.col("sender_name_normalized").isNotNull())

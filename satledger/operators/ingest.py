@@ -22,14 +22,14 @@ from satledger.sources.store import EPOCHS
 MAP = "map<string,string>"
 
 
-PAGE = "page"
+PAGE = "broken_page"
 
 
 def _parsed(pages: DataFrame, text: str, invoices: Column) -> DataFrame:
     """One row per invoice with its JSON text (``raw``) and place (``pos``); a page that
-    does not parse is one row with its text in ``page`` and no ``raw``."""
+    does not parse is one row with its text in ``broken_page`` and no ``raw``."""
     keep = [c for c in pages.columns if c != text]
-    item = "struct<raw:string,page:string>"
+    item = f"struct<raw:string,{PAGE}:string>"
     broken = F.array(F.struct(F.lit(None).cast("string").alias("raw"), F.col(text).alias(PAGE)))
     rows = F.when(F.trim(F.col(text)) == "", F.array().cast(f"array<{item}>")) \
         .when(F.col("_invoices").isNull(), broken) \

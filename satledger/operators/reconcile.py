@@ -7,7 +7,7 @@ anti join (map-side partial aggregation collapses the hot key), and AQE's skew
 handling splits the hot partition of the semi join."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from satledger import constants as K
@@ -84,7 +84,8 @@ def reconcile(dest: DataFrame, src: DataFrame, since: int, as_of: int,
 
 def find_similar(inv: DataFrame, action: str, sender: str, timestamp: int, delta: int) -> DataFrame:
     """N12 point form: same action and sender within ``[t - d, t + d]``."""
-    return inv.filter((F.col("action") == F.lit(action))
+    return prune_days(inv, timestamp - delta, timestamp + delta).filter(
+        (F.col("action") == F.lit(action))
                       & (F.col("sender_name_normalized") == F.lit(sender))
                       & F.col("creation_date").between(timestamp - delta, timestamp + delta))
 
@@ -103,7 +104,7 @@ def similar_pairs(inv: DataFrame, delta: int, action: str | None = None) -> Data
         cond = cond & (F.col("action") == F.lit(action))
     base = inv.filter(cond).select(
         "action", F.col("sender_name_normalized").alias("sender"), "source", "identifier",
-        "creation_date", F.floor(F.col("creation_date") / F.lit(delta)).cast("bigint").alias("bucket"))
+        "creation_date", F.floor(F.col("creation_date") / F.lit(max(delta, 1))).cast("bigint").alias("bucket"))
     a = base.alias("a")
     b = base.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"),
                                                     F.col("bucket") + 1))).alias("b")
@@ -120,3 +121,26 @@ def similar_pairs(inv: DataFrame, delta: int, action: str | None = None) -> Data
              F.col("b.source").alias("source_b"), F.col("b.identifier").alias("identifier_b"),
              F.col("b.creation_date").alias("creation_date_b"))
 
+
+
+def similar_counts(inv: DataFrame, delta: int, action: str | None = None) -> DataFrame:
+    """N12 batch form: each payment that has others of its action and sender within
+    ``delta`` seconds, with their number and the time to the nearest.
+
+    The payments of a sender are first counted per second; a window then runs over
+    the seconds of one bucket of ``delta`` and its two neighbours, so no partition
+    holds more than three ``delta`` rows, and the output is linear in the input."""
+    cond = F.col("action").isNotNull() & F.col("sender_name_normalized").isNotNull() & F.col("creation_date").isNotNull()
+    if action is not None:
+        cond = cond & (F.col("action") == F.lit(action))
+    base = inv.filter(cond).select("action", F.col("sender_name_normalized").alias("sender"), "source", "identifier", "creation_date")
+    key = ["action", "sender", "creation_date"]
+    home = F.floor(F.col("creation_date") / F.lit(max(delta, 1))).cast("bigint")
+    seconds = base.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("home", home)
+    spread = seconds.withColumn("bucket", F.explode(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1)))
+    order = Window.partitionBy("action", "sender", "bucket").orderBy("creation_date")
+    gap = F.least(F.col("creation_date") - F.lag("creation_date").over(order), F.lead("creation_date").over(order) - F.col("creation_date"))
+    near = spread.select(*key, "home", "bucket", (F.sum("n").over(order.rangeBetween(-delta, delta)) - 1).alias("neighbours"),
+                         F.when(F.col("n") > 1, F.lit(0).cast("bigint")).otherwise(gap).alias("nearest"))
+    near = near.filter((F.col("bucket") == F.col("home")) & (F.col("neighbours") > 0)).drop("home", "bucket")
+    return base.join(near, key).select("action", "sender", "source", "identifier", "creation_date", "neighbours", "nearest")

@@ -71,7 +71,7 @@ def per_sender(window: DataFrame) -> DataFrame:
     counted = F.col(SENDER).isNotNull() & sats.isNotNull()
     boost, stream = _is(K.ACTION_BOOST), _is(K.ACTION_STREAM)
     cb, cs = counted & boost, counted & stream
-    first_key = F.struct("creation_date", "source", "identifier")
+    first_key = F.struct("created_at", "source", "identifier")
     return window.groupBy(F.col(SENDER).alias("sender")).agg(
         F.sum(F.when(cb, sats)).alias("boost_sats"),
         F.count_if(cb).alias("boost_count"),
@@ -159,7 +159,7 @@ def sender_details(window: DataFrame) -> DataFrame:
     sender is never sorted in one task.
     """
     boosts = _counted(window).filter(_is(K.ACTION_BOOST))
-    order_key = F.struct("creation_date", "source", "identifier")
+    order_key = F.struct("created_at", "source", "identifier")
     first = (boosts.groupBy(F.col(SENDER).alias("sender"))
              .agg(F.min(order_key).alias("_first")))
     return (boosts.join(first, boosts[SENDER] == first["sender"], "inner")

@@ -164,10 +164,16 @@ def high_water_mark(spark, sf_dir):
     return merge.high_water_marks(_inv(spark, sf_dir), spark, K.SOURCES + ["node_c"])
 
 
+def _shared(inv: DataFrame, source) -> DataFrame:
+    """Payments that another source knows too: the same content under its own key."""
+    return (inv.filter((F.col("source") != "node_b") & (F.col("identifier").cast("bigint") % P.SHARED_EVERY == 0))
+            .withColumn("source", source).withColumn("identifier", F.concat(F.lit("copy "), "identifier")))
+
+
 def _split(spark, sf_dir):
     inv = _inv(spark, sf_dir)
-    eid = F.col("identifier").cast("bigint")
-    return inv.filter(eid % 2 == 0), inv.filter(eid % 3 != 0)
+    own = F.col("source") == "node_b"
+    return inv.filter(own).unionByName(_shared(inv, F.lit("node_b"))), inv.filter(~own)
 
 
 @register
@@ -198,7 +204,7 @@ def reconcile_merged(spark, sf_dir):
 
 @register
 def similar_payments(spark, sf_dir):
-    return reconcile.similar_pairs(_inv(spark, sf_dir), P.SIMILAR_DELTA)
+    return reconcile.similar_counts(_inv(spark, sf_dir), P.SIMILAR_DELTA)
 
 
 def _patched(inv: DataFrame) -> DataFrame:
@@ -238,7 +244,9 @@ def since_identifier_boosts(spark, sf_dir):
 
 @register
 def since_identifier_ballers(spark, sf_dir):
-    return history.ballers(_legacy_base(spark, sf_dir))
+    large = _inv(spark, sf_dir).withColumn("value_sat_total", F.col("value_sat_total") * P.BALLER_SCALE)
+    return history.ballers(history.since_identifier(large, P.LAST_SEEN_ID, P.SHOW_PATTERN, P.LAST_SEEN_SOURCE,
+                                                    show_literal=P.LEGACY_LITERAL))
 
 
 @register
@@ -352,11 +360,9 @@ def report_all_shows_summary(spark, sf_dir):
 # --- Markdown links ------------------------------------------------------------------------
 
 def _page_docs(spark, sf_dir):
-    """Markdown text per page: a link to the page, a link home, then the
-    page's whole HTML (which carries no Markdown links of its own)."""
+    """The whole HTML of each page with its anchors turned into Markdown links."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    text = F.concat(F.lit("[page "), F.col("page_id").cast("string"), F.lit("]("), F.col("url"),
-                    F.lit(' "t") and [home](/) '), F.coalesce(F.col("html"), F.lit("")))
+    text = F.regexp_replace(F.coalesce("html", F.lit("")), r'<a href="([^"]*)">([^<]*)</a>', "[$2]($1)")
     return pages.select("page_id", F.col("url").alias("file_name"), text.alias("text"))
 
 
@@ -446,7 +452,60 @@ def reconcile_cycle(spark, sf_dir):
     from satledger.streaming.cycle import sync_reporting
 
     base = scratch_path(spark, "cycle")
-    write_store(_inv(spark, sf_dir), f"{base}/store")
+    inv = _inv(spark, sf_dir)
+    shared = _shared(inv, F.when(F.col("source") == "node_a", "wallet").otherwise("node_b"))
+    write_store(inv.unionByName(shared), f"{base}/store")
     rep = sync_reporting(spark, f"{base}/store", f"{base}/copies", "node_b", ["node_a", "wallet"],
                          as_of=P.AS_OF, since=P.SINCE_A)
     return rep.select("source", "identifier", "creation_date", "content_id")
+
+
+def _version(inv: DataFrame, seq: int, **values) -> DataFrame:
+    """A version of each row that carries its key and ``values`` only."""
+    types = dict(inv.dtypes)
+    cols = [F.col(c) if c in ("source", "identifier") else values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in INVOICE_COLUMNS]
+    return inv.select(*cols, F.lit(seq).alias("seq"))
+
+
+@register
+def store_merge(spark, sf_dir):
+    """N6 + S5 on the store: three batches with missing and moved event times and
+    several versions of a key in one batch."""
+    from satledger.session import scratch_path
+    from satledger.sources.store import read_store
+    from satledger.streaming.ingest import merge_into_store
+
+    inv, path = _inv(spark, sf_dir), scratch_path(spark, "store-merge")
+    eid, cd = F.col("identifier").cast("bigint"), F.col("creation_date")
+    first = inv.withColumn("creation_date", F.when(eid % 9 != 0, cd)).withColumn("seq", F.lit(1))
+    merge_into_store(_version(inv.filter(eid % 4 == 0), 2, app_name=F.lit("v2")).unionByName(first), path, "seq")
+    moved = _version(inv.filter(eid % 10 == 0), 3, app_name=F.lit("patched"), creation_date=F.when(eid % 20 == 0, cd + 3 * 86400))
+    merge_into_store(moved, path, "seq")
+    merge_into_store(_version(inv.filter((eid % 9 == 0) & (eid % 2 == 0)), 4, creation_date=cd), path, "seq")
+    return read_store(spark, path).select("source", "identifier", "app_name", "message", "creation_date", "day")
+
+
+@register
+def delete_from_store(spark, sf_dir):
+    """N13 on the store: only the partitions that hold the keys are rewritten."""
+    from satledger.session import scratch_path
+    from satledger.sources.store import delete_rows, read_store, write_store
+
+    inv, path = _inv(spark, sf_dir), scratch_path(spark, "store-delete")
+    write_store(inv, path)
+    delete_rows(inv.filter(F.col("identifier").cast("bigint") % P.DELETE_EVERY == 0), path)
+    return read_store(spark, path).select("source", "identifier", "creation_date", "day")
+
+
+@register
+def flatten_open(spark, sf_dir):
+    """I2 + I3: unknown keys nested ``P.NESTING`` levels deep, one row per flattened key."""
+    from satledger.operators.ingest import normalize
+
+    inner = F.concat(F.lit('"'), "message", F.lit('"'))
+    for level in range(P.NESTING, 0, -1):
+        inner = F.concat(F.lit(f'{{"k{level}":'), inner, F.lit("}"))
+    raw = F.concat(F.lit('{"add_index":"'), "identifier", F.lit('","foo":'), inner, F.lit("}"))
+    rows = _inv(spark, sf_dir).withColumn("message", F.translate(F.coalesce("message", F.lit("none")), "\n", " "))
+    norm = normalize(rows.select("source", raw.alias("raw")))
+    return norm.select("source", "identifier", F.explode("extra").alias("name", "value"))

@@ -27,7 +27,9 @@ base AS (
     CASE WHEN k % 7 = 0 THEN NULL ELSE 'Episode ' || CAST(k % 10 AS VARCHAR) END AS episode,
     CASE WHEN k % 6 = 5 THEN NULL ELSE 'app_' || CAST(k % 6 AS VARCHAR) END AS app_name,
     CAST(round(value * 60000) AS BIGINT) + event_id % 1000 AS value_msat_total,
-    CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'msg ' || CAST(event_id AS VARCHAR) END AS message
+    CAST(floor(epoch(ts)) AS BIGINT) + (event_id * 7919) % 1201 - 600 AS created_epoch,
+    CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'msg ' || CAST(event_id AS VARCHAR)
+         || CASE WHEN event_id % 5 = 0 THEN chr(10) || 'more' ELSE '' END END AS message
   FROM ev),
 invoices AS (
   SELECT *, value_msat_total // 1000 AS value_sat_total,
@@ -94,7 +96,7 @@ FLAT_COLS = """source, identifier, CAST(NULL AS VARCHAR) AS invoice_source, crea
   CAST(NULL AS VARCHAR) AS ts, CAST(NULL AS VARCHAR) AS time, CAST(NULL AS VARCHAR) AS guid,
   CAST(NULL AS VARCHAR) AS feedID, CAST(NULL AS VARCHAR) AS itemID,
   CAST(NULL AS VARCHAR) AS episode_guid, CAST(NULL AS VARCHAR) AS boost_uuid, content_id,
-  creation_date AS created_epoch"""
+  created_epoch"""
 
 
 def board_sql(action: str | None, since: str, pattern: str, literal: str) -> str:
@@ -103,7 +105,7 @@ def board_sql(action: str | None, since: str, pattern: str, literal: str) -> str
   SELECT coalesce(sender_name_normalized, 'N/A') AS sender, action, count(*) AS n,
          CAST(CAST(sum(value_msat_total) AS DECIMAL(38,0)) / 1000 AS DECIMAL(38,3)) AS amount
   FROM invoices
-  WHERE creation_date >= CAST(epoch(TIMESTAMP '{since}') AS BIGINT) AND {act}
+  WHERE created_epoch >= CAST(epoch(TIMESTAMP '{since}') AS BIGINT) AND {act}
     AND value_msat_total IS NOT NULL AND episode IS NOT NULL AND podcast IS NOT NULL
     AND (regexp_full_match(episode, '{pattern}') OR podcast = '{literal}')
   GROUP BY 1, 2)"""
@@ -117,8 +119,10 @@ def top_sql(action: str, by: str) -> str:
 ALL_BOARD = board_sql(None, K.ALL_ACTIONS_SINCE, P.ALL_ACTIONS_PATTERN, P.LEGACY_LITERAL)
 
 SPLIT = [
-    "dest AS (SELECT * FROM invoices WHERE event_id % 2 = 0)",
-    "src AS (SELECT * FROM invoices WHERE event_id % 3 <> 0)",
+    f"""shared AS (SELECT * REPLACE ('node_b' AS source, 'copy ' || identifier AS identifier) FROM invoices
+          WHERE source <> 'node_b' AND event_id % {P.SHARED_EVERY} = 0)""",
+    "dest AS (SELECT * FROM invoices WHERE source = 'node_b' UNION ALL SELECT * FROM shared)",
+    "src AS (SELECT * FROM invoices WHERE source <> 'node_b')",
     f"""dest_ids AS (SELECT DISTINCT content_id FROM dest
           WHERE creation_date > {P.SINCE_A} AND creation_date < {P.AS_OF})""",
     f"""src_ids AS (SELECT DISTINCT content_id FROM src
@@ -132,7 +136,7 @@ LEGACY_BASE = f"""legacy AS (SELECT * FROM invoices WHERE creation_date > {LAST_
   AND action = 'boost' AND podcast IS NOT NULL
   AND (regexp_full_match(podcast, '{P.SHOW_PATTERN}') OR podcast = '{P.LEGACY_LITERAL}'))"""
 LEGACY_COLS = ("app_name, podcast, episode, sender_name_normalized, value_sat_total, message, "
-               "source, identifier, creation_date AS created_epoch")
+               "source, identifier, created_epoch")
 STREAM_WIN = f"""sw AS (SELECT * FROM invoices WHERE creation_date > {LAST_SEEN}
   AND action = 'stream' AND {show_pred(SHOWS['Beta'])}
   AND value_sat_total IS NOT NULL AND sender_name_normalized IS NOT NULL)"""
@@ -152,7 +156,7 @@ SQL: dict[str, str] = {
     "valid_invoices": q(valid_cte(SHOWS["Alpha"], P.SINCE_B),
                         select="SELECT source, identifier, creation_date, action, sender_name_normalized FROM valid"),
     "report_rows": q(valid_cte(SHOWS["Alpha"], P.SINCE_A), select="""
-        SELECT source, identifier, creation_date AS created_epoch, creation_date, content_id,
+        SELECT source, identifier, created_epoch, creation_date, content_id,
                value_sat_total, sender_name_normalized, podcast, episode, app_name, message
         FROM valid WHERE action = 'boost'"""),
     "report_cutoff": q(valid_cte(SHOWS["Alpha"], P.SINCE_A),
@@ -160,7 +164,7 @@ SQL: dict[str, str] = {
     "report_senders": q(*window_ctes(SHOWS["All"], P.SINCE_A), select=SENDERS_SELECT),
     "report_senders_unplugged": q(*window_ctes(SHOWS["Alpha"], P.SINCE_B), select=SENDERS_SELECT),
     "report_sender_details": q(*window_ctes(SHOWS["Alpha"], P.SINCE_B), select="""
-        SELECT sender_name_normalized AS sender, creation_date, creation_date AS created_epoch, source,
+        SELECT sender_name_normalized AS sender, creation_date, created_epoch, source,
                identifier, value_sat_total, podcast, episode, app_name, message,
                row_number() OVER (PARTITION BY sender_name_normalized
                                   ORDER BY creation_date, source, identifier) = 1 AS is_first
@@ -179,10 +183,11 @@ SQL: dict[str, str] = {
     "app_share": q("""counts AS (SELECT coalesce(app_name, 'unknown_app') AS app, count(*) AS n
                       FROM invoices WHERE action = 'boost' GROUP BY 1)""", select="""
         SELECT app, n, CAST(floor(CAST(100.0 AS DOUBLE) * (CAST(n AS DOUBLE) /
-               CAST((SELECT sum(n) FROM counts) AS DOUBLE)) + 0.5) AS BIGINT) AS percent
+               CAST((SELECT sum(n) FROM counts) AS DOUBLE)) + 0.5) AS BIGINT) AS percent,
+               row_number() OVER (ORDER BY n DESC, app) AS rank
         FROM counts"""),
     "first_streamer_per_episode": q("""ranked AS (
-        SELECT episode, sender_name, creation_date AS created_epoch, app_name, value_sat_total, source,
+        SELECT episode, sender_name, created_epoch, app_name, value_sat_total, source,
                identifier, row_number() OVER (PARTITION BY episode
                                              ORDER BY creation_date, source, identifier) AS rn
         FROM invoices WHERE action = 'stream' AND episode IS NOT NULL)""", select="""
@@ -211,12 +216,12 @@ SQL: dict[str, str] = {
                                         creation_date FROM invoices
                                  WHERE action IS NOT NULL AND sender_name_normalized IS NOT NULL)""",
                           select=f"""
-        SELECT a.action, a.sender, a.source AS source_a, a.identifier AS identifier_a,
-               a.creation_date AS creation_date_a, b.source AS source_b, b.identifier AS identifier_b,
-               b.creation_date AS creation_date_b
+        SELECT a.action, a.sender, a.source, a.identifier, a.creation_date, count(*) AS neighbours,
+               min(abs(a.creation_date - b.creation_date)) AS nearest
         FROM s a JOIN s b ON a.action = b.action AND a.sender = b.sender
          AND abs(a.creation_date - b.creation_date) <= {P.SIMILAR_DELTA}
-         AND (a.source < b.source OR (a.source = b.source AND a.identifier < b.identifier))"""),
+         AND (a.source <> b.source OR a.identifier <> b.identifier)
+        GROUP BY 1, 2, 3, 4, 5"""),
     "upsert_merge": q(PATCHED, select="""
         SELECT i.source, i.identifier, coalesce(p.app_name, i.app_name) AS app_name,
                coalesce(p.message, i.message) AS message,
@@ -227,7 +232,9 @@ SQL: dict[str, str] = {
                                 WHERE event_id % {P.DELETE_EVERY} <> 0"""),
     "since_identifier_boosts": q(LEGACY_BASE, select=f"""
         SELECT {LEGACY_COLS}, value_msat_total, creation_date FROM legacy"""),
-    "since_identifier_ballers": q(LEGACY_BASE, select=f"SELECT {LEGACY_COLS} FROM legacy WHERE value_sat_total >= 20000"),
+    "since_identifier_ballers": q(LEGACY_BASE, select=f"""SELECT * FROM (
+        SELECT {LEGACY_COLS.replace('value_sat_total', f'value_sat_total * {P.BALLER_SCALE} AS value_sat_total')} FROM legacy)
+        WHERE value_sat_total >= 20000"""),
     "since_identifier_normal": q(LEGACY_BASE, select=f"""SELECT {LEGACY_COLS} FROM legacy
         WHERE value_sat_total >= 2000 AND value_sat_total < 20000"""),
     "since_identifier_thanks": q(LEGACY_BASE, select=f"SELECT {LEGACY_COLS} FROM legacy WHERE value_sat_total < 2000"),
@@ -243,7 +250,7 @@ SQL: dict[str, str] = {
                count(DISTINCT sender_name_normalized) AS streamers FROM sw"""),
     "since_identifier_stream_senders": q(STREAM_WIN, select="SELECT DISTINCT sender_name_normalized AS sender FROM sw"),
     "earliest_boost": q(select="""
-        SELECT source, identifier, creation_date, creation_date AS created_epoch FROM invoices
+        SELECT source, identifier, creation_date, created_epoch FROM invoices
         WHERE creation_date = (SELECT min(creation_date) FROM invoices WHERE action = 'boost')"""),
     "store_stats": q(select="SELECT count(*) AS invoices, max(creation_date) AS max_creation_date FROM invoices"),
     "decode_payload": q(select="""
@@ -304,7 +311,7 @@ UNION ALL SELECT 3, 0, NULL, NULL, 0, NULL, NULL, NULL, '## Thanks'
 UNION ALL SELECT section, 1, k1, sender, 0, NULL, NULL, NULL,
   '### From: ' || sender || {NL} || '+ ' || {d_comma('total_sats')} || ' sats' || {NL}
   || '+ ' || {d_comma('boost_count')} || ' boosts' FROM snd
-UNION ALL SELECT snd.section, 1, snd.k1, snd.sender, 1, det.creation_date, det.source, det.identifier,
+UNION ALL SELECT snd.section, 1, snd.k1, snd.sender, 1, det.created_epoch, det.source, det.identifier,
   CASE WHEN det.is_first THEN {_HEAD} || {_WHEN} ELSE {NL} || {_WHEN} END
   FROM det JOIN snd ON det.sender = snd.sender
 UNION ALL SELECT section, 1, k1, sender, 2, NULL, NULL, NULL, '' FROM snd
@@ -327,10 +334,10 @@ MARKDOWN_CTES = window_ctes(SHOWS["Alpha"], P.SINCE_B) + [
     f"sndr AS ({SENDERS_SELECT.strip()})",
     """snd AS (SELECT *, CASE tier WHEN 'baller' THEN 1 WHEN 'boost' THEN 2 ELSE 3 END AS section,
                   CASE WHEN tier = 'baller' THEN -total_sats ELSE first_boost END AS k1 FROM sndr)""",
-    """det AS (SELECT sender_name_normalized AS sender, creation_date, source, identifier, value_sat_total,
+    """det AS (SELECT sender_name_normalized AS sender, creation_date, created_epoch, source, identifier, value_sat_total,
                   podcast, episode, app_name, message,
                   row_number() OVER (PARTITION BY sender_name_normalized
-                                     ORDER BY creation_date, source, identifier) = 1 AS is_first
+                                     ORDER BY created_epoch, source, identifier) = 1 AS is_first
            FROM counted WHERE action = 'boost')""",
     f"summ AS ({SUMMARY_SELECT.strip()})",
 ]
@@ -392,7 +399,7 @@ SQL["report_all_shows_summary"] = q(*MULTI_CTES, f"names AS (SELECT * FROM (VALU
 _LINK = """'\\[(.+?)\\]\\((.+?)(?: "(.+?)")?\\)'"""
 SQL["markdown_links"] = f"""
 WITH t AS (SELECT page_id, url,
-             '[page ' || CAST(page_id AS VARCHAR) || '](' || url || ' "t") and [home](/) ' || coalesce(html, '')
+             regexp_replace(coalesce(html, ''), '<a href="([^"]*)">([^<]*)</a>', '[\\2](\\1)', 'g')
              AS text FROM pages),
 x AS (SELECT page_id, url, regexp_extract_all(text, {_LINK}, 1) AS texts,
              regexp_extract_all(text, {_LINK}, 2) AS links FROM t),
@@ -423,12 +430,12 @@ SQL["point_lookup"] = q(select=f"""
     WHERE identifier = '{P.LOOKUP_ID}'""")
 
 SQL["legacy_v1_rows"] = q(LEGACY_BASE, select="""
-    SELECT app_name, creation_date, creation_date AS created_epoch, episode, identifier, message, podcast,
+    SELECT app_name, creation_date, created_epoch, episode, identifier, message, podcast,
            sender_name_normalized AS sender_name, source, value_msat_total, value_sat_total FROM legacy""")
 
 SQL["markdown_listing"] = f"""
 WITH t AS (SELECT url AS file_name,
-             '[page ' || CAST(page_id AS VARCHAR) || '](' || url || ' "t") and [home](/) ' || coalesce(html, '')
+             regexp_replace(coalesce(html, ''), '<a href="([^"]*)">([^<]*)</a>', '[\\2](\\1)', 'g')
              AS text, TRY_CAST(regexp_replace(url, '[^0-9]', '', 'g') AS BIGINT) AS episode FROM pages),
 x AS (SELECT file_name, episode, regexp_extract_all(text, {_LINK}, 1) AS texts,
              regexp_extract_all(text, {_LINK}, 2) AS links FROM t),
@@ -440,17 +447,33 @@ FROM y
 UNION ALL
 SELECT file_name, episode, 2000000000, '' FROM t"""
 
-SQL["reconcile_cycle"] = q(select=f"""
-    SELECT source, identifier, creation_date, content_id FROM invoices WHERE source = 'node_b'
-    UNION ALL
-    SELECT source, identifier, creation_date, content_id FROM invoices
-    WHERE source IN ('node_a', 'wallet') AND content_id IN (
-      SELECT content_id FROM invoices WHERE source = 'node_a'
-        AND creation_date > {P.SINCE_A} AND creation_date < {P.AS_OF - K.HOLD_BACK_SECONDS}
-      EXCEPT SELECT content_id FROM invoices WHERE source = 'node_b'
-        AND creation_date > {P.SINCE_A} AND creation_date < {P.AS_OF}
-      UNION
-      SELECT content_id FROM invoices WHERE source = 'wallet'
-        AND creation_date > {P.SINCE_A} AND creation_date < {P.AS_OF - K.HOLD_BACK_SECONDS}
-      EXCEPT SELECT content_id FROM invoices WHERE source = 'node_b'
-        AND creation_date > {P.SINCE_A} AND creation_date < {P.AS_OF})""")
+
+_UNTIL = f"creation_date > {P.SINCE_A} AND creation_date < {P.AS_OF - K.HOLD_BACK_SECONDS}"
+SQL["reconcile_cycle"] = q(f"""stored AS (SELECT source, identifier, creation_date, content_id FROM invoices UNION ALL
+          SELECT CASE source WHEN 'node_a' THEN 'wallet' ELSE 'node_b' END, 'copy ' || identifier, creation_date, content_id
+          FROM invoices WHERE source <> 'node_b' AND event_id % {P.SHARED_EVERY} = 0)""",
+                           f"""own AS (SELECT * FROM stored WHERE source = 'node_b')""",
+                           f"""first AS (SELECT * FROM stored WHERE source = 'node_a' AND content_id IN (
+          SELECT content_id FROM stored WHERE source = 'node_a' AND {_UNTIL} EXCEPT
+          SELECT content_id FROM own WHERE creation_date > {P.SINCE_A} AND creation_date < {P.AS_OF}))""",
+                           f"""second AS (SELECT * FROM stored WHERE source = 'wallet' AND content_id IN (
+          SELECT content_id FROM stored WHERE source = 'wallet' AND {_UNTIL} EXCEPT
+          SELECT content_id FROM (SELECT * FROM own UNION ALL SELECT * FROM first)
+          WHERE creation_date > {P.SINCE_A} AND creation_date < {P.AS_OF}))""",
+                           select="SELECT * FROM own UNION ALL SELECT * FROM first UNION ALL SELECT * FROM second")
+
+SQL["store_merge"] = q(select="""
+    SELECT source, identifier, message,
+      CASE WHEN event_id % 10 = 0 THEN 'patched' WHEN event_id % 4 = 0 THEN 'v2' ELSE app_name END AS app_name, cd AS creation_date,
+      coalesce(strftime(make_timestamp(cd * 1000000), '%Y-%m-%d'), 'none') AS day
+    FROM (SELECT *, CASE WHEN event_id % 9 = 0 AND event_id % 2 = 0 THEN creation_date
+                         WHEN event_id % 20 = 0 THEN creation_date + 259200
+                         WHEN event_id % 9 = 0 THEN NULL ELSE creation_date END AS cd FROM invoices)""")
+
+SQL["delete_from_store"] = q(select=f"""
+    SELECT source, identifier, creation_date, strftime(make_timestamp(creation_date * 1000000), '%Y-%m-%d') AS day
+    FROM invoices WHERE event_id % {P.DELETE_EVERY} <> 0""")
+
+SQL["flatten_open"] = q(select=f"""
+    SELECT source, identifier, 'foo/{"/".join(f"k{i}" for i in range(1, P.NESTING + 1))}' AS name,
+           translate(coalesce(message, 'none'), chr(10), ' ') AS value FROM invoices""")

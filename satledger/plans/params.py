@@ -20,6 +20,9 @@ BOARD_LITERAL = "Alpha Unplugged"
 ALL_ACTIONS_PATTERN = "Episode [0-2]"
 SIMILAR_DELTA = 600
 TOP_K = 15
+SHARED_EVERY = 4              # reconcile fixture: event_id % 4 = 0 is also known to the next source
+BALLER_SCALE = 20             # per-row baller query: amounts times this
+NESTING = 20                  # levels of the open-schema fixture
 PATCH_EVERY = 10              # upsert fixture: event_id % 10 = 0 gets a second version
 DELETE_EVERY = 7              # delete fixture: event_id % 7 = 0 is retracted
 CORRUPT_EVERY = 13            # decode fixture: event_id % 13 = 0 carries a broken payload

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from satledger import constants as K
-from satledger.functions.columns import epoch_to_ntz, format_report_date, int_comma, quote_lines
+from satledger.functions.columns import epoch_of, epoch_to_ntz, format_report_date, int_comma, quote_lines
 from satledger.functions.predicates import tier_of
 from satledger.operators import report as R
 from satledger.session import cut_lineage
@@ -67,7 +67,7 @@ def _section_no(tier: Column) -> Column:
     return out
 
 
-WINDOW_COLUMNS = ["sender_name_normalized", "action", "creation_date", "source", "identifier",
+WINDOW_COLUMNS = ["sender_name_normalized", "action", "creation_date", "created_at", "source", "identifier",
                   "value_sat_total", "podcast", "episode", "app_name", "message"]
 
 
@@ -114,9 +114,9 @@ def report_lines(inv: DataFrame, pattern: str, since: int,
                            & F.col("value_sat_total").isNotNull())
     d = boosts.join(senders.select("sender", "section", "k1", "first_key"),
                     boosts["sender_name_normalized"] == senders["sender"], "inner")
-    is_first = F.struct("creation_date", "source", "identifier") == F.col("first_key")
+    is_first = F.struct("created_at", "source", "identifier") == F.col("first_key")
     boost_rows = d.select(*_row(F.col("section"), 1, F.col("k1"), F.col("sender"), 1,
-                                F.col("creation_date"), F.col("source"), F.col("identifier"),
+                                epoch_of("created_at"), F.col("source"), F.col("identifier"),
                                 _boost_lines(is_first)))
 
     present = senders.groupBy("section").agg(F.count(F.lit(1)).alias("n"))

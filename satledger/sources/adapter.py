@@ -51,7 +51,10 @@ def events_to_invoices(events: DataFrame) -> DataFrame:
          .otherwise(F.concat(F.lit("app_"), (k % 6).cast("string"))).alias("app_name"),
         msat.alias("value_msat_total"),
         F.when(eid % 11 == 0, F.lit(None).cast("string"))
-         .otherwise(F.concat(F.lit("msg "), eid.cast("string"))).alias("message"),
+         .otherwise(F.concat(F.lit("msg "), eid.cast("string"),
+                             F.when(eid % 5 == 0, F.lit("\nmore")).otherwise(F.lit("")))).alias("message"),
+        # up to ten minutes from the event time, in another order
+        F.timestamp_seconds(cd + (eid * 7919) % 1201 - 600).alias("created_at"),
     )
     null_s = F.lit(None).cast("string")
     cols = {
@@ -59,7 +62,7 @@ def events_to_invoices(events: DataFrame) -> DataFrame:
         "identifier": F.col("identifier"),
         "invoice_source": null_s,
         "creation_date": F.col("creation_date"),
-        "created_at": F.timestamp_seconds("creation_date"),
+        "created_at": F.col("created_at"),
         "add_index": F.lit(None).cast("bigint"),
         "comment": null_s, "memo": null_s, "keysend": null_s,
         "action": F.col("action"), "app_name": F.col("app_name"),

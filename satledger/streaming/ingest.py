@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satledger import constants as K
-from satledger.operators.ingest import normalize, parse_node_pages, parse_wallet_pages
-from satledger.operators.ingest import quarantine
+from satledger.operators.ingest import PAGE, normalize, parse_node_pages, parse_wallet_pages, quarantine
 from satledger.operators.merge import newest_versions
 from satledger.schemas import INVOICE_COLUMNS
 from satledger.session import cut_lineage, path_exists
@@ -61,14 +60,14 @@ def read_upstream(spark: SparkSession, up: Upstream, streaming: bool = True) ->
     pages = reader.text(up.path, wholetext=not up.one_page_per_line).select(
         "value", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias("_file"))
     rows = (parse_node_pages if up.layout == NODE else parse_wallet_pages)(pages)
-    return rows.select(F.lit(up.source).alias("source"), "raw", "page", "_file", F.col("pos").cast("bigint").alias("pos"))
+    return rows.select(F.lit(up.source).alias("source"), "raw", PAGE, "_file", F.col("pos").cast("bigint").alias("pos"))
 
 
 def in_landing_order(rows: DataFrame) -> DataFrame:
     """``seq``: file time, file, line of the file (lines of a split are read in order),
     place in the page.  A stream can't number lines, its batches can."""
     order = F.struct("_file", F.monotonically_increasing_id(), "pos")
-    return rows.select("source", "raw", "page", order.alias(SEQ))
+    return rows.select("source", "raw", PAGE, order.alias(SEQ))
 
 
 def quarantine_path(store_path: str) -> str:
@@ -94,7 +93,7 @@ def load_batch(batch: DataFrame, batch_id: int | str, store_path: str) -> dict:
     """One landed batch into the store and its failures into the quarantine; loading
     it again replaces the same quarantine folder."""
     target = f"{quarantine_path(store_path)}/batch={batch_id}"
-    quarantine(batch.select("source", "raw", "page")).write.mode("overwrite").parquet(target)
+    quarantine(batch.select("source", "raw", PAGE)).write.mode("overwrite").parquet(target)
     return merge_into_store(normalize(in_landing_order(batch), keep=(SEQ,)), store_path, SEQ)
 
 
