@@ -36,12 +36,12 @@ def main():
     ap.add_argument("--out", default="PLANS.md")
     a = ap.parse_args()
     from satledger.session import build_session
-    import __spark_entry__ as E
+    from satledger.plans import catalog
 
     spark = build_session("local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
     rows = []
-    for k, fn in E.queries().items():
+    for k, fn in catalog.QUERIES.items():
         df = fn(spark, a.sf)
         df.write.format("noop").mode("overwrite").save()
         plan = df._jdf.queryExecution().executedPlan().toString()
