@@ -1,6 +1,10 @@
 """Shared helpers of the training-data operators: tables, scratch, Arrow views."""
 from __future__ import annotations
 
+import contextlib
+import gc
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +18,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker: bounds what texts of any
+#: length take there and in the executor's own buffers.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``BATCH_BYTES`` where the session allows larger ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if not now or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
@@ -21,18 +38,44 @@ def store(df: DataFrame, name: str) -> DataFrame:
     drawn once (row numbers, range bounds) never changes on a retry."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _record is not None:
+        _record.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_record: list[str] | None = None
+
+
+@contextlib.contextmanager
+def recorded(paths: list[str]):
+    """Add the path of every table that :func:`store` writes to ``paths``."""
+    global _record
+    before, _record = _record, paths
+    try:
+        yield
+    finally:
+        _record = before
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more: it does
+    so once the driver has collected its garbage, which may take long to happen."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables written by :func:`store` that no later plan reads."""
     for df in frames:
-        spark = df.sparkSession
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        remove(df.sparkSession, list({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from satledger.llm.common import arrow_text, store, text_bytes
+from satledger.llm.common import arrow_text, small_batches, store, text_bytes
 from satledger.llm.words import ALNUM, hashed_words
 
 #: Bytes of item text in one automaton (a few hundred MB of states at most).
@@ -230,6 +230,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     from pyspark.sql.types import StructType
 
     spark = docs.sparkSession
+    small_batches(spark)
     out = docs.select(F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("doc"), docs[text_col].alias("text"))
     schema = StructType(out.schema.fields + StructType.fromDDL(
         "n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>").fields)

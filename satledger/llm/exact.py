@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satledger.llm.common import arrow_bytes, keyed, parallelism, store
+from satledger.llm.common import arrow_bytes, keyed, parallelism, small_batches, store
 
 #: Bytes of distinct texts that one hash table may hold.
 TABLE_BYTES = 16 << 20
@@ -160,6 +160,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     a text exactly one is ``kept``.  An empty table gives no rows; columns other
     than the two named ones are ignored."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema["id"].dataType.simpleString()
     ddl = f"grp bigint, row bigint, id {id_type}, h bigint, n bigint, nbytes bigint, text binary"

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satledger.llm.common import arrow_text, store
+from satledger.llm.common import arrow_text, small_batches, store
 from satledger.llm.toxicity import labelled_sample
 
 #: Bound on the labelled rows that dictionaries and calibration see.
@@ -129,6 +129,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, p
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     sample = store(labelled_sample(docs, labels, "quality", parts, held_out, sample_rows, id_col, text_col)
                    .withColumn("learns", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)) == 0), "quality-sample")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satledger.llm.common import arrow_bytes, arrow_text, keyed, spread, store, text_bytes
+from satledger.llm.common import arrow_bytes, arrow_text, keyed, small_batches, spread, store, text_bytes
 from satledger.llm.words import BLOCK, Alphabet, _power_table, mix
 
 LENGTH = 200
@@ -423,6 +423,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     texts = rows.select(key.alias("key"), "text").where(F.octet_length("text") >= length)

@@ -22,6 +22,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from satledger.llm.common import small_batches
+
 #: Rank file of the byte-level vocabulary (a parameter; never copied).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's pre-token pattern.
@@ -199,6 +201,7 @@ def recounted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     edits = F.col("edits").cast("array<struct<start:bigint,length:bigint,replacement:string>>")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from satledger.llm.common import arrow_text, keyed, store
+from satledger.llm.common import arrow_text, keyed, small_batches, store
 from satledger.llm.words import ALNUM, hashed_words
 
 # Common terms of abuse, by kind.
@@ -174,7 +174,7 @@ class LabelModel:
     """Two latent classes; blocks of correlated voters, independent between blocks."""
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, labels: np.ndarray, n_voters: int,
-                 noise: float = LABEL_NOISE, correlated: float = 0.25, block: int = 4):
+                 noise: float = LABEL_NOISE, correlated: float = 0.15, block: int = 4):
         """``patterns``: votes as bits; ``labels``: 1, 0 or -1 (unknown) of the rows counted."""
         self.votes = (patterns[:, None] >> np.arange(n_voters)) & 1
         self.counts, self.labels, self.noise = counts.astype(float), labels, noise
@@ -326,6 +326,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, p
     from pyspark.sql.types import StructType
 
     spark = docs.sparkSession
+    small_batches(spark)
     sample = store(labelled_sample(docs, labels, "toxic", parts, held_out, sample_rows, id_col, text_col)
                    .withColumnRenamed("label", "toxic"), "toxic-sample")
     mined = mined_terms(sample)

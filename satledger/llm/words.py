@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
