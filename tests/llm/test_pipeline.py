@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from awkward_rows import ROWS, awkward, no_rows  # noqa: F401
 from satledger.llm import pipeline_stages, toxicity
 from satledger.llm.common import store
 from test_ngram_join import all_pairs
@@ -82,3 +83,17 @@ def test_sharding(steps):
 def test_run_equals_the_stages(spark, steps):
     found = corpus_pipeline.run(spark, SF).collect()
     assert sorted(found) == sorted(steps["sharding"][1])
+
+
+@pytest.mark.parametrize("stage", range(5), ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_awkward_rows(spark, awkward, no_rows, stage):  # noqa: F811
+    """Nulls, empty and long texts, repeated rows, clashing extra columns, an empty table."""
+    name, run = corpus_pipeline.STAGES[stage]
+    got = run(spark, awkward, SF)
+    if name != "sharding":
+        assert got.columns == awkward.columns
+    rows = got.collect()
+    assert {r["doc_id"] for r in rows} <= {i for i, *_ in ROWS}
+    if name in ("toxicity", "sharding"):
+        assert len(rows) == len(ROWS)
+    assert run(spark, no_rows, SF).count() == 0
