@@ -28,10 +28,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from satledger.llm.common import arrow_text, keyed, spread, store, text_bytes
+from satledger.llm.common import arrow_text, keyed, release, small_batches, spread, store, text_bytes
 from satledger.llm.components import components
 from satledger.llm.words import SPACED, hashed_words, mix, shingles
 
@@ -44,9 +44,13 @@ HUB_MEMBERS = 256
 #: Node lists are broadcast up to this length (16 bytes each); beyond it they are joined.
 BROADCAST_NODES = 500_000
 #: Most hubs of a group in the first, second, and all later rounds, when few members are left.
-SLOTS = (1, 16, 128)
-#: Groups up to this size are paired up where positions and sizes allow; larger ones go on by hubs.
-SMALL_GROUP = 128
+SLOTS = (1, 4, 16)
+#: Groups up to this size compare the pairs that positions and sizes allow; larger ones go on by hubs.
+SMALL_GROUP = 1024
+#: Members of a hub up to this number are compared with one another at once.
+TINY_GROUP = 8
+#: Members of a hub from which on an element of their differences is frequent.
+FREQUENT = 12
 #: Rows of a batch that are compared at once.
 SLICE = 128
 _SUBPARTS = 3
@@ -272,11 +276,12 @@ _COMPARED_ARROW = pa.schema([("node", pa.binary()), ("hub", pa.binary()), ("link
 
 def difference_prefix(x: np.ndarray, hub: np.ndarray, scheme: Scheme) -> tuple[bool, int, int, np.ndarray]:
     """Whether ``x`` is linked with ``hub``, the size of their difference, the most in
-    which ``x`` differs from a similar set, and the first elements of the difference
-    (those of ``x`` first, as they are the rarer ones) that such a set may share first."""
+    which ``x`` differs from a similar set, and the first elements of the difference,
+    those of ``x`` first: three times as many as can matter, so that frequent ones can
+    be moved behind."""
     added, gone = np.setdiff1d(x, hub, assume_unique=True), np.setdiff1d(hub, x, assume_unique=True)
     most = scheme.most(len(x))
-    first = np.concatenate((added, gone))[:most + 1]
+    first = np.concatenate((added, gone))[:3 * (most + 1)]
     return bool(scheme.linked(len(x) - len(added), len(x), len(hub))), len(added) + len(gone), most, first
 
 
@@ -337,6 +342,42 @@ def _compared(pairs: DataFrame, bodies: DataFrame, scheme: Scheme) -> DataFrame:
     return store(both.mapInArrow(_compare(scheme), _COMPARED), "join-compared")
 
 
+def _open(compared: DataFrame) -> DataFrame:
+    """The comparisons that next groups derive from, with their hub's ``members``: a hub
+    of one member, or with all members linked, leaves nothing to find."""
+    derived = compared.where(F.size("elements") > 0)
+    open_ = derived.groupBy("hub").agg(F.count("*").alias("members"), F.min("linked").alias("settled")).where("members > 1 and not settled")
+    return store(derived.join(open_.select("hub", "members"), "hub"), "join-derived")
+
+
+def _placed(rows: DataFrame, of: DataFrame) -> DataFrame:
+    return rows.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _sides(rows: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    return tuple(rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s in "xy")
+
+
+def _rare_first(derived: DataFrame) -> DataFrame:
+    """``elements`` cut to those that can be the first that two similar sets share, with
+    the hub's most frequent elements behind all others.
+
+    Any order serves that all members of a hub keep.  At most ``most`` elements of
+    a hub are frequent, so what ``_compare`` has kept holds enough others."""
+    crowded = derived.where(F.col("members") >= FREQUENT)
+    counts = crowded.select("hub", "most", F.explode("elements").alias("element")).groupBy("hub", "element").agg(
+        F.count("*").alias("n"), F.min("most").alias("most")).where(F.col("n") >= FREQUENT)
+    place = F.row_number().over(Window.partitionBy("hub").orderBy(F.desc("n"), "element"))
+    least = F.min("most").over(Window.partitionBy("hub"))
+    frequent = counts.withColumns({"place": place, "least": least}).where("place <= least")
+    frequent = store(frequent.groupBy("hub").agg(F.collect_list("element").alias("frequent")), "join-frequent")
+    none = F.array().cast("array<bigint>")
+    listed = derived.join(frequent, "hub", "left").withColumn("frequent", F.coalesce("frequent", none))
+    behind = F.when(F.size("elements") == F.col("size"), F.array_intersect("elements", "frequent")).otherwise(none)
+    ordered = F.concat(F.array_except("elements", "frequent"), behind)
+    return listed.withColumn("elements", F.slice(ordered, F.lit(1), F.col("most") + 1)).drop("frequent")
+
+
 def _linked(compared: DataFrame) -> DataFrame:
     return compared.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
@@ -347,6 +388,8 @@ def links(docs: DataFrame, scheme: Scheme, text_col: str = "text") -> DataFrame:
     parts = spread(docs, text_bytes(texts), PART_BYTES)
     signed = texts.mapInArrow(_sign(scheme, parts), _PACKED)
     members = store(signed.repartitionById(parts, "part").mapInArrow(_meet, "key bigint, node binary").distinct(), "join-shared")
+    del signed
+    release(docs.sparkSession)
     # a 40-bit signature of one node in several chunks is no group
     groups = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("key")
     members = members.join(groups, "key")
@@ -358,29 +401,42 @@ def links(docs: DataFrame, scheme: Scheme, text_col: str = "text") -> DataFrame:
 
     found = of = None
     for turn in itertools.count():
+        release(docs.sparkSession)
         pairs = _pairs(members, of, SLOTS[min(turn, len(SLOTS) - 1)])
         if pairs.isEmpty():
             break
         compared = _compared(pairs, bodies, scheme)
+        release(docs.sparkSession)
         found = _linked(compared) if found is None else found.union(_linked(compared))
-        shared = compared.select("node", "hub", "linked", "size", "most", F.posexplode("elements").alias("pos", "element"))
+        derived = _open(compared)
+        if derived.isEmpty():
+            break
+        release(docs.sparkSession)
+        of = components(found)
+        # pairs of one component need no comparison, nor do two members that are linked with the hub
+        apart = ((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & ~(F.col("linked_x") & F.col("linked_y"))
+                 & (F.abs(F.col("size_x") - F.col("size_y")) <= F.least("most_x", "most_y")))
+        columns = ("node", "linked", "size", "most", "component")
+        left, right = _sides(_placed(derived.where(F.col("members") <= TINY_GROUP).withColumnRenamed("hub", "key"), of), columns)
+        tiny = left.join(right, (left["key"] == right["key"]) & apart).select(F.col("node_x").alias("node"), F.col("node_y").alias("hub"))
+
+        shared = _rare_first(derived.where(F.col("members") > TINY_GROUP)).select(
+            "node", "hub", "linked", "size", "most", F.posexplode("elements").alias("pos", "element"))
         shared = shared.select(F.xxhash64("hub", "element").alias("key"), "node", "linked", "size", "most", "pos")
         worth = shared.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("pos") * 2 - F.col("most")).alias("lead"),
                                           F.min("linked").alias("linked")).where("n > 1 and lead <= 0 and not linked").select("key")
         shared = store(shared.join(worth, "key"), "join-next")
-        if shared.isEmpty():
-            break
-        # groups within one component need no more comparisons
-        of = components(found)
-        placed = shared.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        release(docs.sparkSession)
+        placed = _placed(shared, of)
         mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
         mixed = store(mixed.select("key", "n"), "join-mixed")
         few = placed.join(mixed.where(F.col("n") <= SMALL_GROUP).select("key"), "key")
-        left, right = (few.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "linked", "size", "most", "pos", "component"))) for s in "xy")
+        left, right = _sides(few, (*columns, "pos"))
         most = F.least("most_x", "most_y")
-        near = ((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & ~(F.col("linked_x") & F.col("linked_y"))
-                & (2 * F.col("pos_x") <= F.col("size_x") - F.col("size_y") + most) & (2 * F.col("pos_y") <= F.col("size_y") - F.col("size_x") + most))
-        close = left.join(right, (left["key"] == right["key"]) & near).select(F.col("node_x").alias("node"), F.col("node_y").alias("hub")).distinct()
+        near = (apart & (2 * F.col("pos_x") <= F.col("size_x") - F.col("size_y") + most)
+                & (2 * F.col("pos_y") <= F.col("size_y") - F.col("size_x") + most))
+        close = left.join(right, (left["key"] == right["key"]) & near).select(F.col("node_x").alias("node"), F.col("node_y").alias("hub"))
+        close = close.union(tiny).distinct()
         found = found.union(_linked(_compared(close.withColumn("derive", F.lit(False)), bodies, scheme)))
         members = store(shared.join(mixed.where(F.col("n") > SMALL_GROUP).select("key"), "key").select("key", "node"), "join-members")
         if members.isEmpty():
@@ -399,6 +455,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     like others but never name a component that has another id.  Repeated rows
     are linked copies; an empty table gives no rows; other columns are ignored."""
     scheme = Scheme(words, percent)
+    small_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema["id"].dataType.simpleString()
     rows = store(rows.mapInArrow(_nodes(words), f"id {id_type}, node binary, n_shingles bigint"), "join-nodes")

@@ -3,38 +3,61 @@
 All but the last return the columns of ``documents``."""
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satledger.llm import decontam, mixing as mix, ngram_join, sharding as shard, toxicity as tox
-from satledger.llm.common import read_table
+from satledger.llm.common import read_table, recorded, remove
+
+_scratch: list[str] = []
+
+
+def stage(f):
+    """A stage is called once the result before it has been written: the tables that
+    the stages before it kept on the way can go."""
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _scratch)
+        _scratch.clear()
+        with recorded(_scratch):
+            return f(spark, docs, sf_dir)
+
+    return run
+
 
 #: Score from which on a document is toxic and goes.
 TOXIC = 0.7
 
 
+@stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go."""
     scores = tox.scored(docs, read_table(spark, sf_dir, "labels")).where(F.col("toxicity") < TOXIC)
     return scores.select(*("text" if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns))
 
 
+@stage
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: 5-word shingles, similarity 0.8 or more."""
     return ngram_join.representatives(docs, words=5, percent=80)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any benchmark window go."""
     return decontam.decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: none to three rows."""
     copies = mix.mixed(docs, carry=True).where("copies > 0")
     return copies.select("doc.*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("__copy")).drop("__copy")
 
 
+@stage
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every row in 40 shards of near-equal bytes."""
     return shard.byte_shards(docs).withColumnRenamed("id", "doc_id")
