@@ -8,7 +8,7 @@ differ in the id, so a range boundary can fall between them.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from satledger.llm.common import keyed, store
@@ -17,6 +17,13 @@ from satledger.llm.common import keyed, store
 BROADCAST_RANGES = 200_000
 
 
+def shard_at(offset: Column, total: int, n_shards: int) -> Column:
+    """``floor(offset * n_shards / total)`` in whole numbers: a fractional decimal
+    quotient is rounded to its scale, and just before a cut up to the next shard."""
+    scaled = offset.cast("decimal(38,0)") * F.lit(n_shards)
+    return F.call_function("div", scaled, F.lit(total or 1).cast("decimal(38,0)")).cast("int")
+
+
 def byte_shards(docs: DataFrame, n_shards: int = 40, overhead: int = 16,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id, size, text_crc32, shard, slot``.
@@ -40,10 +47,10 @@ def byte_shards(docs: DataFrame, n_shards: int = 40, overhead: int = 16,
     total, ranges = totals.agg(F.sum("part_size"), F.count("*")).first()
     within = Window.partitionBy("part").orderBy("h", "id", "row")
     before = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = (F.col("size_before") + before).cast("decimal(38,0)")
+    offset = F.col("size_before") + before
     offsets = ranged.join(F.broadcast(totals) if ranges <= BROADCAST_RANGES else totals, "part")
     placed = store(offsets.select(
-        "id", "size", "text_crc32", F.floor(offset * n_shards / F.lit(total or 1)).cast("int").alias("shard"),
+        "id", "size", "text_crc32", shard_at(offset, total, n_shards).alias("shard"),
         (F.col("rows_before") + F.row_number().over(within) - 1).alias("place")), "shard-places")
     firsts = placed.groupBy("shard").agg(F.min("place").alias("first"))  # n_shards rows at most
     return placed.join(F.broadcast(firsts), "shard").select(

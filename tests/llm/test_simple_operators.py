@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from awkward_rows import ROWS, awkward, no_rows  # noqa: F401
 from satledger.llm import decontam, exact, mixing, queries, secrets, sharding
@@ -80,6 +81,20 @@ def test_shards(spark, awkward, no_rows, documents):
     check_shards(documents, found, 40, 16)
 
 
+@pytest.mark.parametrize("total", [30_000_000_000, 1_300_000_000, 10**14, 10**17 + 1])
+def test_shard_just_before_a_cut(spark, total):
+    """A 16-byte last row, and the bytes on both sides of every cut."""
+    at = [total - 16, total - 1] + [c + d for k in range(1, 40) for c in [-(-k * total // 40)] for d in (-1, 0)]
+    rows = spark.createDataFrame([(a,) for a in at], "a bigint").select("a", sharding.shard_at(F.col("a"), total, 40).alias("shard"))
+    assert {r["a"]: r["shard"] for r in rows.collect()} == {a: a * 40 // total for a in at}
+
+
+def test_small_rows_behind_a_large_one(spark):
+    docs = spark.range(51).select(F.col("id").alias("doc_id"), F.expr("if(id = 0, repeat('x', 50000000), string(id))").alias("text"))
+    found = sharding.byte_shards(docs, 1).collect()
+    assert {r["shard"] for r in found} == {0} and sorted(r["slot"] for r in found) == list(range(51))
+
+
 def test_shards_keep_equal_texts_together(awkward):
     shards = defaultdict(set)
     for r in sharding.byte_shards(awkward, 3).collect():
