@@ -3,7 +3,8 @@
 Candidates are the base matches (assignments, access keys, hex strings) and
 opaque tokens: long runs that mix letters and digits.  The hash of each
 candidate's value is counted over distinct repositories and distinct owners.
-A value that many owners share is a copied example; one of few owners looks
+A value that many owners share is a copied example, and so is one in very many
+repositories of one owner; one of few owners with few repositories each looks
 live.  Base matches always stay; opaque tokens become spans when they look live.
 
 Positions: splitting a text at a pattern and extracting its matches give the
@@ -27,6 +28,8 @@ KINDS = (
 BASE = ("assign", "access", "hex")
 #: From this number of owners on a value is a copied example.
 COMMON_OWNERS = 3
+#: From this number of repositories of one owner on a value is a copied example too.
+COMMON_REPOS = 100
 #: A live value has at least so many different characters.
 LEAST_CHARACTERS = 8
 
@@ -54,23 +57,25 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """``h, owners, repos, uses`` from rows of ``h, owner, repo``: distinct counts
-    by two partial aggregations, so a value that a third of all rows hold leaves
-    each task once.  Null is an owner and a repository like any other."""
+    """``h, owners, repos, most_repos, uses`` from rows of ``h, owner, repo``: distinct
+    counts (``most_repos``: of the owner with most) by two partial aggregations, so a
+    value that a third of all rows hold leaves each task once.  Null is an owner and a repository like any other."""
     by_repo = candidates.groupBy("h", "owner", "repo").agg(F.count("*").alias("uses"))
     by_owner = by_repo.groupBy("h", "owner").agg(F.count("*").alias("repos"), F.sum("uses").alias("uses"))
-    return by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("uses").alias("uses"))
+    return by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"),
+                                     F.max("repos").alias("most_repos"), F.sum("uses").alias("uses"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-         repo_col: str = "doc_id", common_owners: int = COMMON_OWNERS) -> DataFrame:
+         repo_col: str = "doc_id", common_owners: int = COMMON_OWNERS,
+         common_repos: int = COMMON_REPOS) -> DataFrame:
     """One row per input row: ``id, found``, an array of structs ``start, kind_no,
     end, kind, base, owners, repos, live`` in order of start, then kind.
 
     Offsets count code points, ``end`` is exclusive.  Null and empty texts find
     nothing; repeated rows each keep their finds.  ``live``: fewer than
-    ``common_owners`` owners and enough different characters.  An empty table
-    gives no rows; other columns are ignored."""
+    ``common_owners`` owners, each with fewer than ``common_repos`` repositories, and
+    enough different characters.  An empty table gives no rows; other columns are ignored."""
     rows = keyed(docs, id_col, text_col, owner_col, repo_col)
     kinds = F.array_compact(F.array(*(_cut(no, pattern, group) for no, (_, pattern, group, _) in enumerate(KINDS))))
     # the one pass over the texts; what it keeps is written, so row numbers are drawn once
@@ -80,7 +85,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     owned = store(ownership(found), "secret-owners")
     kind = F.element_at(F.array(*(F.lit(k) for k, *_ in KINDS)), F.col("kind_no") + 1)
     variety = F.size(F.array_distinct(F.split("value", "")))
-    live = (F.col("owners") < common_owners) & (variety >= LEAST_CHARACTERS)
+    few = (F.col("owners") < common_owners) & (F.col("most_repos") < common_repos)
+    live = few & (variety >= LEAST_CHARACTERS)
     token = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
     judged = found.join(owned, "h").withColumns({"kind": kind, "live": live, "base": kind.isin(*BASE)})
     spans = judged.where(F.col("base") | (F.col("live") & token)).groupBy("row").agg(F.sort_array(F.collect_list(

@@ -252,6 +252,20 @@ def test_secrets(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_value_in_many_repositories_of_one_owner(spark):
+    """A copied example of one source; the same number of uses in one repository stays live."""
+    rows = [(i, "example Zx81mmQpLr7dTT20vwYbK3cN copied", "hot") for i in range(secrets.COMMON_REPOS)]
+    n = 2 * secrets.COMMON_REPOS - 2  # one less than the limit in each of two sources
+    rows += [(1000 + i, "example Kp35nnWqRs4fUU61xyZcL8dM copied", "hot" if i % 2 else "b") for i in range(n)]
+    rows += [(5000, "mine Qw82mmQpLr7dTT20vwYbK3cXy only", "hot")] * secrets.COMMON_REPOS
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {r["id"]: r["found"] for r in secrets.scan(docs).collect()}
+    assert not any(found[i] for i in range(secrets.COMMON_REPOS))
+    for i in range(1000, 1000 + n):
+        assert [(s["kind"], s["live"], s["owners"], s["repos"]) for s in found[i]] == [("opaque", True, 2, n)]
+    assert [(s["kind"], s["live"], s["repos"]) for s in found[5000]] == [("opaque", True, 1)]
+
+
 def test_secrets_query(spark):
     larger = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{larger}/documents.parquet").collect()}
