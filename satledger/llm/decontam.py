@@ -11,11 +11,13 @@ through the automaton; elsewhere the match length is below two.
 """
 from __future__ import annotations
 
+import itertools
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from satledger.llm.common import arrow_text, small_batches, store, text_bytes
@@ -23,6 +25,8 @@ from satledger.llm.words import ALNUM, hashed_words
 
 #: Bytes of item text in one automaton (a few hundred MB of states at most).
 BLOCK_BYTES = 4 << 20
+#: Ids of items are broadcast up to this number; beyond it they are joined.
+BROADCAST_IDS = 500_000
 
 
 class SuffixAutomaton:
@@ -77,7 +81,7 @@ class SuffixAutomaton:
 class Matcher:
     """The automaton of one block of items, its vocabulary and known word pairs."""
 
-    def __init__(self, items: list[tuple[str | None, np.ndarray]], window: int):
+    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
         self.window = window
         self.names = [name for name, _ in items]
         words = [h for _, h in items]
@@ -107,7 +111,8 @@ class Matcher:
 
     @staticmethod
     def _note(table: dict[int, list[int]], state: int, item: int) -> None:
-        if item not in (known := table.setdefault(state, [])):
+        known = table.setdefault(state, [])
+        if not known or known[-1] != item:  # items come one after another
             known.append(item)
 
     def suffix_state(self, state: int, length: int) -> int:
@@ -175,7 +180,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _scan(matcher, out: pa.Schema, carried: int):
-    """Add one block's hits to each row's word spans and items."""
+    """Add one block's hits to each row's word spans and keys of items' texts."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         m = matcher.value
         for batch in batches:
@@ -194,38 +199,45 @@ def _scan(matcher, out: pa.Schema, carried: int):
                     own[d] += [(start + x, start + y) for x, y in found]
                     named[d] |= which
                 spans += own
-                items += [[m.names[k] for k in s if m.names[k] is not None] for s in named]
+                items += [[m.names[k] for k in s] for s in named]
             if old is not None:
                 spans = [s + [tuple(x.values()) for x in o] for s, o in zip(spans, old["spans"])]
-                items = [s + o for s, o in zip(items, old["items"])]
+                items = [s + o for s, o in zip(items, old["keys"])]
             rows = [[{"first": a, "last": b} for a, b in _merged(s)] for s in spans]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:carried], pa.array(counts, pa.int64()), pa.array(rows, out.field("spans").type),
-                 pa.array([sorted(set(x)) for x in items], out.field("items").type)], schema=out)
+                 pa.array([sorted(set(x)) for x in items], out.field("keys").type)], schema=out)
 
     return run
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The items in blocks of about ``block_bytes``, one block on the driver at a time."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
-    blocks = max(1, -(-text_bytes(items) // block_bytes))
-    items = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
-    if blocks > 1:
-        items = store(items, "decontam-items")
-    for b in range(blocks):
-        yield [(r["item"], r["text"].encode()) for r in items.where(F.col("block") == b).collect()]
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc`` (a struct of the other columns), ``text, n_words, spans, items``.
-
-    ``spans``: merged ranges ``first, last`` (exclusive) of hit words; ``items``:
-    ids, as strings, of the items with an occurring window (a null id hits but has
-    no name; a repeated id counts once).  Null or empty texts have no words; items
-    without words match nothing.  Words are lower-cased (A-Z) runs of ASCII letters
-    and digits and of characters beyond ASCII."""
+def keyed_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """``item, text, key`` of the items with words: normalised texts and their hashes."""
+    lower = F.translate(F.col(text_col), string.ascii_uppercase, string.ascii_lowercase)
+    words = F.trim(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words.alias("text")).where("text <> ''")
+    return items.withColumn("key", F.md5("text"))
+
+
+def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Key and text of the distinct texts, one block on the driver at a time: running
+    sums cut each bucket of them at ``block_bytes``; a longer text is a block of its own."""
+    texts = store(items.select("key", "text").dropDuplicates(["key"]), "decontam-texts")
+    buckets = max(1, -(-text_bytes(texts) // block_bytes))
+    size = F.octet_length("text").cast("bigint")
+    upto = Window.partitionBy("bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    half = max(1, block_bytes // 2)
+    # texts up to half a block share one where they end in the same half block
+    part = F.when(size > half, F.concat(F.lit("x"), "key")).otherwise(
+        F.floor((F.sum(F.when(size > half, 0).otherwise(size)).over(upto) - 1) / half).cast("string"))
+    placed = store(texts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).withColumn("part", part), "decontam-blocks")
+    for b in placed.select("bucket", "part").distinct().sort("bucket", "part").collect():
+        rows = placed.where((F.col("bucket") == b["bucket"]) & (F.col("part") == b["part"])).select("key", "text").collect()
+        yield [(r["key"], r["text"].encode()) for r in rows]
+
+
+def _hits(docs: DataFrame, items: DataFrame, window: int, text_col: str, block_bytes: int) -> DataFrame:
+    """``doc, text, n_words, spans, keys``; the keys are those of the items' texts."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -233,8 +245,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     small_batches(spark)
     out = docs.select(F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("doc"), docs[text_col].alias("text"))
     schema = StructType(out.schema.fields + StructType.fromDDL(
-        "n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>").fields)
-    for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
+        "n_words bigint, spans array<struct<first:bigint,last:bigint>>, keys array<string>").fields)
+    blocks = item_blocks(items, block_bytes)
+    for block in itertools.chain([next(blocks, [])], blocks):  # without items: one empty block counts the words
         hashed = []
         for name, text in block:
             raw = np.frombuffer(text, np.uint8)
@@ -245,14 +258,40 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     return out
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
+                  item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``doc`` (a struct of the other columns), ``text, n_words, spans, items``.
+
+    ``spans``: merged ranges ``first, last`` (exclusive) of hit words; ``items``:
+    ids, as strings, of the items with an occurring window (a null id hits but has
+    no name; a repeated id counts once).  Null or empty texts have no words; items
+    without words match nothing.  Words are lower-cased (A-Z) runs of ASCII letters
+    and digits and of characters beyond ASCII.  Only distinct normalised texts of
+    items pass through the driver; their ids are joined to the hits."""
+    items = store(keyed_items(benchmark, item_col, item_text_col), "decontam-items")
+    # written: row numbers are drawn once
+    found = store(_hits(docs, items, window, text_col, block_bytes).withColumn("row", F.monotonically_increasing_id()), "decontam-hits")
+    names = items.groupBy("key").agg(F.collect_set("item").alias("ids"))
+    hits = found.select("row", F.explode("keys").alias("key"))
+    named = hits.join(F.broadcast(names) if items.count() <= BROADCAST_IDS else names, "key").groupBy("row").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"))
+    return found.join(named, "row", "left").select(
+        "doc", "text", "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def hit_words(spans: str = "spans") -> Column:
     """Number of words inside the merged ranges."""
     return F.aggregate(spans, F.lit(0).cast("bigint"), lambda acc, s: acc + s["last"] - s["first"])
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.0,
-                   text_col: str = "text", **names) -> DataFrame:
+def _covered(max_coverage: float) -> Column:
+    return hit_words() <= F.col("n_words") * F.lit(max_coverage)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.0, id_col: str = "doc_id",
+                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows of which more than ``max_coverage`` of the words are hit."""
-    found = contamination(docs, benchmark, window, text_col=text_col, **names)
-    clean = found.where(hit_words() <= F.col("n_words") * F.lit(max_coverage))
+    found = _hits(docs, keyed_items(benchmark, item_col, item_text_col), window, text_col, block_bytes)
+    clean = found.where(_covered(max_coverage))
     return clean.select(*(F.col("text").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns))

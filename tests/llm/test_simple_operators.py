@@ -205,6 +205,23 @@ def test_decontamination_query(spark, documents):
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(named)).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_copied_items_stay_in_small_blocks(spark, monkeypatch, limit):
+    """A third of the items are copies up to case and marks; every id is named, no block is larger than asked for."""
+    monkeypatch.setattr(decontam, "BROADCAST_IDS", limit)
+    items = [(i, "A hot item, copied!" if i % 2 else "a HOT item -- copied") for i in range(300)]
+    items += [(1000 + i, f"item number w{i} of many") for i in range(600)]
+    bench = spark.createDataFrame([*items, (None, "a hot item copied")], "item_id bigint, text string")
+    blocks = list(decontam.item_blocks(decontam.keyed_items(bench, "item_id", "text"), 2000))
+    texts = [t for b in blocks for _, t in b]
+    assert len(texts) == len(set(texts)) == 601 and all(sum(len(t) for _, t in b) <= 2000 for b in blocks)
+    docs = [(1, "so a hot item copied here"), (2, "item number w7 of many"), (3, "a hot item"), (1, "so a hot item copied here"), (4, None)]
+    found = decontam.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), bench, block_bytes=2000)
+    got = Counter((r["doc"]["doc_id"], tuple(r["items"])) for r in found.collect())
+    hot = tuple(sorted(str(i) for i in range(300)))
+    assert got == Counter([(1, hot), (1, hot), (2, ("1007",)), (3, ()), (4, ())])
+
+
 def test_automaton_longest_matches():
     rng = random.Random(5)
     seqs = [[rng.randrange(3) for _ in range(rng.randrange(12))] for _ in range(8)]
