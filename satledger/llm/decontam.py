@@ -12,6 +12,7 @@ through the automaton; elsewhere the match length is below two.
 from __future__ import annotations
 
 import itertools
+import re
 import string
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ from satledger.llm.words import ALNUM, hashed_words
 BLOCK_BYTES = 4 << 20
 #: Ids of items are broadcast up to this number; beyond it they are joined.
 BROADCAST_IDS = 500_000
+#: Words of ``ALNUM`` in bytes.
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 class SuffixAutomaton:
@@ -295,3 +298,41 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_
     found = _hits(docs, keyed_items(benchmark, item_col, item_text_col), window, text_col, block_bytes)
     clean = found.where(_covered(max_coverage))
     return clean.select(*(F.col("text").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns))
+
+
+def _cut(out: pa.Schema, max_words: int):
+    """Each text without its spans of more than ``max_words`` words."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                long = [(s["first"], s["last"]) for s in spans if s["last"] - s["first"] > max_words]
+                if long:
+                    raw = text.encode()
+                    places = [m.span() for m in _WORD.finditer(raw)]
+                    kept, at = [], 0
+                    for first, last in long:
+                        kept.append(raw[at:places[first][0]])
+                        at = places[last - 1][1]
+                    text = b"".join([*kept, raw[at:]]).decode()
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, out.types[1])], schema=out)
+
+    return run
+
+
+def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 0, max_coverage: float = 1.0,
+                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with every merged span of more than ``max_words`` words cut from the text
+    (from its first word to its last; what stands around stays), without the rows of
+    which more than ``max_coverage`` of the words were hit.  Words that only become
+    neighbours by a cut are not looked at again."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    found = _hits(docs, keyed_items(benchmark, item_col, item_text_col), window, text_col, block_bytes)
+    rows = found.where(_covered(max_coverage)).select("doc", "text", "n_words", "spans")
+    out = StructType(rows.schema.fields[:2])
+    cut = rows.mapInArrow(_cut(to_arrow_schema(out), max_words), out)
+    return cut.select(*(F.col("text").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns))

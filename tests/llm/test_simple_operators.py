@@ -222,6 +222,16 @@ def test_copied_items_stay_in_small_blocks(spark, monkeypatch, limit):
     assert got == Counter([(1, hot), (1, hot), (2, ("1007",)), (3, ()), (4, ())])
 
 
+def test_spans_cut_from_a_long_text(spark):
+    quote = "one two three four five six seven eight nine ten eleven"
+    docs = [(1, f"Vor é, {quote.upper()}! " + "nach 漢字 " * 5000), (2, quote), (3, "clean"), (4, None), (5, f"({quote}) a b c ({quote})")]
+    docs, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, quote)], "item_id bigint, text string")
+    got = lambda **more: {r["doc_id"]: r["text"] for r in decontam.without_spans(docs, bench, **more).collect()}
+    assert got() == {1: "Vor é, ! " + "nach 漢字 " * 5000, 2: "", 3: "clean", 4: None, 5: "() a b c ()"}
+    assert got(max_coverage=0.5).keys() == {1, 3, 4}
+    assert got(max_words=11)[5] == f"({quote}) a b c ({quote})"
+
+
 def test_automaton_longest_matches():
     rng = random.Random(5)
     seqs = [[rng.randrange(3) for _ in range(rng.randrange(12))] for _ in range(8)]
