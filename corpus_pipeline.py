@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from satledger.llm import pipeline_stages as stages
-from satledger.llm.common import read_table, store
+from satledger.llm.common import read_table, recorded, remove, store
 
 STAGES = [
     ("toxicity", stages.toxicity),
@@ -19,8 +19,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
+    """All stages over ``documents``; each result is written and read again, and what
+    its stage kept on the way goes."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        kept: list[str] = []
+        with recorded(kept):
+            result = stage(spark, docs, sf_dir)
+        docs = store(result, f"pipeline-{name}")
+        remove(spark, kept)
+    return docs

@@ -85,6 +85,16 @@ def test_run_equals_the_stages(spark, steps):
     assert sorted(found) == sorted(steps["sharding"][1])
 
 
+def test_results_outlive_later_stages(spark, monkeypatch):
+    """A result that nobody has read yet is whole after another run and after other stages."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    first, second = corpus_pipeline.run(spark, SF), corpus_pipeline.run(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    places = pipeline_stages.sharding(spark, pipeline_stages.mixing(spark, docs, SF), SF)
+    pipeline_stages.mixing(spark, docs, SF)
+    assert sorted(first.collect()) == sorted(second.collect()) == sorted(places.collect())
+
+
 @pytest.mark.parametrize("stage", range(5), ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_awkward_rows(spark, awkward, no_rows, stage):  # noqa: F811
     """Nulls, empty and long texts, repeated rows, clashing extra columns, an empty table."""
