@@ -62,3 +62,13 @@ def listing_lines(docs: DataFrame, name: str = "file_name", text: str = "text")
     links = render_listing(extract_links(with_ep.withColumnRenamed(name, "file_name"), text)) \
         .select("file_name", "episode", F.col("pos").cast("int"), "line")
     return heads.unionByName(links).unionByName(blanks)
+
+
+def ordered_listing(docs: DataFrame, name: str = "file_name", text: str = "text") -> DataFrame:
+    """The rows of :func:`listing_lines` in name order (missing names first)."""
+    return listing_lines(docs, name, text).orderBy(F.col("file_name").asc_nulls_first(), "pos")
+
+
+def write_listing(docs: DataFrame, path: str, name: str = "file_name", text: str = "text") -> None:
+    """M2 sink: part files concatenated in name order are the listing."""
+    ordered_listing(docs, name, text).select("line").write.mode("overwrite").text(path)

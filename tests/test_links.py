@@ -1,4 +1,5 @@
 """Markdown directory source and link extraction."""
+import glob
 import os
 
 from satledger.operators.links import episode_links, render_listing
@@ -36,3 +37,13 @@ def test_listing_lines(spark):
         f.write("none")
     lines = [r.line for r in listing_lines(read_markdown_dir(spark, d)).orderBy("file_name", "pos").collect()]
     assert "\n".join(lines) + "\n" == "##  7\n\n##  12\n+ [ x ]( y )\n\n"
+
+
+def test_listing_to_file_in_name_order(spark):
+    from satledger.operators.links import write_listing
+
+    docs = spark.createDataFrame([(f"{c}-{n}.md", f"[{c}](x) [two](y)") for n, c in enumerate("dbeac")], "file_name string, text string")
+    path = scratch_path(spark, "listing")
+    write_listing(docs.repartition(3), path)
+    doc = "".join(open(f).read() for f in sorted(glob.glob(os.path.join(path, "part-*"))))
+    assert doc == "".join(f"##  {n}\n+ [ {c} ]( x )\n+ [ two ]( y )\n\n" for c, n in sorted((c, n) for n, c in enumerate("dbeac")))

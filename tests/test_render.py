@@ -123,3 +123,14 @@ def test_flat_blocks(spark):
     assert block == ("### From: alice\n + 25 sats\n + Alpha Unplugged / Episode 1\n"
                      " + app_1 Sun Sep 01 00:00:00 UTC 2024 (1725148800)\n + node_a\n"
                      "   > line one\n   > line two\n")
+
+
+def test_boosts_by_event_time_to_file(spark):
+    times = [1725148800, 1704067300, 1704067200, 1704067200, 1725148799]
+    rows = [{**ROWS[0], "identifier": f"t{k}", "creation_date": t} for k, t in enumerate(times)]
+    inv = invoices(spark, rows).repartition(3)
+    path = scratch_path(spark, "boosts")
+    render.write_boosts(inv, path)
+    doc = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(os.path.join(path, "part-*"))))
+    blocks = {r.identifier: r.block + "\n" for r in render.boost_blocks(inv).collect()}
+    assert doc == "".join(blocks[k] for k in ("t2", "t3", "t1", "t4", "t0"))
