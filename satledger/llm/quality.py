@@ -123,7 +123,9 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, p
     """``doc`` (a struct of the other columns), ``text`` and ``quality`` (0 to 1) of every row.
 
     Labels come from ``labels`` (doc_id, quality), but not of rows whose
-    crc32(doc_id) modulo ``parts`` is ``held_out``.  Null and empty texts compress to
+    crc32(doc_id) modulo ``parts`` is ``held_out``.  The dictionaries learn at most
+    ``LEARN_BYTES`` of each sampled text, in pieces from all over it; calibration and
+    scores read whole texts.  Null and empty texts compress to
     nothing and get what the calibration says of length 0; with no labels every
     score is a half.  An empty table gives no rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
