@@ -75,15 +75,21 @@ class SegmentTree:
     An edit leaves the number of slots as it is: the first slot of a replaced run
     takes all of its new pre-tokens, the others become empty."""
 
-    def __init__(self, encoder: Encoder, text: str):
+    def __init__(self, encoder: Encoder, text: str, leaves: list[tuple[int, int]] | None = None):
+        """With ``leaves`` (characters and tokens of each pre-token of ``text``, see
+        :meth:`leaves`) nothing is split or encoded again."""
         self.encoder = encoder
-        self.slots: list[list[str]] = [[p] for p in encoder.split(text)] or [[]]
+        if leaves is None:
+            self.slots: list[list[str]] = [[p] for p in encoder.split(text)] or [[]]
+        else:
+            ends = np.cumsum([n for n, _ in leaves]).tolist()
+            self.slots = [[text[a:b]] for a, b in zip([0, *ends], ends)] or [[]]
         self.size = 1 << max(0, len(self.slots) - 1).bit_length()
         self.sums = np.zeros((2 * self.size, 2), np.int64)
         flat = [p[0] for p in self.slots if p]
         if flat:
             self.sums[self.size:self.size + len(flat), 0] = list(map(len, flat))
-            self.sums[self.size:self.size + len(flat), 1] = encoder.counts(flat)
+            self.sums[self.size:self.size + len(flat), 1] = encoder.counts(flat) if leaves is None else [n for _, n in leaves]
         at = self.size
         while at > 1:
             self.sums[at // 2:at] = self.sums[at:2 * at:2] + self.sums[at + 1:2 * at:2]
@@ -101,6 +107,13 @@ class SegmentTree:
     def text(self) -> str:
         return "".join(p for s in self.slots for p in s)
 
+    def leaves(self) -> list[tuple[int, int]]:
+        """Characters and tokens of each pre-token."""
+        out: list[tuple[int, int]] = []
+        for slot, sums in zip(self.slots, self.sums[self.size:].tolist()):
+            out += [tuple(sums)] if len(slot) == 1 else list(zip(map(len, slot), self.encoder.counts(slot)))
+        return out
+
     def find(self, offset: int) -> tuple[int, int]:
         """The slot that holds the character at ``offset``, and where it begins."""
         at, begin = 1, 0
@@ -210,6 +223,48 @@ def recounted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     return rows.mapInArrow(_recount(ranks, to_arrow_schema(out)), out)
 
 
+def _keep(ranks, out: pa.Schema):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(ranks.value)
+        for batch in batches:
+            texts, kept, numbers = [], [], []
+            for text, edits, leaves in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                tree = SegmentTree(encoder, text or "", None if leaves is None else [(x["length"], x["tokens"]) for x in leaves])
+                for e in edits or []:
+                    if e is not None and e["start"] is not None:
+                        tree.edit(e["start"], e["length"] or 0, e["replacement"] or "")
+                texts.append(tree.text())
+                kept.append([{"length": a, "tokens": b} for a, b in tree.leaves()])
+                numbers.append((tree.tokens, tree.characters, tree.reencoded))
+            columns = zip(*numbers) if numbers else [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, out.field("text").type), pa.array(kept, out.field("leaves").type),
+                                              *(pa.array(c, pa.int64()) for c in columns)], schema=out)
+
+    return run
+
+
+def kept_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None,
+               leaves_col: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row per input row: ``id, text, leaves, n_tokens, n_chars, n_reencoded``, the
+    tree as a table after its edits (see :func:`recounted`), for the caller to write.
+
+    A later call takes such a table with new edits joined to it and ``leaves_col="leaves"``,
+    ``id_col="id"``: its texts are not split or encoded again but where edits need it.
+    Null leaves are built from the text.  Null texts become empty ones."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    small_batches(docs.sparkSession)
+    with open(vocabulary, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+    typed = lambda name, kind: (F.lit(None) if name is None else docs[name]).cast(kind)
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"),
+                       typed(edits_col, "array<struct<start:bigint,length:bigint,replacement:string>>").alias("edits"),
+                       typed(leaves_col, "array<struct<length:bigint,tokens:bigint>>").alias("leaves"))
+    out = StructType.fromDDL(f"id {rows.schema['id'].dataType.simpleString()}, text string, leaves array<struct<length:bigint,tokens:bigint>>, n_tokens bigint, n_chars bigint, n_reencoded bigint")
+    return rows.mapInArrow(_keep(ranks, to_arrow_schema(out)), out)
+
+
 def sample_edits(text: str = "text"):
     """Edits of every text for the query: a deletion at a quarter, an insertion at
     the middle, a replacement at three quarters of its length."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from awkward_rows import ROWS, awkward, no_rows  # noqa: F401
 from satledger.llm import queries, tokens
+from satledger.llm.common import store
 
 ALPHABET = ["a", "b", " ", "  ", "\n", "\n\n", "'", "'l", "l", "re", "1", "23", "!", "é", "漢", "\U0001f600", "word", "Xy", "\t", "."]
 
@@ -75,3 +76,34 @@ def test_awkward_rows(awkward, no_rows, encoder):  # noqa: F811
     texts = {i: t for i, t, _ in ROWS}
     check([{**r.asDict(), "edited": texts[r["id"]] is not None} for r in found], [texts[r["id"]] for r in found], encoder)
     assert tokens.recounted(no_rows.withColumn("edits", tokens.sample_edits())).count() == 0
+
+
+def test_kept_leaves_are_not_split_or_encoded_again(encoder, monkeypatch):
+    text = "The word isn't 1 234  here, 漢字 \U0001f600 at all" * 3
+    leaves = tokens.SegmentTree(encoder, text).leaves()
+    whole = encoder.whole(text)
+    monkeypatch.setattr(encoder, "split", None)
+    monkeypatch.setattr(encoder, "count", None)
+    monkeypatch.setattr(encoder, "counts", None)
+    tree = tokens.SegmentTree(encoder, text, leaves)
+    assert (tree.tokens, tree.characters, tree.text(), tree.leaves()) == (whole, len(text), text, leaves)
+
+
+def test_later_edits_against_a_written_table(spark, awkward, no_rows, encoder):  # noqa: F811
+    first = store(tokens.kept_trees(awkward.withColumn("e", tokens.sample_edits()), edits_col="e"), "test-trees")
+    second = tokens.kept_trees(first.withColumn("e", tokens.sample_edits()), "id", edits_col="e", leaves_col="leaves")
+    once = {(r["id"], r["text"]): r for r in first.collect()}
+    for r in second.collect():
+        assert r["n_tokens"] == encoder.whole(r["text"]) == sum(x["tokens"] for x in r["leaves"])
+        assert r["n_chars"] == len(r["text"]) == sum(x["length"] for x in r["leaves"])
+        assert [len(p) for p in encoder.split(r["text"])] == [x["length"] for x in r["leaves"]]
+    wanted = [(i, edited("" if t is None else edited(t))) for i, t, *_ in ROWS]  # no places in a null text
+    assert sorted(map(str, wanted)) == sorted(str((r["id"], r["text"])) for r in second.collect())
+    assert len(once) and tokens.kept_trees(no_rows).count() == 0
+
+
+def edited(text):
+    n = len(text)
+    for start, length, new in ((n // 4, 12, ""), (n // 2, 0, " [edited] "), (int(n * 0.75), 5, "'re é\U0001f600 12")):
+        text = text[:start] + new + text[start + length:]
+    return text
