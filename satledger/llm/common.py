@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satledger.session import scratch_path
@@ -85,6 +85,16 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     return docs.select(*cols, *(docs[c].alias(f"c{i}") for i, c in enumerate(more)))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named ``c0, c1, ...`` by position, whatever their names."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def place(df: DataFrame, name: str) -> Column:
+    """The column of ``numbered(df)`` that ``df`` calls ``name``."""
+    return F.col(f"c{df.columns.index(name)}")
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satledger.llm import decontam, exact, mixing, ngram_join, quality, secrets, sharding, substring, tokens, toxicity
+from satledger.llm import (decontam, exact, mixing, negatives, ngram_join, pieces, quality, secrets, sharding, substring, tokens,
+                           toxicity, whitening)
 from satledger.llm.common import read_table
 
 
@@ -73,6 +74,25 @@ def op10_partenum_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumnRenamed("id", "doc_id")
 
 
+def op11_merge_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = pieces.encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = ids.select("doc_id", pieces.n_ids().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return pieces.decoded(ids).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(read_table(spark, sf_dir, "embeddings"), components=8)
+    each = rows.select("id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "c"))
+    return each.select(F.col("id").alias("vec_id"), (F.col("place") + 1).alias("component"), "n",
+                       F.col("deviation").try_cast("bigint").alias("deviation"), F.col("c.whitened").alias("whitened"),
+                       F.col("c.explained").alias("explained"), "identity_error")
+
+
+def op13_slot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), anchor=F.col("vec_id") % 50 == 0, label=label)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_weak_supervision_toxicity,
     op2_cube_mixing,
@@ -84,6 +104,9 @@ QUERIES = {f.__name__: f for f in (
     op8_grace_hash_dedup,
     op9_secret_ownership,
     op10_partenum_ngram_join,
+    op11_merge_table_pieces,
+    op12_polarisation_whitening,
+    op13_slot_hard_negatives,
 )}
 
 SQL = {
@@ -96,4 +119,26 @@ SQL = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op13_slot_hard_negatives": """
+        WITH vectors AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        scores AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, b.label = a.label AS same,
+                   list_dot_product(a.x, b.x)::BIGINT AS score
+            FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        negatives AS (
+            SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS place
+            FROM positives p JOIN scores s ON p.anchor_id = s.anchor_id AND NOT same
+             AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_score, negative_score
+        FROM negatives WHERE place <= 3
+    """,
 }
