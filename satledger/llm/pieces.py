@@ -248,33 +248,49 @@ def _decode(model, out: pa.Schema):
     return run
 
 
-def _mapped(rows: DataFrame, first: Column, name: str, kind: str, function, model: str) -> DataFrame:
+def _list(out: pa.Schema):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = arrow_text(batch.column(0))
+            ids = np.frombuffer(raw[at[0]:at[-1]].tobytes(), "<u4").astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array((at - at[0]) // 4, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([lists.cast(out[0].type), *batch.columns[1:]], schema=out)
+
+    return run
+
+
+def _mapped(rows: DataFrame, first: Column, name: str, kind: str, function) -> DataFrame:
     """``rows`` with a further column, last, computed from ``first``: the other columns travel under
     numbers and get their names back by position, so any names may clash."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     small_batches(rows.sparkSession)
-    with open(model, "rb") as f:
-        held = rows.sparkSession.sparkContext.broadcast(f.read())
     names, plain = rows.columns, numbered(rows)
     sent = plain.select(first.alias("x"), "*")
     out = StructType.fromDDL(f"x {kind}")
     for field in plain.schema.fields:
         out.add(field)
-    made = sent.mapInArrow(function(held, to_arrow_schema(out)), out)
+    made = sent.mapInArrow(function(to_arrow_schema(out)), out)
     return made.select(*(f"c{i}" for i in range(len(names))), "x").toDF(*names, name)
 
 
+def _held(rows: DataFrame, model: str):
+    """The model file (its size is that of the vocabulary) for the tasks."""
+    with open(model, "rb") as f:
+        return rows.sparkSession.sparkContext.broadcast(f.read())
+
+
 def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL, bos: bool = True, eos: bool = True) -> DataFrame:
     """``docs`` with a last column ``ids``: the ids of the text as binary, four bytes
-    each, little-endian (:func:`n_ids`, :func:`ids_array`).
+    each, little-endian (:func:`n_ids`, :func:`listed`).
 
     Null and empty texts have the begin and end ids only.  Texts of any length are
     encoded whole; bytes that are no UTF-8 count as U+FFFD.  Repeated rows, ties and
     hot texts: each row by itself, no shuffle.  Empty tables give no rows.  All
     columns of ``docs`` stay as they are, whatever their names: a column named
     ``ids`` stays too, before the new one."""
-    return _mapped(docs, place(docs, text_col), "ids", "binary", lambda m, s: _encode(m, bos, eos, s), model)
+    held = _held(docs, model)
+    return _mapped(docs, place(docs, text_col), "ids", "binary", lambda s: _encode(held, bos, eos, s))
 
 
 def decoded(rows: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -285,16 +301,14 @@ def decoded(rows: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFr
     one, and the space that encoding puts before a text is taken off.  Null or empty
     ids give an empty text; ids beyond the vocabulary fail.  Repeated rows, empty
     tables and clashing names as in :func:`encoded`."""
-    return _mapped(rows, place(rows, ids_col), "decoded", "string", lambda m, s: _decode(m, s), model)
+    held = _held(rows, model)
+    return _mapped(rows, place(rows, ids_col), "decoded", "string", lambda s: _decode(held, s))
 
 
-def n_ids(ids: str | Column = "ids") -> Column:
-    return F.floor(F.octet_length(ids) / 4)
+def listed(rows: DataFrame, ids_col: str = "ids") -> DataFrame:
+    """``rows`` with a last column ``id_list``: the binary ids as ``array<bigint>``; null ids give an empty one."""
+    return _mapped(rows, place(rows, ids_col), "id_list", "array<bigint>", _list)
 
 
-def ids_array(ids: str | Column = "ids") -> Column:
-    """The binary ids as ``array<bigint>``."""
-    digits = F.hex(ids)
-    one = lambda k: F.conv(F.concat(*(F.substring(digits, k * 8 + j, F.lit(2)) for j in (7, 5, 3, 1))), 16, 10).cast("bigint")
-    return F.when(n_ids(ids) > 0, F.transform(F.sequence(F.lit(0), (n_ids(ids) - 1).cast("int")), one)).otherwise(
-        F.array().cast("array<bigint>"))
+def n_ids(ids: str | Column = "ids") -> Column:
+    return F.floor(F.octet_length(ids) / 4)

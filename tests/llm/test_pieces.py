@@ -72,17 +72,17 @@ def test_awkward_rows(spark, awkward, no_rows, library):  # noqa: F811
     clash = awkward.withColumnRenamed("h", "ids").withColumnRenamed("spans", "a.b").withColumnRenamed("source", "Decoded")
     found = pieces.decoded(pieces.encoded(clash), "ids").columns
     assert found == [*clash.columns, "ids", "decoded"]
-    rows = pieces.encoded(awkward.withColumnRenamed("h", "a.b")).select("doc_id", "text", "ids", "`a.b`", pieces.ids_array().alias("list")).collect()
+    rows = pieces.listed(pieces.encoded(awkward.withColumnRenamed("h", "a.b"))).collect()
     assert len(rows) == len(ROWS)
     for r in rows:
         want = library.encode(r["text"] or "", add_bos=True, add_eos=True)
-        assert bytes(r["ids"]) == packed(want) and r["list"] == want and r["a.b"] == "h"
+        assert bytes(r["ids"]) == packed(want) and r["id_list"] == want and r["a.b"] == "h"
     back = pieces.decoded(pieces.encoded(awkward)).collect()
     assert sorted((r["text"] or "") for r in back) == sorted(r["decoded"] for r in back)
     assert pieces.decoded(pieces.encoded(no_rows)).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, bytearray())], "doc_id int, ids binary")
     assert {r["decoded"] for r in pieces.decoded(nulls).collect()} == {""}
-    assert nulls.select(pieces.ids_array().alias("l")).collect()[1]["l"] == []
+    assert {tuple(r["id_list"]) for r in pieces.listed(nulls).collect()} == {()}
 
 
 def test_query_equals_the_library(spark, library):
