@@ -17,9 +17,9 @@ A byte goes when a ``LENGTH``-byte string that covers it also starts elsewhere.
    Collections are runs of shuffled partitions, read in sequence; the full
    transform of the corpus, with one round per symbol of its longest document, is
    not built.
-4. An anchor with more than ``HOT`` contexts is split: by blocks of its windows and
-   the bytes that all windows of a block share, then by smaller blocks; single
-   windows at last are counted by hash, with partial sums.
+4. The windows of an anchor with more than ``HOT`` contexts are counted by name, a
+   128-bit hash: first in each task, which sends a window that it has seen twice as
+   its name only, then over all tasks.
 
 Documents of equal text are known by digest; such text repeats as a whole.
 """
@@ -40,8 +40,6 @@ LENGTH = 200
 GRAM = 64
 #: Contexts of one anchor that one task resolves at most.
 HOT = 500
-#: Window starts per block when an anchor of very many contexts is split.
-BLOCKS = (32, 8)
 #: Contexts that are sorted together.
 COLLECTION = 20_000
 #: Anchors that a task holds before it sends them on.
@@ -254,16 +252,38 @@ def _meet(batches) -> Iterator[pa.RecordBatch]:
         yield from _by_text(who[both], keys, marks[both], kinds)
 
 
-_CONTEXT = "anchor bigint, key binary, at bigint, low int, high int, context binary"
-_CONTEXT_ARROW = pa.schema([("anchor", pa.int64()), ("key", pa.binary()), ("at", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("context", pa.binary())])
+_CONTEXT = "anchor bigint, n int, keys binary, at binary, low binary, high binary, context binary"
+_CONTEXT_ARROW = pa.schema([("anchor", pa.int64()), ("n", pa.int32()), *((c, pa.binary()) for c in ("keys", "at", "low", "high", "context"))])
+
+
+def _packed_contexts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Contexts (anchor, key, position, offset of the anchor, further windows, bytes) as
+    one row per anchor: a hot anchor makes few rows in any task."""
+    rows.sort(key=lambda r: r[0])
+    cuts = [i for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]]
+    packed = []
+    for a, b in zip(cuts, [*cuts[1:], len(rows)]):
+        anchor, keys, at, low, high, texts = zip(*rows[a:b])
+        packed.append((anchor[0], b - a, b"".join(keys), np.array(at, np.int64).tobytes(), np.array(low, np.int32).tobytes(),
+                       np.array(high, np.int32).tobytes(), b"".join(texts)))
+    if packed:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*packed), _CONTEXT_ARROW.types)], schema=_CONTEXT_ARROW)
+
+
+def _unpacked(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
+    for anchor, n, keys, at, low, high, texts in zip(*(batch.column(i).to_pylist() for i in range(7))):
+        high = np.frombuffer(high, np.int32)
+        ends = np.cumsum(high + length).tolist()
+        for i, (p, q, w, a, b) in enumerate(zip(np.frombuffer(at, np.int64).tolist(), np.frombuffer(low, np.int32).tolist(), high.tolist(), [0, *ends], ends)):
+            yield anchor, keys[16 * i:16 * i + 16], p, q, w, texts[a:b]
 
 
 def _cut(length: int, gram: int):
     """The contexts to be resolved, of each text once per task."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        rows: list[tuple] = []
         for batch in batches:
-            rows: list[tuple] = []
             for key, text, marks in zip(batch.column(0).to_pylist(), arrow_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 if key in seen:
                     continue
@@ -271,11 +291,12 @@ def _cut(length: int, gram: int):
                 for m in np.unique(np.frombuffer(b"".join(marks), np.uint64)).tolist():
                     first, width, low = m >> 16, m >> 8 & 255, m & 255
                     rows.append((xxhash.xxh3_64_intdigest(text[first + low:first + low + gram]) >> 1, key, first + low, low, width, text[first:first + width + length]))
+                    if len(rows) >= COLLECTION:
+                        yield from _packed_contexts(rows)
+                        rows = []
             if len(seen) > 1_000_000:
                 seen = set()
-            for a in range(0, len(rows), 20_000):
-                cols = list(zip(*rows[a:a + 20_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, _CONTEXT_ARROW.types)], schema=_CONTEXT_ARROW)
+        yield from _packed_contexts(rows)
 
     return run
 
@@ -326,6 +347,26 @@ _FOUND = "key binary, marks binary"
 _FOUND_ARROW = pa.schema([("key", pa.binary()), ("marks", pa.binary())])
 
 
+def _found(who: np.ndarray, start: np.ndarray, keys) -> Iterator[pa.RecordBatch]:
+    """Marks of window starts, in order of their text ``who``: a run of neighbouring
+    starts becomes one mark."""
+    if not len(who):
+        return
+    new = np.ones(len(who), bool)
+    new[1:] = (who[1:] != who[:-1]) | (start[1:] != start[:-1] + 1)
+    run = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    new |= (np.arange(len(who)) - at[run]) % 256 == 0  # a mark holds so many
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], len(who)) - 1
+    marks, who = mark(start[a], start[b] - start[a]) << np.uint64(8), who[a]
+    cuts = np.flatnonzero(np.diff(who, prepend=-1))
+    data, ends = marks.tobytes(), [*cuts[1:].tolist(), len(marks)]
+    rows = [(keys[w], data[8 * i:8 * j]) for w, i, j in zip(who[cuts].tolist(), cuts.tolist(), ends)]
+    for i in range(0, len(rows), 20_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows[i:i + 20_000])], schema=_FOUND_ARROW)
+
+
 def _resolve(length: int, gram: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -334,19 +375,10 @@ def _resolve(length: int, gram: int):
             at, low = np.array([r[2] for r in part]), np.array([r[3] for r in part])
             hit = repeated_starts([r[5] for r in part], low, length, gram)
             where, start = np.nonzero(hit)
-            # runs of neighbouring starts become one mark: first start, width
-            if len(where):
-                new = np.ones(len(where), bool)
-                new[1:] = (where[1:] != where[:-1]) | (start[1:] != start[:-1] + 1)
-                a = np.flatnonzero(new)
-                b = np.append(a[1:], len(where)) - 1
-                marks = mark(at[where[a]] - (length - gram) + start[a], start[b] - start[a]) << np.uint64(8)
-                for i in range(0, len(a), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array([part[w][1] for w in where[a[i:i + 20_000]].tolist()], pa.binary()),
-                                                      pa.array([m.tobytes() for m in marks[i:i + 20_000]], pa.binary())], schema=_FOUND_ARROW)
+            yield from _found(where, at[where] - (length - gram) + start, [r[1] for r in part])
 
         for batch in batches:  # in order of the anchor: a collection ends with a group
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for row in _unpacked(batch, length):
                 if len(rows) >= COLLECTION and row[0] != rows[-1][0]:
                     yield from sort(rows)
                     rows = []
@@ -357,31 +389,93 @@ def _resolve(length: int, gram: int):
     return run
 
 
-def _split(length: int, width: int):
-    """Contexts cut to blocks of ``width`` window starts, counted from the anchor; in
-    place of the anchor a hash of it, the block and the bytes that all windows of the
-    block cover: equal windows agree in these."""
+_WINDOWS = "part int, known binary, once binary, who binary, start binary, keys binary"
+_WINDOWS_ARROW = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("known", "once", "who", "start", "keys"))])
+
+
+def _window_row(part: int, known, once, who, start, keys: np.ndarray) -> pa.RecordBatch:
+    used, who = np.unique(who, return_inverse=True)
+    cells = [known.tobytes(), once.tobytes(), who.astype(np.uint32).tobytes(), start.tobytes(), keys[used].tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], schema=_WINDOWS_ARROW)
+
+
+def _name_windows(parts: int, length: int):
+    """Names (128-bit hashes) of the windows of hot anchors, counted in the task: of
+    windows that occur twice in it the name goes once, their places are known already
+    to repeat; of the others the name goes with its place."""
     def run(batches) -> Iterator[pa.RecordBatch]:
+        names, who, starts, keys, turn = [], [], [], [], 0
+
+        def flush():
+            nonlocal turn
+            name = np.frombuffer(b"".join(names), np.uint64).reshape(-1, 2)
+            texts, owner = np.unique(np.frombuffer(b"".join(keys), _KEY), return_inverse=True)
+            place, start = owner[np.array(who)], np.array(starts, np.int64)
+            home = (name[:, 0] % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((start, place, name[:, 1], name[:, 0], home))
+            name, place, start, home = name[order], place[order], start[order], home[order]
+            # an occurrence that two contexts show counts once
+            own = _runs(name[:, 0], name[:, 1], place, start)
+            name, place, start, home = name[own], place[own], start[own], home[own]
+            first = _runs(name[:, 0], name[:, 1])
+            group = np.cumsum(first) - 1
+            again = np.bincount(group)[group] > 1
+            lead = np.flatnonzero(first)
+            cuts = np.flatnonzero(np.diff(home[lead], prepend=-1))
+            for a, b in zip(lead[cuts].tolist(), [*lead[cuts[1:]].tolist(), len(home)]):
+                known, once = again[a:b] & first[a:b], ~again[a:b]
+                yield _window_row(int(home[a]), name[a:b][known], name[a:b][once], place[a:b][once], start[a:b][once], texts)
+            rows = np.flatnonzero(again)
+            rows = rows[np.argsort(place[rows], kind="stable")]
+            for a in range(0, len(rows), 1 << 15):
+                r = rows[a:a + (1 << 15)]
+                turn += 1
+                yield _window_row(int(name[r[0], 1] % np.uint64(parts) + np.uint64(turn)) % parts, name[:0], name[:0], place[r], start[r], texts)
+
         for batch in batches:
-            rows = []
-            for anchor, key, at, low, high, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                for block in range((low - high) // width, low // width + 1):
-                    far, near = min(low, block * width + width - 1), max(low - high, block * width)
-                    core = text[low - block * width:low - (block * width + width - 1) + length]
-                    name = xxhash.xxh3_64_intdigest(core, seed=(anchor * 512 + block) % (1 << 64)) >> 1
-                    rows.append((name, key, at, far, far - near, text[low - far:low - near + length]))
-            for a in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[a:a + 20_000]), _CONTEXT_ARROW.types)], schema=_CONTEXT_ARROW)
+            for anchor, key, at, low, high, text in _unpacked(batch, length):
+                names.extend(xxhash.xxh3_128_digest(text[i:i + length]) for i in range(high + 1))
+                who.extend([len(keys)] * (high + 1))
+                starts.extend(range(at - low, at - low + high + 1))
+                keys.append(key)
+                if len(names) >= CHUNK:
+                    yield from flush()
+                    names, who, starts, keys = [], [], [], []
+        if names:
+            yield from flush()
 
     return run
 
 
-def _start_marks(batches) -> Iterator[pa.RecordBatch]:
-    """Every context as one found mark."""
+def _meet_windows(batches) -> Iterator[pa.RecordBatch]:
+    """Marks of the windows whose name occurs twice."""
+    held: dict[int, list] = {}
     for batch in batches:
-        at, low, high = (np.array(batch.column(i).to_pylist(), np.int64) for i in (1, 2, 3))
-        marks = mark(at - low, high) << np.uint64(8)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes() for m in marks], pa.binary())], schema=_FOUND_ARROW)
+        for part, known, once, who, start, keys in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            who, start = np.frombuffer(who, np.uint32).astype(np.int64), np.frombuffer(start, np.int64)
+            if not known and not once:
+                order = np.lexsort((start, who))
+                yield from _found(who[order], start[order], [keys[16 * i:16 * i + 16] for i in range(len(keys) // 16)])
+            else:
+                held.setdefault(part, []).append((known, once, who, start, keys))
+    for parts in held.values():
+        texts, owner = np.unique(np.frombuffer(b"".join(p[4] for p in parts), _KEY), return_inverse=True)
+        shift = np.cumsum([0, *(len(p[4]) // 16 for p in parts)])
+        place = owner[np.concatenate([p[2] + s for p, s in zip(parts, shift)])]
+        start = np.concatenate([p[3] for p in parts])
+        name = np.frombuffer(b"".join([*(p[1] for p in parts), *(p[0] for p in parts)]), np.uint64).reshape(-1, 2)
+        known = np.arange(len(name)) >= len(place)
+        # the places of known names have their marks already: each counts as a place of its own
+        place = np.concatenate((place, np.full(known.sum(), -1)))
+        start = np.concatenate((start, np.arange(known.sum())))
+        order = np.lexsort((start, place, name[:, 1], name[:, 0]))
+        name, place, start, known = name[order], place[order], start[order], known[order]
+        own = _runs(name[:, 0], name[:, 1], place, start)
+        name, place, start, known = name[own], place[own], start[own], known[own]
+        group = np.cumsum(_runs(name[:, 0], name[:, 1])) - 1
+        rows = np.flatnonzero((np.bincount(group, 1 + known)[group] > 1) & ~known)
+        rows = rows[np.lexsort((start[rows], place[rows]))]
+        yield from _found(place[rows], start[rows], [t.tobytes() for t in texts])
 
 
 def spans_of(marks: list[bytes], length: int) -> list[tuple[int, int]]:
@@ -434,18 +528,17 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
 
     sends = marked.where("send").groupBy("key").agg(F.collect_list("marks").alias("marks"))
     contexts = store(_with(texts, sends).mapInArrow(_cut(length, gram), _CONTEXT), "repeat-contexts")
+    counts = contexts.groupBy("anchor").agg(F.sum("n").alias("n"))
+    crowded = store(counts.where(F.col("n") > hot).select("anchor"), "repeat-hot")
     found = []
-    for width in (*BLOCKS, 1):
-        crowded = store(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"), "repeat-hot")
-        split = not crowded.isEmpty()
-        few = contexts.join(crowded, "anchor", "left_anti") if split else contexts
-        found.append(few.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_resolve(length, gram), _FOUND))
-        if not split:
-            break
-        contexts = store(contexts.join(crowded, "anchor", "left_semi").mapInArrow(_split(length, width), _CONTEXT), "repeat-split")
-    else:  # single windows: those of one name are equal
-        twice = store(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeat-twice")
-        found.append(contexts.join(twice, "anchor", "left_semi").select("key", "at", "low", "high").mapInArrow(_start_marks, _FOUND))
+    if crowded.isEmpty():
+        few = contexts
+    else:  # a row of contexts per task and hot anchor: their windows are counted by name
+        few = contexts.join(crowded, "anchor", "left_anti")
+        named = contexts.join(crowded, "anchor", "left_semi").select(*contexts.columns).mapInArrow(_name_windows(parts, length), _WINDOWS)
+        found.append(named.repartitionById(parts, "part").mapInArrow(_meet_windows, _FOUND))
+    few = few.select(*contexts.columns).repartition(parts, "anchor").sortWithinPartitions("anchor")
+    found.append(few.mapInArrow(_resolve(length, gram), _FOUND))
 
     partial = marked.where("not send").select("key", "marks")
     for more in found:

@@ -124,15 +124,27 @@ def mined(df):
 
 
 @pytest.mark.parametrize("seed,options", [(4, {}), (5, {"positives": 2, "negatives": 1}), (6, {"low": -50, "high": 100})])
-def test_hard_negatives(spark, monkeypatch, seed, options):
-    monkeypatch.setattr(negatives, "TILE", 16)
-    monkeypatch.setattr(negatives, "BLOCK", 8)
+def test_hard_negatives(spark, seed, options):
     rows = random_rows(seed)
     want = brute(rows, 4, lambda i: i % 10 == 0, options.get("positives", 5), options.get("negatives", 3), options.get("low", 50), options.get("high", 95))
     assert len(want) > 20
     assert mined(negatives.hard_negatives(table(spark, rows), F.col("vec_id") % 10 == 0, **options)) == want
 
 
+def test_rows_of_a_group_come_in_tiles(monkeypatch):
+    """What a task keeps does not depend on how many rows it compares at a time."""
+    rng = random.Random(8)
+    ids, labels = np.arange(300)[::-1].copy(), np.array([rng.randrange(3) for _ in range(300)])
+    x = np.array([[rng.randint(-3, 3) for _ in range(4)] for _ in range(300)], np.int16)
+    block = (ids.tobytes(), labels.tobytes(), ids.tobytes(), np.tile([0, 9, -5, 0], 300).astype(np.int64).tobytes(), x.tobytes(), False)
+    found = []
+    for tile in (7, 1000):
+        monkeypatch.setattr(negatives, "TILE", tile)
+        found.append([[tuple(c.tolist() for c in part) for part in find(negatives._Group([block], 4, by_label), block, 4, 3)]
+                      for find, by_label in ((negatives._positives, True), (negatives._negatives, False))])
+    assert found[0] == found[1] and len(found[0][0][0][0]) > 100
+
+
 def test_hard_negatives_of_large_numbers(spark):
     """Scores beyond 24 and beyond 53 bits stay exact."""
     rng = random.Random(7)
