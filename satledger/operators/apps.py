@@ -1,11 +1,12 @@
 """App share (A14) and first streamer per episode."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satledger import constants as K
 from satledger.functions.columns import epoch_of
+from satledger.operators.ranking import global_rank
 
 
 def app_share(inv: DataFrame) -> DataFrame:
@@ -13,15 +14,14 @@ def app_share(inv: DataFrame) -> DataFrame:
     ``rank`` is the place in this order (app breaks ties; one row per app).
 
     The total is the true sum of the per-app counts (H6: the reference adds
-    equal counts once).  It is a scalar subquery over the grouped result, so
-    no single partition ever holds more than the per-app rows."""
+    equal counts once).  It is a scalar subquery over the grouped result."""
     counts = (inv.filter(F.col("action") == F.lit(K.ACTION_BOOST))
               .groupBy(F.coalesce("app_name", F.lit(K.UNKNOWN_APP)).alias("app"))
               .agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n")).scalar()
     pct = F.floor(F.lit(100.0) * (F.col("n").cast("double") / total.cast("double")) + F.lit(0.5))
-    place = F.row_number().over(Window.orderBy(F.col("n").desc(), "app"))
-    return counts.select("app", "n", pct.cast("bigint").alias("percent"), place.cast("bigint").alias("rank")).orderBy("rank")
+    shares = counts.select("app", "n", pct.cast("bigint").alias("percent"))
+    return global_rank(shares, F.col("n").desc(), F.col("app")).orderBy("rank")
 
 
 def first_streamer_per_episode(inv: DataFrame) -> DataFrame:

@@ -23,11 +23,15 @@ MAP = "map<string,string>"
 
 
 PAGE = "broken_page"
+#: Newest event time of a row's page.
+NEWEST = "page_newest"
 
 
 def _parsed(pages: DataFrame, text: str, invoices: Column) -> DataFrame:
-    """One row per invoice with its JSON text (``raw``) and place (``pos``); a page that
-    does not parse is one row with its text in ``broken_page`` and no ``raw``."""
+    """One row per invoice with its JSON text (``raw``), place (``pos``) and the newest event time
+    of its page; a page that does not parse is one row with its text in ``broken_page`` and no ``raw``."""
+    time = lambda r: blank_to_null(F.get_json_object(r, "$.creation_date")).try_cast("bigint")
+    pages = pages.withColumn(NEWEST, F.array_max(F.transform(invoices, time)))
     keep = [c for c in pages.columns if c != text]
     item = f"struct<raw:string,{PAGE}:string>"
     broken = F.array(F.struct(F.lit(None).cast("string").alias("raw"), F.col(text).alias(PAGE)))

@@ -78,3 +78,19 @@ def load_since_mark(raw: DataFrame, marks: DataFrame) -> DataFrame:
     known = raw["creation_date"] < marks["hwm"]
     return (raw.join(F.broadcast(marks), raw["source"].eqNullSafe(marks["source"]), "left")
             .filter(~F.coalesce(known, F.lit(False))).select(*[raw[c] for c in raw.columns]))
+
+
+def load_until_epoch(rows: DataFrame, marks: DataFrame, page: str = "page") -> DataFrame:
+    """Whole pages, newest first, up to the first page whose newest event time lies
+    before its source's mark; that page and all behind it stay out.
+
+    ``page`` numbers the pages of a source in the order they are fetched.  A page that
+    straddles the mark counts whole, so that a changed row with an old time is loaded;
+    a page without event times stops nothing; a source without a mark is loaded whole.
+    ``marks`` (``source``, ``hwm``) has a row per source."""
+    newest = rows.groupBy("source", page).agg(F.max("creation_date").alias("newest"))
+    known = F.broadcast(marks.select(F.col("source").alias("_of"), "hwm"))
+    stop = (newest.join(known, F.col("source").eqNullSafe(F.col("_of"))).filter(F.col("newest") < F.col("hwm"))
+            .groupBy("_of").agg(F.min(page).alias("_stop")))  # at most a row per source
+    return (rows.join(F.broadcast(stop), rows["source"].eqNullSafe(F.col("_of")), "left")
+            .filter(F.col("_stop").isNull() | (rows[page] < F.col("_stop"))).select(*[rows[c] for c in rows.columns]))

@@ -61,7 +61,11 @@ def rows_to_copy(dest: DataFrame, src: DataFrame, since: int, as_of: int,
     (``salts`` buckets), and only that one id is replicated over the salts on
     the missing-id side.  Every other id keeps salt 0.  One pass over the
     source, and the hot id is spread over ``salts`` join keys."""
-    missing = missing_content_ids(dest, src, since, as_of, hold_back, include_plain)
+    return rows_with_ids(src, missing_content_ids(dest, src, since, as_of, hold_back, include_plain), salts)
+
+
+def rows_with_ids(src: DataFrame, missing: DataFrame, salts: int = HOT_ID_SALTS) -> DataFrame:
+    """The rows of ``src`` that carry one of the content ids of ``missing``."""
     plain = F.col("content_id") == F.lit(K.PLAIN_CONTENT_ID)
     salted_src = src.withColumn(
         "_salt", F.when(plain, F.pmod(F.xxhash64("source", "identifier"), F.lit(salts)))

@@ -2,6 +2,7 @@
 operator, all reading the driver tables (through the adapter) in full."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -509,3 +510,127 @@ def flatten_open(spark, sf_dir):
     rows = _inv(spark, sf_dir).withColumn("message", F.translate(F.coalesce("message", F.lit("none")), "\n", " "))
     norm = normalize(rows.select("source", raw.alias("raw")))
     return norm.select("source", "identifier", F.explode("extra").alias("name", "value"))
+
+
+def _paged(spark, sf_dir):
+    """Invoices on pages of ``P.PAGE_IDS`` ids, page 0 with the highest ids; every
+    ``P.TIMELESS_PAGES``th page has no event times."""
+    inv = _inv(spark, sf_dir)
+    block = F.floor(F.col("identifier").cast("bigint") / P.PAGE_IDS)
+    page = inv.agg(F.max(block)).scalar() - block
+    return inv.select("source", "identifier", page.alias("page"),
+                      F.when(page % P.TIMELESS_PAGES != 0, F.col("creation_date")).alias("creation_date"))
+
+
+@register
+def load_until_epoch(spark, sf_dir):
+    """N2 + N4: whole pages, newest first, up to the first one before the marks of a store
+    that holds the first half of the data."""
+    known = _inv(spark, sf_dir).filter(F.col("creation_date") < P.SINCE_B)
+    marks = merge.high_water_marks(known, spark, K.SOURCES)
+    return merge.load_until_epoch(_paged(spark, sf_dir), marks)
+
+
+@register
+def delete_after_replay(spark, sf_dir):
+    """Rows are retracted, then all pages are loaded and reconciled again."""
+    from satledger.session import scratch_path
+    from satledger.sources.store import write_store
+    from satledger.streaming import cycle
+    from satledger.streaming.ingest import merge_into_store
+
+    base, inv = scratch_path(spark, "retract"), _inv(spark, sf_dir)
+    go = lambda: cycle.sync_reporting(spark, f"{base}/store", f"{base}/copies", "node_b", ["node_a", "wallet"],
+                                      as_of=P.AS_OF, since=P.SINCE_A)
+    write_store(inv, f"{base}/store")
+    go()
+    cycle.retract(spark, inv.filter(F.col("identifier").cast("bigint") % P.DELETE_EVERY == 0), f"{base}/store", f"{base}/copies")
+    merge_into_store(inv, f"{base}/store")
+    return go().select("source", "identifier", "creation_date", "content_id")
+
+
+@register
+def report_cursor(spark, sf_dir):
+    """A8 + F1 + H9: three runs over growing data; each payment with the run that reports it."""
+    from satledger.plans.cursor import next_report
+    from satledger.session import scratch_path
+
+    base, inv, out = scratch_path(spark, "cursor"), _inv(spark, sf_dir), []
+    for run, until in enumerate(P.REPORT_RUNS, 1):
+        for show in P.REPORT_SHOWS:
+            pattern = SHOWS[show]
+            done = next_report(inv.filter(F.col("creation_date") < until), show, pattern, f"{base}/cursors", f"{base}/reports", P.SINCE_A, P.EXCLUDED,
+                               lambda rows, since, path, p=pattern: report.valid_invoices(rows, p, since, P.EXCLUDED)
+                               .select("source", "identifier", "creation_date").write.mode("overwrite").parquet(path))
+            if done:
+                out.append(spark.read.schema("source string, identifier string, creation_date bigint").parquet(done["path"]).select(
+                    F.lit(show).alias("show_name"), F.lit(run).alias("run"), F.lit(done["since"]).cast("bigint").alias("since"),
+                    F.lit(done["cutoff"]).cast("bigint").alias("cutoff"), "*"))
+    empty = spark.createDataFrame([], "show_name string, run int, since bigint, cutoff bigint, source string, identifier string, creation_date bigint")
+    return functools.reduce(DataFrame.unionByName, out, empty)
+
+
+@register
+def ingest_progress(spark, sf_dir):
+    """What the batches of the wallet's stream observed, as kept beside the store."""
+    from satledger.session import scratch_path
+    from satledger.sources import landing
+    from satledger.streaming.ingest import WALLET, Upstream, read_progress, run_once
+
+    base = scratch_path(spark, "progress")
+    landing.wallet_pages(_inv(spark, sf_dir)).select("value").write.text(f"{base}/wallet")
+    run_once(spark, [Upstream("wallet", f"{base}/wallet", WALLET, max_files_per_trigger=4)], f"{base}/store", f"{base}/checkpoint")
+    return read_progress(spark, f"{base}/store").agg(
+        F.min("min_creation_date").alias("min_creation_date"), F.max("max_creation_date").alias("max_creation_date"), F.sum("rows").alias("rows"))
+
+
+@register
+def markdown_directory(spark, sf_dir):
+    """The page texts landed as ``.md`` files (``P.PAGES_PER_FILE`` pages each), read
+    back whole with their place in name order."""
+    from satledger.operators.links import extract_links
+    from satledger.session import scratch_path
+    from satledger.sources.markdown import ranked_markdown_dir, write_markdown_dir
+
+    docs = _page_docs(spark, sf_dir)
+    group = F.floor(F.col("page_id") / P.PAGES_PER_FILE)
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("page_id", "text"))), lambda p: p["text"])
+    files = docs.groupBy(F.concat(F.lit("Pages "), group.cast("string"), F.lit(".md")).alias("file_name")).agg(F.array_join(texts, "\n").alias("text"))
+    path = scratch_path(spark, "markdown")
+    write_markdown_dir(files, path)
+    found = ranked_markdown_dir(spark, path)
+    links = extract_links(found, "text").groupBy("file_name").agg(F.count(F.lit(1)).alias("links"))
+    return found.join(links, "file_name", "left").select("file_name", "rank", F.length("text").cast("bigint").alias("n_chars"),
+                                                         F.sha2("text", 256).alias("sha256"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+# --- scalar functions and request -----------------------------------------------------
+
+@register
+def relative_times(spark, sf_dir):
+    """Rows of the two weeks before the newest time that is asked for, their
+    distance to it and their bucket of thirty seconds."""
+    from satledger.functions.columns import per_30, relative_bound, seconds_between
+
+    bound = relative_bound(P.AS_OF, K.TWO_WEEKS_SECONDS)
+    inv = _inv(spark, sf_dir).filter(F.col("creation_date") >= bound)
+    return inv.select("source", "identifier", seconds_between(F.col("created_at"), F.timestamp_seconds(F.lit(P.AS_OF))).alias("seconds"),
+                      per_30().alias("per_30"))
+
+
+@register
+def report_request(spark, sf_dir):
+    """The report of a named show since two weeks before ``P.AS_OF``."""
+    from satledger.plans import request
+
+    return request.report_for_request(_inv(spark, sf_dir), "Alpha", None, P.AS_OF, SHOWS, P.EXCLUDED)
+
+
+@register
+def boosts_in_order(spark, sf_dir):
+    """All boosts by event time, each with its place."""
+    from satledger.operators.ranking import global_rank
+    from satledger.plans import render
+
+    rows = report.valid_invoices(_inv(spark, sf_dir), SHOWS["All"], P.SINCE_B, P.EXCLUDED).filter(F.col("action") == K.ACTION_BOOST)
+    return global_rank(render.boost_blocks(rows), F.col("creation_date"), F.col("source"), F.col("identifier"))

@@ -1,8 +1,8 @@
 """All shows in one job (J10, re-aimed from one web request per show).
 
-Each row is tagged with every show whose pattern it full-matches (a row may
-match several; ``.*`` matches all), by exploding an array of literal-pattern
-tests - the replication factor is bounded by the number of configured shows.
+Each distinct (podcast, episode) pair is tagged with every show whose pattern it
+full-matches (it may match several; ``.*`` matches all) and joined back to its
+payments - the replication factor is bounded by the number of configured shows.
 Per-show cutoffs are a tiny aggregate (one row per show, a proven bound)
 broadcast back on the show key; the sender aggregate then shuffles on
 ``(show, sender)`` with map-side partial aggregation.
@@ -23,9 +23,14 @@ SENDER = "sender_name_normalized"
 
 def tag_shows(inv: DataFrame, shows: dict[str, str], since: int,
               excluded: Iterable[str] | None = None) -> DataFrame:
+    """Each payment once per show whose pattern matches.  The patterns run on the distinct
+    (podcast, episode) pairs; their shows are joined back."""
+    rows = prune_days(inv, since=since).filter(after(since) & not_excluded(excluded) & F.col("podcast").isNotNull())
     tags = F.array(*[F.when(show_match(p), F.lit(name)) for name, p in shows.items()])
-    return (prune_days(inv, since=since).filter(after(since) & not_excluded(excluded) & F.col("podcast").isNotNull())
-            .withColumn("show_name", F.explode(F.array_compact(tags))))
+    titles = (rows.select("podcast", "episode").distinct()
+              .select(F.col("podcast").alias("_podcast"), F.col("episode").alias("_episode"), F.explode(F.array_compact(tags)).alias("show_name")))
+    same = (F.col("podcast") == F.col("_podcast")) & F.col("episode").eqNullSafe(F.col("_episode"))
+    return rows.join(titles, same).drop("_podcast", "_episode")
 
 
 def windows(inv: DataFrame, shows: dict[str, str], since: int,

@@ -477,3 +477,75 @@ SQL["delete_from_store"] = q(select=f"""
 SQL["flatten_open"] = q(select=f"""
     SELECT source, identifier, 'foo/{"/".join(f"k{i}" for i in range(1, P.NESTING + 1))}' AS name,
            translate(coalesce(message, 'none'), chr(10), ' ') AS value FROM invoices""")
+
+_KNOWN = f"""marks AS (
+      SELECT n.source, coalesce(max(i.creation_date), {K.AUTOSCRAPE_START}) AS hwm
+      FROM (VALUES ('wallet'), ('node_a'), ('node_b')) n(source)
+      LEFT JOIN invoices i ON i.source = n.source AND i.creation_date < {P.SINCE_B}
+      GROUP BY n.source)"""
+SQL["load_until_epoch"] = q(_KNOWN, f"""numbered AS (SELECT source, identifier, creation_date AS cd,
+        (SELECT max(event_id // {P.PAGE_IDS}) FROM invoices) - event_id // {P.PAGE_IDS} AS page FROM invoices)""",
+    f"""paged AS (SELECT source, identifier, page, CASE WHEN page % {P.TIMELESS_PAGES} <> 0 THEN cd END AS creation_date FROM numbered)""",
+    """newest AS (SELECT p.source, p.page, max(p.creation_date) < any_value(m.hwm) AS old
+        FROM paged p JOIN marks m ON p.source = m.source GROUP BY p.source, p.page)""",
+    """reached AS (SELECT *, coalesce(bool_or(old) OVER (PARTITION BY source ORDER BY page), false) AS stopped FROM newest)""", select="""
+    SELECT p.source, p.identifier, p.page, p.creation_date FROM paged p
+    JOIN reached r ON p.source = r.source AND p.page = r.page WHERE NOT stopped""")
+
+_DROPPED = f"CAST(identifier AS BIGINT) % {P.DELETE_EVERY} = 0"
+
+
+def _copied(n: int, source: str, where: str, known: str) -> str:
+    """Rows of a source whose ids a pass finds missing among ``known``."""
+    return f"""pass{n}_{source} AS (SELECT * FROM rows_ WHERE source = '{source}' AND {where} AND content_id IN (
+          SELECT content_id FROM rows_ WHERE source = '{source}' AND {where} AND {_UNTIL} EXCEPT
+          SELECT content_id FROM ({known}) WHERE creation_date > {P.SINCE_A} AND creation_date < {P.AS_OF}))"""
+
+
+_OWN = "SELECT * FROM rows_ WHERE source = 'node_b'"
+_FIRST = f"{_OWN} UNION ALL SELECT * FROM pass1_node_a"
+_KEPT = f"SELECT * FROM ({_FIRST} UNION ALL SELECT * FROM pass1_wallet) WHERE NOT {_DROPPED}"
+SQL["delete_after_replay"] = q("rows_ AS (SELECT source, identifier, creation_date, content_id FROM invoices)",
+    _copied(1, "node_a", "true", _OWN), _copied(1, "wallet", "true", _FIRST),
+    _copied(2, "node_a", f"NOT {_DROPPED}", _KEPT), _copied(2, "wallet", f"NOT {_DROPPED}", f"{_KEPT} UNION ALL SELECT * FROM pass2_node_a"),
+    select=f"{_KEPT} UNION SELECT * FROM pass2_node_a UNION SELECT * FROM pass2_wallet")
+
+
+def _runs() -> str:
+    ctes, out = [], []
+    for i, show in enumerate(P.REPORT_SHOWS):
+        since = f"(SELECT {P.SINCE_A})"
+        for run, until in enumerate(P.REPORT_RUNS, 1):
+            name = f"s{i}r{run}"
+            ctes.append(f"""{name}v AS (SELECT * FROM invoices WHERE creation_date > {since} AND creation_date < {until}
+              AND NOT coalesce(sender_name_normalized IN ({EXCL}), false) AND {show_pred(SHOWS[show])})""")
+            ctes.append(f"{name}c AS (SELECT max(creation_date) AS cutoff FROM {name}v WHERE action = 'boost')")
+            out.append(f"""SELECT '{show}' AS show_name, {run} AS run, CAST({since} AS BIGINT) AS since, c.cutoff, v.source, v.identifier,
+              v.creation_date FROM {name}v v, {name}c c WHERE v.creation_date <= c.cutoff""")
+            since = f"(SELECT coalesce(cutoff, {since}) FROM {name}c)"
+    return q(*ctes, select=" UNION ALL ".join(out))
+
+
+SQL["report_cursor"] = _runs()
+
+SQL["ingest_progress"] = q(select="""
+    SELECT min(creation_date) AS min_creation_date, max(creation_date) AS max_creation_date, count(*) AS rows
+    FROM invoices WHERE source = 'wallet'""")
+
+SQL["markdown_directory"] = f"""
+WITH t AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<a href="([^"]*)">([^<]*)</a>', '[\\2](\\1)', 'g') AS text FROM pages),
+f AS (SELECT 'Pages ' || CAST(page_id // {P.PAGES_PER_FILE} AS VARCHAR) || '.md' AS file_name,
+             string_agg(text, chr(10) ORDER BY page_id) || chr(10) AS text FROM t GROUP BY 1)
+SELECT file_name, row_number() OVER (ORDER BY file_name) AS rank, length(text) AS n_chars, sha256(text) AS sha256,
+       len(regexp_extract_all(text, {_LINK}, 1)) AS links FROM f"""
+
+SQL["relative_times"] = q(select=f"""
+    SELECT source, identifier, {P.AS_OF} - created_epoch AS seconds,
+           CASE WHEN action = 'boost' THEN creation_date // 30 END AS per_30
+    FROM invoices WHERE creation_date >= {P.AS_OF - K.TWO_WEEKS_SECONDS}""")
+
+_REQUEST = window_ctes(SHOWS["Alpha"], P.AS_OF - K.TWO_WEEKS_SECONDS) + MARKDOWN_CTES[len(window_ctes(SHOWS["Alpha"], P.SINCE_B)):]
+SQL["report_request"] = q(*_REQUEST, select=MARKDOWN_SELECT)
+
+SQL["boosts_in_order"] = f"""
+SELECT *, row_number() OVER (ORDER BY creation_date, source, identifier) AS rank FROM ({SQL["boost_blocks"]}) blocks"""

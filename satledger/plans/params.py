@@ -31,3 +31,8 @@ SIMILAR_SENDER = "user_7"
 SIMILAR_AT = 1705363200
 SIMILAR_WINDOW = 86400
 LOOKUP_ID = "4242"
+PAGE_IDS = 300                # page fixture: ids per page
+TIMELESS_PAGES = 5            # every fifth page has no event times
+REPORT_RUNS = (SINCE_B, SINCE_B + 7 * 86400, AS_OF)   # what each report run sees: payments before
+REPORT_SHOWS = ("Alpha", "All")
+PAGES_PER_FILE = 20           # Markdown fixture

@@ -1,8 +1,10 @@
 """Session helpers: builder defaults and the shared checkpoint folder."""
 from __future__ import annotations
 
+import json
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -15,6 +17,8 @@ _DEFAULTS = {
     # A JSON object repeating a key keeps the last value (as the reference's
     # parser does) instead of failing the whole batch.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Checkpoint files go once no plan refers to them (an ingest batch that is over).
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -58,8 +62,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A per-run folder under the shared checkpoint folder."""
-    import uuid
-
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -78,5 +80,41 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """A small JSON file, None where there is none."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def write_json(spark: SparkSession, path: str, value: dict, overwrite: bool = True) -> None:
+    """Write a small JSON file whole or not at all.  Without ``overwrite`` an existing
+    file stays and the call fails."""
+    sc = spark.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    Path, Rename = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.Options.Rename
+    final = Path(path)
+    fs = final.getFileSystem(conf)
+    temporary = Path(final.getParent(), f".{final.getName()}.{uuid.uuid4().hex[:12]}")
+    stream = fs.create(temporary, False)
+    stream.write(bytearray(json.dumps(value).encode()))
+    stream.close()
+    options = sc._gateway.new_array(Rename, int(overwrite))
+    if overwrite:
+        options[0] = Rename.OVERWRITE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(temporary, final, options)
+    except Exception:
+        fs.delete(temporary, False)
+        raise
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

@@ -1,19 +1,29 @@
-"""The invoice store - versioned Parquet partitions behind a manifest.
-
-``data/v=N/source=../day=..`` holds the rows, ``keys/v=N/source=../bucket=..``
-the index ``(source, identifier) -> day``.  A commit writes new versions beside
-the old ones and then adds ``manifest/N.json``, which names the versions that
-make up each partition: a reader sees all of a commit or nothing, and a crash
-leaves only files that no manifest names.  The manifest has one entry per
-partition (sources x days, sources x buckets): metadata.
-
-Rows without an event time live in day ``none``.  ``prune_days`` turns an
-event-time bound into a partition predicate, so a report over two weeks opens
+"""The invoice store - versioned Parquet partitions behind a manifest.
+
+``data`` holds the rows by source and UTC day, ``keys`` the index ``(source,
+identifier) -> day`` and ``contents`` the index ``content_id -> (source, day)``, both by
+hash bucket, ``gone`` the retracted keys by source.  Each lies in
+``<table>/v=<version>/<partition>``.  A commit writes new versions beside the old
+ones and then adds ``manifest/N.json``, which names the versions that make up each
+partition: a reader sees all of a commit or nothing, and a crash leaves only files
+that no manifest names.  The manifest has one entry per partition: metadata.
+
+* A version's name is its writer's own, and a manifest is never overwritten: of two
+  writers the second finds the number taken and starts again from the new manifest.
+* The indexes grow by what a batch changes: a version holds the changed entries,
+  and the newest entry of a key wins.  New keys add a version to their day.
+* A partition of more than ``MOST_VERSIONS`` versions is folded by the commit that
+  adds to it: from the newest one back as long as the next is at most twice as large
+  as those taken, so that a row is written again a logarithmic number of times.
+
+Rows without an event time live in day ``none``.  ``read_store`` takes a range of
+days, and ``prune_days`` turns an event-time bound into a partition predicate, so a report over two weeks opens
 two weeks of files; within a partition files are sorted by ``creation_date``."""
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable
+import re
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +31,39 @@ from pyspark.sql import types as T
 
 from satledger.functions.columns import epoch_to_ntz
 from satledger.schemas import INVOICES, KEY
+from satledger.session import cut_lineage, read_json, write_json
+
+def _schema(**fields) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
 
+_S, _L, _I = T.StringType(), T.LongType(), T.IntegerType()
 STORE = T.StructType(INVOICES.fields + [T.StructField("day", T.StringType(), True)])
-KEYS = T.StructType([T.StructField(n, T.IntegerType() if n == "bucket" else T.StringType())
-                     for n in ("identifier", "day", "source", "bucket")])
-PARTITIONS = {"data": ["source", "day"], "keys": ["source", "bucket"]}
-SCHEMAS = {"data": STORE, "keys": KEYS}
+SCHEMAS = {
+    "data": STORE,
+    # day: null once the key has left the store
+    "keys": _schema(identifier=_S, day=_S, source=_S, bucket=_I),
+    # first, last: event times of the id's rows of the day (null: no row, or none with a time);
+    # whole: of all of them, else of rows added to those known before
+    "contents": _schema(content_id=_S, source=_S, day=_S, first=_L, last=_L, whole=T.BooleanType(), bucket=_I),
+    "gone": _schema(identifier=_S, source=_S),
+}
+PARTITIONS = {"data": ["source", "day"], "keys": ["source", "bucket"], "contents": ["bucket"], "gone": ["source"]}
+ORDER = {"data": "creation_date", "keys": "identifier", "contents": "content_id", "gone": "identifier"}
 NO_DAY = "none"
-BUCKETS = 64
+BUCKETS = 16
 #: Epoch seconds that have a calendar day (years 1 to 9999).
 EPOCHS = (-62135596800, 253402300799)
 #: Manifests whose files are kept for readers that still use them.
 KEPT = 3
+#: Versions of a partition before some are folded into one.
+MOST_VERSIONS = 8
+#: Attempts of a commit that other writers get ahead of.
+ATTEMPTS = 20
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed the same manifest number."""
 
 
 def day_of(c="creation_date") -> Column:
@@ -77,126 +108,264 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     folder = Path(f"{path}/manifest")
     if not fs.exists(folder):
         return []
-    return sorted(int(s.getPath().getName()[:-5]) for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+    return sorted(int(s.getPath().getName()[:-5]) for s in fs.listStatus(folder) if re.fullmatch(r"\d+\.json", s.getPath().getName()))
 
 
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict:
-    """``{"version": N, "data": {partition: [versions]}, "keys": {..}}``; a
-    partition is its path below the version."""
+    """``{"version": N, "replaced": M, "data": {partition: [[version, bytes], ...]}, "keys": {..}, ...}``,
+    oldest version first; a partition is its path below the version, M the last commit that
+    replaced the whole store."""
     if version is None:
         known = _versions(spark, path)
         if not known:
-            return {"version": 0, "data": {}, "keys": {}}
+            return {"version": 0, "replaced": 0, **{t: {} for t in PARTITIONS}}
         version = known[-1]
-    fs, Path = _fs(spark, path)
-    stream = fs.open(Path(f"{path}/manifest/{version}.json"))
-    try:
-        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-    return json.loads(text)
+    return read_json(spark, f"{path}/manifest/{version}.json")
 
 
-def _partition(table: str, first: str, second) -> str:
+def _partition(table: str, *values) -> str:
     """The path of a partition as Spark's writer names it."""
-    import re
-
-    a, b = PARTITIONS[table]
     escape = lambda v: re.sub(r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", str(v))
-    return f"{a}={escape(first)}/{b}={escape(second)}"
+    return "/".join(f"{c}={escape(v)}" for c, v in zip(PARTITIONS[table], values))
 
 
-def _read(spark: SparkSession, path: str, table: str, state: dict, only: Iterable[str] | None = None) -> DataFrame:
+def _read(spark: SparkSession, path: str, table: str, state: dict, only: Iterable[str] | None = None, turn: bool = False) -> DataFrame:
+    """Rows of the named partitions (all by default); ``turn``: with the number of the commit that wrote them."""
     names = state[table] if only is None else [p for p in only if p in state[table]]
-    files = [f"{path}/{table}/v={v}/{p}" for p in names for v in state[table][p]]
-    schema = SCHEMAS[table]
+    files = [f"{path}/{table}/v={v}/{p}" for p in names for v, _ in state[table][p]]
+    schema, more = SCHEMAS[table], [F.split("v", "-")[0].cast("int").alias("turn")] if turn else []
     if not files:
-        return spark.createDataFrame([], schema)
-    return (spark.read.schema(T.StructType(schema.fields + [T.StructField("v", T.IntegerType())]))
-            .option("basePath", f"{path}/{table}").parquet(*files).select(*schema.fieldNames()))
+        return spark.createDataFrame([], T.StructType(schema.fields + [T.StructField("turn", T.IntegerType())] * turn))
+    return (spark.read.schema(T.StructType(schema.fields + [T.StructField("v", T.StringType())]))
+            .option("basePath", f"{path}/{table}").parquet(*files).select(*schema.fieldNames(), *more))
+
 
+def _new_version(state: dict) -> str:
+    return f"{state['version'] + 1:08d}-{uuid.uuid4().hex[:12]}"
 
-def _write(df: DataFrame, path: str, table: str, version: int) -> list[str]:
-    """Write one version of a table; the partitions it has."""
+
+def _write(df: DataFrame, path: str, table: str, version: str) -> dict[str, int]:
+    """Write one version of a table; its partitions with their bytes."""
     spark = df.sparkSession
-    first, second = PARTITIONS[table]
     target = f"{path}/{table}/v={version}"
     # ``rebalance`` lets AQE split a hot partition over several tasks
-    order = "creation_date" if table == "data" else "identifier"
-    (df.hint("rebalance", first, second).sortWithinPartitions(order)
-     .write.mode("overwrite").option("partitionOverwriteMode", "static")  # also what a crash left there
-     .partitionBy(first, second).parquet(target))
+    (df.select(*SCHEMAS[table].fieldNames()).hint("rebalance", *PARTITIONS[table]).sortWithinPartitions(ORDER[table])
+     .write.option("partitionOverwriteMode", "static").partitionBy(*PARTITIONS[table]).parquet(target))
     fs, Path = _fs(spark, path)
-    out = []
-    for a in fs.listStatus(Path(target)):
-        if a.isDirectory():
-            out += [f"{a.getPath().getName()}/{b.getPath().getName()}" for b in fs.listStatus(a.getPath()) if b.isDirectory()]
+    out: dict[str, int] = {}
+    files = fs.listFiles(Path(target), True)
+    while files.hasNext():
+        file = files.next()
+        name = file.getPath().toString()
+        if name.endswith(".parquet"):
+            p = name.split(f"/v={version}/", 1)[1].rsplit("/", 1)[0]
+            out[p] = out.get(p, 0) + file.getLen()
     return out
 
 
-def _commit(spark: SparkSession, path: str, state: dict, version: int, changes: dict[str, tuple[Iterable[str], Iterable[str]]]) -> None:
+def _last_day(entries: DataFrame) -> DataFrame:
+    """The newest entry of each key."""
+    return entries.groupBy(*KEY).agg(F.max_by("day", "turn").alias("day"))
+
+
+CONTENT = ["content_id", "source", "day"]
+
+
+def _content_days(entries: DataFrame) -> DataFrame:
+    """One entry per content id, source and day: its newest whole one and what was added since."""
+    last = entries.groupBy(*CONTENT).agg(F.max(F.when(F.col("whole"), F.col("turn"))).alias("since"))
+    live = entries.join(last, CONTENT).filter(F.col("since").isNull() | (F.col("turn") >= F.col("since")))
+    return live.groupBy(*CONTENT).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("since").isNotNull().alias("whole"))
+
+
+FOLDED: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "data": lambda rows: rows,  # a key is in one version only
+    "keys": lambda rows: _last_day(rows).withColumn("bucket", bucket_of()),
+    "contents": lambda rows: _content_days(rows).withColumn("bucket", bucket_of("content_id")),
+    "gone": lambda rows: rows.select("identifier", "source").distinct(),
+}
+
+
+def _surplus(versions: list) -> int:
+    """How many of the newest versions to fold: as long as the next is at most twice as large as these."""
+    n, total = 1, versions[-1][1]
+    while n < len(versions) and (n == 1 or versions[-n - 1][1] <= 2 * total):
+        n += 1
+        total += versions[-n][1]
+    return n
+
+
+def _fold(spark: SparkSession, path: str, state: dict, version: str) -> None:
+    """Fold partitions of too many versions of ``state``, the manifest to be."""
+    for table in PARTITIONS:
+        long = {p: _surplus(vs) for p, vs in state[table].items() if len(vs) > MOST_VERSIONS}
+        if long:
+            part = {table: {p: state[table][p][-n:] for p, n in long.items()}}
+            written = _write(FOLDED[table](_read(spark, path, table, part, turn=True)), path, table, version + "f")
+            for p, n in long.items():
+                state[table][p][-n:] = [[version + "f", written[p]]] if p in written else []
+
+
+def _commit(spark: SparkSession, path: str, state: dict, version: str, changes: dict[str, tuple[Iterable[str], dict[str, int]]]) -> None:
     """Switch to a manifest with ``changes``: per table the partitions that were
-    rewritten as a whole and those that the new version holds."""
-    new = {"version": version}
+    rewritten as a whole and those that the new version holds, with their bytes."""
+    number = state["version"] + 1
+    new = {"version": number, "replaced": number if changes.get("replaced") else state["replaced"]}
     for table in PARTITIONS:
-        replaced, written = changes.get(table, ((), ()))
-        entries = {p: list(v) for p, v in state[table].items() if p not in set(replaced)}
-        for p in written:
-            entries[p] = entries.get(p, []) + [version]
+        replaced, written = changes.get(table, ((), {}))
+        entries = {p: list(v) for p, v in state.get(table, {}).items() if p not in set(replaced)}
+        for p, size in written.items():
+            entries[p] = entries.get(p, []) + [[version, size]]
         new[table] = entries
-    fs, Path = _fs(spark, path)
-    temporary, final = Path(f"{path}/manifest/.{version}.tmp"), Path(f"{path}/manifest/{version}.json")
-    stream = fs.create(temporary, True)
-    stream.write(bytearray(json.dumps(new).encode()))
-    stream.close()
-    if not fs.rename(temporary, final):
-        raise RuntimeError(f"another writer has committed version {version} of {path}")
+    _fold(spark, path, new, version)
+    try:
+        write_json(spark, f"{path}/manifest/{number}.json", new, overwrite=False)
+    except Exception as e:
+        if number not in _versions(spark, path):
+            raise
+        _drop(spark, path, version)
+        raise Conflict(f"another writer has committed version {number} of {path}") from e
     vacuum(spark, path)
 
 
+def _drop(spark: SparkSession, path: str, version: str) -> None:
+    """Delete the files of a version that no manifest names."""
+    fs, Path = _fs(spark, path)
+    for table in PARTITIONS:
+        for name in (version, version + "f"):
+            fs.delete(Path(f"{path}/{table}/v={name}"), True)
+
+
+def _committed(spark: SparkSession, path: str, change: Callable[[dict, str], dict]) -> None:
+    """Commit what ``change(manifest, version)`` writes; again, from the manifest of
+    then, where another writer was faster."""
+    for attempt in range(ATTEMPTS):
+        state = manifest(spark, path)
+        version = _new_version(state)
+        try:
+            return _commit(spark, path, state, version, change(state, version))
+        except Exception:
+            # also a file that is gone because the other writer's commit let it go
+            if attempt == ATTEMPTS - 1 or manifest(spark, path)["version"] == state["version"]:
+                raise
+            _drop(spark, path, version)
+
+
 def vacuum(spark: SparkSession, path: str, keep: int = KEPT) -> None:
-    """Delete what none of the last ``keep`` manifests names."""
+    """Delete what none of the last ``keep`` manifests names, also what crashed writers
+    left: a version numbered below these manifests can't be committed any more."""
     known = _versions(spark, path)
     if len(known) <= keep:
         return
     fs, Path = _fs(spark, path)
-    live = {(t, v, p) for n in known[-keep:] for t in PARTITIONS for p, vs in manifest(spark, path, n)[t].items() for v in vs}
+    live: dict[str, dict[str, set]] = {t: {} for t in PARTITIONS}
+    for n in known[-keep:]:
+        state = manifest(spark, path, n)
+        for t in PARTITIONS:
+            for p, vs in state[t].items():
+                for v, _ in vs:
+                    live[t].setdefault(v, set()).add(p)
+    dropped: dict[str, dict[str, set]] = {t: {} for t in PARTITIONS}
+    for n in known[:-keep]:
+        state = manifest(spark, path, n)
+        for t in PARTITIONS:
+            for p, vs in state[t].items():
+                for v, _ in vs:
+                    dropped[t].setdefault(v, set()).add(p)
+    for t in PARTITIONS:
+        folder = Path(f"{path}/{t}")
+        for s in fs.listStatus(folder) if fs.exists(folder) else ():
+            v = s.getPath().getName()[2:]
+            if v not in live[t] and int(v.split("-")[0]) <= known[-keep]:
+                fs.delete(s.getPath(), True)
+        for v, names in dropped[t].items():
+            for p in names - live[t].get(v, names):
+                fs.delete(Path(f"{path}/{t}/v={v}/{p}"), True)
     for n in known[:-keep]:
-        for t, entries in ((t, manifest(spark, path, n)[t]) for t in PARTITIONS):
-            for p, vs in entries.items():
-                for v in vs:
-                    if (t, v, p) not in live:
-                        fs.delete(Path(f"{path}/{t}/v={v}/{p}"), True)
         fs.delete(Path(f"{path}/manifest/{n}.json"), False)
 
 
 # --- readers and writers -----------------------------------------------------------
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The store's current rows; empty where nothing has been committed."""
-    return _read(spark, path, "data", manifest(spark, path))
+def _days(state: dict, since: int | None, until: int | None) -> list[str] | None:
+    """Partitions of ``data`` that may hold ``since < creation_date <= until``."""
+    if since is None and until is None:
+        return None
+    import datetime
 
+    day = lambda e: (datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=min(max(e, EPOCHS[0]), EPOCHS[1]))).strftime("%Y-%m-%d").zfill(10)
+    low, high = "" if since is None else day(since), "~" if until is None else day(until)
+    return [p for p in state["data"] if low <= p.rsplit("day=", 1)[1] <= high]
 
-def write_store(df: DataFrame, path: str) -> None:
-    """Replace the whole store with ``df`` (one row per key)."""
-    spark = df.sparkSession
+
+def read_store(spark: SparkSession, path: str, since: int | None = None, until: int | None = None) -> DataFrame:
+    """The store's current rows; empty where nothing has been committed.  With a
+    range only the days of ``since < creation_date <= until`` are listed and read: whole
+    days, as by :func:`prune_days`."""
     state = manifest(spark, path)
-    version = state["version"] + 1
-    df = df.withColumn("day", day_of()).select(*STORE.fieldNames())
-    data = _write(df, path, "data", version)
-    keys = df.select("identifier", "day", "source", bucket_of().alias("bucket"))
-    _commit(spark, path, state, version, {"data": (state["data"], data), "keys": (state["keys"], _write(keys, path, "keys", version))})
+    return _read(spark, path, "data", state, _days(state, since, until))
+
 
+def retracted(spark: SparkSession, path: str, state: dict | None = None) -> DataFrame:
+    """Keys that were deleted: they stay out, whatever loads them again."""
+    return _read(spark, path, "gone", state or manifest(spark, path)).select(*KEY).distinct()
+
+
+def _contents(rows: DataFrame, whole: Column) -> DataFrame:
+    timed = F.when(F.col("day") != NO_DAY, F.col("creation_date"))  # other times lie in no window
+    return (rows.filter(F.col("content_id").isNotNull()).groupBy(*CONTENT)
+            .agg(F.min(timed).alias("first"), F.max(timed).alias("last"))
+            .withColumn("whole", whole).withColumn("bucket", bucket_of("content_id")))
+
+
+def write_store(df: DataFrame, path: str) -> None:
+    """Replace the whole store with ``df`` (one row per key), retracted keys included."""
+    spark = df.sparkSession
+    rows = df.withColumn("day", day_of()).select(*STORE.fieldNames())
+
+    def change(state, version):
+        data = _write(rows, path, "data", version)
+        written = _read(spark, path, "data", {"data": {p: [[version, n]] for p, n in data.items()}})
+        keys = _write(written.select("identifier", "day", "source", bucket_of().alias("bucket")), path, "keys", version)
+        contents = _write(_contents(written, F.lit(True)), path, "contents", version)
+        return {"replaced": True, "data": (state["data"], data), "keys": (state["keys"], keys),
+                "contents": (state["contents"], contents), "gone": (state["gone"], {})}
+
+    _committed(spark, path, change)
+
+
+def _held(spark: SparkSession, path: str, state: dict, keys: DataFrame) -> DataFrame:
+    """``keys`` (source, identifier) with the day that holds their row, null without one."""
+    spots = keys.select("source", bucket_of().alias("bucket")).distinct().collect()  # at most sources x buckets
+    index = _read(spark, path, "keys", state, [_partition("keys", r["source"], r["bucket"]) for r in spots], turn=True)
+    known = _last_day(index.join(keys, KEY, "left_semi"))
+    return cut_lineage(keys.join(known, KEY, "left").withColumnRenamed("day", "old_day"))
+
+
+def _apply(spark: SparkSession, path: str, state: dict, version: str, held: DataFrame, changed: Callable[[DataFrame], DataFrame]) -> dict:
+    """Write the days of ``held`` keys with ``changed(their rows)``, and the index entries
+    of these keys and of their content ids, before and after."""
+    spots = held.filter("old_day IS NOT NULL").select("source", "old_day").distinct().collect()  # at most sources x days
+    days = [_partition("data", r["source"], r["old_day"]) for r in spots]
+    before = _read(spark, path, "data", state, days)
+    data = _write(changed(before.select(*INVOICES.fieldNames())).withColumn("day", day_of()), path, "data", version)
+    after = _read(spark, path, "data", {"data": {p: [[version, n]] for p, n in data.items()}})
+
+    mine = after.join(held.select(*KEY), KEY, "left_semi").select(*KEY, "day", "content_id")
+    mine = cut_lineage(held.join(mine, KEY, "left"))
+    entries = mine.filter(~F.col("day").eqNullSafe(F.col("old_day"))).select("identifier", "day", "source", bucket_of().alias("bucket"))
+    keys = _write(entries, path, "keys", version)
 
-def _touched(spark: SparkSession, path: str, state: dict, keys: DataFrame) -> tuple[list[str], list[str], DataFrame]:
-    """Of ``keys`` (source, identifier): the index partitions, the data partitions
-    that hold their rows (metadata: at most sources x buckets and sources x days),
-    and the index rows of those index partitions."""
-    spots = keys.select("source", bucket_of().alias("bucket")).distinct().collect()
-    buckets = [_partition("keys", r["source"], r["bucket"]) for r in spots]
-    index = _read(spark, path, "keys", state, buckets)
-    held = index.join(keys.select(*KEY), KEY, "left_semi").select("source", "day").distinct().collect()
-    return buckets, [_partition("data", r["source"], r["day"]) for r in held], index
+    # content ids of these keys as they were and as they are, with all rows of their days
+    old = (before.join(held.select(*KEY), KEY, "left_semi").select(*CONTENT))
+    ids = old.unionByName(mine.filter("day IS NOT NULL").select(*CONTENT)).filter("content_id IS NOT NULL").distinct()
+    read = F.concat_ws("\n", "source", "day").isin([f"{r['source']}\n{r['old_day']}" for r in spots])
+    now = _contents(after.join(ids, CONTENT, "left_semi"), read)
+    none = ids.join(now.select(*CONTENT), CONTENT, "left_anti").select(
+        *CONTENT, F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"), F.lit(True).alias("whole"),
+        bucket_of("content_id").alias("bucket"))
+    contents = _write(now.unionByName(none), path, "contents", version)
+    return {"data": (days, data), "keys": ((), keys), "contents": ((), contents)}
 
 
 def merge_rows(newest: DataFrame, path: str) -> None:
@@ -204,32 +373,59 @@ def merge_rows(newest: DataFrame, path: str) -> None:
 
     The index names the days that hold rows of these keys: only those partitions are
     read and rewritten.  A row whose event day changes moves; new keys are
-    added to their day as a further version, without reading it."""
+    added to their day as a further version, without reading it.  Retracted keys stay
+    out.  ``newest`` is read several times."""
     from satledger.operators.merge import coalesced
 
     spark = newest.sparkSession
-    state = manifest(spark, path)
-    version = state["version"] + 1
-    buckets, days, index = _touched(spark, path, state, newest)
     cols = INVOICES.fieldNames()
-    merged = coalesced(_read(spark, path, "data", state, days).select(*cols), newest.select(*cols), KEY)
-    data = _write(merged.withColumn("day", day_of()).select(*STORE.fieldNames()), path, "data", version)
-    written = _read(spark, path, "data", {"data": {p: [version] for p in data}})
-    moved = written.join(newest.select(*KEY), KEY, "left_semi").select("identifier", "day", "source", bucket_of().alias("bucket"))
-    entries = index.join(newest.select(*KEY), KEY, "left_anti").select(*KEYS.fieldNames()).unionByName(moved)
-    keys = _write(entries, path, "keys", version)
-    _commit(spark, path, state, version, {"data": (days, data), "keys": (buckets, keys)})
+
+    def change(state, version):
+        rows = newest.select(*cols)
+        if state["gone"]:
+            rows = rows.join(retracted(spark, path, state), KEY, "left_anti").select(*cols)
+        held = _held(spark, path, state, rows.select(*KEY))
+        return _apply(spark, path, state, version, held, lambda old: coalesced(old, rows, KEY))
+
+    _committed(spark, path, change)
 
 
 def delete_rows(keys: DataFrame, path: str) -> None:
-    """Retract the rows of ``keys`` (source, identifier); only the partitions
-    that hold them are rewritten."""
+    """Retract the rows of ``keys`` (source, identifier), now and whenever they are
+    loaded again; only the partitions that hold them are rewritten."""
     spark = keys.sparkSession
+    keys = cut_lineage(keys.select(*KEY).distinct())
+
+    def change(state, version):
+        held = _held(spark, path, state, keys)
+        held = held.filter("old_day IS NOT NULL")
+        out = _apply(spark, path, state, version, held, lambda old: old.join(keys, KEY, "left_anti").select(*old.columns))
+        fresh = keys.join(retracted(spark, path, state), KEY, "left_anti")
+        return {**out, "gone": ((), _write(fresh, path, "gone", version))}
+
+    _committed(spark, path, change)
+
+
+# --- content ids ---------------------------------------------------------------------
+
+def changed_content_ids(spark: SparkSession, path: str, seen: dict | None) -> DataFrame:
+    """Content ids whose entries changed since the manifest ``seen``; all ids without one, or
+    where the store has been replaced since."""
     state = manifest(spark, path)
-    version = state["version"] + 1
-    keys = keys.select(*KEY).distinct()
-    buckets, days, index = _touched(spark, path, state, keys)
-    rest = _read(spark, path, "data", state, days).join(keys, KEY, "left_anti").select(*STORE.fieldNames())
-    entries = index.join(keys, KEY, "left_anti").select(*KEYS.fieldNames())
-    _commit(spark, path, state, version, {"data": (days, _write(rest, path, "data", version)),
-                                          "keys": (buckets, _write(entries, path, "keys", version))})
+    known = seen["contents"] if seen and seen["replaced"] == state["replaced"] else {}
+    new = {p: [v for v in vs if v not in known.get(p, [])] for p, vs in state["contents"].items()}
+    return _read(spark, path, "contents", {"contents": new}).select("content_id").distinct()
+
+
+def content_days(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """``content_id, source, day, first, last`` of the days that hold rows of ``ids``."""
+    state = manifest(spark, path)
+    spots = ids.select(bucket_of("content_id").alias("bucket")).distinct().collect()  # at most the buckets
+    entries = _read(spark, path, "contents", state, [_partition("contents", r["bucket"]) for r in spots], turn=True)
+    found = _content_days(entries.join(ids, "content_id", "left_semi"))
+    return found.filter(F.col("first").isNotNull() | (F.col("day") == NO_DAY)).drop("whole")
+
+
+def rows_of_days(spark: SparkSession, path: str, days: Iterable[tuple[str, str]]) -> DataFrame:
+    """Rows of the named (source, day) partitions."""
+    return _read(spark, path, "data", manifest(spark, path), [_partition("data", *d) for d in days])

@@ -4,8 +4,8 @@ reconcile into the reporting set.
 The reporting set is a view: the destination source's own store rows plus a
 *copies* table holding every row copied from the other sources because its
 content id was missing there (each copy keeps its own ``source``, so the key
-stays unique).  A cycle computes the missing ids against that view and merges
-only the newly copied rows into the copies table.
+stays unique).  A cycle looks only at the ids that changed since the last one, or were held
+back then, and merges only the newly copied rows into the copies table.
 
 Reconciling is a step of the cycle, not of an ingest batch: it also runs when
 no page has landed, so a row that was held back arrives in time.  A cycle that
@@ -15,13 +15,17 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satledger import constants as K
-from satledger.operators.reconcile import rows_to_copy
-from satledger.sources.store import read_store
+from satledger.operators.reconcile import rows_to_copy, rows_with_ids
+from satledger.schemas import KEY
+from satledger.session import cut_lineage, read_json, write_json
+from satledger.sources.store import (_fs, changed_content_ids, content_days, delete_rows, manifest, read_store, retracted,
+                                     rows_of_days)
 from satledger.streaming.ingest import Upstream, merge_into_store, run_once
 
 log = logging.getLogger(__name__)
@@ -34,20 +38,82 @@ def reporting_view(spark: SparkSession, store_path: str, copies_path: str,
     return own.unionByName(read_store(spark, copies_path))
 
 
+def _state_folder(copies_path: str) -> str:
+    return f"{copies_path}-cycle"
+
+
+def _in_window(since: int, until: int):
+    """Whether a content id has a row with ``since < creation_date < until``, from its
+    entries by day: exact unless both bounds lie in one day."""
+    return F.max((F.col("last") > since) & (F.col("first") < until))
+
+
 def sync_reporting(spark: SparkSession, store_path: str, copies_path: str, dest_source: str,
                    src_sources: list[str], as_of: int,
                    since: int = K.AUTOSCRAPE_START - K.RECONCILE_LOOKBACK,
                    hold_back: int = K.HOLD_BACK_SECONDS) -> DataFrame:
-    """One reconcile pass over the sources in order; returns the reporting
-    view.  Only the delta (rows newly copied) is written."""
+    """One reconcile pass over the sources in order; returns the reporting view.
+
+    Whether an id is missing can change only if its index entries changed, here or in
+    the copies, or if it was held back in the last pass: these ids are looked up in the
+    content indexes, and of the sources only the days that hold missing ids are read.
+    The first pass, and one with another lower bound or an earlier time, looks at all
+    ids.  What the last pass had seen lies beside the copies and is written last, so
+    that a pass that fails is done again.  Retracted keys are not copied."""
+    if as_of - hold_back - since < 2 * 86400:
+        return _sync_by_scan(spark, store_path, copies_path, dest_source, src_sources, as_of, since, hold_back)
+    before = read_json(spark, f"{_state_folder(copies_path)}/state.json") or {}
+    usable = before.get("since") == since and before.get("as_of", as_of) <= as_of and before.get("shape") == [dest_source, src_sources, hold_back]
+    seen = before if usable else {}
+    stop = as_of - hold_back
+    stored = manifest(spark, store_path)
+    ids = changed_content_ids(spark, store_path, seen.get("store")).unionByName(changed_content_ids(spark, copies_path, seen.get("copies")))
+    if seen:
+        ids = ids.unionByName(spark.read.schema("content_id string").parquet(seen["pending"]))
+    ids = cut_lineage(ids.distinct())
+    found = cut_lineage(content_days(spark, store_path, ids))
+    theirs = found.filter(F.col("source") == dest_source)
+    gone = retracted(spark, store_path)
+    for name in src_sources:
+        mine = found.filter(F.col("source") == name)
+        there = theirs.drop("source").unionByName(content_days(spark, copies_path, ids).drop("source"))
+        wanted = mine.groupBy("content_id").agg(_in_window(since, stop).alias("has")).filter("has").select("content_id")
+        known = there.groupBy("content_id").agg(_in_window(since, as_of).alias("has")).filter("has").select("content_id")
+        missing = cut_lineage(wanted.join(known, "content_id", "left_anti"))
+        days = mine.join(missing, "content_id", "left_semi").select("day").distinct().collect()  # at most the days
+        if days:
+            rows = rows_of_days(spark, store_path, [(name, r["day"]) for r in days])
+            merge_into_store(rows_with_ids(rows, missing).join(gone, KEY, "left_anti"), copies_path)
+    pending = f"{_state_folder(copies_path)}/pending-{uuid.uuid4().hex[:12]}"
+    found.filter(F.col("source").isin(src_sources) & (F.col("last") >= stop)).select("content_id").distinct().write.parquet(pending)
+    write_json(spark, f"{_state_folder(copies_path)}/state.json", {
+        "since": since, "as_of": as_of, "shape": [dest_source, src_sources, hold_back], "pending": pending,
+        "store": stored, "copies": manifest(spark, copies_path)})
+    if before:
+        fs, Path = _fs(spark, copies_path)
+        fs.delete(Path(before["pending"]), True)
+    return reporting_view(spark, store_path, copies_path, dest_source)
+
+
+def _sync_by_scan(spark, store_path, copies_path, dest_source, src_sources, as_of, since, hold_back) -> DataFrame:
+    """A pass over a window of hours, for which entries by day are too coarse."""
     store = read_store(spark, store_path)
+    gone = retracted(spark, store_path)
     for name in src_sources:
         dest = reporting_view(spark, store_path, copies_path, dest_source)
         src = store.filter(F.col("source") == name)
-        merge_into_store(rows_to_copy(dest, src, since, as_of, hold_back), copies_path)
+        merge_into_store(rows_to_copy(dest, src, since, as_of, hold_back).join(gone, KEY, "left_anti"), copies_path)
     return reporting_view(spark, store_path, copies_path, dest_source)
 
 
+def retract(spark: SparkSession, keys: DataFrame, store_path: str, copies_path: str) -> None:
+    """Take ``keys`` (source, identifier) out of the store and the reporting set; loading
+    their pages again, backfill and reconcile leave them out."""
+    keys = cut_lineage(keys.select(*KEY).distinct())
+    delete_rows(keys, store_path)
+    delete_rows(keys, copies_path)
+
+
 def run_cycles(spark: SparkSession, upstreams: list[Upstream], store_path: str, copies_path: str,
                dest_source: str, src_sources: list[str], interval: float = K.POLL_SECONDS,
                cycles: int | None = None, clock=time.time, wait=time.sleep, checkpoint: str | None = None) -> int:

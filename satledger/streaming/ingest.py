@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections import deque
 from dataclasses import dataclass
 
@@ -23,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satledger import constants as K
-from satledger.operators.ingest import PAGE, normalize, parse_node_pages, parse_wallet_pages, quarantine
+from satledger.operators.ingest import NEWEST, PAGE, normalize, page_progress, parse_node_pages, parse_wallet_pages, quarantine
 from satledger.operators.merge import newest_versions
 from satledger.schemas import INVOICE_COLUMNS
-from satledger.session import cut_lineage, path_exists
+from satledger.session import cut_lineage, path_exists, write_json
 from satledger.sources.store import merge_rows, read_store
 
 log = logging.getLogger(__name__)
@@ -60,7 +61,7 @@ def read_upstream(spark: SparkSession, up: Upstream, streaming: bool = True) ->
     pages = reader.text(up.path, wholetext=not up.one_page_per_line).select(
         "value", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias("_file"))
     rows = (parse_node_pages if up.layout == NODE else parse_wallet_pages)(pages)
-    return rows.select(F.lit(up.source).alias("source"), "raw", PAGE, "_file", F.col("pos").cast("bigint").alias("pos"))
+    return rows.select(F.lit(up.source).alias("source"), "raw", PAGE, NEWEST, "_file", F.col("pos").cast("bigint").alias("pos"))
 
 
 def in_landing_order(rows: DataFrame) -> DataFrame:
@@ -80,9 +81,9 @@ def merge_into_store(rows: DataFrame, store_path: str, seq: str | None = None) -
     ``seq``: the column that orders the versions of a key; without it ``rows``
     has one row per key."""
     newest = newest_versions(rows.select(*INVOICE_COLUMNS, seq), seq) if seq else rows
-    newest = cut_lineage(newest.select(*INVOICE_COLUMNS))
-    stats = newest.agg(F.min("creation_date").alias("min_creation_date"),
-                       F.max("creation_date").alias("max_creation_date"), F.count(F.lit(1)).alias("rows")).first().asDict()
+    newest, progress = page_progress(newest.select(*INVOICE_COLUMNS), f"progress-{uuid.uuid4().hex}")
+    newest = cut_lineage(newest)
+    stats = progress.get
     if stats["rows"]:
         merge_rows(newest, store_path)
         log.info("ingest batch %s", stats)
@@ -97,6 +98,18 @@ def load_batch(batch: DataFrame, batch_id: int | str, store_path: str) -> dict:
     return merge_into_store(normalize(in_landing_order(batch), keep=(SEQ,)), store_path, SEQ)
 
 
+def progress_path(store_path: str) -> str:
+    return f"{store_path}-progress"
+
+
+def read_progress(spark: SparkSession, store_path: str) -> DataFrame:
+    """What each batch observed when it was written; a batch that was run again has one row."""
+    schema = "batch_id bigint, min_creation_date bigint, max_creation_date bigint, rows bigint"
+    if not path_exists(spark, progress_path(store_path)):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(progress_path(store_path))
+
+
 def read_quarantine(spark: SparkSession, store_path: str) -> DataFrame:
     """``source, identifier, reason, raw`` of everything that could not be decoded."""
     schema = "source string, identifier string, reason string, raw string"
@@ -117,7 +130,9 @@ def start_ingest(spark: SparkSession, upstreams: list[Upstream], store_path: str
     progress: deque[dict] = deque(maxlen=100)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        progress.append({"batch_id": batch_id, **load_batch(batch, batch_id, store_path)})
+        seen = {"batch_id": batch_id, **load_batch(batch, batch_id, store_path)}
+        write_json(batch.sparkSession, f"{progress_path(store_path)}/{batch_id}.json", seen)
+        progress.append(seen)
 
     w = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint or f"{store_path}-checkpoint")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
@@ -135,9 +150,10 @@ def run_once(spark: SparkSession, upstreams: list[Upstream], store_path: str,
 
 
 def backfill(spark: SparkSession, up: Upstream, store_path: str, since: int | None = None) -> dict:
-    """Load the landed pages of one source again, from event time ``since`` on
-    (rows without an event time are loaded too).  The merge is idempotent."""
-    rows = normalize(in_landing_order(read_upstream(spark, up, streaming=False)), keep=(SEQ,))
+    """Load the landed pages of one source again whose newest event time is ``since``
+    or later, and those without times: whole pages, as they were fetched.  The merge is
+    idempotent."""
+    rows = read_upstream(spark, up, streaming=False)
     if since is not None:
-        rows = rows.filter(F.col("creation_date").isNull() | (F.col("creation_date") >= since))
-    return merge_into_store(rows, store_path, SEQ)
+        rows = rows.filter(F.col(NEWEST).isNull() | (F.col(NEWEST) >= since))
+    return merge_into_store(normalize(in_landing_order(rows), keep=(SEQ,)), store_path, SEQ)

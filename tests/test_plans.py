@@ -10,8 +10,8 @@ from satledger.plans import catalog
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas", "Window ", "WindowGroupLimit"]
 # collect_list only groups one landing page (at most 100 invoices).
-# Windows over small or bounded partitions: one row per app; the seconds of three buckets.
-BOUNDED_WINDOW = {"app_share", "similar_payments"}
+# Windows over bounded partitions: the seconds of three buckets.
+BOUNDED_WINDOW = {"similar_payments"}
 BOUNDED_COLLECT = {"decode_payload", "decode_quarantine", "stream_ingest"}
 
 
