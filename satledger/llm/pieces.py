@@ -18,6 +18,7 @@ import codecs
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -34,7 +35,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the format: space mark, and the surface of an unknown id.
 MARK, UNKNOWN = "▁", " ⁇ "
 #: Segments and token pairs that a task remembers; longer segments are not kept.
-REMEMBERED, SEGMENT = 1 << 18, 64
+REMEMBERED, SEGMENT = 1 << 19, 64
 #: Cuts worth making: symbols that often stand between words.
 BREAKS = "\n\t\r"
 
@@ -129,35 +130,34 @@ class Encoder:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens (``left`` -1: none) are the encoding of their joined text."""
-        key = (left + 1) * self.pieces.size + right
-        fits = self._fits.get(key)
-        if fits is None:
-            if len(self._fits) >= REMEMBERED:
-                self._fits.clear()
-            text = self.pieces.text
-            want = [text[right]] if left < 0 else [text[left], text[right]]
-            fits = self._fits[key] = self._merged("".join(want)) == want
+        if len(self._fits) >= REMEMBERED:
+            self._fits.clear()
+        text = self.pieces.text
+        want = [text[right]] if left < 0 else [text[left], text[right]]
+        fits = self._fits[left * self.pieces.size + right] = self._merged("".join(want)) == want
         return fits
 
     def segment(self, text: str) -> list[int]:
         """Ids of one segment."""
-        last, width = [-1] * len(text), [1] * len(text)  # -1: a symbol without a piece
-        ends: list[list[tuple[int, int]]] = [[] for _ in text]
-        for end, match in self._automaton.iter(text):
-            ends[end].append(match)
-        for end, matches in enumerate(ends):
-            for i, n in matches:
-                if self.compatible(last[end - n] if end >= n else -1, i):
+        # last token and its length by the end of the prefix; -1: none, or a symbol without a piece
+        last, width = [-1] * (len(text) + 1), [1] * (len(text) + 1)
+        known, size = self._fits, self.pieces.size
+        for end, (i, n) in self._automaton.iter(text):
+            end += 1
+            if last[end] < 0:
+                left = last[end - n]
+                fits = known.get(left * size + i)
+                if fits or fits is None and self.compatible(left, i):
                     last[end], width[end] = i, n
-                    break
-        ids, end = [], len(text) - 1
-        while end >= 0:
+        ids, end = [], len(text)
+        while end > 0:
             if last[end] >= 0:
                 ids.append(last[end])
             else:
-                ids.extend(self.pieces.byte[b] for b in reversed(text[end].encode()))
+                ids.extend(self.pieces.byte[b] for b in reversed(text[end - 1].encode()))
             end -= width[end]
-        return ids[::-1]
+        ids.reverse()
+        return ids
 
     def ids(self, text: str, bos: bool = True, eos: bool = True) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -175,7 +175,8 @@ class _Known(dict):
         self._encoder = encoder
 
     def __missing__(self, segment: str) -> bytes:
-        ids = np.array(self._encoder.segment(segment), "<u4").tobytes()
+        ids = self._encoder.segment(segment)
+        ids = pack(f"<{len(ids)}I", *ids)
         if len(segment) <= SEGMENT:
             if len(self) >= REMEMBERED:
                 self.clear()
