@@ -81,8 +81,23 @@ def discard(*frames: DataFrame) -> None:
 def keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """``id, text`` (and ``more`` as ``c0, c1, ...``) only: other columns, whatever
     their names, cannot clash with the operator's own."""
-    cols = [docs[id_col].alias("id"), docs[text_col].alias("text")]
-    return docs.select(*cols, *(docs[c].alias(f"c{i}") for i, c in enumerate(more)))
+    cols = [place(docs, id_col).alias("id"), place(docs, text_col).alias("text")]
+    return numbered(docs).select(*cols, *(place(docs, c).alias(f"c{i}") for i, c in enumerate(more)))
+
+
+def with_text(docs: DataFrame, text_col: str | None = None) -> DataFrame:
+    """``doc``, a struct of the columns of ``docs`` in order, and apart from it ``text``, the
+    column ``text_col`` where one is named."""
+    fields = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c != text_col]
+    return numbered(docs).select(F.struct(*fields).alias("doc"), *([place(docs, text_col).alias("text")] if text_col else []))
+
+
+def as_before(rows: DataFrame, columns: list[str], text_col: str | None = None) -> DataFrame:
+    """The rows of :func:`with_text` as a table of ``columns``, by position."""
+    flat = rows.select("doc.*", *(["text"] if text_col else []))
+    found = [c for c in columns if c != text_col] + ([text_col] if text_col else [])
+    at = {c: i for i, c in enumerate(found)}
+    return numbered(flat).select(*(f"c{at[c]}" for c in columns)).toDF(*columns)
 
 
 def numbered(df: DataFrame) -> DataFrame:

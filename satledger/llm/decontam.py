@@ -11,6 +11,7 @@ through the automaton; elsewhere the match length is below two.
 """
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import string
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from satledger.llm.common import arrow_text, small_batches, store, text_bytes
+from satledger.llm.common import arrow_text, as_before, small_batches, store, text_bytes, with_text
 from satledger.llm.words import ALNUM, hashed_words
 
 #: Bytes of item text in one automaton (a few hundred MB of states at most).
 BLOCK_BYTES = 4 << 20
 #: Ids of items are broadcast up to this number; beyond it they are joined.
 BROADCAST_IDS = 500_000
+#: Spans and keys that are broadcast with their rows; beyond it they are joined.
+BROADCAST_HITS = 500_000
 #: Words of ``ALNUM`` in bytes.
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -183,12 +186,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _scan(matcher, out: pa.Schema, carried: int):
-    """Add one block's hits to each row's word spans and keys of items' texts."""
+    """Each row's number of words, and the spans and keys of items' texts that one block hits."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         m = matcher.value
         for batch in batches:
             raw, at = arrow_text(batch.column(carried - 1))
-            old = batch.to_pydict() if batch.num_columns > carried else None
             counts, spans, items = [], [], []
             for lo, hi, h, bounds in hashed_words(raw, at, ALNUM):
                 counts += np.diff(bounds).tolist()
@@ -203,9 +205,6 @@ def _scan(matcher, out: pa.Schema, carried: int):
                     named[d] |= which
                 spans += own
                 items += [[m.names[k] for k in s] for s in named]
-            if old is not None:
-                spans = [s + [tuple(x.values()) for x in o] for s, o in zip(spans, old["spans"])]
-                items = [s + o for s, o in zip(items, old["keys"])]
             rows = [[{"first": a, "last": b} for a, b in _merged(s)] for s in spans]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:carried], pa.array(counts, pa.int64()), pa.array(rows, out.field("spans").type),
@@ -214,6 +213,17 @@ def _scan(matcher, out: pa.Schema, carried: int):
     return run
 
 
+def _merge_hits(out: pa.Schema):
+    """One merged list of spans and one of keys for each row that blocks have hit."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[{"first": a, "last": b} for a, b in _merged([tuple(x.values()) for x in row])] for row in batch.column(1).to_pylist()]
+            keys = [sorted(set(row)) for row in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, out.types[1]), pa.array(keys, out.types[2])], schema=out)
+
+    return run
+
+
 def keyed_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """``item, text, key`` of the items with words: normalised texts and their hashes."""
     lower = F.translate(F.col(text_col), string.ascii_uppercase, string.ascii_lowercase)
@@ -240,25 +250,48 @@ def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
 
 
 def _hits(docs: DataFrame, items: DataFrame, window: int, text_col: str, block_bytes: int) -> DataFrame:
-    """``doc, text, n_words, spans, keys``; the keys are those of the items' texts."""
+    """``doc, text, n_words, spans, keys``; the keys are those of the items' texts.
+
+    A task holds the automaton of one block at a time: the first block's hits come with
+    the rows, each further block is a pass of its own over the texts, which writes its
+    hits, and these are joined to their rows at the end."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     spark = docs.sparkSession
     small_batches(spark)
-    out = docs.select(F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("doc"), docs[text_col].alias("text"))
+    out = with_text(docs, text_col)
     schema = StructType(out.schema.fields + StructType.fromDDL(
         "n_words bigint, spans array<struct<first:bigint,last:bigint>>, keys array<string>").fields)
-    blocks = item_blocks(items, block_bytes)
-    for block in itertools.chain([next(blocks, [])], blocks):  # without items: one empty block counts the words
+
+    def scan(rows: DataFrame, block: list[tuple[str, bytes]]) -> DataFrame:
+        """``rows`` (a column, then the text) with their words and the block's hits."""
         hashed = []
         for name, text in block:
             raw = np.frombuffer(text, np.uint8)
             found = [h for _, _, h, _ in hashed_words(raw, np.array([0, len(raw)]), ALNUM)]
             hashed.append((name, np.concatenate(found) if found else np.zeros(0, np.uint64)))
         matcher = spark.sparkContext.broadcast(Matcher(hashed, window))
-        out = out.mapInArrow(_scan(matcher, to_arrow_schema(schema), 2), schema)
-    return out
+        made = StructType(rows.schema.fields[:2] + schema.fields[2:])
+        return rows.mapInArrow(_scan(matcher, to_arrow_schema(made), 2), made)
+
+    blocks = item_blocks(items, block_bytes)
+    out = scan(out, next(blocks, []))  # without items: an empty block counts the words
+    second = next(blocks, None)
+    if second is None:
+        return out
+    out = store(out.withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
+    found = [out.select("row", "spans", "keys")]
+    for block in itertools.chain([second], blocks):
+        hits = scan(out.select("row", "text"), block).select("row", "spans", "keys").where(F.size("spans") > 0)
+        found.append(store(hits, "decontam-block-hits"))
+    some = functools.reduce(DataFrame.unionByName, found).where(F.size("spans") > 0)
+    all_hits = some.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("keys")).alias("keys"))
+    merged = StructType.fromDDL("row bigint, spans array<struct<first:bigint,last:bigint>>, keys array<string>")
+    all_hits = store(all_hits.mapInArrow(_merge_hits(to_arrow_schema(merged)), merged), "decontam-merged")
+    size = all_hits.agg(F.sum(F.size("spans") + F.size("keys"))).first()[0] or 0
+    rows = out.drop("spans", "keys").join(F.broadcast(all_hits) if size <= BROADCAST_HITS else all_hits, "row", "left")
+    return rows.select("doc", "text", "n_words", *(F.coalesce(c, F.array().cast(schema[c].dataType)).alias(c) for c in ("spans", "keys")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
@@ -269,8 +302,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     ids, as strings, of the items with an occurring window (a null id hits but has
     no name; a repeated id counts once).  Null or empty texts have no words; items
     without words match nothing.  Words are lower-cased (A-Z) runs of ASCII letters
-    and digits and of characters beyond ASCII.  Only distinct normalised texts of
-    items pass through the driver; their ids are joined to the hits."""
+    and digits and of characters beyond ASCII; texts of any length are matched whole,
+    repeated rows each.  Only distinct normalised texts of
+    items pass through the driver, a block at a time; their ids are joined to the hits.  Empty tables give
+    no rows or no hits; columns of any names travel in ``doc``."""
     items = store(keyed_items(benchmark, item_col, item_text_col), "decontam-items")
     # written: row numbers are drawn once
     found = store(_hits(docs, items, window, text_col, block_bytes).withColumn("row", F.monotonically_increasing_id()), "decontam-hits")
@@ -294,10 +329,14 @@ def _covered(max_coverage: float) -> Column:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.0, id_col: str = "doc_id",
                    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without the rows of which more than ``max_coverage`` of the words are hit."""
+    """``docs`` without the rows of which more than ``max_coverage`` of the words are hit.
+
+    Nulls, empty and very long texts, repeated rows and items as in :func:`contamination`;
+    rows without words stay.  An empty table gives no rows, an empty benchmark leaves all.
+    Columns keep their names, whatever they are."""
     found = _hits(docs, keyed_items(benchmark, item_col, item_text_col), window, text_col, block_bytes)
     clean = found.where(_covered(max_coverage))
-    return clean.select(*(F.col("text").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns))
+    return as_before(clean, docs.columns, text_col)
 
 
 def _cut(out: pa.Schema, max_words: int):
@@ -327,7 +366,8 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
     """``docs`` with every merged span of more than ``max_words`` words cut from the text
     (from its first word to its last; what stands around stays), without the rows of
     which more than ``max_coverage`` of the words were hit.  Words that only become
-    neighbours by a cut are not looked at again."""
+    neighbours by a cut are not looked at again.  Null texts stay null; all else as in
+    :func:`decontaminated`."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -335,4 +375,4 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
     rows = found.where(_covered(max_coverage)).select("doc", "text", "n_words", "spans")
     out = StructType(rows.schema.fields[:2])
     cut = rows.mapInArrow(_cut(to_arrow_schema(out), max_words), out)
-    return cut.select(*(F.col("text").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns))
+    return as_before(cut, docs.columns, text_col)

@@ -18,10 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from satledger.llm.common import store
+from satledger.llm.common import numbered, place, store
 
 #: Units that one flight handles.
 BLOCK = 4096
+#: Sources up to which a row per source is broadcast.
+BROADCAST_SOURCES = 100_000
 _NEAR = 1e-9
 
 
@@ -81,7 +83,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), lim
     share the total by weight; a target stops at ``limit`` times its source's size
     and the excess is reshared by weight until none is above: target =
     min(limit, level * weight) for the one level that spends the total.  The table
-    has one row per source; a single-partition window over it finds the level."""
+    has one row per source; a single-partition window over it finds the level (made for
+    tens to thousands of sources)."""
     per = sizes.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     no = F.row_number().over(by_name) - 1
@@ -112,8 +115,9 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), limit: float
     ``ceil(limit)`` copies.  Null is a source of its own.  Blocks and draws depend
     on ids and sizes only, so reruns agree; repeated rows are interchangeable.
     An empty table gives no rows; extra columns are ignored but for ``carry``."""
-    whole_rows = [F.struct(*(docs[c] for c in docs.columns)).alias("doc")] if carry else []
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[source_col].alias("source"), *whole_rows)
+    fields = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    rows = numbered(docs).select(*(place(docs, c).alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source"))),
+                                 *([F.struct(*fields).alias("doc")] if carry else []))
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
     rows = store(rows.select("id", "source", words.alias("size"), F.monotonically_increasing_id().alias("row"),
                              *(["doc"] if carry else [])), "mix-sizes")
@@ -126,12 +130,13 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), limit: float
     units = rows.where(F.col("chance") > _NEAR).select(
         "row", "source_no", "size", F.xxhash64("id", "size", F.lit(seed)).alias("draw"), "chance")
     settled, level = [], 0
+    few = targets.count() <= BROADCAST_SOURCES
     while True:
-        # a block count per source: small data, joined as such
         counts = units.groupBy("source_no").agg(F.count("*").alias("n")).select(
             "source_no", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-        dealt = units.join(counts, "source_no").withColumn(
+        dealt = units.join(F.broadcast(counts) if few else counts, "source_no").withColumn(
             "block", F.pmod(F.xxhash64("draw", "size", F.lit(level)), F.col("blocks")).cast("int"))
+        dealt = dealt.repartition("source_no", "block")  # blocks of a source fly in different tasks
         flown = store(dealt.groupBy("source_no", "block").applyInPandas(
             _fly(seed, level), "row bigint, source_no int, size bigint, draw bigint, chance double"), f"mix-level{level}")
         fraction = (F.col("chance") > 0) & (F.col("chance") < 1)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from satledger.llm.common import arrow_text, keyed, release, small_batches, spread, store, text_bytes
+from satledger.llm.common import arrow_text, keyed, numbered, place, release, small_batches, spread, store, text_bytes
 from satledger.llm.components import components
 from satledger.llm.words import SPACED, hashed_words, mix, shingles
 
@@ -384,7 +384,7 @@ def _linked(compared: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, scheme: Scheme, text_col: str = "text") -> DataFrame:
     """Links ``a, b`` between nodes that span the components of all similar pairs."""
-    texts = docs.select(docs[text_col].alias("text"))
+    texts = numbered(docs).select(place(docs, text_col).alias("text"))
     parts = spread(docs, text_bytes(texts), PART_BYTES)
     signed = texts.mapInArrow(_sign(scheme, parts), _PACKED)
     members = store(signed.repartitionById(parts, "part").mapInArrow(_meet, "key bigint, node binary").distinct(), "join-shared")
@@ -472,12 +472,14 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """The rows of ``docs`` but all save one of each group of similar rows.
 
     The row of the smallest id stays; where ids are null or repeat, rows are told
-    apart by their order instead, and the first stays.  Rows without shingles stay."""
-    row, gone = "__row", "__gone"
-    ids = docs.select(docs[id_col].alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    apart by their order instead, and the first stays.  Rows without shingles stay.  Columns
+    keep their names, whatever they are; an empty table gives no rows."""
+    plain = numbered(docs)
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    ids = plain.select(F.col(key).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     if not ids.where("n > 1 or id is null").isEmpty():
-        docs = store(docs.withColumn(row, F.monotonically_increasing_id()), "join-rows")
-        return representatives(docs, words, percent, row, text_col).drop(row)
-    groups = similar_groups(docs, words, percent, id_col, text_col)
-    rest = store(groups.where("id != component_id").select(F.col("id").alias(gone)), "join-gone")
-    return docs.join(rest, docs[id_col] == rest[gone], "left_anti")
+        plain, key = store(plain.withColumn("row", F.monotonically_increasing_id()), "join-rows"), "row"
+    groups = similar_groups(plain, words, percent, key, text)
+    rest = store(groups.where("id != component_id").select(F.col("id").alias("gone")), "join-gone")
+    kept = plain.join(rest, plain[key] == rest["gone"], "left_anti")
+    return kept.select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)

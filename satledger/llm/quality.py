@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satledger.llm.common import arrow_text, small_batches, store
+from satledger.llm.common import arrow_text, small_batches, store, with_text
 from satledger.llm.toxicity import labelled_sample
 
 #: Bound on the labelled rows that dictionaries and calibration see.
@@ -127,7 +127,8 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, p
     ``LEARN_BYTES`` of each sampled text, in pieces from all over it; calibration and
     scores read whole texts.  Null and empty texts compress to
     nothing and get what the calibration says of length 0; with no labels every
-    score is a half.  An empty table gives no rows."""
+    score is a half.  Repeated rows get equal scores, ids may be null or repeat.  An empty
+    table gives no rows.  Columns of any names (dots, clashes) travel in ``doc``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -147,6 +148,6 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, p
     x = np.array([r["features"] for r in measured]).reshape(len(measured), 5)
     model = sc.broadcast(calibrate(x, np.array([r["label"] for r in measured], float)))
 
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("doc"), docs[text_col].alias("text"))
+    whole = with_text(docs, text_col)
     out = StructType([*whole.schema.fields, *StructType.fromDDL("quality double").fields])
     return whole.mapInArrow(_measure(dictionaries, model, to_arrow_schema(out), 1), out)

@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satledger.llm.common import small_batches
+from satledger.llm.common import numbered, place, small_batches
 
 #: Rank file of the byte-level vocabulary (a parameter; never copied).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -30,6 +30,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters behind its end that a pre-token's split may depend on.
 LOOK = 3
+#: Pre-tokens that a slot may hold.
+SLOT = 16
 #: Pre-tokens whose number of tokens a task remembers.
 REMEMBERED = 1 << 18
 
@@ -73,28 +75,36 @@ class SegmentTree:
     """Sums of characters and tokens over a document's pre-token slots.
 
     An edit leaves the number of slots as it is: the first slot of a replaced run
-    takes all of its new pre-tokens, the others become empty."""
+    takes all of its new pre-tokens, the others become empty.  A slot of more than
+    ``SLOT`` pre-tokens is spread over slots of its own: the tree is laid out anew
+    from the numbers it holds, without encoding."""
 
     def __init__(self, encoder: Encoder, text: str, leaves: list[tuple[int, int]] | None = None):
         """With ``leaves`` (characters and tokens of each pre-token of ``text``, see
         :meth:`leaves`) nothing is split or encoded again."""
         self.encoder = encoder
         if leaves is None:
-            self.slots: list[list[str]] = [[p] for p in encoder.split(text)] or [[]]
+            pieces = encoder.split(text)
+            tokens = encoder.counts(pieces)
         else:
             ends = np.cumsum([n for n, _ in leaves]).tolist()
-            self.slots = [[text[a:b]] for a, b in zip([0, *ends], ends)] or [[]]
+            pieces, tokens = [text[a:b] for a, b in zip([0, *ends], ends)], [n for _, n in leaves]
+        self._lay(pieces, tokens)
+        self.reencoded = 0
+
+    def _lay(self, pieces: list[str], tokens: list[int]) -> None:
+        """A slot for each pre-token, and the sums above them."""
+        self.slots: list[list[str]] = [[p] for p in pieces] or [[]]
+        self.several: dict[int, list[int]] = {}  # tokens of each pre-token of a slot that holds several
         self.size = 1 << max(0, len(self.slots) - 1).bit_length()
         self.sums = np.zeros((2 * self.size, 2), np.int64)
-        flat = [p[0] for p in self.slots if p]
-        if flat:
-            self.sums[self.size:self.size + len(flat), 0] = list(map(len, flat))
-            self.sums[self.size:self.size + len(flat), 1] = encoder.counts(flat) if leaves is None else [n for _, n in leaves]
+        if pieces:
+            self.sums[self.size:self.size + len(pieces), 0] = list(map(len, pieces))
+            self.sums[self.size:self.size + len(pieces), 1] = tokens
         at = self.size
         while at > 1:
             self.sums[at // 2:at] = self.sums[at:2 * at:2] + self.sums[at + 1:2 * at:2]
             at //= 2
-        self.reencoded = 0
 
     @property
     def characters(self) -> int:
@@ -110,8 +120,8 @@ class SegmentTree:
     def leaves(self) -> list[tuple[int, int]]:
         """Characters and tokens of each pre-token."""
         out: list[tuple[int, int]] = []
-        for slot, sums in zip(self.slots, self.sums[self.size:].tolist()):
-            out += [tuple(sums)] if len(slot) == 1 else list(zip(map(len, slot), self.encoder.counts(slot)))
+        for k, (slot, sums) in enumerate(zip(self.slots, self.sums[self.size:].tolist())):
+            out += [tuple(sums)] if len(slot) == 1 else list(zip(map(len, slot), self.several.get(k, ())))
         return out
 
     def find(self, offset: int) -> tuple[int, int]:
@@ -127,8 +137,12 @@ class SegmentTree:
 
     def _set(self, slot: int, pieces: list[str]) -> None:
         self.slots[slot] = pieces
+        tokens = self.encoder.counts(pieces)
+        self.several.pop(slot, None)
+        if len(pieces) > 1:
+            self.several[slot] = tokens
         at = self.size + slot
-        self.sums[at] = sum(map(len, pieces)), sum(self.encoder.counts(pieces)) if pieces else 0
+        self.sums[at] = sum(map(len, pieces)), sum(tokens)
         while at > 1:
             at //= 2
             self.sums[at] = self.sums[2 * at] + self.sums[2 * at + 1]
@@ -182,6 +196,8 @@ class SegmentTree:
                 self._set(k, [])
         self._set(first, pieces)
         self.reencoded += len(pieces)
+        if len(pieces) > SLOT:
+            self._lay([p for s in self.slots for p in s], [n for _, n in self.leaves()])
 
 
 def _recount(ranks, out: pa.Schema):
@@ -218,7 +234,8 @@ def recounted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     with open(vocabulary, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     edits = F.col("edits").cast("array<struct<start:bigint,length:bigint,replacement:string>>")
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[edits_col].alias("edits")).select("id", "text", edits.alias("edits"))
+    rows = numbered(docs).select(*(place(docs, c).alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (edits_col, "edits"))))
+    rows = rows.select("id", "text", edits.alias("edits"))
     out = StructType.fromDDL(f"id {rows.schema['id'].dataType.simpleString()}, n_tokens bigint, n_leaves bigint, n_tokens_edited bigint, n_chars_edited bigint, n_reencoded bigint")
     return rows.mapInArrow(_recount(ranks, to_arrow_schema(out)), out)
 
@@ -257,8 +274,8 @@ def kept_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
-    typed = lambda name, kind: (F.lit(None) if name is None else docs[name]).cast(kind)
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"),
+    typed = lambda name, kind: (F.lit(None) if name is None else place(docs, name)).cast(kind)
+    rows = numbered(docs).select(place(docs, id_col).alias("id"), place(docs, text_col).alias("text"),
                        typed(edits_col, "array<struct<start:bigint,length:bigint,replacement:string>>").alias("edits"),
                        typed(leaves_col, "array<struct<length:bigint,tokens:bigint>>").alias("leaves"))
     out = StructType.fromDDL(f"id {rows.schema['id'].dataType.simpleString()}, text string, leaves array<struct<length:bigint,tokens:bigint>>, n_tokens bigint, n_chars bigint, n_reencoded bigint")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from satledger.llm.common import arrow_text, keyed, small_batches, store
+from satledger.llm.common import arrow_text, keyed, small_batches, store, with_text
 from satledger.llm.words import ALNUM, hashed_words
 
 # Common terms of abuse, by kind.
@@ -307,11 +307,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, parts: i
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``text, label`` of at most ``rows`` labelled rows that are not held out: those
     of the smallest hashes, a list small enough to broadcast.  Null labels and ids
-    are left out; an id labelled more than once has its largest label."""
+    are left out; an id labelled more than once has its largest label, an id of several
+    rows the text of the smallest hash."""
     named = labels.select(labels["doc_id"].alias("id"), labels[label_col].cast("int").alias("label"))
     named = named.where(F.col("id").isNotNull() & F.col("label").isNotNull() & (remainder(F.col("id"), parts) != held_out))
     named = named.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    return keyed(docs, id_col, text_col).join(F.broadcast(named), "id").select("text", "label")
+    found = keyed(docs, id_col, text_col).join(F.broadcast(named), "id")
+    return found.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label")).select("text", "label")
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, parts: int = 3, held_out: int = 1,
@@ -320,8 +322,9 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, p
 
     Labels come from ``labels`` (doc_id, toxic), but not of rows whose crc32(doc_id)
     modulo ``parts`` is ``held_out``.  Null and empty texts hold no term and get the
-    score of the bias; without any label the word lists alone decide.  An empty
-    table gives no rows."""
+    score of the bias; texts of any length are scored whole; without any label the word
+    lists alone decide.  Repeated rows get equal scores, ids may be null or repeat.  An
+    empty table gives no rows.  Columns of any names (dots, clashes) travel in ``doc``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -338,7 +341,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, p
         schema = StructType([*rows.schema.fields[1:], *StructType.fromDDL("votes bigint").fields])
         return rows.mapInArrow(_vote(tables, to_arrow_schema(schema)), schema)
 
-    every = voted(docs.select(docs[text_col].alias("text"))).groupBy("votes").count()
+    every = voted(with_text(docs, text_col).select("text")).groupBy("votes").count()
     known = voted(sample).groupBy("votes", "toxic").count()
     seen = [(r["votes"], -1, r["count"]) for r in every.collect()]  # two to the number of voters at most
     seen += [(r["votes"], r["toxic"], r["count"]) for r in known.collect()]
@@ -357,6 +360,6 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, p
     weights, bias = fit_linear(doc_no, cols, len(rows), len(hashes), soft, model.vote_odds()[owner] if rows else np.full(len(hashes), 5.0))
     linear = spark.sparkContext.broadcast((hashes, weights, bias))
 
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("doc"), docs[text_col].alias("text"))
+    whole = with_text(docs, text_col)
     out = StructType([*whole.schema.fields, *StructType.fromDDL("toxicity double").fields])
     return whole.mapInArrow(_score(linear, to_arrow_schema(out)), out)

@@ -12,14 +12,15 @@ ROWS = [
 ] + [(100 + i, "copied text of a hot group that holds a third of the rows", "hot") for i in range(40)] + [
     (200 + i, f"row {i} says something of its own number {i * i} and little else {i % 7}", f"s{i % 5}") for i in range(70)]
 
-SCHEMA = "doc_id bigint, text string, source string, id string, row int, size double, spans string, h string"
+SCHEMA = ("doc_id bigint, text string, source string, id string, row int, size double, spans string, h string, "
+          "`a.b` string, __copy int, __row int, __gone int, c0 string, doc string")
 
 
 @pytest.fixture(scope="session")
 def awkward(spark):
     """Nulls in any column, empty and very long texts, repeated rows, a hot group
     and extra columns whose names the operators use themselves."""
-    rows = [(i, t, s, "x", None, 0.5, None, "h") for i, t, s in ROWS]
+    rows = [(i, t, s, "x", None, 0.5, None, "h", "dot", 1, 2, 3, "c", "d") for i, t, s in ROWS]
     return spark.createDataFrame(rows, SCHEMA).repartition(5)
 
 

@@ -44,6 +44,20 @@ def test_only_the_region_is_encoded_again(encoder):
     assert long.text() == "x" + "a" * 2499 + "b" + "a" * 2501 + " end" and long.tokens == encoder.whole(long.text())
 
 
+def test_an_edit_inside_an_insertion_encodes_little(encoder):
+    """What was inserted is as fine as the rest; also text typed into an empty document."""
+    tree = tokens.SegmentTree(encoder, "begin and end")
+    tree.edit(6, 0, " ".join(f"new{i % 83}" for i in range(20_000)) + " ")
+    before = tree.reencoded
+    tree.edit(tree.characters // 2, 1, "X")
+    assert tree.reencoded - before < 3 * tokens.SLOT and tree.tokens == encoder.whole(tree.text())
+    typed = tokens.SegmentTree(encoder, "")
+    for i in range(3000):
+        typed.edit(typed.characters, 0, f" w{i % 71}")
+    assert typed.reencoded < 3000 * 2 * tokens.SLOT
+    assert typed.tokens == encoder.whole(typed.text()) and sum(n for _, n in typed.leaves()) == typed.tokens
+
+
 def apply(text, edits):
     for start, length, new in edits:
         start = min(start, len(text))
