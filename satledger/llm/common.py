@@ -119,9 +119,13 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(col))).first()[0] or 0
 
 
+#: Partitions that a shuffle is dealt to at most, whatever the bytes.
+MOST_PARTITIONS = 1 << 17
+
+
 def spread(df: DataFrame, nbytes: int, target: int = 32 << 20) -> int:
-    """Partitions so that each holds about ``target`` bytes of text."""
-    return max(parallelism(df.sparkSession), -(-nbytes // target))
+    """Partitions so that each holds about ``target`` bytes, more where these would be over ``MOST_PARTITIONS``."""
+    return max(parallelism(df.sparkSession), min(MOST_PARTITIONS, -(-nbytes // target)))
 
 
 def arrow_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from satledger.llm.common import keyed, store
+from satledger.llm.common import keyed, spread, store
 
 #: Ranges are broadcast up to this number (24 bytes each); beyond it they are joined.
 BROADCAST_RANGES = 200_000
+#: What a row takes while it is ordered: sizes the ranges.
+ROW_BYTES = 64
 
 
 def shard_at(offset: Column, total: int, n_shards: int) -> Column:
@@ -33,22 +35,24 @@ def byte_shards(docs: DataFrame, n_shards: int = 40, overhead: int = 16,
     so shard totals differ from the target by less than one row's size at each
     cut; a row larger than the target leaves shards empty.  ``slot`` counts from
     0 without gaps within a shard.  Equal texts are neighbours: only a group on
-    a cut is divided.  Repeated rows count each; an empty table gives no rows."""
+    a cut is divided.  Repeated rows count each; null ids come first; an empty table gives
+    no rows.  Other columns, whatever their names, are ignored."""
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = store(keyed(docs, id_col, text_col).select(
         "id", (F.octet_length(text) + F.lit(overhead)).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row")), "shard-sizes")
     # written: the range bounds come from a sample, so the ranges are drawn once
-    ranged = store(narrow.repartitionByRange("h", "id", "row").withColumn("part", F.spark_partition_id()), "shard-ranges")
+    ranges = spread(narrow, narrow.count() * ROW_BYTES)
+    ranged = store(narrow.repartitionByRange(ranges, "h", "id", "row").withColumn("part", F.spark_partition_id()), "shard-ranges")
     totals = ranged.groupBy("part").agg(F.sum("size").alias("part_size"), F.count("*").alias("part_rows"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = store(totals.select("part", "part_size", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("size_before"),
                                  F.coalesce(F.sum("part_rows").over(earlier), F.lit(0)).alias("rows_before")), "shard-totals")
-    total, ranges = totals.agg(F.sum("part_size"), F.count("*")).first()
+    total, filled = totals.agg(F.sum("part_size"), F.count("*")).first()
     within = Window.partitionBy("part").orderBy("h", "id", "row")
     before = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offset = F.col("size_before") + before
-    offsets = ranged.join(F.broadcast(totals) if ranges <= BROADCAST_RANGES else totals, "part")
+    offsets = ranged.join(F.broadcast(totals) if filled <= BROADCAST_RANGES else totals, "part")
     placed = store(offsets.select(
         "id", "size", "text_crc32", shard_at(offset, total, n_shards).alias("shard"),
         (F.col("rows_before") + F.row_number().over(within) - 1).alias("place")), "shard-places")

@@ -303,3 +303,9 @@ def test_secrets_query(spark):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(b.startswith(k) for b in base) for k in ("assign", "access", "hex")]
         assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
         assert set(base) <= set(r["spans"].split(",")) | {""}
+
+
+def test_partitions_are_bounded(no_rows):
+    from satledger.llm.common import MOST_PARTITIONS, spread
+
+    assert spread(no_rows, 100 << 40, 16 << 20) == MOST_PARTITIONS and spread(no_rows, 64 << 30, 32 << 20) == 2048
