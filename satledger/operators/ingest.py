@@ -160,11 +160,19 @@ def _extra() -> Column:
     boost = F.map_concat(tlv, wallet)
     boost = F.map_filter(boost, lambda k, v: ~k.isin(S.BOOSTAGRAM_FIELDS) & v.isNotNull() & (v != ""))
     top_flat = _namespaced(top, "invoice")
-    boost_flat = _namespaced(boost, "boostagram")
     # A nested namespace may repeat in both parts; the decoded payload wins.
-    top_flat = F.map_filter(top_flat, lambda k, v: ~F.array_contains(F.map_keys(boost_flat), k))
-    merged = F.map_concat(boost_flat, top_flat)
-    return F.when(F.size(merged) > 0, merged)
+    merged = _let(_namespaced(boost, "boostagram"), lambda b: _let(F.map_keys(b), lambda keys: F.map_concat(
+        b, F.map_filter(top_flat, lambda k, v: ~F.array_contains(keys, k)))))
+    return _let(merged, lambda m: F.when(F.size(m) > 0, m))
+
+
+def open_keys(norm: DataFrame, *keep: str) -> DataFrame:
+    """One row per key of the open schema: ``keep``, ``name``, ``value``.
+
+    An inner ``explode`` would have Spark filter on ``extra`` below the projection that
+    computes it, and flatten each row three times."""
+    rows = norm.select(*keep, F.explode_outer("extra").alias("name", "value"))
+    return rows.filter(F.col("name").isNotNull())
 
 
 def _whole_number(text: Column) -> Column:

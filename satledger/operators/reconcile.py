@@ -94,39 +94,6 @@ def find_similar(inv: DataFrame, action: str, sender: str, timestamp: int, delta
                       & F.col("creation_date").between(timestamp - delta, timestamp + delta))
 
 
-def similar_pairs(inv: DataFrame, delta: int, action: str | None = None) -> DataFrame:
-    """N12 batch form (near-duplicate audit): pairs of payments with the same
-    action and sender at most ``delta`` seconds apart, each pair once.
-
-    Band join: the equi key is ``(action, sender, cd div delta)``; the right
-    side is replicated to the neighbouring buckets, so a task only ever sees
-    rows of one sender within about three ``delta`` of each other - a sender
-    with a third of all rows spreads over all of its time buckets."""
-    cond = F.col("action").isNotNull() & F.col("sender_name_normalized").isNotNull() \
-        & F.col("creation_date").isNotNull()
-    if action is not None:
-        cond = cond & (F.col("action") == F.lit(action))
-    base = inv.filter(cond).select(
-        "action", F.col("sender_name_normalized").alias("sender"), "source", "identifier",
-        "creation_date", F.floor(F.col("creation_date") / F.lit(max(delta, 1))).cast("bigint").alias("bucket"))
-    a = base.alias("a")
-    b = base.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"),
-                                                    F.col("bucket") + 1))).alias("b")
-    joined = a.join(b, (F.col("a.action") == F.col("b.action"))
-                    & (F.col("a.sender") == F.col("b.sender"))
-                    & (F.col("a.bucket") == F.col("b.bucket")), "inner")
-    return joined.filter(
-        (F.abs(F.col("a.creation_date") - F.col("b.creation_date")) <= delta)
-        & (F.struct(F.col("a.source"), F.col("a.identifier"))
-           < F.struct(F.col("b.source"), F.col("b.identifier")))
-    ).select(F.col("a.action").alias("action"), F.col("a.sender").alias("sender"),
-             F.col("a.source").alias("source_a"), F.col("a.identifier").alias("identifier_a"),
-             F.col("a.creation_date").alias("creation_date_a"),
-             F.col("b.source").alias("source_b"), F.col("b.identifier").alias("identifier_b"),
-             F.col("b.creation_date").alias("creation_date_b"))
-
-
-
 def similar_counts(inv: DataFrame, delta: int, action: str | None = None) -> DataFrame:
     """N12 batch form: each payment that has others of its action and sender within
     ``delta`` seconds, with their number and the time to the nearest.

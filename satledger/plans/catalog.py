@@ -501,7 +501,7 @@ def delete_from_store(spark, sf_dir):
 @register
 def flatten_open(spark, sf_dir):
     """I2 + I3: unknown keys nested ``P.NESTING`` levels deep, one row per flattened key."""
-    from satledger.operators.ingest import normalize
+    from satledger.operators.ingest import normalize, open_keys
 
     inner = F.concat(F.lit('"'), "message", F.lit('"'))
     for level in range(P.NESTING, 0, -1):
@@ -509,7 +509,7 @@ def flatten_open(spark, sf_dir):
     raw = F.concat(F.lit('{"add_index":"'), "identifier", F.lit('","foo":'), inner, F.lit("}"))
     rows = _inv(spark, sf_dir).withColumn("message", F.translate(F.coalesce("message", F.lit("none")), "\n", " "))
     norm = normalize(rows.select("source", raw.alias("raw")))
-    return norm.select("source", "identifier", F.explode("extra").alias("name", "value"))
+    return open_keys(norm, "source", "identifier")
 
 
 def _paged(spark, sf_dir):

@@ -17,6 +17,8 @@ _DEFAULTS = {
     # A JSON object repeating a key keeps the last value (as the reference's
     # parser does) instead of failing the whole batch.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # A store read lists a path per day and version: some hundreds need no job of their own.
+    "spark.sql.sources.parallelPartitionDiscovery.threshold": "512",
     # Checkpoint files go once no plan refers to them (an ingest batch that is over).
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }

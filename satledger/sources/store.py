@@ -132,7 +132,10 @@ def _partition(table: str, *values) -> str:
 def _read(spark: SparkSession, path: str, table: str, state: dict, only: Iterable[str] | None = None, turn: bool = False) -> DataFrame:
     """Rows of the named partitions (all by default); ``turn``: with the number of the commit that wrote them."""
     names = state[table] if only is None else [p for p in only if p in state[table]]
-    files = [f"{path}/{table}/v={v}/{p}" for p in names for v, _ in state[table][p]]
+    return _rows(spark, path, table, [f"{path}/{table}/v={v}/{p}" for p in names for v, _ in state[table][p]], turn)
+
+
+def _rows(spark: SparkSession, path: str, table: str, files: list[str], turn: bool = False) -> DataFrame:
     schema, more = SCHEMAS[table], [F.split("v", "-")[0].cast("int").alias("turn")] if turn else []
     if not files:
         return spark.createDataFrame([], T.StructType(schema.fields + [T.StructField("turn", T.IntegerType())] * turn))
@@ -312,10 +315,13 @@ def retracted(spark: SparkSession, path: str, state: dict | None = None) -> Data
 
 
 def _contents(rows: DataFrame, whole: Column) -> DataFrame:
+    """Entries by content id, source and day of ``rows``; with a column ``touched`` only
+    those that it marks, also where no row is left."""
     timed = F.when(F.col("day") != NO_DAY, F.col("creation_date"))  # other times lie in no window
-    return (rows.filter(F.col("content_id").isNotNull()).groupBy(*CONTENT)
-            .agg(F.min(timed).alias("first"), F.max(timed).alias("last"))
-            .withColumn("whole", whole).withColumn("bucket", bucket_of("content_id")))
+    touched = [F.max("touched").alias("touched")] if "touched" in rows.columns else []
+    out = (rows.filter(F.col("content_id").isNotNull()).groupBy(*CONTENT)
+           .agg(F.min(timed).alias("first"), F.max(timed).alias("last"), *touched))
+    return (out.filter("touched") if touched else out).withColumn("whole", whole).withColumn("bucket", bucket_of("content_id"))
 
 
 def write_store(df: DataFrame, path: str) -> None:
@@ -325,7 +331,7 @@ def write_store(df: DataFrame, path: str) -> None:
 
     def change(state, version):
         data = _write(rows, path, "data", version)
-        written = _read(spark, path, "data", {"data": {p: [[version, n]] for p, n in data.items()}})
+        written = _rows(spark, path, "data", [f"{path}/data/v={version}"] if data else [])
         keys = _write(written.select("identifier", "day", "source", bucket_of().alias("bucket")), path, "keys", version)
         contents = _write(_contents(written, F.lit(True)), path, "contents", version)
         return {"replaced": True, "data": (state["data"], data), "keys": (state["keys"], keys),
@@ -336,6 +342,8 @@ def write_store(df: DataFrame, path: str) -> None:
 
 def _held(spark: SparkSession, path: str, state: dict, keys: DataFrame) -> DataFrame:
     """``keys`` (source, identifier) with the day that holds their row, null without one."""
+    if not state["keys"]:
+        return keys.withColumn("old_day", F.lit(None).cast("string"))
     spots = keys.select("source", bucket_of().alias("bucket")).distinct().collect()  # at most sources x buckets
     index = _read(spark, path, "keys", state, [_partition("keys", r["source"], r["bucket"]) for r in spots], turn=True)
     known = _last_day(index.join(keys, KEY, "left_semi"))
@@ -349,22 +357,22 @@ def _apply(spark: SparkSession, path: str, state: dict, version: str, held: Data
     days = [_partition("data", r["source"], r["old_day"]) for r in spots]
     before = _read(spark, path, "data", state, days)
     data = _write(changed(before.select(*INVOICES.fieldNames())).withColumn("day", day_of()), path, "data", version)
-    after = _read(spark, path, "data", {"data": {p: [[version, n]] for p, n in data.items()}})
+    after = _rows(spark, path, "data", [f"{path}/data/v={version}"] if data else [])
 
-    mine = after.join(held.select(*KEY), KEY, "left_semi").select(*KEY, "day", "content_id")
-    mine = cut_lineage(held.join(mine, KEY, "left"))
-    entries = mine.filter(~F.col("day").eqNullSafe(F.col("old_day"))).select("identifier", "day", "source", bucket_of().alias("bucket"))
-    keys = _write(entries, path, "keys", version)
+    entry = lambda rows: rows.select("identifier", "day", "source", bucket_of().alias("bucket"))
+    if not days:  # new keys only: what was written is the batch
+        return {"data": ((), data), "keys": ((), _write(entry(after), path, "keys", version)),
+                "contents": ((), _write(_contents(after, F.lit(False)), path, "contents", version))}
+    now = held.join(after.select(*KEY, "day"), KEY, "left")
+    keys = _write(entry(now.filter(~F.col("day").eqNullSafe(F.col("old_day")))), path, "keys", version)
 
     # content ids of these keys as they were and as they are, with all rows of their days
-    old = (before.join(held.select(*KEY), KEY, "left_semi").select(*CONTENT))
-    ids = old.unionByName(mine.filter("day IS NOT NULL").select(*CONTENT)).filter("content_id IS NOT NULL").distinct()
+    mine = held.select(*KEY, F.lit(True).alias("touched"))
+    shown = [*CONTENT, "creation_date", F.coalesce("touched", F.lit(False)).alias("touched")]
+    rows = after.join(mine, KEY, "left").select(*shown)
+    left = before.join(mine, KEY).withColumn("creation_date", F.lit(None).cast("bigint")).select(*shown)
     read = F.concat_ws("\n", "source", "day").isin([f"{r['source']}\n{r['old_day']}" for r in spots])
-    now = _contents(after.join(ids, CONTENT, "left_semi"), read)
-    none = ids.join(now.select(*CONTENT), CONTENT, "left_anti").select(
-        *CONTENT, F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"), F.lit(True).alias("whole"),
-        bucket_of("content_id").alias("bucket"))
-    contents = _write(now.unionByName(none), path, "contents", version)
+    contents = _write(_contents(rows.unionByName(left), read), path, "contents", version)
     return {"data": (days, data), "keys": ((), keys), "contents": ((), contents)}
 
 

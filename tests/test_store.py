@@ -162,14 +162,15 @@ def test_index_grows_by_the_batch(spark):
     assert read_store(spark, path).count() == 1_001_000
 
 
-def test_versions_stay_bounded(spark):
+def test_versions_stay_bounded(spark, monkeypatch):
     """Batch after batch into the same day: versions, files and manifests stay few."""
+    monkeypatch.setattr(store_module, "MOST_VERSIONS", 3)
     path = scratch_path(spark, "store")
-    for i in range(50):
+    for i in range(14):
         merge_into_store(frame(spark, [("a", str(i), 10 * DAY + i, f"m{i}", None, i), ("a", str(1000 + i), 11 * DAY, None, None, i)]), path, "seq")
         state = manifest(spark, path)
         assert max(len(vs) for t in store_module.PARTITIONS for vs in state[t].values()) <= store_module.MOST_VERSIONS
-    assert read_store(spark, path).count() == 100 == read_store(spark, path).select("identifier").distinct().count()
+    assert read_store(spark, path).count() == 28 == read_store(spark, path).select("identifier").distinct().count()
     fs, Path = store_module._fs(spark, path)
     files, kept = fs.listFiles(Path(f"{path}/data"), True), 0
     while files.hasNext():
