@@ -24,7 +24,9 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -350,6 +352,14 @@ def _held(spark: SparkSession, path: str, state: dict, keys: DataFrame) -> DataF
     return cut_lineage(keys.join(known, KEY, "left").withColumnRenamed("day", "old_day"))
 
 
+def _write_indexes(path: str, version: str, keys: DataFrame, contents: DataFrame) -> dict:
+    """New entries of both indexes, written side by side."""
+    with ThreadPoolExecutor(2) as pool:
+        tables = {"keys": keys, "contents": contents}
+        jobs = {t: pool.submit(inheritable_thread_target(keys.sparkSession)(_write), df, path, t, version) for t, df in tables.items()}
+        return {t: ((), job.result()) for t, job in jobs.items()}
+
+
 def _apply(spark: SparkSession, path: str, state: dict, version: str, held: DataFrame, changed: Callable[[DataFrame], DataFrame]) -> dict:
     """Write the days of ``held`` keys with ``changed(their rows)``, and the index entries
     of these keys and of their content ids, before and after."""
@@ -361,10 +371,9 @@ def _apply(spark: SparkSession, path: str, state: dict, version: str, held: Data
 
     entry = lambda rows: rows.select("identifier", "day", "source", bucket_of().alias("bucket"))
     if not days:  # new keys only: what was written is the batch
-        return {"data": ((), data), "keys": ((), _write(entry(after), path, "keys", version)),
-                "contents": ((), _write(_contents(after, F.lit(False)), path, "contents", version))}
+        return {"data": ((), data), **_write_indexes(path, version, entry(after), _contents(after, F.lit(False)))}
     now = held.join(after.select(*KEY, "day"), KEY, "left")
-    keys = _write(entry(now.filter(~F.col("day").eqNullSafe(F.col("old_day")))), path, "keys", version)
+    keys = entry(now.filter(~F.col("day").eqNullSafe(F.col("old_day"))))
 
     # content ids of these keys as they were and as they are, with all rows of their days
     mine = held.select(*KEY, F.lit(True).alias("touched"))
@@ -372,8 +381,7 @@ def _apply(spark: SparkSession, path: str, state: dict, version: str, held: Data
     rows = after.join(mine, KEY, "left").select(*shown)
     left = before.join(mine, KEY).withColumn("creation_date", F.lit(None).cast("bigint")).select(*shown)
     read = F.concat_ws("\n", "source", "day").isin([f"{r['source']}\n{r['old_day']}" for r in spots])
-    contents = _write(_contents(rows.unionByName(left), read), path, "contents", version)
-    return {"data": (days, data), "keys": ((), keys), "contents": ((), contents)}
+    return {"data": (days, data), **_write_indexes(path, version, keys, _contents(rows.unionByName(left), read))}
 
 
 def merge_rows(newest: DataFrame, path: str) -> None:

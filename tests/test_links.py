@@ -47,3 +47,15 @@ def test_listing_to_file_in_name_order(spark):
     write_listing(docs.repartition(3), path)
     doc = "".join(open(f).read() for f in sorted(glob.glob(os.path.join(path, "part-*"))))
     assert doc == "".join(f"##  {n}\n+ [ {c} ]( x )\n+ [ two ]( y )\n\n" for c, n in sorted((c, n) for n, c in enumerate("dbeac")))
+
+
+def test_markdown_directory_by_name(spark):
+    """Whole files with their place in name order; names as they are, other files left out."""
+    from satledger.session import scratch_path
+    from satledger.sources.markdown import ranked_markdown_dir, write_markdown_dir
+
+    path = scratch_path(spark, "md")
+    rows = [("b+c 1%.md", "one\ntwo"), ("a.md", ""), ("b.md", "[t](l)"), ("c.txt", "no")]
+    write_markdown_dir(spark.createDataFrame(rows, "file_name string, text string"), path)
+    found = ranked_markdown_dir(spark, path).orderBy("rank").collect()
+    assert [(r["file_name"], r["text"], r["rank"]) for r in found] == [("a.md", "\n", 1), ("b+c 1%.md", "one\ntwo\n", 2), ("b.md", "[t](l)\n", 3)]
