@@ -9,10 +9,10 @@ from satledger.plans import catalog
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas", "Window ", "WindowGroupLimit"]
-# collect_list only groups one landing page (at most 100 invoices).
+# collect_list only groups one landing page (at most 100 invoices), or the pages of one file.
 # Windows over bounded partitions: the seconds of three buckets.
 BOUNDED_WINDOW = {"similar_payments"}
-BOUNDED_COLLECT = {"decode_payload", "decode_quarantine", "stream_ingest"}
+BOUNDED_COLLECT = {"decode_payload", "decode_quarantine", "stream_ingest", "markdown_directory"}
 
 
 def plan_text(df):
