@@ -176,7 +176,7 @@ def test_versions_stay_bounded(spark, monkeypatch):
         kept += files.next().getPath().getName().endswith(".parquet")
     assert kept <= 2 * (store_module.MOST_VERSIONS + 2 * store_module.KEPT)
     merge_into_store(frame(spark, [("a", "7", 12 * DAY, "moved", None, 99)]), path, "seq")
-    assert read_store(spark, path, since=12 * DAY - 1).select("identifier").collect() == [("7",)]
+    assert read_store(spark, path, since=12 * DAY).select("identifier").collect() == [("7",)]
     assert len(read_store(spark, path, until=10 * DAY + 5).inputFiles()) < len(read_store(spark, path).inputFiles())
 
 
