@@ -14,10 +14,12 @@
    Ds.  Either both are linked with the hub, or their Ds overlap, and by prefix
    filtering they share one of the first elements of both Ds.  Members that share
    such an element make the next groups, unless they were hubs, which have met
-   all; groups of one component need no more.  Groups of bounded size compare the
-   pairs that sizes and positions in both Ds leave possible; larger ones start the
-   next round.  Each group loses its hubs in each round, so the rounds end, and no
-   link between two components is lost.
+   all; groups of one component need no more.  Where all members of a hub fit one
+   task, it counts what the first elements of their Ds share, and only pairs that
+   share as many as similar sets must are compared.  Of a larger hub, the groups of
+   bounded size compare the pairs that sizes and positions in both Ds leave
+   possible, and larger groups start the next round.  Each group loses its hubs in
+   each round, so the rounds end, and no link between two components is lost.
 """
 from __future__ import annotations
 
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from satledger.llm.common import arrow_text, keyed, numbered, place, release, small_batches, spread, store, text_bytes
+from satledger.llm.common import arrow_text, discard, keyed, numbered, place, release, small_batches, spread, store, text_bytes
 from satledger.llm.components import components
 from satledger.llm.words import SPACED, hashed_words, mix, shingles
 
@@ -47,8 +49,9 @@ BROADCAST_NODES = 500_000
 SLOTS = (1, 4, 16)
 #: Groups up to this size compare the pairs that positions and sizes allow; larger ones go on by hubs.
 SMALL_GROUP = 1024
-#: Members of a hub up to this number are compared with one another at once.
-TINY_GROUP = 8
+#: Members, and elements of their differences, up to which one task pairs up a hub's members.
+LOCAL_MEMBERS = 1024
+LOCAL_ELEMENTS = 1 << 21
 #: Members of a hub from which on an element of their differences is frequent.
 FREQUENT = 12
 #: Rows of a batch that are compared at once.
@@ -269,20 +272,25 @@ def _texts(words: int):
     return run
 
 
-_COMPARED = "node binary, hub binary, linked boolean, size int, most int, elements array<bigint>"
+_COMPARED = "node binary, hub binary, linked boolean, size int, most int, elements array<int>"
 _COMPARED_ARROW = pa.schema([("node", pa.binary()), ("hub", pa.binary()), ("linked", pa.bool_()), ("size", pa.int32()), ("most", pa.int32()),
-                             ("elements", pa.list_(pa.int64()))])
+                             ("elements", pa.list_(pa.int32()))])
 
 
 def difference_prefix(x: np.ndarray, hub: np.ndarray, scheme: Scheme) -> tuple[bool, int, int, np.ndarray]:
     """Whether ``x`` is linked with ``hub``, the size of their difference, the most in
-    which ``x`` differs from a similar set, and the first elements of the difference,
-    those of ``x`` first: three times as many as can matter, so that frequent ones can
-    be moved behind."""
+    which ``x`` differs from a similar set, and the names (32 bits, each once) of the first
+    elements of the difference, those of ``x`` first: twice as many as can matter, so that
+    frequent ones can be moved behind.  Elements that share a name only add candidates."""
     added, gone = np.setdiff1d(x, hub, assume_unique=True), np.setdiff1d(hub, x, assume_unique=True)
     most = scheme.most(len(x))
-    first = np.concatenate((added, gone))[:3 * (most + 1)]
-    return bool(scheme.linked(len(x) - len(added), len(x), len(hub))), len(added) + len(gone), most, first
+    names = (mix(np.concatenate((added, gone))) >> np.uint64(32)).astype(np.uint32)
+    at = np.sort(np.unique(names, return_index=True)[1])[:kept_names(most)]
+    return bool(scheme.linked(len(x) - len(added), len(x), len(hub))), len(added) + len(gone), most, names[at].view(np.int32)
+
+
+def kept_names(most):
+    return 2 * (most + 1)
 
 
 def _compare(scheme: Scheme):
@@ -300,7 +308,7 @@ def _compare(scheme: Scheme):
                         one = raw[at[i]:at[i + 1]]
                         last = hub, next(s[0] for _, s in shingle_sets(one, np.array([0, len(one)]), scheme.words))
                     linked, size, most, first = difference_prefix(x, last[1], scheme)
-                    found.append((linked, size, most, (first if derive[i] else first[:0]).view(np.int64)))
+                    found.append((linked, size, most, first if derive[i] else first[:0]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(nodes, pa.binary()), pa.array(hubs, pa.binary()),
                     *(pa.array([f[c] for f in found], _COMPARED_ARROW.types[c + 2]) for c in range(4))], schema=_COMPARED_ARROW)
@@ -328,7 +336,9 @@ def _pairs(members: DataFrame, of: DataFrame | None, slots: int) -> DataFrame:
     follow = rest.join(first, "key").select("node", "hub", F.lit(True).alias("derive"))
     meet = placed.join(hubs.select("key", "best"), "key").where("node != best.node and component != best.component")
     meet = meet.select("node", F.col("best")["node"].alias("hub"), F.lit(False).alias("derive"))
-    return store(follow.unionByName(meet).groupBy("node", "hub").agg(F.max("derive").alias("derive")), "join-pairs")
+    pairs = store(follow.unionByName(meet).groupBy("node", "hub").agg(F.max("derive").alias("derive")), "join-pairs")
+    discard(placed, hubs)
+    return pairs
 
 
 def _compared(pairs: DataFrame, bodies: DataFrame, scheme: Scheme) -> DataFrame:
@@ -343,15 +353,67 @@ def _compared(pairs: DataFrame, bodies: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def _open(compared: DataFrame) -> DataFrame:
-    """The comparisons that next groups derive from, with their hub's ``members``: a hub
-    of one member, or with all members linked, leaves nothing to find."""
+    """The comparisons that next groups derive from, and whether their hub's members are
+    paired up in one task (``local``): a hub of one member, or with all members linked,
+    leaves nothing to find."""
     derived = compared.where(F.size("elements") > 0)
-    open_ = derived.groupBy("hub").agg(F.count("*").alias("members"), F.min("linked").alias("settled")).where("members > 1 and not settled")
-    return store(derived.join(open_.select("hub", "members"), "hub"), "join-derived")
-
-
-def _placed(rows: DataFrame, of: DataFrame) -> DataFrame:
-    return rows.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    hubs = derived.groupBy("hub").agg(F.count("*").alias("members"), F.sum(F.size("elements")).alias("held"), F.min("linked").alias("settled"))
+    local = (F.col("members") <= LOCAL_MEMBERS) & (F.col("held") <= LOCAL_ELEMENTS)
+    return derived.join(hubs.where("members > 1 and not settled").select("hub", "members", local.alias("local")), "hub")
+
+
+def _placed(rows: DataFrame, of: DataFrame, few: bool) -> DataFrame:
+    return rows.join(F.broadcast(of) if few else of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def near_members(size: np.ndarray, most: np.ndarray, linked: np.ndarray, component: np.ndarray,
+                 names: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of a hub the later members that may be similar to it.
+
+    Member ``i`` keeps ``names[at[i]:at[i + 1]]`` of its difference.  Of two similar
+    members one's kept names end first in the common order, and all of these but the
+    elements that the other's difference lacks are among the other's.  Members of one
+    component, and two that are linked with the hub, need no comparison."""
+    count = len(size)
+    kept = np.diff(at)
+    row = np.repeat(np.arange(count), kept)
+    order = np.argsort(names, kind="stable")
+    sorted_names, sorted_row = names[order], row[order]
+    ends = np.searchsorted(sorted_names, sorted_names, side="right")
+    after, later = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+    after[order] = np.arange(1, len(names) + 1)
+    later[order] = ends - np.arange(1, len(names) + 1)
+    for x in range(count - 1):
+        run, start = later[at[x]:at[x + 1]], after[at[x]:at[x + 1]]
+        total = int(run.sum())
+        if not total:
+            continue
+        ahead = np.arange(total) + np.repeat(start - (np.cumsum(run) - run), run)
+        shared = np.bincount(sorted_row[ahead], minlength=count)
+        y = np.flatnonzero(shared)
+        differ = np.minimum(most[x], most[y])
+        gap = size[x] - size[y]
+        least = np.minimum(kept[x] - (differ + gap) // 2, kept[y] - (differ - gap) // 2)
+        near = (np.abs(gap) <= differ) & (shared[y] >= least) & (component[y] != component[x]) & ~(linked[y] & linked[x])
+        if near.any():
+            yield x, y[near]
+
+
+def _near(hub: pa.Table) -> pa.Table:
+    """The pairs ``node, hub`` of the members of one hub that are left to compare."""
+    whole = hub.combine_chunks()
+    columns = {c: whole.column(c).combine_chunks() for c in ("node", "size", "most", "linked", "component", "elements")}
+    lists = columns["elements"]
+    at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    size, most = (columns[c].to_numpy().astype(np.int64) for c in ("size", "most"))
+    component = columns["component"].dictionary_encode().indices.to_numpy()
+    nodes, left, right = columns["node"].to_pylist(), [], []
+    found = near_members(size, most, columns["linked"].to_numpy(zero_copy_only=False), component, lists.flatten().to_numpy(), at)
+    for x, ys in found:
+        for y in ys.tolist():
+            left.append(min(nodes[x], nodes[y]))
+            right.append(max(nodes[x], nodes[y]))
+    return pa.table({"node": pa.array(left, pa.binary()), "hub": pa.array(right, pa.binary())})
 
 
 def _sides(rows: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
@@ -371,15 +433,15 @@ def _rare_first(derived: DataFrame) -> DataFrame:
     least = F.min("most").over(Window.partitionBy("hub"))
     frequent = counts.withColumns({"place": place, "least": least}).where("place <= least")
     frequent = store(frequent.groupBy("hub").agg(F.collect_list("element").alias("frequent")), "join-frequent")
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast("array<int>")
     listed = derived.join(frequent, "hub", "left").withColumn("frequent", F.coalesce("frequent", none))
-    behind = F.when(F.size("elements") == F.col("size"), F.array_intersect("elements", "frequent")).otherwise(none)
+    behind = F.when(F.size("elements") < kept_names(F.col("most")), F.array_intersect("elements", "frequent")).otherwise(none)
     ordered = F.concat(F.array_except("elements", "frequent"), behind)
     return listed.withColumn("elements", F.slice(ordered, F.lit(1), F.col("most") + 1)).drop("frequent")
 
 
 def _linked(compared: DataFrame) -> DataFrame:
-    return compared.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return store(compared.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")), "join-linked")
 
 
 def links(docs: DataFrame, scheme: Scheme, text_col: str = "text") -> DataFrame:
@@ -387,58 +449,62 @@ def links(docs: DataFrame, scheme: Scheme, text_col: str = "text") -> DataFrame:
     texts = numbered(docs).select(place(docs, text_col).alias("text"))
     parts = spread(docs, text_bytes(texts), PART_BYTES)
     signed = texts.mapInArrow(_sign(scheme, parts), _PACKED)
-    members = store(signed.repartitionById(parts, "part").mapInArrow(_meet, "key bigint, node binary").distinct(), "join-shared")
+    grouped = store(signed.repartitionById(parts, "part").mapInArrow(_meet, "key bigint, node binary").distinct(), "join-shared")
     del signed
     release(docs.sparkSession)
     # a 40-bit signature of one node in several chunks is no group
-    groups = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("key")
-    members = members.join(groups, "key")
+    groups = grouped.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("key")
+    members = grouped.join(groups, "key")
 
     wanted = store(members.select("node").distinct(), "join-wanted")
     known = texts.mapInArrow(_texts(scheme.words), "node binary, text string")
     few = wanted.count() <= BROADCAST_NODES
     bodies = store(known.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"]), "join-texts")
+    discard(wanted)
 
     found = of = None
     for turn in itertools.count():
         release(docs.sparkSession)
         pairs = _pairs(members, of, SLOTS[min(turn, len(SLOTS) - 1)])
+        discard(grouped)
         if pairs.isEmpty():
             break
         compared = _compared(pairs, bodies, scheme)
+        discard(pairs)
         release(docs.sparkSession)
         found = _linked(compared) if found is None else found.union(_linked(compared))
         derived = _open(compared)
         if derived.isEmpty():
             break
-        release(docs.sparkSession)
         of = components(found)
-        # pairs of one component need no comparison, nor do two members that are linked with the hub
-        apart = ((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & ~(F.col("linked_x") & F.col("linked_y"))
-                 & (F.abs(F.col("size_x") - F.col("size_y")) <= F.least("most_x", "most_y")))
-        columns = ("node", "linked", "size", "most", "component")
-        left, right = _sides(_placed(derived.where(F.col("members") <= TINY_GROUP).withColumnRenamed("hub", "key"), of), columns)
-        tiny = left.join(right, (left["key"] == right["key"]) & apart).select(F.col("node_x").alias("node"), F.col("node_y").alias("hub"))
-
-        shared = _rare_first(derived.where(F.col("members") > TINY_GROUP)).select(
-            "node", "hub", "linked", "size", "most", F.posexplode("elements").alias("pos", "element"))
+        few = of.count() <= BROADCAST_NODES
+        release(docs.sparkSession)
+        local = _placed(derived.where("local"), of, few).select("hub", "node", "linked", "size", "most", "component", "elements")
+        local = store(local.groupBy("hub").applyInArrow(_near, "node binary, hub binary").distinct(), "join-local")
+        release(docs.sparkSession)
+
+        shared = _rare_first(derived.where("not local")).select("node", "hub", "linked", "size", "most", F.posexplode("elements").alias("pos", "element"))
         shared = shared.select(F.xxhash64("hub", "element").alias("key"), "node", "linked", "size", "most", "pos")
         worth = shared.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("pos") * 2 - F.col("most")).alias("lead"),
                                           F.min("linked").alias("linked")).where("n > 1 and lead <= 0 and not linked").select("key")
-        shared = store(shared.join(worth, "key"), "join-next")
+        grouped = store(shared.join(worth, "key"), "join-next")
+        discard(compared)
         release(docs.sparkSession)
-        placed = _placed(shared, of)
+        placed = _placed(grouped, of, few)
         mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
         mixed = store(mixed.select("key", "n"), "join-mixed")
-        few = placed.join(mixed.where(F.col("n") <= SMALL_GROUP).select("key"), "key")
-        left, right = _sides(few, (*columns, "pos"))
+        # pairs of one component need no comparison, nor do two members that are linked with the hub
         most = F.least("most_x", "most_y")
-        near = (apart & (2 * F.col("pos_x") <= F.col("size_x") - F.col("size_y") + most)
+        near = ((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & ~(F.col("linked_x") & F.col("linked_y"))
+                & (F.abs(F.col("size_x") - F.col("size_y")) <= most) & (2 * F.col("pos_x") <= F.col("size_x") - F.col("size_y") + most)
                 & (2 * F.col("pos_y") <= F.col("size_y") - F.col("size_x") + most))
+        bounded = placed.join(mixed.where(F.col("n") <= SMALL_GROUP).select("key"), "key")
+        left, right = _sides(bounded, ("node", "linked", "size", "most", "component", "pos"))
         close = left.join(right, (left["key"] == right["key"]) & near).select(F.col("node_x").alias("node"), F.col("node_y").alias("hub"))
-        close = close.union(tiny).distinct()
-        found = found.union(_linked(_compared(close.withColumn("derive", F.lit(False)), bodies, scheme)))
-        members = store(shared.join(mixed.where(F.col("n") > SMALL_GROUP).select("key"), "key").select("key", "node"), "join-members")
+        close = _compared(close.union(local).distinct().withColumn("derive", F.lit(False)), bodies, scheme)
+        found = found.union(_linked(close))
+        discard(local, close)
+        members = grouped.join(mixed.where(F.col("n") > SMALL_GROUP).select("key"), "key").select("key", "node")
         if members.isEmpty():
             break
     empty = docs.sparkSession.createDataFrame([], "a binary, b binary")

@@ -86,6 +86,42 @@ def test_groups_equal_all_pairs(spark, seed, k, percent):
     assert found_groups(df, k, percent) == want
 
 
+@pytest.mark.parametrize("members,elements", [(6, 1 << 21), (1024, 150)])
+def test_hubs_too_large_for_a_task_equal_all_pairs(spark, monkeypatch, members, elements):
+    monkeypatch.setattr(ngram_join, "LOCAL_MEMBERS", members)
+    monkeypatch.setattr(ngram_join, "LOCAL_ELEMENTS", elements)
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", 12)
+    rows = family_rows(5)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    assert found_groups(df, 5, 80) == all_pairs(rows, 5, 80)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_members_of_a_hub_meet_all_similar_ones(percent):
+    """Whatever the hub: similar members are candidates, save two that are linked with it."""
+    scheme, rng = Scheme(5, percent), np.random.default_rng(percent)
+    for size in (3, 20, 150):
+        base = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        sets = []
+        for _ in range(40):
+            kept = base[rng.random(len(base)) < rng.uniform(0.3, 1)]
+            new = rng.integers(0, 1 << 63, rng.integers(0, 1 + size // 4)).astype(np.uint64)
+            sets.append(np.unique(np.concatenate((kept, new, base[:1]))))
+            sets.append(np.unique(np.concatenate((sets[-1][1:], rng.integers(0, 1 << 63, 1 + size // 30).astype(np.uint64)))))
+        hub, sets = sets[0], sets[1:]
+        rows = [ngram_join.difference_prefix(x, hub, scheme) for x in sets]
+        linked, sizes, most = (np.array([r[i] for r in rows]) for i in range(3))
+        at = np.concatenate(([0], np.cumsum([len(r[3]) for r in rows])))
+        names = np.concatenate([r[3] for r in rows])
+        near = {(x, int(y)) for x, ys in ngram_join.near_members(sizes, most, linked, np.arange(len(sets)), names, at) for y in ys}
+        similar = {(i, j) for j in range(len(sets)) for i in range(j) if not (linked[i] and linked[j])
+                   and scheme.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+        assert similar <= near
+        assert len(near) < len(sets) * (len(sets) - 1) // 2
+        whole = np.zeros(len(sets), int)
+        assert not list(ngram_join.near_members(sizes, most, linked, whole, names, at))
+
+
 def test_awkward_rows(awkward, no_rows):  # noqa: F811
     rows = [(d, t) for d, t, _ in ROWS]
     assert found_groups(awkward, 3, 90) == all_pairs(rows, 3, 90)
