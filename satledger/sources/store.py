@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +62,8 @@ KEPT = 3
 MOST_VERSIONS = 8
 #: Attempts of a commit that other writers get ahead of.
 ATTEMPTS = 20
+#: Bytes of a day's files that one task writes again after a deletion.
+SLICE_BYTES = 16 << 20
 
 
 class Conflict(RuntimeError):
@@ -83,6 +85,18 @@ def bucket_of(c="identifier") -> Column:
     return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
 
 
+def packed(c="content_id") -> Column:
+    """A content id as bytes: a SHA-256 in hex takes half the room, other texts are kept
+    behind the length of one.  Equal only for equal ids."""
+    col = F.col(c)
+    return F.when(col.rlike(r"^[0-9a-f]{64}\z"), F.unhex(col)).otherwise(F.concat(col.cast("binary"), F.lit(bytearray(33))))
+
+
+def unpacked(c="content_id") -> Column:
+    col = F.col(c)
+    return F.when(F.length(col) == 32, F.lower(F.hex(col))).otherwise(col.substr(F.lit(1), F.length(col) - 33).cast("string"))
+
+
 def prune_days(df: DataFrame, since: int | None = None, until: int | None = None) -> DataFrame:
     """Add partition predicates implied by ``since < creation_date`` and
     ``creation_date <= until`` when ``df`` carries the store's ``day``: rows that
@@ -149,13 +163,23 @@ def _new_version(state: dict) -> str:
     return f"{state['version'] + 1:08d}-{uuid.uuid4().hex[:12]}"
 
 
-def _write(df: DataFrame, path: str, table: str, version: str) -> dict[str, int]:
-    """Write one version of a table; its partitions with their bytes."""
+def _write(df: DataFrame, path: str, table: str, version: str, dealt: bool = False) -> dict[str, int]:
+    """Write one version of a table; its partitions with their bytes.  Content ids may come
+    packed.  ``dealt``: the rows already lie by partition."""
     spark = df.sparkSession
     target = f"{path}/{table}/v={version}"
-    # ``rebalance`` lets AQE split a hot partition over several tasks
-    (df.select(*SCHEMAS[table].fieldNames()).hint("rebalance", *PARTITIONS[table]).sortWithinPartitions(ORDER[table])
-     .write.option("partitionOverwriteMode", "static").partitionBy(*PARTITIONS[table]).parquet(target))
+    rows = df.select(*SCHEMAS[table].fieldNames())
+    ids = "content_id" in rows.columns
+    if ids and dict(rows.dtypes)["content_id"] == "string" and not dealt:
+        rows = rows.withColumn("content_id", packed())
+    if not dealt:
+        # ``rebalance`` lets AQE split a hot partition over several tasks
+        rows = rows.hint("rebalance", *PARTITIONS[table])
+    if ids and dict(rows.dtypes)["content_id"] == "binary":
+        rows = rows.withColumn("content_id", unpacked())
+    # zstd: hex digits take half a byte
+    (rows.sortWithinPartitions(ORDER[table]).write.option("compression", "zstd").option("partitionOverwriteMode", "static")
+     .partitionBy(*PARTITIONS[table]).parquet(target))
     fs, Path = _fs(spark, path)
     out: dict[str, int] = {}
     files = fs.listFiles(Path(target), True)
@@ -177,9 +201,10 @@ CONTENT = ["content_id", "source", "day"]
 
 
 def _content_days(entries: DataFrame) -> DataFrame:
-    """One entry per content id, source and day: its newest whole one and what was added since."""
-    last = entries.groupBy(*CONTENT).agg(F.max(F.when(F.col("whole"), F.col("turn"))).alias("since"))
-    live = entries.join(last, CONTENT).filter(F.col("since").isNull() | (F.col("turn") >= F.col("since")))
+    """One entry per content id, source and day: its newest whole one and what was added since.
+    A version has one entry of each, so these groups have a row per version at most."""
+    since = F.max(F.when(F.col("whole"), F.col("turn"))).over(Window.partitionBy(*CONTENT))
+    live = entries.withColumn("since", since).filter(F.col("since").isNull() | (F.col("turn") >= F.col("since")))
     return live.groupBy(*CONTENT).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("since").isNotNull().alias("whole"))
 
 
@@ -241,14 +266,15 @@ def _drop(spark: SparkSession, path: str, version: str) -> None:
             fs.delete(Path(f"{path}/{table}/v={name}"), True)
 
 
-def _committed(spark: SparkSession, path: str, change: Callable[[dict, str], dict]) -> None:
-    """Commit what ``change(manifest, version)`` writes; again, from the manifest of
-    then, where another writer was faster."""
+def _committed(spark: SparkSession, path: str, change: Callable[[dict, str], dict | None]) -> None:
+    """Commit what ``change(manifest, version)`` writes, if anything; again, from the
+    manifest of then, where another writer was faster."""
     for attempt in range(ATTEMPTS):
         state = manifest(spark, path)
         version = _new_version(state)
         try:
-            return _commit(spark, path, state, version, change(state, version))
+            changes = change(state, version)
+            return None if changes is None else _commit(spark, path, state, version, changes)
         except Exception:
             # also a file that is gone because the other writer's commit let it go
             if attempt == ATTEMPTS - 1 or manifest(spark, path)["version"] == state["version"]:
@@ -316,14 +342,20 @@ def retracted(spark: SparkSession, path: str, state: dict | None = None) -> Data
     return _read(spark, path, "gone", state or manifest(spark, path)).select(*KEY).distinct()
 
 
-def _contents(rows: DataFrame, whole: Column) -> DataFrame:
-    """Entries by content id, source and day of ``rows``; with a column ``touched`` only
-    those that it marks, also where no row is left."""
+def _ids(rows: DataFrame) -> DataFrame:
+    """Content id (packed), source and day of rows that have one."""
+    return rows.filter(F.col("content_id").isNotNull()).withColumn("content_id", packed()).select(*CONTENT)
+
+
+def _contents(rows: DataFrame, whole: Column, touched: DataFrame | None = None) -> DataFrame:
+    """Entries by content id (packed), source and day of ``rows``; with ``touched`` (as by
+    :func:`_ids`) only those that it names, also where no row is left."""
     timed = F.when(F.col("day") != NO_DAY, F.col("creation_date"))  # other times lie in no window
-    touched = [F.max("touched").alias("touched")] if "touched" in rows.columns else []
-    out = (rows.filter(F.col("content_id").isNotNull()).groupBy(*CONTENT)
-           .agg(F.min(timed).alias("first"), F.max(timed).alias("last"), *touched))
-    return (out.filter("touched") if touched else out).withColumn("whole", whole).withColumn("bucket", bucket_of("content_id"))
+    out = (rows.filter(F.col("content_id").isNotNull()).withColumn("content_id", packed()).groupBy(*CONTENT)
+           .agg(F.min(timed).alias("first"), F.max(timed).alias("last")))
+    if touched is not None:
+        out = touched.distinct().join(out, CONTENT, "left")
+    return out.withColumn("whole", whole).withColumn("bucket", bucket_of(unpacked()))
 
 
 def write_store(df: DataFrame, path: str) -> None:
@@ -343,9 +375,9 @@ def write_store(df: DataFrame, path: str) -> None:
 
 
 def _held(spark: SparkSession, path: str, state: dict, keys: DataFrame) -> DataFrame:
-    """``keys`` (source, identifier) with the day that holds their row, null without one."""
+    """``keys`` (source, identifier and more) with the day that holds their row, null without one."""
     if not state["keys"]:
-        return keys.withColumn("old_day", F.lit(None).cast("string"))
+        return cut_lineage(keys.withColumn("old_day", F.lit(None).cast("string")))
     spots = keys.select("source", bucket_of().alias("bucket")).distinct().collect()  # at most sources x buckets
     index = _read(spark, path, "keys", state, [_partition("keys", r["source"], r["bucket"]) for r in spots], turn=True)
     known = _last_day(index.join(keys, KEY, "left_semi"))
@@ -360,13 +392,30 @@ def _write_indexes(path: str, version: str, keys: DataFrame, contents: DataFrame
         return {t: ((), job.result()) for t, job in jobs.items()}
 
 
-def _apply(spark: SparkSession, path: str, state: dict, version: str, held: DataFrame, changed: Callable[[DataFrame], DataFrame]) -> dict:
-    """Write the days of ``held`` keys with ``changed(their rows)``, and the index entries
-    of these keys and of their content ids, before and after."""
-    spots = held.filter("old_day IS NOT NULL").select("source", "old_day").distinct().collect()  # at most sources x days
-    days = [_partition("data", r["source"], r["old_day"]) for r in spots]
+def _digest() -> Column:
+    """Tells whether two rows are equal in every field."""
+    values = [F.unix_micros(n) if n == "created_at" else F.col(n) for n in INVOICES.fieldNames()]
+    text = F.to_json(F.struct(*[v.alias(n) for v, n in zip(values, INVOICES.fieldNames())]), {"ignoreNullFields": "false"})
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def _spots(held: DataFrame) -> list:
+    """The days that hold rows of ``held`` keys."""
+    return held.filter("old_day IS NOT NULL").select("source", "old_day").distinct().collect()  # at most sources x days
+
+
+def _days_of(spots: list) -> list[str]:
+    return [_partition("data", r["source"], r["old_day"]) for r in spots]
+
+
+def _apply(spark: SparkSession, path: str, state: dict, version: str, held: DataFrame, changed: Callable[[DataFrame | None], DataFrame],
+           dealt: bool = False) -> dict:
+    """Write the days of ``held`` keys with ``changed(their rows)`` (None without any), and the
+    index entries of these keys and of their content ids, before and after."""
+    spots = _spots(held)
+    days = _days_of(spots)
     before = _read(spark, path, "data", state, days)
-    data = _write(changed(before.select(*INVOICES.fieldNames())).withColumn("day", day_of()), path, "data", version)
+    data = _write(changed(before if days else None), path, "data", version, dealt)
     after = _rows(spark, path, "data", [f"{path}/data/v={version}"] if data else [])
 
     entry = lambda rows: rows.select("identifier", "day", "source", bucket_of().alias("bucket"))
@@ -376,48 +425,92 @@ def _apply(spark: SparkSession, path: str, state: dict, version: str, held: Data
     keys = entry(now.filter(~F.col("day").eqNullSafe(F.col("old_day"))))
 
     # content ids of these keys as they were and as they are, with all rows of their days
-    mine = held.select(*KEY, F.lit(True).alias("touched"))
-    shown = [*CONTENT, "creation_date", F.coalesce("touched", F.lit(False)).alias("touched")]
-    rows = after.join(mine, KEY, "left").select(*shown)
-    left = before.join(mine, KEY).withColumn("creation_date", F.lit(None).cast("bigint")).select(*shown)
+    mine = held.select(*KEY)
+    touched = _ids(before.join(mine, KEY, "left_semi")).unionByName(_ids(after.join(mine, KEY, "left_semi")))
     read = F.concat_ws("\n", "source", "day").isin([f"{r['source']}\n{r['old_day']}" for r in spots])
-    return {"data": (days, data), **_write_indexes(path, version, keys, _contents(rows.unionByName(left), read))}
+    return {"data": (days, data), **_write_indexes(path, version, keys, _contents(after, read, touched))}
+
+
+def _to_merge(spark: SparkSession, path: str, state: dict, rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """What of ``rows`` changes the store, and the days that hold these keys; None if
+    nothing does.  A row that is stored as it is, is left out, and so are retracted keys:
+    what is loaded again costs a look at its keys, not a new copy of its days."""
+    if not state["keys"] and not state["gone"]:
+        return rows, rows.select(*KEY, F.lit(None).cast("string").alias("old_day"))
+    keys = rows.select(*KEY, _digest().alias("digest")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("digest"))
+    held = _held(spark, path, state, keys)
+    left = held
+    if state["gone"]:
+        left = left.join(retracted(spark, path, state), KEY, "left_anti")
+    days = _days_of(_spots(held))
+    if days:
+        stored = _read(spark, path, "data", state, days).select(*KEY, _digest().alias("was"))
+        same = held.filter("n = 1 AND old_day IS NOT NULL").join(stored, KEY).groupBy(*KEY).agg(F.min(F.col("was") == F.col("digest")).alias("same"))
+        left = left.join(same.filter("same"), KEY, "left_anti")
+    if left is held:  # new keys only
+        return rows, held
+    left = cut_lineage(left)
+    total, some = held.count(), left.count()
+    if not some:
+        return None
+    if some < total:
+        mine = left.select(*[F.col(c).alias(f"_left_{c}") for c in KEY])
+        rows = rows.join(mine, rows["source"].eqNullSafe(F.col("_left_source")) & rows["identifier"].eqNullSafe(F.col("_left_identifier")), "left_semi")
+    return rows, left
 
 
 def merge_rows(newest: DataFrame, path: str) -> None:
     """Attribute-level merge of ``newest`` (one row per key) into the store.
 
     The index names the days that hold rows of these keys: only those partitions are
-    read and rewritten.  A row whose event day changes moves; new keys are
-    added to their day as a further version, without reading it.  Retracted keys stay
-    out.  ``newest`` is read several times."""
+    read, and of these only those with a row that changes are rewritten.  A row whose
+    event day changes moves; new keys are added to their day as a further version,
+    without reading it.  Retracted keys stay out.  ``newest`` is read several times."""
     from satledger.operators.merge import coalesced
 
     spark = newest.sparkSession
     cols = INVOICES.fieldNames()
 
     def change(state, version):
-        rows = newest.select(*cols)
-        if state["gone"]:
-            rows = rows.join(retracted(spark, path, state), KEY, "left_anti").select(*cols)
-        held = _held(spark, path, state, rows.select(*KEY))
-        return _apply(spark, path, state, version, held, lambda old: coalesced(old, rows, KEY))
+        found = _to_merge(spark, path, state, newest.select(*cols))
+        if found is None:
+            return None
+        rows, held = found
+        merged = lambda old: rows if old is None else coalesced(old.select(*cols), rows, KEY)
+        return _apply(spark, path, state, version, held, lambda old: merged(old).withColumn("day", day_of()))
 
     _committed(spark, path, change)
 
 
+def _without(rows: DataFrame, dropped: DataFrame, state: dict) -> DataFrame:
+    """``rows`` of whole days without those of the keys ``dropped`` (source, identifier,
+    old_day), dealt by day and, for a large day, by slices of its keys."""
+    sizes = {p: sum(size for _, size in vs) for p, vs in state["data"].items()}
+    spots = _spots(dropped)
+    slices = [(f"{r['source']}\n{r['old_day']}", -(-sizes.get(p, 0) // SLICE_BYTES)) for r, p in zip(spots, _days_of(spots))]
+    large = [F.lit(v) for pair in slices if pair[1] > 1 for v in pair]
+    n = F.coalesce(F.try_element_at(F.create_map(*large), F.concat_ws("\n", "source", "day")), F.lit(1)) if large else F.lit(1)
+    marks = dropped.select(*KEY, F.col("old_day").alias("day"), F.lit(True).alias("_drop"))
+    both = rows.withColumn("content_id", packed()).withColumn("_drop", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    both = both.withColumn("_slice", F.pmod(F.xxhash64("identifier"), n)).repartition("source", "day", "_slice")
+    hit = F.max("_drop").over(Window.partitionBy("source", "day", "_slice", "identifier"))
+    return both.withColumn("_hit", hit).filter("NOT _hit").select(*rows.columns)
+
+
 def delete_rows(keys: DataFrame, path: str) -> None:
     """Retract the rows of ``keys`` (source, identifier), now and whenever they are
     loaded again; only the partitions that hold them are rewritten."""
     spark = keys.sparkSession
     keys = cut_lineage(keys.select(*KEY).distinct())
+    fresh = lambda state: keys.join(retracted(spark, path, state), KEY, "left_anti") if state["gone"] else keys
 
     def change(state, version):
         held = _held(spark, path, state, keys)
         held = held.filter("old_day IS NOT NULL")
-        out = _apply(spark, path, state, version, held, lambda old: old.join(keys, KEY, "left_anti").select(*old.columns))
-        fresh = keys.join(retracted(spark, path, state), KEY, "left_anti")
-        return {**out, "gone": ((), _write(fresh, path, "gone", version))}
+        if not _spots(held):
+            return {"gone": ((), _write(fresh(state), path, "gone", version))}
+        out = _apply(spark, path, state, version, held, lambda old: _without(old, held, state), dealt=True)
+        return {**out, "gone": ((), _write(fresh(state), path, "gone", version))}
 
     _committed(spark, path, change)
 
@@ -425,21 +518,33 @@ def delete_rows(keys: DataFrame, path: str) -> None:
 # --- content ids ---------------------------------------------------------------------
 
 def changed_content_ids(spark: SparkSession, path: str, seen: dict | None) -> DataFrame:
-    """Content ids whose entries changed since the manifest ``seen``; all ids without one, or
-    where the store has been replaced since."""
+    """Content ids whose entries changed since the manifest ``seen``, maybe several times; all
+    ids without one, or where the store has been replaced since."""
     state = manifest(spark, path)
     known = seen["contents"] if seen and seen["replaced"] == state["replaced"] else {}
     new = {p: [v for v in vs if v not in known.get(p, [])] for p, vs in state["contents"].items()}
-    return _read(spark, path, "contents", {"contents": new}).select("content_id").distinct()
+    return _read(spark, path, "contents", {"contents": new}).select("content_id")
+
+
+def packed_content_days(spark: SparkSession, path: str, ids: DataFrame | None) -> DataFrame:
+    """:func:`content_days` of packed ``ids``, packed; without ``ids`` of all."""
+    state = manifest(spark, path)
+    only = None
+    if ids is not None:
+        spots = ids.select(bucket_of(unpacked()).alias("bucket")).distinct().collect()  # at most the buckets
+        only = [_partition("contents", r["bucket"]) for r in spots]
+    entries = _read(spark, path, "contents", state, only, turn=True).withColumn("content_id", packed())
+    if ids is not None:
+        entries = entries.join(ids, "content_id", "left_semi")
+    if any(len(vs) > 1 for vs in state["contents"].values()):
+        entries = _content_days(entries)
+    return entries.filter(F.col("first").isNotNull() | (F.col("day") == NO_DAY)).select(*CONTENT, "first", "last")
 
 
 def content_days(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     """``content_id, source, day, first, last`` of the days that hold rows of ``ids``."""
-    state = manifest(spark, path)
-    spots = ids.select(bucket_of("content_id").alias("bucket")).distinct().collect()  # at most the buckets
-    entries = _read(spark, path, "contents", state, [_partition("contents", r["bucket"]) for r in spots], turn=True)
-    found = _content_days(entries.join(ids, "content_id", "left_semi"))
-    return found.filter(F.col("first").isNotNull() | (F.col("day") == NO_DAY)).drop("whole")
+    found = packed_content_days(spark, path, ids.filter(F.col("content_id").isNotNull()).withColumn("content_id", packed()))
+    return found.withColumn("content_id", unpacked())
 
 
 def rows_of_days(spark: SparkSession, path: str, days: Iterable[tuple[str, str]]) -> DataFrame:

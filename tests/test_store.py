@@ -212,3 +212,43 @@ def test_contents_follow_the_rows(spark):
     store_module.delete_rows(spark.createDataFrame([("a", "1"), ("a", "2")], "source string, identifier string"), path)
     left = {r[0] for r in store_module.content_days(spark, path, ids).select("content_id").collect()}
     assert left >= {"x", "y", "z"} and "w" not in left
+
+
+def test_a_replay_writes_nothing(spark):
+    """Rows that are stored as they are commit no version; of a batch only changed rows rewrite their day."""
+    path = scratch_path(spark, "store")
+    rows = [("a", "1", 10 * DAY, "m1", "x", 1), ("a", "2", 11 * DAY, "m2", None, 2), ("a", "3", None, "none", None, 3)]
+    merge_into_store(frame(spark, rows), path, "seq")
+    before = manifest(spark, path)
+    merge_into_store(frame(spark, rows), path, "seq")
+    assert manifest(spark, path) == before
+    merge_into_store(frame(spark, [*rows[:1], ("a", "2", None, "other", None, 9), ("a", "4", 12 * DAY, "new", None, 9)]), path, "seq")
+    after = manifest(spark, path)
+    assert {p for p in after["data"] if after["data"][p] != before["data"].get(p)} == {"source=a/day=1970-01-12", "source=a/day=1970-01-13"}
+    assert [r[:4] for r in rows_of(spark, path)] == [("a", "1", 10 * DAY, "m1"), ("a", "2", 11 * DAY, "other"), ("a", "3", None, "none"), ("a", "4", 12 * DAY, "new")]
+
+
+def test_content_ids_packed_and_back(spark):
+    ids = ["", "x", "ab" * 32, "AB" * 32, "ab" * 32 + "\n", "é" * 16, "g" * 64, "0" * 32, None]
+    df = spark.createDataFrame([(c,) for c in ids], "content_id string").withColumn("packed", store_module.packed())
+    rows = df.withColumn("back", store_module.unpacked("packed")).collect()
+    assert [r["back"] for r in rows] == [r["content_id"] for r in rows]
+    assert len({bytes(r["packed"]) for r in rows if r["packed"] is not None}) == len(ids) - 1
+
+
+def test_a_deletion_moves_rows_once(spark, monkeypatch):
+    """Days are written again slice by slice; rows of a repeated key stay as many as they were."""
+    monkeypatch.setattr(store_module, "SLICE_BYTES", 100)
+    path, write, plans = scratch_path(spark, "store"), store_module._write, []
+    rows = [("a", str(i % 30), 10 * DAY + i % 3 * DAY, "m", None, 1) for i in range(40)]
+    write_store(frame(spark, rows), path)
+
+    def noted(df, path_, table, *more):
+        if table == "data":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, path_, table, *more)
+
+    monkeypatch.setattr(store_module, "_write", noted)
+    store_module.delete_rows(spark.createDataFrame([("a", "3"), ("a", "4"), ("a", "unknown")], "source string, identifier string"), path)
+    assert sorted(r[1] for r in rows_of(spark, path)) == sorted(str(i % 30) for i in range(40) if i % 30 not in (3, 4))
+    assert len(plans) == 1 and plans[0].count("Repartition") == 1 and "Join" not in plans[0]
