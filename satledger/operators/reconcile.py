@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from satledger import constants as K
-from satledger.sources.store import prune_days
+from satledger.sources.store import packed, prune_days, unpacked
 
 
 def content_ids_between(inv: DataFrame, since: int, stop: int,
@@ -65,15 +65,19 @@ def rows_to_copy(dest: DataFrame, src: DataFrame, since: int, as_of: int,
 
 
 def rows_with_ids(src: DataFrame, missing: DataFrame, salts: int = HOT_ID_SALTS) -> DataFrame:
-    """The rows of ``src`` that carry one of the content ids of ``missing``."""
-    plain = F.col("content_id") == F.lit(K.PLAIN_CONTENT_ID)
-    salted_src = src.withColumn(
+    """The rows of ``src`` that carry one of the content ids of ``missing`` (as texts or packed)."""
+    if dict(missing.dtypes)["content_id"] == "string":
+        missing = missing.filter(F.col("content_id").isNotNull()).withColumn("content_id", packed())
+    plain_id = F.lit(bytearray.fromhex(K.PLAIN_CONTENT_ID))
+    plain = F.col("content_id") == plain_id
+    salted_src = src.withColumn("content_id", packed()).withColumn(
         "_salt", F.when(plain, F.pmod(F.xxhash64("source", "identifier"), F.lit(salts)))
         .otherwise(F.lit(0)).cast("bigint"))
     salted_ids = missing.withColumn("_salt", F.explode(
         F.when(plain, F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
         .otherwise(F.array(F.lit(0).cast("bigint")))))
-    return salted_src.join(salted_ids, ["content_id", "_salt"], "left_semi").drop("_salt")
+    found = salted_src.join(salted_ids, ["content_id", "_salt"], "left_semi")
+    return found.withColumn("content_id", unpacked()).select(*src.columns)
 
 
 def reconcile(dest: DataFrame, src: DataFrame, since: int, as_of: int,

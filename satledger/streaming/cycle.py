@@ -17,15 +17,15 @@ import logging
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from satledger import constants as K
 from satledger.operators.reconcile import rows_to_copy, rows_with_ids
 from satledger.schemas import KEY
 from satledger.session import cut_lineage, read_json, write_json
-from satledger.sources.store import (_fs, changed_content_ids, content_days, delete_rows, manifest, read_store, retracted,
-                                     rows_of_days)
+from satledger.sources.store import (_fs, changed_content_ids, delete_rows, manifest, packed, packed_content_days, read_store,
+                                     retracted, rows_of_days, unpacked)
 from satledger.streaming.ingest import Upstream, merge_into_store, run_once
 
 log = logging.getLogger(__name__)
@@ -43,9 +43,9 @@ def _state_folder(copies_path: str) -> str:
 
 
 def _in_window(since: int, until: int):
-    """Whether a content id has a row with ``since < creation_date < until``, from its
-    entries by day: exact unless both bounds lie in one day."""
-    return F.max((F.col("last") > since) & (F.col("first") < until))
+    """Whether an entry of a content id has a row with ``since < creation_date < until``:
+    exact for all of the id's entries unless both bounds lie in one day."""
+    return F.coalesce((F.col("last") > since) & (F.col("first") < until), F.lit(False))
 
 
 def sync_reporting(spark: SparkSession, store_path: str, copies_path: str, dest_source: str,
@@ -67,25 +67,35 @@ def sync_reporting(spark: SparkSession, store_path: str, copies_path: str, dest_
     seen = before if usable else {}
     stop = as_of - hold_back
     stored = manifest(spark, store_path)
-    ids = changed_content_ids(spark, store_path, seen.get("store")).unionByName(changed_content_ids(spark, copies_path, seen.get("copies")))
+    ids = None  # all
     if seen:
+        ids = changed_content_ids(spark, store_path, seen["store"]).unionByName(changed_content_ids(spark, copies_path, seen["copies"]))
         ids = ids.unionByName(spark.read.schema("content_id string").parquet(seen["pending"]))
-    ids = cut_lineage(ids.distinct())
-    found = cut_lineage(content_days(spark, store_path, ids))
-    theirs = found.filter(F.col("source") == dest_source)
-    gone = retracted(spark, store_path)
+        ids = cut_lineage(ids.withColumn("content_id", packed()).distinct())
+    # a row per id, source and day; what the destination holds, own or copied, tells which are known
+    found = packed_content_days(spark, store_path, ids).withColumn("copied", F.lit(False))
+    copied = packed_content_days(spark, copies_path, ids).withColumn("copied", F.lit(True))
+    there = F.col("copied") | F.col("source").eqNullSafe(F.lit(dest_source))
+    mine = ~F.col("copied") & F.col("source").isin(src_sources)
+    known = F.max(there & _in_window(since, as_of)).over(Window.partitionBy("content_id"))
+    wanted = F.max(~F.col("copied") & _in_window(since, stop)).over(Window.partitionBy("content_id", "source"))
+    found = found.unionByName(copied).withColumns({"known": known, "wanted": wanted}).filter(mine)
+    found = found.select("content_id", "source", "day", (F.col("wanted") & ~F.col("known")).alias("missing"),
+                         F.coalesce(F.col("last") >= stop, F.lit(False)).alias("held_back"))
+    found = cut_lineage(found.filter("missing OR held_back"))
+    first = manifest(spark, copies_path)["version"]
     for name in src_sources:
-        mine = found.filter(F.col("source") == name)
-        there = theirs.drop("source").unionByName(content_days(spark, copies_path, ids).drop("source"))
-        wanted = mine.groupBy("content_id").agg(_in_window(since, stop).alias("has")).filter("has").select("content_id")
-        known = there.groupBy("content_id").agg(_in_window(since, as_of).alias("has")).filter("has").select("content_id")
-        missing = cut_lineage(wanted.join(known, "content_id", "left_anti"))
-        days = mine.join(missing, "content_id", "left_semi").select("day").distinct().collect()  # at most the days
+        missing = found.filter((F.col("source") == name) & F.col("missing"))
+        if manifest(spark, copies_path)["version"] != first:  # what an earlier source has brought
+            now = packed_content_days(spark, copies_path, missing.select("content_id").distinct())
+            missing = missing.join(now.filter(_in_window(since, as_of)), "content_id", "left_anti")
+        days = missing.select("day").distinct().collect()  # at most the days
         if days:
+            # retracted keys are not in the store
             rows = rows_of_days(spark, store_path, [(name, r["day"]) for r in days])
-            merge_into_store(rows_with_ids(rows, missing).join(gone, KEY, "left_anti"), copies_path)
+            merge_into_store(rows_with_ids(rows, missing.select("content_id").distinct()), copies_path)
     pending = f"{_state_folder(copies_path)}/pending-{uuid.uuid4().hex[:12]}"
-    found.filter(F.col("source").isin(src_sources) & (F.col("last") >= stop)).select("content_id").distinct().write.parquet(pending)
+    found.filter("held_back").select("content_id").distinct().withColumn("content_id", unpacked()).write.parquet(pending)
     write_json(spark, f"{_state_folder(copies_path)}/state.json", {
         "since": since, "as_of": as_of, "shape": [dest_source, src_sources, hold_back], "pending": pending,
         "store": stored, "copies": manifest(spark, copies_path)})
