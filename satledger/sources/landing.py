@@ -57,13 +57,25 @@ def wallet_invoice_json(inv: DataFrame) -> DataFrame:
     return inv.select("source", "identifier", F.to_json(body).alias("raw"))
 
 
+#: Pages of a source that lie in one landed file, unless that leaves fewer than ``FILES`` files.
+PAGES_PER_FILE = 2000
+FILES = 8
+
+
 def _pages(rows: DataFrame, page_size: int, wrap) -> DataFrame:
     """Group invoice texts into pages by a contiguous numeric id range of one
     source: ``3 * page_size`` ids per range, so with the adapter's layout
     (source = id mod 3) a page holds ``page_size`` invoices, and never more
-    than ``3 * page_size`` for any layout - a bounded group."""
+    than ``3 * page_size`` for any layout - a bounded group.
+
+    Pages are dealt by runs of consecutive ones: written as they lie, their files grow with the
+    pages up to a size and then in number, whatever the number of shuffle partitions."""
     page = F.floor(F.col("identifier").cast("bigint") / F.lit(page_size * 3)).cast("bigint")
-    grouped = rows.groupBy("source", page.alias("page")).agg(
+    rows = rows.withColumn("page", page)
+    first, last = rows.agg(F.min("page"), F.max("page")).first()
+    pages = 1 if last is None else last - first + 1
+    run = F.floor(F.col("page") / F.lit(max(1, min(PAGES_PER_FILE, -(-pages // FILES))))).cast("bigint")
+    grouped = rows.withColumn("run", run).repartition("source", "run").groupBy("source", "run", "page").agg(
         F.sort_array(F.collect_list(F.struct(F.col("identifier").cast("bigint").alias("i"),
                                              F.col("raw")))).alias("items"))
     return grouped.select("source", "page", wrap(F.transform("items", lambda x: x["raw"])).alias("value"))
