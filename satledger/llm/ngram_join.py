@@ -7,19 +7,25 @@
    one element; each part is cut into three, and some two of these are equal.
    A node's signatures are the contents of two of three for every part, in its
    own band and the next: similar sets share one.
-3. A group of nodes with a common signature is not paired up.  All its members
-   are compared with one hub, the most connected member (in later rounds with
-   several hubs of other components).  Let D be a member's symmetric difference
-   with the first hub: two members differ by the symmetric difference of their
-   Ds.  Either both are linked with the hub, or their Ds overlap, and by prefix
-   filtering they share one of the first elements of both Ds.  Members that share
-   such an element make the next groups, unless they were hubs, which have met
-   all; groups of one component need no more.  Where all members of a hub fit one
-   task, it counts what the first elements of their Ds share, and only pairs that
-   share as many as similar sets must are compared.  Of a larger hub, the groups of
-   bounded size compare the pairs that sizes and positions in both Ds leave
-   possible, and larger groups start the next round.  Each group loses its hubs in
-   each round, so the rounds end, and no link between two components is lost.
+3. A node's sketch has a bit for each of a power of two of cells: whether an odd
+   number of its elements falls there.  Two sets differ in at least as many elements
+   as their sketches in bits (also once the longer one is folded to the shorter), so
+   texts are compared only where the sketches leave a pair possible.
+4. A group of two nodes is a pair.  A larger one is not paired up: all its members
+   meet one hub, the most connected member (in later rounds several hubs of other
+   components).  Two members that are linked with the hub need no comparison.
+   Where the work is bounded, one task holds the sketches of all members of a hub
+   against each other, and pairs that they leave possible are compared.
+5. Of a wider hub, let D be a member's symmetric difference with it: two members
+   differ by the symmetric difference of their Ds.  Either both are linked with the
+   hub, or their Ds overlap, and by prefix filtering they share one of the first
+   elements of both Ds.  Members that share such an element make the next groups,
+   unless they were hubs, which have met all; groups of one component need no more.
+   Where all members of such a hub fit one task, it counts what the first elements of
+   their Ds share, and only pairs that share as many as similar sets must go on.  Of a
+   larger hub, the groups of bounded size give the pairs that sizes and positions in
+   both Ds leave possible, and larger groups start the next round.  Each group loses
+   its hubs in each round, so the rounds end, and no link between two components is lost.
 """
 from __future__ import annotations
 
@@ -40,7 +46,7 @@ from satledger.llm.words import SPACED, hashed_words, mix, shingles
 #: Signatures that a task holds before it sends them on.
 CHUNK = 1 << 20
 #: Bytes of text per partition of signatures.
-PART_BYTES = 16 << 20
+PART_BYTES = 32 << 20
 #: Members of a hub that one task compares at most, on average.
 HUB_MEMBERS = 256
 #: Node lists are broadcast up to this length (16 bytes each); beyond it they are joined.
@@ -54,6 +60,8 @@ LOCAL_MEMBERS = 1024
 LOCAL_ELEMENTS = 1 << 21
 #: Members of a hub from which on an element of their differences is frequent.
 FREQUENT = 12
+#: Members squared times bytes of a sketch up to which one task holds a hub's members against each other.
+SKETCH_WORK = 1 << 33
 #: Rows of a batch that are compared at once.
 SLICE = 128
 _SUBPARTS = 3
@@ -93,17 +101,43 @@ class Scheme:
         return np.array(low), np.array(parts), np.array(spare)
 
 
+def distinct_sorted(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
+
 def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Runs of documents: the first one's number and the sorted distinct shingles of each."""
-    for lo, hi, h, bounds in hashed_words(raw, at, SPACED):
+    for lo, _, h, bounds in hashed_words(raw, at, SPACED):
         s, cut = shingles(h, bounds, words)
-        yield lo, [np.unique(s[cut[i]:cut[i + 1]]) for i in range(hi - lo)]
+        yield lo, [distinct_sorted(s[a:b]) for a, b in itertools.pairwise(cut.tolist())]
 
 
 def node_of(shingle_set: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingle_set.tobytes()) if len(shingle_set) else None
 
 
+def sketch(shingle_set: np.ndarray) -> bytes:
+    """Of a power of two of cells, at least two for an element, those with an odd number of elements."""
+    cells = max(64, 1 << (2 * len(shingle_set) - 1).bit_length())
+    cell = (mix(shingle_set ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(cells: bytes, nbytes: int) -> np.ndarray:
+    """The sketch with so many bytes, a power of two not beyond its own, of the same set."""
+    return np.bitwise_xor.reduce(np.frombuffer(cells, np.uint64).reshape(-1, nbytes // 8), axis=0)
+
+
+def may_link(scheme: Scheme, size: int, cells: bytes, other_size: int, other: bytes) -> bool:
+    """Whether sets of these sizes and sketches can be similar."""
+    nbytes = min(len(cells), len(other))
+    apart = np.bitwise_count(folded(cells, nbytes) ^ folded(other, nbytes)).sum(dtype=np.int64)
+    return bool(apart <= scheme.differ(size + other_size))
+
+
 def _nodes(words: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +196,8 @@ _PACKED_ARROW = pa.schema([("part", pa.int32()), ("home", pa.int32()), ("known",
 def _pack(part: int, home: int, known: bool, sig: np.ndarray, who: np.ndarray, nodes: list[bytes]) -> pa.RecordBatch:
     """Signatures of one home partition; the nodes they refer to, once each."""
     used, who = np.unique(who, return_inverse=True)
-    cells = [sig.astype(np.uint32).tobytes(), (sig >> np.uint64(32)).astype(np.uint8).tobytes(), who.astype(np.uint32).tobytes(),
+    short = np.uint16 if len(used) <= 1 << 16 else np.uint32
+    cells = [sig.astype(np.uint32).tobytes(), (sig >> np.uint64(32)).astype(np.uint8).tobytes(), who.astype(short).tobytes(),
              b"".join(nodes[i] for i in used.tolist())]
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([home], pa.int32()), pa.array([known]),
                                        *(pa.array([c], pa.binary()) for c in cells)], schema=_PACKED_ARROW)
@@ -178,12 +213,13 @@ def _sign(scheme: Scheme, parts: int):
         def flush():
             nonlocal turn
             s, w = np.concatenate(sig), np.concatenate(who)
-            home = (s % np.uint64(parts)).astype(np.int64)
-            s = s // np.uint64(parts) & np.uint64((1 << 40) - 1)
-            order = np.lexsort((w, s, home))
-            s, w, home = s[order], w[order], home[order]
-            first = np.ones(len(s), bool)
-            first[1:] = (s[1:] != s[:-1]) | (home[1:] != home[:-1])
+            whole, home = np.divmod(s, np.uint64(parts))
+            s = home << np.uint64(40) | whole & np.uint64((1 << 40) - 1)
+            order = np.argsort(s)
+            s, w = s[order], w[order]
+            home, first = (s >> np.uint64(40)).astype(np.int64), np.ones(len(s), bool)
+            first[1:] = s[1:] != s[:-1]
+            s &= np.uint64((1 << 40) - 1)
             shared = ~first
             shared[:-1] |= ~first[1:]
             for known, pick in ((False, first), (True, shared)):
@@ -223,7 +259,10 @@ _MEMBER_ARROW = pa.schema([("key", pa.int64()), ("node", pa.binary())])
 
 
 def _meet(batches) -> Iterator[pa.RecordBatch]:
-    """Members of the signatures that several nodes of a home partition share."""
+    """Members of the signatures that several nodes of a home partition share.
+
+    Of one node in several chunks a signature makes no group here: the others that
+    share it in a chunk come as known."""
     def emit(home, sig, names):
         keys = (np.int64(home) << 40) | sig.astype(np.int64)
         for a in range(0, len(keys), 50_000):
@@ -233,30 +272,40 @@ def _meet(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, home, known, low, high, who, nodes in zip(*(batch.column(i).to_pylist() for i in range(7))):
             sig = np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32)
-            of, names = np.frombuffer(who, np.uint32), np.frombuffer(nodes, "V16")
+            of, names = np.frombuffer(who, np.uint16 if len(who) == 2 * len(sig) else np.uint32), np.frombuffer(nodes, "V16")
             if known:
                 yield from emit(home, sig, [x.tobytes() for x in names[of]])
             else:
                 held.setdefault(home, []).append((sig, of, names))
     for home, parts in held.items():
-        start = np.cumsum([0, *(len(p[2]) for p in parts)])
+        start = np.cumsum([0, *(len(p[2]) for p in parts)], dtype=np.uint32)
         sig, of = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + s for p, s in zip(parts, start)])
         names = np.concatenate([p[2] for p in parts])
-        order = np.argsort(sig, kind="stable")
+        order = np.argsort(sig)
         sig, of = sig[order], of[order]
         same = np.zeros(len(sig), bool)
         same[1:] = sig[1:] == sig[:-1]
         shared = same.copy()
         shared[:-1] |= same[1:]
-        yield from emit(home, sig[shared], [x.tobytes() for x in names[of[shared]]])
+        sig, names = sig[shared], names[of[shared]]
+        halves = names.view(np.uint64).reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0], sig))
+        sig, names, halves = sig[order], names[order], halves[order]
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (halves[1:] != halves[:-1]).any(1)
+        sig, names = sig[fresh], names[fresh]
+        several = np.zeros(len(sig), bool)
+        several[1:] = sig[1:] == sig[:-1]
+        several[:-1] |= several[1:].copy()
+        yield from emit(home, sig[several], [x.tobytes() for x in names[several]])
 
 
 def _texts(words: int):
-    """Each distinct node of a task's rows, with a text that has its set."""
+    """Each distinct node of a task's rows, with its size and sketch and a text that has its set."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            keep, names, row = [], [], 0
+            keep, names, sizes, sketches, row = [], [], [], [], 0
             for _, sets in shingle_sets(*arrow_text(batch.column(0)), words):
                 for x in sets:
                     node = node_of(x)
@@ -264,10 +313,14 @@ def _texts(words: int):
                         seen.add(node)
                         keep.append(row)
                         names.append(node)
+                        sizes.append(len(x))
+                        sketches.append(sketch(x))
                     row += 1
             if len(seen) > 1_000_000:
                 seen = set()
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), batch.column(0).take(pa.array(keep, pa.int64()))], names=["node", "text"])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()),
+                batch.column(0).take(pa.array(keep, pa.int64()))], names=["node", "size", "sketch", "text"])
 
     return run
 
@@ -317,15 +370,14 @@ def _compare(scheme: Scheme):
 
 
 def _pairs(members: DataFrame, of: DataFrame | None, slots: int) -> DataFrame:
-    """Comparisons for groups ``key, node``: ``node, hub, derive``.
+    """Comparisons for groups ``key, node, n``, ``n`` their sizes: ``node, hub, derive``.
 
     The members of a group are dealt to ``slots`` by hash, and the best connected
     of each slot is a hub; the best of all is the group's first hub.  Members meet
     the hubs of other components.  A hub has then met its whole group; the other
     members must also meet the first hub, to ``derive`` their next groups."""
-    counted = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
-    weight = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("weight"))
-    placed = counted.select("key", "node").join(weight, "node")
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    placed = members.select("key", "node").join(weight, "node")
     placed = placed.withColumn("component", F.col("node")) if of is None else placed.join(of, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     placed = store(placed.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(slots))), "join-placed")
@@ -341,17 +393,113 @@ def _pairs(members: DataFrame, of: DataFrame | None, slots: int) -> DataFrame:
     return pairs
 
 
-def _compared(pairs: DataFrame, bodies: DataFrame, scheme: Scheme) -> DataFrame:
-    """The comparisons of ``pairs`` (``node, hub, derive``); a hub of many members is
-    dealt out in several copies."""
-    load = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("copies"))
+def _met(pairs: DataFrame, bodies: DataFrame, columns: tuple[str, ...], members: int) -> DataFrame:
+    """``pairs`` with ``columns`` of ``bodies``, the hub's as ``hub_...``; a hub of more than
+    ``members`` members is dealt out in several copies."""
+    load = pairs.groupBy("hub").agg(F.ceil(F.count("*") / members).cast("int").alias("copies"))
     dealt = pairs.join(load, "hub").withColumn("copy", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int"))
-    hubs = load.join(bodies.withColumnsRenamed({"node": "hub", "text": "hub_text"}), "hub").select(
-        "hub", "hub_text", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    both = dealt.join(bodies, "node").join(hubs, ["hub", "copy"]).select("node", "hub", "text", "hub_text", "derive")
+    hubs = load.join(bodies.select(F.col("node").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in columns)), "hub").select(
+        "hub", *(f"hub_{c}" for c in columns), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    return dealt.join(bodies.select("node", *columns), "node").join(hubs, ["hub", "copy"])
+
+
+def _compared(pairs: DataFrame, bodies: DataFrame, scheme: Scheme) -> DataFrame:
+    """The comparisons of ``pairs`` (``node, hub, derive``) by their texts."""
+    both = _met(pairs, bodies, ("text",), HUB_MEMBERS).select("node", "hub", "text", "hub_text", "derive")
     return store(both.mapInArrow(_compare(scheme), _COMPARED), "join-compared")
 
 
+_PAIR = "node binary, hub binary"
+_PAIR_ARROW = pa.schema([("node", pa.binary()), ("hub", pa.binary())])
+
+
+def _sift(scheme: Scheme):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in range(2, 6)))
+            keep = pa.array([may_link(scheme, *row) for row in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR_ARROW).filter(keep)
+
+    return run
+
+
+def _near_linked(pairs: DataFrame, bodies: DataFrame, scheme: Scheme) -> DataFrame:
+    """The links among ``pairs`` (``node, hub``): texts of those that the sketches leave."""
+    both = _met(pairs, bodies, ("size", "sketch"), 16 * HUB_MEMBERS).select("node", "hub", "size", "sketch", "hub_size", "hub_sketch")
+    left = store(both.mapInArrow(_sift(scheme), _PAIR), "join-sifted")
+    compared = _compared(left.withColumn("derive", F.lit(False)), bodies, scheme)
+    linked = _linked(compared)
+    discard(left, compared)
+    return linked
+
+
+def _hubs(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Hubs of several members to derive from, and whether their sketches are too much work for a task (``wide``)."""
+    counted = pairs.where("derive").groupBy("hub").agg(F.count("*").alias("members")).where("members > 1")
+    held = bodies.select(F.col("node").alias("hub"), F.length("sketch").alias("held"))
+    return store(counted.join(held, "hub").select("hub", (F.col("members") * F.col("members") * F.col("held") > SKETCH_WORK).alias("wide")), "join-wide")
+
+
+def sketched_members(scheme: Scheme, size: np.ndarray, linked: np.ndarray, component: np.ndarray, cells: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of a hub the others, each pair once, that their sketches leave possible,
+    but for pairs of one component and two members that are linked with the hub."""
+    order = np.argsort(size, kind="stable")
+    size, linked, component = size[order], linked[order], component[order]
+    nbytes = min(len(c) for c in cells)
+    matrix = np.stack([folded(cells[i], nbytes) for i in order.tolist()])
+    ends = np.searchsorted(size, size * 100 // scheme.percent, side="right")
+    for x, end in enumerate(ends.tolist()):
+        y = x + 1 + np.flatnonzero((component[x + 1:end] != component[x]) & ~(linked[x + 1:end] & linked[x]))
+        if len(y):
+            apart = np.bitwise_count(matrix[y] ^ matrix[x]).sum(1, dtype=np.int64)
+            y = y[apart <= scheme.differ(size[x] + size[y])]
+            if len(y):
+                yield int(order[x]), order[y]
+
+
+def _sketched(scheme: Scheme):
+    """Pairs ``node, hub`` left to compare among members of the hubs, whose rows follow each other."""
+    def pairs_of(hub: pa.Table) -> pa.RecordBatch:
+        nodes, cells = (hub.column(c).to_pylist() for c in ("node", "sketch"))
+        size = hub.column("size").to_numpy().astype(np.int64)
+        linked = hub.column("linked").to_numpy()
+        component = hub.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+        left, right = [], []
+        for x, ys in sketched_members(scheme, size, linked, component, cells):
+            for y in ys.tolist():
+                left.append(min(nodes[x], nodes[y]))
+                right.append(max(nodes[x], nodes[y]))
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], schema=_PAIR_ARROW)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        hub, held = None, []
+        for batch in batches:
+            hubs, at = batch.column(0).to_pylist(), 0
+            for one, rows in itertools.groupby(hubs):
+                n = sum(1 for _ in rows)
+                if one != hub and held:
+                    yield pairs_of(pa.Table.from_batches(held))
+                    held = []
+                hub = one
+                held.append(batch.slice(at, n))
+                at += n
+        if held:
+            yield pairs_of(pa.Table.from_batches(held))
+
+    return run
+
+
+def _left_by_sketches(pairs: DataFrame, hubs: DataFrame, linked: DataFrame, of: DataFrame, few: bool, bodies: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs ``node, hub`` that are left to compare among the members of hubs that aren't wide."""
+    met = pairs.where("derive").join(hubs.where("not wide").select("hub"), "hub").select("node", "hub")
+    known = linked.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.lit(True).alias("linked"))
+    met = met.join(known, ["node", "hub"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    open_hubs = met.groupBy("hub").agg(F.min("linked").alias("settled")).where("not settled").select("hub")
+    rows = _placed(met.join(open_hubs, "hub"), of, few).join(bodies.select("node", "size", "sketch"), "node")
+    rows = rows.select("hub", "node", "linked", "component", "size", "sketch").repartition("hub").sortWithinPartitions("hub")
+    return store(rows.mapInArrow(_sketched(scheme), _PAIR).distinct(), "join-left")
+
+
 def _open(compared: DataFrame) -> DataFrame:
     """The comparisons that next groups derive from, and whether their hub's members are
     paired up in one task (``local``): a hub of one member, or with all members linked,
@@ -453,11 +601,15 @@ def links(docs: DataFrame, scheme: Scheme, text_col: str = "text") -> DataFrame:
     del signed
     release(docs.sparkSession)
     # a 40-bit signature of one node in several chunks is no group
-    groups = grouped.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("key")
-    members = grouped.join(groups, "key")
-
-    wanted = store(members.select("node").distinct(), "join-wanted")
-    known = texts.mapInArrow(_texts(scheme.words), "node binary, text string")
+    groups = grouped.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
+    groups = store(groups, "join-groups")
+    twos = store(groups.where("n = 2").select(F.col("a").alias("node"), F.col("b").alias("hub"), F.lit(False).alias("derive")).distinct(), "join-twos")
+    members = store(grouped.join(groups.where("n > 2").select("key", "n"), "key"), "join-members")
+    discard(grouped, groups)
+
+    wanted = members.select("node").union(twos.select("node")).union(twos.select("hub"))
+    wanted = store(wanted.distinct(), "join-wanted")
+    known = texts.mapInArrow(_texts(scheme.words), "node binary, size int, sketch binary, text string")
     few = wanted.count() <= BROADCAST_NODES
     bodies = store(known.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"]), "join-texts")
     discard(wanted)
@@ -466,51 +618,72 @@ def links(docs: DataFrame, scheme: Scheme, text_col: str = "text") -> DataFrame:
     for turn in itertools.count():
         release(docs.sparkSession)
         pairs = _pairs(members, of, SLOTS[min(turn, len(SLOTS) - 1)])
-        discard(grouped)
+        discard(members)
+        if turn == 0:
+            pairs = pairs.union(twos)
         if pairs.isEmpty():
             break
-        compared = _compared(pairs, bodies, scheme)
-        discard(pairs)
+        hubs = _hubs(pairs, bodies)
+        wide = pairs.where("derive").join(hubs.where("wide").select("hub"), "hub").select("node", "hub", "derive")
+        widely = not hubs.where("wide").isEmpty()
+        rest = pairs.join(wide, ["node", "hub", "derive"], "left_anti") if widely else pairs
+        linked = _near_linked(rest.select("node", "hub").distinct(), bodies, scheme)
+        found = linked if found is None else found.union(linked)
+        if widely:
+            compared = _compared(wide, bodies, scheme)
+            found = found.union(_linked(compared))
         release(docs.sparkSession)
-        found = _linked(compared) if found is None else found.union(_linked(compared))
-        derived = _open(compared)
-        if derived.isEmpty():
+        if hubs.isEmpty():
             break
         of = components(found)
         few = of.count() <= BROADCAST_NODES
         release(docs.sparkSession)
-        local = _placed(derived.where("local"), of, few).select("hub", "node", "linked", "size", "most", "component", "elements")
-        local = store(local.groupBy("hub").applyInArrow(_near, "node binary, hub binary").distinct(), "join-local")
+        left = _left_by_sketches(pairs, hubs, linked, of, few, bodies, scheme)
+        found = found.union(_near_linked(left, bodies, scheme))
+        discard(left, pairs, hubs)
         release(docs.sparkSession)
-
-        shared = _rare_first(derived.where("not local")).select("node", "hub", "linked", "size", "most", F.posexplode("elements").alias("pos", "element"))
-        shared = shared.select(F.xxhash64("hub", "element").alias("key"), "node", "linked", "size", "most", "pos")
-        worth = shared.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("pos") * 2 - F.col("most")).alias("lead"),
-                                          F.min("linked").alias("linked")).where("n > 1 and lead <= 0 and not linked").select("key")
-        grouped = store(shared.join(worth, "key"), "join-next")
+        if not widely:
+            break
+        close, members = _wide_pairs(_open(compared), of, few)
         discard(compared)
-        release(docs.sparkSession)
-        placed = _placed(grouped, of, few)
-        mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
-        mixed = store(mixed.select("key", "n"), "join-mixed")
-        # pairs of one component need no comparison, nor do two members that are linked with the hub
-        most = F.least("most_x", "most_y")
-        near = ((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & ~(F.col("linked_x") & F.col("linked_y"))
-                & (F.abs(F.col("size_x") - F.col("size_y")) <= most) & (2 * F.col("pos_x") <= F.col("size_x") - F.col("size_y") + most)
-                & (2 * F.col("pos_y") <= F.col("size_y") - F.col("size_x") + most))
-        bounded = placed.join(mixed.where(F.col("n") <= SMALL_GROUP).select("key"), "key")
-        left, right = _sides(bounded, ("node", "linked", "size", "most", "component", "pos"))
-        close = left.join(right, (left["key"] == right["key"]) & near).select(F.col("node_x").alias("node"), F.col("node_y").alias("hub"))
-        close = _compared(close.union(local).distinct().withColumn("derive", F.lit(False)), bodies, scheme)
-        found = found.union(_linked(close))
-        discard(local, close)
-        members = grouped.join(mixed.where(F.col("n") > SMALL_GROUP).select("key"), "key").select("key", "node")
+        found = found.union(_near_linked(close, bodies, scheme))
+        discard(close)
         if members.isEmpty():
             break
     empty = docs.sparkSession.createDataFrame([], "a binary, b binary")
     return empty if found is None else found
 
 
+def _wide_pairs(derived: DataFrame, of: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
+    """Of the members of wide hubs the pairs ``node, hub`` left to compare, and the groups of the next round."""
+    local = _placed(derived.where("local"), of, few).select("hub", "node", "linked", "size", "most", "component", "elements")
+    local = store(local.groupBy("hub").applyInArrow(_near, _PAIR).distinct(), "join-local")
+    release(derived.sparkSession)
+
+    shared = _rare_first(derived.where("not local")).select("node", "hub", "linked", "size", "most", F.posexplode("elements").alias("pos", "element"))
+    shared = shared.select(F.xxhash64("hub", "element").alias("key"), "node", "linked", "size", "most", "pos")
+    worth = shared.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("pos") * 2 - F.col("most")).alias("lead"),
+                                      F.min("linked").alias("linked")).where("n > 1 and lead <= 0 and not linked").select("key")
+    grouped = store(shared.join(worth, "key"), "join-next")
+    release(derived.sparkSession)
+    placed = _placed(grouped, of, few)
+    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
+    mixed = store(mixed.select("key", "n"), "join-mixed")
+    # pairs of one component need no comparison, nor do two members that are linked with the hub
+    most = F.least("most_x", "most_y")
+    near = ((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & ~(F.col("linked_x") & F.col("linked_y"))
+            & (F.abs(F.col("size_x") - F.col("size_y")) <= most) & (2 * F.col("pos_x") <= F.col("size_x") - F.col("size_y") + most)
+            & (2 * F.col("pos_y") <= F.col("size_y") - F.col("size_x") + most))
+    bounded = placed.join(mixed.where(F.col("n") <= SMALL_GROUP).select("key"), "key")
+    left, right = _sides(bounded, ("node", "linked", "size", "most", "component", "pos"))
+    close = left.join(right, (left["key"] == right["key"]) & near).select(F.col("node_x").alias("node"), F.col("node_y").alias("hub"))
+    close = store(close.union(local).distinct(), "join-close")
+    members = grouped.join(mixed.where(F.col("n") > SMALL_GROUP), "key").select("key", "node", "n")
+    members = store(members, "join-members")
+    discard(local, grouped, mixed)
+    return close, members
+
+
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id, n_shingles, component_id``.
 

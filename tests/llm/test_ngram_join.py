@@ -122,6 +122,84 @@ def test_members_of_a_hub_meet_all_similar_ones(percent):
         assert not list(ngram_join.near_members(sizes, most, linked, whole, names, at))
 
 
+@pytest.mark.parametrize("members,elements", [(6, 1 << 21), (1024, 150), (1024, 1 << 21)])
+def test_hubs_beyond_their_sketches_equal_all_pairs(spark, monkeypatch, members, elements):
+    monkeypatch.setattr(ngram_join, "SKETCH_WORK", 20_000)
+    monkeypatch.setattr(ngram_join, "LOCAL_MEMBERS", members)
+    monkeypatch.setattr(ngram_join, "LOCAL_ELEMENTS", elements)
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", 12)
+    rows = family_rows(5)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    assert found_groups(df, 5, 80) == all_pairs(rows, 5, 80)
+
+
+def boilerplate_rows(count):
+    """Texts of a shared line and words of their own, and a near copy of every tenth."""
+    rng, line, rows = random.Random(11), " ".join(f"line{i}" for i in range(14)), []
+    for i in range(count):
+        own = [f"x{i}y{rng.randrange(10 ** 9)}" for _ in range(46)]
+        rows.append((2 * i, f"{line} {' '.join(own)}"))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, f"{line} {' '.join(own[:-1])} other{i}"))
+    return rows
+
+
+def test_texts_that_share_a_line_are_not_compared(spark, monkeypatch):
+    """Members of a hub that only share a line are told apart by sketches: the texts that
+    are compared follow the near copies, not the groups."""
+    compared, plain = [], ngram_join._compared
+
+    def counted(pairs, *more):
+        found = plain(pairs, *more)
+        compared.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_compared", counted)
+    rows = boilerplate_rows(400)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    assert found_groups(df, 5, 80) == all_pairs(rows, 5, 80)
+    assert sum(compared) <= 2 * 40
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_sketches_keep_similar_sets(percent):
+    """Sketches are never further apart than the sets, and mostly rule out the others."""
+    scheme, rng = Scheme(5, percent), np.random.default_rng(percent)
+    ruled_out = dissimilar = 0
+    for size in (1, 2, 7, 30, 200, 3000):
+        sets = [np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64)) for _ in range(3)]
+        for _ in range(30):
+            base = sets[rng.integers(3)]
+            new = rng.integers(0, 1 << 63, rng.integers(0, 2 + size // 8)).astype(np.uint64)
+            sets.append(np.unique(np.concatenate((base[rng.random(len(base)) < rng.uniform(0.6, 1)], new, base[:1]))))
+        sizes, cells = np.array([len(s) for s in sets]), [ngram_join.sketch(s) for s in sets]
+        linked, component = rng.random(len(sets)) < 0.3, rng.integers(0, 12, len(sets))
+        near = {frozenset((x, int(y))) for x, ys in ngram_join.sketched_members(scheme, sizes, linked, component, cells) for y in ys}
+        for j in range(len(sets)):
+            for i in range(j):
+                similar = scheme.linked(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j])
+                possible = ngram_join.may_link(scheme, int(sizes[i]), cells[i], int(sizes[j]), cells[j])
+                assert possible or not similar
+                if component[i] != component[j] and not (linked[i] and linked[j]):
+                    assert frozenset((i, j)) in near or not similar
+                else:
+                    assert frozenset((i, j)) not in near
+                if size >= 30 and not similar:
+                    dissimilar += 1
+                    ruled_out += not possible
+    assert ruled_out > 0.6 * dissimilar
+
+
+def test_signature_of_one_node_in_several_chunks_is_no_group():
+    """Copies in different chunks send a signature twice; several nodes still meet."""
+    nodes, sig = [b"a" * 16, b"b" * 16], np.arange(5, dtype=np.uint64)
+    packed = [ngram_join._pack(0, 0, False, sig, np.zeros(5, np.int64), nodes) for _ in range(2)]
+    assert not [r for batch in ngram_join._meet(packed) for r in batch.to_pylist()]
+    packed.append(ngram_join._pack(0, 0, False, sig[3:], np.ones(2, np.int64), nodes))
+    met = [(r["key"], r["node"]) for batch in ngram_join._meet(packed) for r in batch.to_pylist()]
+    assert sorted(met) == [(k, n) for k in (3, 4) for n in nodes]
+
+
 def test_awkward_rows(awkward, no_rows):  # noqa: F811
     rows = [(d, t) for d, t, _ in ROWS]
     assert found_groups(awkward, 3, 90) == all_pairs(rows, 3, 90)
