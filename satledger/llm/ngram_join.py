@@ -46,7 +46,7 @@ from satledger.llm.words import SPACED, hashed_words, mix, shingles
 #: Signatures that a task holds before it sends them on.
 CHUNK = 1 << 20
 #: Bytes of text per partition of signatures.
-PART_BYTES = 32 << 20
+PART_BYTES = 24 << 20
 #: Members of a hub that one task compares at most, on average.
 HUB_MEMBERS = 256
 #: Node lists are broadcast up to this length (16 bytes each); beyond it they are joined.
@@ -258,6 +258,10 @@ def _sign(scheme: Scheme, parts: int):
 _MEMBER_ARROW = pa.schema([("key", pa.int64()), ("node", pa.binary())])
 
 
+def _signature(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32)
+
+
 def _meet(batches) -> Iterator[pa.RecordBatch]:
     """Members of the signatures that several nodes of a home partition share.
 
@@ -271,18 +275,22 @@ def _meet(batches) -> Iterator[pa.RecordBatch]:
     held: dict[int, list] = {}
     for batch in batches:
         for _, home, known, low, high, who, nodes in zip(*(batch.column(i).to_pylist() for i in range(7))):
-            sig = np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32)
-            of, names = np.frombuffer(who, np.uint16 if len(who) == 2 * len(sig) else np.uint32), np.frombuffer(nodes, "V16")
+            of, names = np.frombuffer(who, np.uint16 if 5 * len(who) == 2 * (len(low) + len(high)) else np.uint32), np.frombuffer(nodes, "V16")
             if known:
-                yield from emit(home, sig, [x.tobytes() for x in names[of]])
+                yield from emit(home, _signature(low, high), [x.tobytes() for x in names[of]])
             else:
-                held.setdefault(home, []).append((sig, of, names))
+                held.setdefault(home, []).append((low, high, of, names))
     for home, parts in held.items():
-        start = np.cumsum([0, *(len(p[2]) for p in parts)], dtype=np.uint32)
-        sig, of = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + s for p, s in zip(parts, start)])
-        names = np.concatenate([p[2] for p in parts])
+        names, sig = np.concatenate([p[3] for p in parts]), np.empty(sum(len(p[2]) for p in parts), np.uint64)
+        of, at, start = np.empty(len(sig), np.uint32), 0, 0
+        while parts:
+            low, high, own, its = parts.pop()
+            start += len(its)
+            sig[at:at + len(own)], of[at:at + len(own)] = _signature(low, high), own + np.uint32(len(names) - start)
+            at += len(own)
         order = np.argsort(sig)
         sig, of = sig[order], of[order]
+        del order
         same = np.zeros(len(sig), bool)
         same[1:] = sig[1:] == sig[:-1]
         shared = same.copy()
